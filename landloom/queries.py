@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from landloom.plans import q_functions, q_spatial
+
+_MODULES = (q_functions, q_spatial)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.Q
+    ORACLE_SQL |= _m.SQL
 FLAGSHIP = None
