@@ -20,6 +20,11 @@ GEOM_TYPE = T.StructType([T.StructField("type", T.StringType()), T.StructField("
 _c = lambda v: v if isinstance(v, Column) else F.lit(float(v)) if isinstance(v, (int, float)) else F.col(v)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 # --- making -----------------------------------------------------------------------------------------------------------
 
 
@@ -139,10 +144,9 @@ def centroid(g: Column) -> Column:
 
     def of_ring(r: Column, k: Column) -> Column:
         cross = lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
-        w = _sum(_pairs(r, cross))
-        sign = F.when(k == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.signum(w)
         part = lambda f: _sum(_pairs(r, lambda a, b: (a[f] + b[f] - 2 * o[f]) * cross(a, b)))
-        return F.struct((w * sign).alias("w"), (part("x") * sign / 3).alias("x"), (part("y") * sign / 3).alias("y"))
+        sums = F.struct(_sum(_pairs(r, cross)).alias("w"), part("x").alias("x"), part("y").alias("y"))
+        return let(sums, lambda s: let(F.when((s["w"] < 0) == (k == 0), -1.0).otherwise(1.0), lambda sign: F.struct((s["w"] * sign).alias("w"), (s["x"] * sign / 3).alias("x"), (s["y"] * sign / 3).alias("y"))))
 
     def of_line(r: Column, k: Column) -> Column:
         part = lambda f: _sum(_pairs(r, lambda a, b: ((a[f] + b[f]) / 2 - o[f]) * _distance(a, b)))
@@ -155,7 +159,7 @@ def centroid(g: Column) -> Column:
             F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
             lambda a, p: F.struct((a["w"] + p["w"]).alias("w"), (a["x"] + p["x"]).alias("x"), (a["y"] + p["y"]).alias("y")),
         )
-        return F.when(total["w"] != 0, F.struct((total["x"] / total["w"] + o["x"]).alias("x"), (total["y"] / total["w"] + o["y"]).alias("y")))
+        return let(total, lambda t: F.when(t["w"] != 0, F.struct((t["x"] / t["w"] + o["x"]).alias("x"), (t["y"] / t["w"] + o["y"]).alias("y"))))
 
     plain = F.struct(mean("x").alias("x"), mean("y").alias("y"))
     return F.when(~is_empty(g), F.coalesce(F.when(is_area(g), weighted(of_ring)).when(g["type"].endswith("LineString"), weighted(of_line)), plain))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from landloom.plans import q_functions, q_spatial
+from landloom.plans import q_functions, q_land, q_spatial
 
-_MODULES = (q_functions, q_spatial)
+_MODULES = (q_functions, q_spatial, q_land)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
