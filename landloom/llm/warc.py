@@ -9,6 +9,8 @@ from landloom.session import read, scratch_path
 #: Written into every record; a run's date is a parameter, so that runs can be compared byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
+#: Slots by which tasks know the digests that repeat: a bound on what is broadcast.
+SLOTS = 1 << 20
 
 
 def base32(hex_digest: Column) -> Column:
@@ -51,22 +53,29 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
 
     Of records with equal payloads of ``least`` bytes or more that of the greatest id is the response and the others revisit it, storing no payload
     of their own; each smaller one is a response. Null payloads are empty; a null id is less than any other; rows that repeat
-    the greatest id with the same payload are all responses; an empty table gives empty archives; other columns are left out. Payloads go through
-    one shuffle, by digest, and a payload that a third of all pages have moves as often as they are: sums per digest are made before it.
+    the greatest id with the same payload are all responses; an empty table gives empty archives; other columns are left out. Which digests repeat is
+    counted first, and only payloads that do move, so distinct ones are written from where they are read.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("page", "url", "payload", F.sha2("payload", 256).alias("sha256"), base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    first = rows.groupBy("sha256").agg(F.max("page").alias("first"))
-    narrow = rows.select("page", "url", "sha256", "sha1", "size").join(first, "sha256")
+    first = rows.groupBy("sha256").agg(F.max("page").alias("first"), F.count("*").alias("n"))
+    narrow = rows.select("page", "url", "sha256", "sha1", "size").join(first.drop("n"), "sha256")
     alone = (F.col("size") < least) | F.col("page").eqNullSafe(F.col("first"))
     kind = F.when(alone, F.lit("response")).otherwise(F.lit("revisit"))
     header = headers(F.col("page"), F.col("url"), kind, F.col("sha1"), F.col("size"), F.col("first"), date)
     narrow.select("sha256", header.alias("header"), alone.alias("stored")).write.parquet(f"{path}/records")
-    # Only rows of the greatest id of a digest bring its payload; which one of equal bytes is kept doesn't matter.
-    keys = first.select("sha256", F.col("first").alias("page"))
-    bearing = rows.select("sha256", "page", "payload").join(keys.withColumnRenamed("page", "p").withColumnRenamed("sha256", "s"), (F.col("sha256") == F.col("s")) & F.col("page").eqNullSafe(F.col("p")), "left_semi")
-    bearing.select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    # A payload that no other record shares is stored from where it is read. Digests that repeat are told to all tasks by their slot, of which there
+    # are SLOTS at most; only payloads of those slots move, and of these only rows of the greatest id bear the payload.
+    slot = F.pmod(F.xxhash64("sha256"), F.lit(SLOTS)).cast("int")
+    shared = F.broadcast(first.where("n > 1").select(slot.alias("slot")).distinct())
+    held = rows.select("sha256", "page", "payload").withColumn("slot", slot)
+    keys = first.where("n > 1").select(F.col("sha256").alias("s"), F.col("first").alias("p"))
+    contested = held.join(shared, "slot", "left_semi")
+    sole = contested.select("sha256", "page", "payload").join(keys.select("s"), F.col("sha256") == F.col("s"), "left_anti").select("sha256", "payload")
+    bearing = contested.select("sha256", "page", "payload").join(keys, (F.col("sha256") == F.col("s")) & F.col("page").eqNullSafe(F.col("p")), "left_semi")
+    kept = held.join(shared, "slot", "left_anti").select("sha256", "payload").unionByName(sole).unionByName(bearing.select("sha256", "payload").dropDuplicates(["sha256"]))
+    kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
