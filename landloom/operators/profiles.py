@@ -102,4 +102,4 @@ def profile_headlines(stats: DataFrame, by: str = "town") -> DataFrame:
 
 def section_completeness(stats: DataFrame, by: str = "town") -> DataFrame:
     """(town, demographics, infrastructure, land, economy): statistics of each section, 0 where there are none."""
-    return stats.groupBy(by).pivot("section", list(FIELDS)).agg(F.count("*")).na.fill(0)
+    return stats.groupBy(by).pivot("section", list(FIELDS)).agg(F.count("label")).na.fill(0)
