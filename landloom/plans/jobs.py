@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from landloom.operators import diff, land
+from landloom.functions import geometry as g, text
+from landloom.operators import diff, land, patterns, profiles, rules, sites, spatial, stats
+from landloom.session import cut
+from landloom.sources import sinks
+from landloom.streaming import landuse
 
 KEY = ["jurisdiction", "parcel_id"]
 
@@ -23,3 +27,94 @@ def track_reconstruction(base: DataFrame, current: DataFrame, damage: DataFrame,
     no_key = " or ".join(f"{k} is null" for k in keys)
     lost = [df.where(no_key).select(*keys, "neighborhood", F.col("area_sqm").alias("area"), F.lit("unknown").alias("status")) for df in (base, current)]
     return known.unionByName(lost[0]).unionByName(lost[1]).withColumn("restitution_status", land.restitution(F.col("status")))
+
+
+def convert_layer(features: DataFrame, target: str, table: str, srid: int = 4326, source_srid: int | None = 4326, layer: str | None = None) -> DataFrame:
+    """Rows of text that load a layer: filtered by name, reprojected (documents always to degrees), one statement or document for each feature."""
+    rows = spatial.layer_filter(features, layer) if layer is not None else features
+    to = 4326 if target == "mongo" else srid
+    rows = rows.withColumn("geom", g.reproject(F.col("geom"), source_srid, to))
+    if target == "mongo":
+        return sinks.format_mongo(rows)
+    return sinks.format_postgis(rows, table) if target == "postgis" else sinks.format_mysql(rows, table, to)
+
+
+def inspect_layers(df: DataFrame, samples: int = 3) -> DataFrame:
+    """(layer, feature_count, geometry_type, srid, bounds, fields, warnings, samples) of rows with layer, fid, geom and srid."""
+    first = stats.first_n(df, "layer", samples).groupBy("layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", g.wkt_preview(F.col("geom")).alias("text")))), lambda s: s["text"]).alias("samples"))
+    return stats.layer_summary(df).withColumn("warnings", text.crs_warnings(F.col("srid"), F.lit(False))).join(first, "layer", "left")
+
+
+def layer_statistics(df: DataFrame, columns: list[str], categories: list[str], bins: int = 20) -> dict[str, DataFrame]:
+    """Types, quality, duplicates, numeric statistics (those of areas and lengths among them), histograms and categories of a layer."""
+    measured = df.where(~g.is_empty(F.col("geom"))).withColumns({"area": F.when(g.is_area(F.col("geom")), g.area(F.col("geom"))), "length": F.when(g.dimension(F.col("geom")) == 1, g.length(F.col("geom")))})
+    numbers = [*columns, "area", "length"]
+    return {
+        "types": stats.geometry_type_counts(df),
+        "quality": stats.quality_counts(df),
+        "duplicates": stats.duplicate_geometries(df),
+        "numeric": stats.numeric_stats(measured, numbers),
+        "histograms": stats.histogram(measured, numbers, bins),
+        "categories": stats.categorical_stats(measured, categories),
+    }
+
+
+def point_patterns(points: DataFrame, eps_km: float = 1.0, min_samples: int = 5) -> dict[str, DataFrame]:
+    """Labels, clusters, nearest-neighbour summary and Clark-Evans ratio of points (fid, x, y in degrees), in metres of their UTM zone."""
+    metres, srid = patterns.to_metres(points)
+    metres = cut(metres)
+    labels = cut(patterns.dbscan(metres, eps_km * 1000, min_samples))
+    nearest = cut(spatial.nearest_neighbor(metres, eps_km * 1000))
+    return {"labels": labels, "clusters": patterns.cluster_summary(metres, labels, srid), "nearest": patterns.nn_summary(nearest), "clark_evans": patterns.clark_evans(metres, nearest)}
+
+
+def layer_diff(old: DataFrame, new: DataFrame, keys: list[str], attributes: list[str], old_srid: int = 4326, new_srid: int = 4326) -> dict[str, DataFrame]:
+    """Matched rows, changes and their summary of two versions; versions of different systems or geometry types are an error."""
+    diff.check_comparable(old, new, old_srid, new_srid)
+    matched = cut(diff.match_by_key(old, new, keys, attributes))
+    changes = cut(diff.diff_changes(matched, attributes))
+    return {"matched": matched, "changes": changes, "added": diff.added(matched), "removed": diff.removed(matched), "summary": diff.diff_summary(old, new, matched, changes)}
+
+
+def check_permits(proposals: DataFrame, permit_rules: DataFrame, fields: list[str], key: str = "proposal_id") -> DataFrame:
+    """(key, violations, passes, verdict, recommendations) of proposals with parcel_area, zone_code and overlays."""
+    results = rules.evaluate(rules.merge_overlays(rules.derive_proposal(proposals)), permit_rules, fields, key)
+    return rules.permit_verdict(results, key).join(rules.permit_recommendations(results, key), key)
+
+
+def town_profiles(sections: dict[str, DataFrame], strict: bool = False) -> dict[str, DataFrame]:
+    """Statistics, headlines and completeness of the sections that there are."""
+    known = [profiles.profile_stats(df, name, strict) for name, df in sections.items() if name in profiles.FIELDS]
+    rows = stats.union_all(known)
+    return {"stats": rows, "headlines": profiles.profile_headlines(rows), "completeness": profiles.section_completeness(rows)}
+
+
+def match_investment_sites(parcels: DataFrame, briefs: DataFrame, layers: DataFrame, criteria: DataFrame, dem: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """The best parcels of each brief: matched first, then only those parcels are scored, once each, whatever the number of briefs."""
+    matches = cut(land.match_sites(parcels, briefs))
+    wanted = parcels.join(matches.select(*KEY).distinct(), KEY, "left_semi")
+    at = wanted.withColumn("_c", g.centroid(F.col("geom"))).select(F.struct(*KEY).alias("candidate_id"), F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), "geom")
+    scored = sites.site_score(cut(sites.score_criteria(at, layers, criteria, dem)))
+    flat = scored.select(*[F.col(f"candidate_id.{k}").alias(k) for k in KEY], "score", "verdict")
+    return land.shortlist(matches, flat, n)
+
+
+def publish_cadastre(parcels: DataFrame, previous: DataFrame | None, folder: str, public_owner_names: bool = False) -> DataFrame | None:
+    """Write the public copy; the change log against the copy before, if there is one."""
+    sinks.publish_parcels(parcels, folder, public_owner_names)
+    if previous is None:
+        return None
+    public = [text.strip_sensitive(df, public_owner_names=public_owner_names) for df in (previous, parcels)]
+    attributes = [c for c in public[0].columns if c not in (*KEY, "geom", "fid")]
+    return diff.diff_changes(diff.match_by_key(*public, KEY, attributes), attributes)
+
+
+def monitor_landuse(current: DataFrame, plan: DataFrame, previous: DataFrame | None, mapping: DataFrame, thresholds: dict[str, int], run: str) -> dict[str, DataFrame]:
+    """Status of each parcel, counts, alerts, the most changed neighbourhoods and, against a previous run, drift by kind."""
+    status = cut(land.landuse_status(land.compliance_join(current, plan, previous, mapping, KEY)))
+    out = {"status": status, "counts": status.groupBy("status").agg(F.count("*").alias("n")), "alerts": landuse.violation_alerts(status, thresholds, run)}
+    flagged = current.join(status.where("status = 'violation'").select(*KEY), KEY, "left_semi")
+    out["worst"] = land.top_groups(flagged, "neighborhood")
+    if previous is not None:
+        out["drift"] = land.drift_counts(previous, current, land.parcel_lineage(previous, current, "parcel_id"), KEY)
+    return out
