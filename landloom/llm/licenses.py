@@ -159,7 +159,7 @@ def look(text: bytes) -> Found:
                 continue
             labels.add(label)
             if what == "base":
-                base.append((flat.count(" ", 0, end - length), label))
+                base.append((flat.count(" ", 0, end - length - 1), label))
     finer = {"gpl": "gpl-", "cc-by": "cc-by-"}
     for label in labels:  # the base phrase within a finer notice says no more than that notice
         if not (label in finer and any(o.startswith(finer[label]) for o in labels)):
