@@ -58,7 +58,7 @@ def covering_triples() -> list[tuple[int, int, int]]:
 
 
 def _forest(values: np.ndarray, bits: int, shared: int) -> np.ndarray:
-    """Edges (member, root) that tie together those of the values whose links meet the tally and the distance."""
+    """A spanning forest, as edges, of the links among the values that meet the tally and the distance."""
     diff = values[:, None] ^ values[None, :]
     near = np.bitwise_count(diff) <= bits
     near &= (diff.view(np.uint8).reshape(*diff.shape, BYTES) == 0).sum(axis=2) >= shared
@@ -69,9 +69,11 @@ def _forest(values: np.ndarray, bits: int, shared: int) -> np.ndarray:
         left[root] = False
         front = np.array([root])
         while len(front):
-            front = np.flatnonzero(near[front].any(axis=0) & left)
-            left[front] = False
-            edges.append(np.stack([values[front], np.full(len(front), values[root])], axis=1))
+            reached = near[front]
+            found = np.flatnonzero(reached.any(axis=0) & left)
+            left[found] = False
+            edges.append(np.stack([values[found], values[front[reached[:, found].argmax(axis=0)]]], axis=1))
+            front = found
     return np.concatenate(edges) if edges else np.empty((0, 2), np.uint64)
 
 
