@@ -17,10 +17,11 @@ from landloom.session import cut, free_name, read
 #: Texts of more characters are cut into chunks.
 GIANT, CHUNK = 1 << 16, 1 << 15
 NONE = -(1 << 60)
+NAMES = ["doc_id", "n_chars", "ids", "round_trip"]
 #: Of the rolling hash of a piece's characters.
 STEP, MIX, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Words whose pieces a task holds between batches, and the longest words that are segmented many at a time.
-CACHE, SHORT = 300_000, 40
+CACHE, SHORT = 100_000, 40
 
 
 @dataclass
@@ -262,17 +263,26 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
+def _checked(v: Vocabulary, texts: list[str | None], ids: list[np.ndarray | None]) -> list[bool | None]:
+    return [None if t is None else v.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+
+
 def _ordinary(rows: DataFrame, held: Broadcast) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
                 texts = part.column(1).to_pylist()
                 ids = [None if t is None else i for t, i in zip(texts, v.encode_all([t or "" for t in texts]))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "t", "ids"])
+                size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(ids, pa.list_(pa.int32())), pa.array(_checked(v, texts, ids), pa.bool_())], NAMES)
+
+    return rows.mapInArrow(each, _schema(rows))
+
 
-    return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t string, ids array<int>")
+def _schema(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, ids array<int>, round_trip boolean"
 
 
 def _giants(rows: DataFrame, held: Broadcast, longest: int) -> DataFrame:
@@ -321,11 +331,20 @@ def _giants(rows: DataFrame, held: Broadcast, longest: int) -> DataFrame:
         return pd.DataFrame({"uid": [doc["uid"].iloc[0]], "ids": [np.concatenate(out[::-1])]})
 
     encoded = ways.groupBy("uid").applyInPandas(assemble, "uid long, ids array<int>")
-    return texts.join(encoded, "uid").select("doc_id", "t", "ids")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = held.value
+        for b in batches:
+            for at in range(b.num_rows):
+                part = b.slice(at, 1)
+                t, ids = part.column(1)[0].as_py(), part.column(2)[0].values.to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t)], pa.int64()), part.column(2), pa.array(_checked(v, [t], [ids]), pa.bool_())], NAMES)
+
+    return texts.join(encoded, "uid").select("doc_id", "t", "ids").mapInArrow(compared, _schema(rows))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, t, ids) of every row: its whole text and the ids of the segmentation with the greatest sum of piece scores.
+    """(doc_id, n_chars, ids, round_trip) of every row: the ids of its whole text's segmentation with the greatest sum of piece scores, and whether they decode to it.
 
     Of equal sums the one with the longest pieces from the right. Characters that no piece holds, which include the word mark itself, become
     byte pieces, so decoding gives the text back exactly. Null texts have null ids and empty ones none; ids may be null and rows may repeat; other
@@ -359,6 +378,5 @@ def model_path(spark: SparkSession) -> str:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether they decode to its text."""
-    path = model_path(spark)
-    both = decode(encode(read(spark, sf_dir, "documents"), path), path)
-    return both.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("t")).alias("round_trip"))
+    found = encode(read(spark, sf_dir, "documents"), model_path(spark))
+    return found.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
