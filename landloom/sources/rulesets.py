@@ -53,7 +53,7 @@ def _double(v: Any) -> float | None:
 def site_criteria(folders: list[str | Path]) -> list[dict]:
     seen, rows = set(), []
     for doc in _documents(folders):
-        if doc["name"] in seen:
+        if "criteria" not in doc or doc["name"] in seen:
             continue
         seen.add(doc["name"])
         limits = doc.get("verdict_thresholds", {})
@@ -81,6 +81,8 @@ def load_site_rulesets(spark: SparkSession, override: list[str] | None = None, u
 def permit_rules(folders: list[str | Path]) -> list[dict]:
     seen, rows = set(), []
     for doc in _documents(folders):
+        if "zone_code" not in doc:
+            continue
         key = (doc.get("jurisdiction", GENERIC), doc["zone_code"])
         if key in seen:
             continue
