@@ -21,7 +21,7 @@ NAMES = ["doc_id", "n_chars", "ids", "round_trip"]
 #: Of the rolling hash of a piece's characters.
 STEP, MIX, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Words whose pieces a task holds between batches, and the longest words that are segmented many at a time.
-CACHE, SHORT = 100_000, 40
+CACHE, SHORT = 250_000, 40
 
 
 @dataclass
@@ -34,33 +34,41 @@ class Vocabulary:
     first_byte: int
     unknown: int
     longest: int
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    cache: dict[str, bytes] = field(default_factory=dict)
     scores: dict[str, int] = field(default_factory=dict)
     tables: tuple[np.ndarray, ...] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}, "scores": {}, "tables": None}
 
-    def _hashed(self) -> tuple[np.ndarray, ...]:
-        """Hash, score and id of each piece (row 0: none), a table of rows by hash, and one for those whose place there is taken."""
+    def _hashed(self) -> tuple:
+        """Of pieces and their beginnings (row 0: of nothing else) the hash, score and id, and where a hash's row is: a table, and one for those whose place there is taken."""
         if self.tables is None:
-            n = len(self.pieces) + 1
-            hashes, scores, ids = np.zeros(n, np.uint64), np.full(n, NONE, np.int64), np.full(n, -1, np.int32)
-            first, second = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)
-            for row, (text, (i, score)) in enumerate(self.pieces.items(), 1):
+            plain = [chr(b) for b in range(128) if chr(b) not in self.pieces]  # characters that are byte pieces
+            known = [*self.pieces, *plain, *sorted(self.starts - self.pieces.keys() - set(plain))]
+            hashes, scores, ids = np.zeros(len(known) + 1, np.uint64), np.full(len(known) + 1, NONE, np.int64), np.full(len(known) + 1, -1, np.int32)
+            for row, text in enumerate(known, 1):
                 h = 0
                 for c in text:
                     h = (h * STEP + ord(c)) & MASK
-                hashes[row], scores[row], ids[row] = h, score, i
-                at = ((h * MIX) & MASK) >> 44
-                if first[at]:
-                    at = ((h * MIX) & MASK) >> 20 & 0xFFFFF
-                    if second[at]:
-                        raise ValueError("two pieces share both places")
-                    second[at] = row
-                else:
-                    first[at] = row
-            self.tables = hashes, scores, ids, first, second
+                hashes[row] = h
+                if row <= len(self.pieces):
+                    ids[row], scores[row] = self.pieces[text]
+                elif row <= len(self.pieces) + len(plain):
+                    ids[row], scores[row] = self.first_byte + ord(text), self.unknown
+            for mix in (np.uint64(m) for m in range(MIX, MIX + 2000, 2)):  # the first multiplier under which two places are enough
+                first, second = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)
+                mixed = hashes * mix
+                places, rows = np.unique(mixed[1:] >> np.uint64(44), return_index=True)
+                first[places] = rows + 1
+                rest = np.setdiff1d(np.arange(1, len(hashes)), rows + 1)
+                spare = (mixed[rest] >> np.uint64(20)) & np.uint64(0xFFFFF)
+                if len(np.unique(spare)) == len(spare):
+                    second[spare] = rest
+                    break
+            else:
+                raise ValueError("no multiplier separates the pieces")
+            self.tables = hashes, scores, ids, first, second, mix
         return self.tables
 
     def learn(self, words: set[str]) -> None:
@@ -69,7 +77,7 @@ class Vocabulary:
             self.cache.clear()
             self.scores.clear()
         new = sorted((w for w in words if w not in self.cache and len(w) < SHORT), key=len)
-        hashes, scores, ids, first, second = self._hashed()
+        hashes, scores, ids, first, second, mix = self._hashed()
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             size = np.array([len(w) + 1 for w in part])
@@ -79,20 +87,30 @@ class Vocabulary:
             back, piece = np.zeros((wide + 1, len(part)), np.int16), np.full((wide + 1, len(part)), -1, np.int32)
             best[0] = 0
             for s in range(wide):
-                h = np.zeros(len(part), np.uint64)
+                on = np.flatnonzero(size > s)  # words in which a piece may go on from s
+                h = np.zeros(len(on), np.uint64)
                 for e in range(s + 1, min(s + self.longest, wide) + 1):
-                    h = h * np.uint64(STEP) + points[e - 1]
-                    mixed = h * np.uint64(MIX)
+                    h = h * np.uint64(STEP) + points[e - 1][on]
+                    mixed = h * mix
                     row = first[mixed >> np.uint64(44)]
                     wrong = np.flatnonzero((row > 0) & (hashes[row] != h))
                     if len(wrong):
                         other = second[(mixed[wrong] >> np.uint64(20)) & np.uint64(0xFFFFF)]
                         row[wrong] = np.where(hashes[other] == h[wrong], other, 0)
-                    score = best[s] + scores[row]
+                    score, i = scores[row], ids[row]
                     if e == s + 1:
-                        score = np.where(row > 0, score, best[s] + self.unknown)
-                    better = score > best[e]
-                    best[e][better], back[e][better], piece[e][better] = score[better], s, ids[row[better]]
+                        to, score = on, np.where(i >= 0, score, self.unknown)
+                    else:
+                        whole = np.flatnonzero(i >= 0)
+                        to, score, i = on[whole], score[whole], i[whole]
+                    score = score + best[s][to]
+                    better = np.flatnonzero(score > best[e][to])
+                    to = to[better]
+                    best[e][to], back[e][to], piece[e][to] = score[better], s, i[better]
+                    more = np.flatnonzero(row)
+                    if not len(more):
+                        break
+                    on, h = on[more], h[more]
             every = np.arange(len(part))
             end, steps, odd = size.copy(), [], np.zeros(len(part), bool)
             while end.any():
@@ -102,10 +120,13 @@ class Vocabulary:
                 steps.append(now)
                 end = np.where(going, back[end, every], 0)
             table = np.stack(steps[::-1]).T
-            total = best[size, every].tolist()
-            for w, score, row, strange in zip(part, total, table.tolist(), odd.tolist()):
-                if not strange:  # words with characters that no piece holds are left to word()
-                    self.cache[w], self.scores[w] = tuple([i for i in row if i >= 0]), score
+            real = table >= 0
+            flat, ends = table[real].astype(np.int32).tobytes(), np.cumsum(real.sum(axis=1) * 4).tolist()
+            begin = 0
+            for w, score, end, strange in zip(part, best[size, every].tolist(), ends, odd.tolist()):
+                if not strange:  # words with other characters that no piece holds are left to word()
+                    self.cache[w], self.scores[w] = flat[begin:end], score
+                begin = end
 
     def ids_of(self, text: str, start: int, end: int) -> list[int]:
         known = self.pieces.get(text[start:end])
@@ -142,8 +163,8 @@ class Vocabulary:
                 best[s + 1], back[s + 1] = have + unknown, s
         return best, back
 
-    def word(self, bare: str) -> tuple[int, tuple[int, ...]]:
-        """Score and ids of a word with a space before it."""
+    def word(self, bare: str) -> tuple[int, bytes]:
+        """Score and ids, as bytes of int32, of a word with a space before it."""
         if bare not in self.cache:
             word = f" {bare}"
             best, back = self.lattice(word, 0, len(word), {0: 0})
@@ -151,7 +172,7 @@ class Vocabulary:
             while e > 0:
                 ids.append(self.ids_of(word, back[e], e))
                 e = back[e]
-            self.cache[bare], self.scores[bare] = tuple(chain.from_iterable(reversed(ids))), best[len(word)]
+            self.cache[bare], self.scores[bare] = np.fromiter(chain.from_iterable(reversed(ids)), np.int32).tobytes(), best[len(word)]
         return self.scores[bare], self.cache[bare]
 
     def encode(self, text: str) -> np.ndarray:
@@ -166,13 +187,14 @@ class Vocabulary:
             if w not in self.cache:
                 self.word(w)
         ids = self.cache.__getitem__
-        return [np.fromiter(chain.from_iterable(map(ids, ws)), np.int32) for ws in split]
+        return [np.frombuffer(b"".join(map(ids, ws)), np.int32) for ws in split]
 
-    def decode(self, ids: list[int]) -> str:
-        texts, first = self.texts, self.first_byte
-        if not any(first <= i < first + 256 for i in ids):
-            return "".join([texts[i] for i in ids])[1:]
-        return b"".join([bytes([i - first]) if first <= i < first + 256 else texts[i].encode() for i in ids])[1:].decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids. A byte piece of ASCII is a character; runs of other byte pieces are put together as UTF-8."""
+        texts, high = self.texts, self.first_byte + 128
+        if not ((ids >= high) & (ids < high + 128)).any():
+            return "".join(map(texts.__getitem__, ids.tolist()))[1:]
+        return b"".join([bytes([i - high + 128]) if high <= i < high + 128 else texts[i].encode() for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
     # --- chunks of a giant text ---------------------------------------------------------------------------------------
     #
@@ -227,7 +249,7 @@ class Vocabulary:
         _, back = self.lattice(text[:first], 0, first, entries)
         shared, entry = back_from(text[:first], first, back)
         if end > first:
-            shared += chain.from_iterable(self.word(w)[1] for w in text[first + 1 : end].split(" "))
+            shared += np.frombuffer(b"".join(self.word(w)[1] for w in text[first + 1 : end].split(" ")), np.int32).tolist()
         best, back = self.lattice(text, end, size, {end: 0})
         ways = [back_from(text, size + j, back)[0] if size + j < len(best) and best[size + j] > NONE // 2 else [] for j in ends]
         return shared, ways, [entry] * len(ways)
@@ -246,6 +268,7 @@ def load(path: str) -> Vocabulary:
     pieces = {t: (i, max(score, least)) for t, (i, score) in used.items()}  # the bare word mark has no score of its own
     starts = {t[:k] for t in pieces for k in range(1, len(t))}
     first_byte = next(i for i in range(n) if model.is_byte(i))
+    texts[first_byte : first_byte + 128] = map(chr, range(128))
     return Vocabulary(pieces, starts, texts, first_byte, least, max(map(len, pieces)))
 
 
@@ -264,7 +287,7 @@ def scan(matrices: np.ndarray) -> np.ndarray:
 
 
 def _checked(v: Vocabulary, texts: list[str | None], ids: list[np.ndarray | None]) -> list[bool | None]:
-    return [None if t is None else v.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+    return [None if t is None else v.decode(i) == t for t, i in zip(texts, ids)]
 
 
 def _ordinary(rows: DataFrame, held: Broadcast) -> DataFrame:
@@ -367,7 +390,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "d
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         v = held.value
-        return ids.map(lambda x: None if x is None else v.decode(x.tolist()))
+        return ids.map(lambda x: None if x is None else v.decode(np.asarray(x)))
 
     return rows.withColumn(out, text(F.col(ids_col)))
 
