@@ -63,6 +63,20 @@ def _canonical(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def required_text(kind: Column) -> Column:
+    """What a rule asks for, as text."""
+    none = F.lit("∞")
+    return (
+        F.when(kind == "max", F.concat(F.lit("≤ "), number(F.col("limit"))))
+        .when(kind == "min", F.concat(F.lit("≥ "), number(F.col("limit"))))
+        .when(kind == "range", F.concat(F.lit("["), F.coalesce(number(F.col("low")), F.concat(F.lit("-"), none)), F.lit(", "), F.coalesce(number(F.col("high")), none), F.lit("]")))
+        .when(kind == "allowed_values", F.array_join("allowed", ", "))
+        .when(kind == "ratio_min", F.concat(F.lit("≥ "), number(F.col("ratio")), F.lit(" per "), F.col("denominator")))
+        .when(kind == "setback_check", F.array_join(F.transform(F.map_entries(F.coalesce("limits", F.create_map().cast("map<string,double>"))), lambda s: F.concat(s["key"], F.lit("≥"), number(s["value"]))), ", "))
+        .otherwise(F.concat(F.lit("unsupported rule type '"), kind, F.lit("'")))
+    )
+
+
 def evaluate(proposals: DataFrame, rules: DataFrame, fields: list[str], key: str = "proposal_id") -> DataFrame:
     """(key, part, rule_no, name, type, field, required, proposed, passed, detail): a row for each rule that holds for a proposal.
 
@@ -75,7 +89,8 @@ def evaluate(proposals: DataFrame, rules: DataFrame, fields: list[str], key: str
     texts = pairs(fields, lambda c: _canonical(proposals, c).alias("col2"))
     numbers = pairs(numeric, lambda c: F.col(c).cast("double").alias("col2"))
     rows = resolved.select(key, "part", "from", F.col("zone_code").alias("zone"), texts.alias("t"), numbers.alias("n"))
-    each = rows.join(F.broadcast(rules), (F.col("from") == rules.jurisdiction) & (F.col("zone") == rules.zone_code), "left")
+    told = rules.withColumn("required", required_text(F.col("type")))  # once for each rule
+    each = rows.join(F.broadcast(told), (F.col("from") == told.jurisdiction) & (F.col("zone") == told.zone_code), "left")
     at = lambda m, c: F.try_element_at(F.col(m), F.col(c))
     v, text, num, den = at("n", "field"), at("t", "field"), at("n", "field"), at("n", "denominator")
     ratio = F.try_divide(num, den)
@@ -87,17 +102,6 @@ def evaluate(proposals: DataFrame, rules: DataFrame, fields: list[str], key: str
     failures = F.transform(failing, lambda s: F.concat(s["key"], F.lit("="), F.when(lacking(s), "MISSING").otherwise(F.concat(number(value(s)), F.lit(" (need ≥ "), number(limit(s)), F.lit(")")))))
     present = F.filter(directions, lambda s: ~lacking(s))
     kind = F.col("type")
-    none = F.lit("∞")
-    required = (
-        F.when(kind == "max", F.concat(F.lit("≤ "), number(F.col("limit"))))
-        .when(kind == "min", F.concat(F.lit("≥ "), number(F.col("limit"))))
-        .when(kind == "range", F.concat(F.lit("["), F.coalesce(number(F.col("low")), F.concat(F.lit("-"), none)), F.lit(", "), F.coalesce(number(F.col("high")), none), F.lit("]")))
-        .when(kind == "allowed_values", F.array_join("allowed", ", "))
-        .when(kind == "ratio_min", F.concat(F.lit("≥ "), number(F.col("ratio")), F.lit(" per "), F.col("denominator")))
-        .when(kind == "setback_check", F.array_join(F.transform(F.map_entries(F.coalesce("limits", F.create_map().cast("map<string,double>"))), lambda s: F.concat(s["key"], F.lit("≥"), number(s["value"]))), ", "))
-        .when(kind.isNull(), F.lit("no ruleset"))
-        .otherwise(F.concat(F.lit("unsupported rule type '"), kind, F.lit("'")))
-    )
     simple = kind.isin("max", "min", "range", "allowed_values")
     ratio_missing = (kind == "ratio_min") & (num.isNull() | den.isNull())
     proposed = (
@@ -124,7 +128,7 @@ def evaluate(proposals: DataFrame, rules: DataFrame, fields: list[str], key: str
         F.coalesce("name", F.lit("ruleset")).alias("name"),
         F.coalesce("type", F.lit("error")).alias("type"),
         "field",
-        required.alias("required"),
+        F.coalesce("required", F.lit("no ruleset")).alias("required"),
         proposed.alias("proposed"),
         F.coalesce(passed, F.lit(False)).alias("passed"),
         F.when(kind == "setback_check", F.array_join(failures, "; ")).otherwise("").alias("detail"),
@@ -143,17 +147,30 @@ def advice(row_type: Column, field: Column, name: Column, required: Column, deta
     )
 
 
+def _verdict() -> list[Column]:
+    failed = F.count_if(~F.col("passed"))
+    return [failed.alias("violations"), F.count_if("passed").alias("passes"), F.when(failed == 0, "COMPLIANT").otherwise("NON-COMPLIANT").alias("verdict")]
+
+
+def _recommendations() -> Column:
+    text = advice(F.col("type"), F.col("field"), F.col("name"), F.col("required"), F.col("detail"))
+    said = F.when(~F.col("passed") & text.isNotNull(), F.struct("part", "rule_no", text.alias("text")))
+    return F.transform(F.array_sort(F.collect_list(said)), lambda s: s["text"]).alias("recommendations")
+
+
 def permit_verdict(results: DataFrame, key: str = "proposal_id") -> DataFrame:
     """(key, violations, passes, verdict)."""
-    out = results.groupBy(key).agg(F.count_if(~F.col("passed")).alias("violations"), F.count_if("passed").alias("passes"))
-    return out.withColumn("verdict", F.when(F.col("violations") == 0, "COMPLIANT").otherwise("NON-COMPLIANT"))
+    return results.groupBy(key).agg(*_verdict())
 
 
 def permit_recommendations(results: DataFrame, key: str = "proposal_id") -> DataFrame:
     """(key, recommendations): texts for failed rules, in order of the rules; keys without any have an empty array."""
-    text = advice(F.col("type"), F.col("field"), F.col("name"), F.col("required"), F.col("detail"))
-    said = F.when(~F.col("passed") & text.isNotNull(), F.struct("part", "rule_no", text.alias("text")))
-    return results.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(said)), lambda s: s["text"]).alias("recommendations"))
+    return results.groupBy(key).agg(_recommendations())
+
+
+def permit_report(results: DataFrame, key: str = "proposal_id") -> DataFrame:
+    """Verdict and recommendations, in one pass."""
+    return results.groupBy(key).agg(*_verdict(), _recommendations())
 
 
 def run_id(at: str, parcel: Column) -> Column:

@@ -77,9 +77,14 @@ def layer_diff(old: DataFrame, new: DataFrame, keys: list[str], attributes: list
 
 
 def check_permits(proposals: DataFrame, permit_rules: DataFrame, fields: list[str], key: str = "proposal_id") -> DataFrame:
-    """(key, violations, passes, verdict, recommendations) of proposals with parcel_area, zone_code and overlays."""
-    results = rules.evaluate(rules.merge_overlays(rules.derive_proposal(proposals)), permit_rules, fields, key)
-    return rules.permit_verdict(results, key).join(rules.permit_recommendations(results, key), key)
+    """(key, violations, passes, verdict, recommendations) of proposals with parcel_area, zone_code and overlays.
+
+    Proposals are dealt by key before the rules multiply them, so the results of a proposal meet without another shuffle.
+    """
+    parts = int(proposals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rules.derive_proposal(proposals).repartition(parts, key)
+    results = rules.evaluate(rules.merge_overlays(dealt), permit_rules, fields, key)
+    return rules.permit_report(results, key)
 
 
 def town_profiles(sections: dict[str, DataFrame], strict: bool = False) -> dict[str, DataFrame]:
