@@ -145,6 +145,19 @@ def test_diff_with_itself_is_unchanged(spark):
         diff.check_comparable(old, old, 4326, 32637)
 
 
+def test_schema_difference(spark):
+    old, new = spark.createDataFrame([], "a int, b int"), spark.createDataFrame([], "b int, c int")
+    assert diff.schema_difference(old, new) == (["a"], ["c"])
+
+
+def test_alerts_of_a_stream(spark, tmp_path):
+    rows = [("t", f"p{k}", k, "retail") for k in range(5)] + [("t", "q", 9, "office")]
+    spark.createDataFrame(rows, "jurisdiction string, parcel_id string, event_id long, observed_use string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("jurisdiction string, parcel_id string, event_id long, observed_use string").parquet(str(tmp_path / "in"))
+    landuse.alert_stream(stream, 3, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("status", "n").collect()] == [("retail", 5)]
+
+
 def test_proximity_matching_equals_greedy(spark):
     rnd = random.Random(5)
     tol = 500 / diff.METRES
