@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landloom.operators.components import connected_components
 from landloom.session import cut, read
@@ -143,140 +144,171 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- similarity of 0.8 and more -------------------------------------------------------------------------------------
 #
-# Texts that share 0.8 of their shingles differ in about 15 % of their fingerprint bits, ten of 64, which spoil nearly all eight bytes. So
-# the fingerprint is made wider, and its positional bytes are indexed in pairs.
+# Texts that share 0.8 of their shingles differ in about ten of 64 fingerprint bits, which no byte index finds for sure. So fingerprints
+# only propose links of the closest copies; a prefix join proposes all others, and every link is verified by exact Jaccard.
 
-WIDE = 48
-#: Two bytes of the same three make a posting key: 16 threes, 48 keys of 2 ** 16 values.
-PAIRS = [(3 * g + i, 3 * g + j) for g in range(WIDE // 3) for i, j in combinations(range(3), 2)]
+#: Sampled documents whose shingles tell which are common, and how many common shingles are told to all tasks. Both set an order only.
+SAMPLE, COMMON = 4_000, 100_000
 
 
-def wide_fingerprint(text: bytes, width: int = 5, seed: int = 42) -> bytes:
-    """SimHash of 384 bits of the word shingles; of a text without words all zero."""
+def shingle_hashes(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of a text, one for each place; the whole of a text of fewer words is one shingle."""
     words = text.lower().split()
     if not words:
-        return bytes(WIDE)
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=0))
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[ends[i] : ends[min(i + width, len(words))] - 1], seed) for i in range(n)], np.uint64)
-    parts = []
-    for k in range(WIDE // BYTES):
-        h = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        h ^= h >> np.uint64(30)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(27)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        bits = np.unpackbits(h.view(np.uint8).reshape(n, BYTES), axis=1, bitorder="little")
-        parts.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little"))
-    return np.concatenate(parts).tobytes()
-
-
-def most_bits(similarity: float, spread: float = 2.0) -> int:
-    """Bits in which the wide fingerprints of texts of this Jaccard similarity differ, with so many standard deviations to spare."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(cosine) / np.pi)
-    return int(8 * WIDE * p + spread * (8 * WIDE * p * (1 - p)) ** 0.5)
-
-
-def _tie(ids: np.ndarray, fps: np.ndarray, most: int) -> list[np.ndarray]:
-    """Edges (member, root) of a spanning forest of the verified links among the rows of one list, a front at a time."""
-    left, edges = np.ones(len(ids), bool), []
-    for root in range(len(ids)):
-        if not left[root]:
-            continue
-        left[root] = False
-        front = [root]
-        while front:
-            at = front.pop()
-            rest = np.flatnonzero(left)
-            near = rest[np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1, dtype=np.int32) <= most]
-            left[near] = False
-            front += near.tolist()
-            edges.append(np.stack([ids[near], np.full(len(near), ids[at])], axis=1))
-    return edges
-
-
-def _in_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Edges of rows (key, lo, hi, id, fp) that come sorted by list; a list may go over several batches."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def edges(key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        size = np.diff(np.append(starts, len(ids)))
-        found = [np.empty((0, 2), np.int64)]
-        for s in (1, 2):  # lists of two and three rows, all at once
-            for first in range(s):
-                at = starts[size == s + 1] + first
-                for other in range(first + 1, s + 1):
-                    to = at + other - first
-                    good = np.bitwise_count(fps[at] ^ fps[to]).sum(axis=1, dtype=np.int32) <= most
-                    found.append(np.stack([ids[to[good]], ids[at[good]]], axis=1))
-        for i in np.flatnonzero(size > 3):
-            found += _tie(ids[starts[i] : starts[i] + size[i]], fps[starts[i] : starts[i] + size[i]], most)
-        both = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-        ids = b.column(3).to_numpy()
-        fps = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, WIDE // BYTES)
-        last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
-        if last or (held and (held[-1][0][-1] != key[0]).any()):
-            held.append((key[:last], ids[:last], fps[:last]))
-            yield edges(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-            held = []
-        held.append((key[last:], ids[last:], fps[last:]))
-    if held:
-        yield edges(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-
-
-def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between the rows (id, fp) whose wide fingerprints differ as texts of at least that similarity do.
-
-    The tally asks for two shared bytes out of three positions side by side, which pairs of similarity 0.8 have somewhere in
-    96 of 100 cases and those of 0.85 in 99; the verification lets through 97 of 100 pairs of just that similarity, and few under 0.7. Lists
-    are dealt as in near_links. Which lists are long is told to all tasks: there are 48 * 65536 lists, whatever the input.
+    return np.array([digest(flat[ends[i] : ends[min(i + width, len(words))] - 1], seed) for i in range(n)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash, as a signed long, of these hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
+    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
+    return int(np.packbits(over, bitorder="little").view(np.int64)[0])
+
+
+def least_common(n: int, similarity: float) -> int:
+    """Shingles that a text of n distinct ones shares at least with any text of this similarity."""
+    return ceil(round(similarity * n, 9))
+
+
+def prefix(distinct: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, common ones last, of which two texts of that similarity share at least one."""
+    n = len(distinct)
+    weight = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+        weight = np.where(common[at] == distinct, counts[at], 0)
+    return distinct[np.lexsort((distinct, weight))][: n - least_common(n, similarity) + 1] if n else distinct
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of distinct hashes; of two empty ones 1."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - shared
+    return shared / total if total else 1.0
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles that at least three of about SAMPLE documents (id, t) hold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", width)).view(np.int64))], ["h"])
+
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("t").mapInArrow(each, "h long")
+    found = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts (id, t) have at least that Jaccard similarity of distinct shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([np.unique(shingle_hashes(t or b"", width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), made], ["id", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, other = (map(lambda x: np.frombuffer(x, np.uint64), b.column(k).to_pylist()) for k in (2, 3))
+            good = pa.array([jaccard(x, y) >= similarity - 1e-9 for x, y in zip(one, other)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
+
+    pairs = cut(pairs.distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = cut(texts.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary").distinct())
+    first = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = first.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return cut(both.mapInArrow(check, "a long, b long").distinct())
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _may_be(similarity: float, n: str, at: str, other_n: str, other_at: str) -> Column:
+    """Whether the sizes allow the similarity, and what follows the shared shingle in both orders, which of similar texts it does at the first one they share."""
+    small, great = F.least(n, other_n), F.greatest(n, other_n)
+    rest = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+    return (small >= similarity * great - 1e-6) & (rest * (1 + similarity) >= similarity * (small + great) - 1e-6)
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of ids that tie the rows (id, fp) of equal fingerprints, and those of near ones."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("id").alias("head")))
+    same = nodes.join(heads, "fp").where("id <> head").select(*_pair("id", "head"))
+    links = near_links(heads.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    one, other = (heads.select(F.col("fp").alias(f), F.col("head").alias(h)) for f, h in (("fa", "ha"), ("fb", "hb")))
+    return same.union(links.join(one, "fa").join(other, "fb").where("ha <> hb").select(*_pair("ha", "hb")))
+
+
+def untied_pairs(live: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of ids in one list of rows (h, id, n, at) that may be that similar and that ``tied`` doesn't hold together yet.
+
+    Lists are dealt in pairs of blocks.
     """
-    most = most_bits(similarity)
-    byte = lambda i: F.conv(F.hex(F.substring("fp", i + 1, 1)), 16, 10).cast("int")
-    value = [byte(i) for i in range(WIDE)]
-    spread = nodes.select("id", "fp", F.array(*value).alias("v"))
-    key = F.array(*[F.lit(k << 16) + F.col("v")[i] * 256 + F.col("v")[j] for k, (i, j) in enumerate(PAIRS)])
-    index = spread.select("id", "fp", F.explode(key).alias("key"))
-    long = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
+    parted = live.join(tied.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    lists = parted.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
     dealt = (
-        index.join(F.broadcast(long), "key", "left")
-        .withColumn("g", F.coalesce("g", F.lit(1)))
+        parted.join(lists.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("g")), "h")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "fp")
+        .select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "at", "c")
     )
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return together.mapInArrow(lambda batches: _in_lists(batches, most), "a long, b long").distinct()
+    x, y = dealt.alias("x"), dealt.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.c") < F.col("y.c")))
+    met = met.where("x.lo = x.hi or x.own <> y.own")
+    return met.where(_may_be(similarity, "x.n", "x.at", "y.n", "y.at")).select(*_pair("x.id", "y.id"))
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) between ids, enough to connect all whose texts have at least that similarity, and none below it.
+
+    ``nodes`` are rows (id, fp, n, prefix), ``texts`` rows (id, t). Two texts of the similarity share a shingle of their prefixes, so the
+    posting lists of these hold every such pair. First the links by fingerprint and those of each list's row to its smallest
+    are verified; these tie crowds of copies in a linear number of pairs. Then all pairs of a list that are still apart are.
+    """
+    index = nodes.select("id", "n", F.posexplode("prefix").alias("at", "h"))
+    lists = index.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "at")).alias("r")).where("rows > 1")
+    live = cut(index.join(lists.select("h", "r.*").toDF("h", "least", "least_n", "least_at"), "h"))
+    stars = live.where("id <> least").where(_may_be(similarity, "n", "at", "least_n", "least_at")).select(*_pair("id", "least"))
+    first = verified(stars.union(fingerprint_pairs(nodes.select("id", "fp"))), texts, width, similarity)
+    tied = cut(connected_components(first))
+    return first.union(verified(untied_pairs(live.select("h", "id", "n", "at"), tied, similarity), texts, width, similarity))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of texts that links of at least ``similarity`` tie, the row of its smallest doc_id.
 
-    A row that repeats with the same text stays once; rows of one doc_id with different texts are judged by the same
-    id. Null and empty texts are copies of each other. Rows with a null doc_id can't be told apart by it: they stay, and remove none.
+    The similarity is the exact Jaccard of the distinct word shingles of whole texts. A row that repeats with the same text stays once; rows of
+    one doc_id with different texts are judged by the same id. Null and empty texts are copies of each other. Rows with a null doc_id
+    can't be told apart by it: they stay, and remove none.
     """
+    known = docs.where(F.col(id_col).isNotNull())
+    texts = known.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    common, counts = common_shingles(texts, width)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([wide_fingerprint(t or b"", width) for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["id", "fp"])
-
-    known = docs.where(F.col(id_col).isNotNull())
-    rows = cut(known.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(each, "id long, fp binary"))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("id"))
-    tied = connected_components(similar_links(nodes, similarity))
+            found = [shingle_hashes(t or b"", width) for t in b.column(1).to_pylist()]
+            sets = [np.unique(h) for h in found]
+            fp = pa.array([majority(h) for h in found], pa.int64())
+            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            n = pa.array([len(s) for s in sets], pa.int32())
+            first = pa.array([prefix(s, common, counts, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), digest, fp, n, first], ["id", "digest", "fp", "n", "prefix"])
+
+    rows = texts.mapInArrow(each, "id long, digest binary, fp long, n int, prefix array<long>")
+    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "fp", "n", "prefix")).alias("r")).select("r.*"))
+    tied = connected_components(similar_links(nodes, texts, width, similarity))
     heads = nodes.join(tied.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias(id_col)).distinct()
     kept = known.join(heads, id_col, "left_semi").dropDuplicates([id_col, text_col])
     return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -216,6 +216,34 @@ def test_keep_one_drops_similar_texts_only(spark):
     assert near <= 2
 
 
+def test_keep_one_equals_brute_force_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rnd = random.Random(12)
+    line = " ".join(f"line{k}" for k in range(30))
+    made = []
+    for k in range(40):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([3, 30, 200, 400]))]
+        made.append((10 * k, " ".join([line, *words]) if k % 2 else " ".join(words)))
+        for j in range(1, 8):
+            edited = list(words)
+            for at in rnd.sample(range(len(words)), max(1, len(words) * j // 120)):
+                edited[at] = f"e{rnd.randrange(10**6)}"
+            made.append((10 * k + j, " ".join([line, *edited]) if k % 2 else " ".join(edited)))
+    made = rnd.sample(made, len(made))
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in made]
+    likeness = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.7 <= x < 0.8 for x in likeness) > 20 and sum(0.8 <= x < 0.85 for x in likeness) > 20
+    cls = _classes(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    want = {min(i for (i, _), c in zip(made, cls) if c == x) for x in set(cls)}
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(d).collect()} == want
+
+
 def test_search_equals_brute_force(spark, none):
     rnd = np.random.default_rng(4)
     vec = [(k, rnd.normal(size=8).tolist()) for k in range(300)]
