@@ -298,9 +298,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_hashes(t or b"", width) for t in b.column(1).to_pylist()]
-            sets = [np.unique(h) for h in found]
-            fp = pa.array([majority(h) for h in found], pa.int64())
+            sets = [np.unique(shingle_hashes(t or b"", width)) for t in b.column(1).to_pylist()]
+            fp = pa.array([majority(s) for s in sets], pa.int64())
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             n = pa.array([len(s) for s in sets], pa.int32())
             first = pa.array([prefix(s, common, counts, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))

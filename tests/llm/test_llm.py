@@ -270,6 +270,16 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write(d, str(tmp_path / "w"))
     back = warc.records(spark, str(tmp_path / "w")).collect()
     assert len(back) == len(data)
+def test_keep_one_counts_a_repeated_line_once(spark):
+    line = " ".join(f"line{k}" for k in range(8))
+    own = lambda name: " ".join(f"{name}{k}" for k in range(300))
+    made = [(k, " ".join([line] * 100 + [own(f"t{k}x")])) for k in range(3)]
+    made.append((10, " ".join([line] * 20 + [own("t0x")])))  # another number of repetitions only
+    assert made and simhash.majority(np.unique(simhash.shingle_hashes(made[0][1].encode()))) == simhash.majority(np.unique(simhash.shingle_hashes(made[3][1].encode())))
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(d).collect()} == {0, 1, 2}
+
+
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == len({(h or "") for _, _, h in data})
     most = {}
     for i, _, h in data:
