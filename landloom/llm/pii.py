@@ -29,6 +29,17 @@ PLACES = re.compile(
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
     r"|(?P<phone>\+[1-9](?:[\x20().-]{0,2}[0-9]){7,14}|\(?[2-9][0-9]{2}\)?[\x20.-]\x20?[2-9][0-9]{2}[.-][0-9]{4}))(?![A-Za-z0-9])"
 )
+#: Usual layouts of card numbers; in a run of several numbers they come before others.
+CARD = re.compile(r"[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5}")
+#: Lengths of IBANs by country.
+IBAN = dict(
+    re.findall(
+        "([A-Z]{2})([0-9]{2})",
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+        "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 "
+        "PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20",
+    )
+)
 #: What any match holds; texts without it are left at once.
 HINT = re.compile(r"@|[0-9][0-9 ().\-/]{6}")
 
@@ -159,22 +170,72 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
     raise ValueError(kind)
 
 
+def _ends(text: str, start: int, group: re.Pattern, least: int, most: int) -> list[int]:
+    """Ends of groups from ``start`` on that leave so many characters without separators, and after which no letter or digit comes."""
+    out, at, size = [], start, 0
+    while m := group.match(text, at):
+        size += len(m[1])
+        if size > most:
+            break
+        at = m.end()
+        if size >= least and not (at < len(text) and text[at].isascii() and text[at].isalnum()):
+            out.append(at)
+    return out
+
+
+CARD_GROUP, IBAN_GROUP = re.compile(r"[\x20-]?([0-9]+)"), re.compile(r"\x20?([A-Z0-9]+)")
+#: Where a number may begin within a run of them.
+BORDER = re.compile(r"(?<=[\x20-])[0-9]")
+IBAN_BORDER = re.compile(r"(?<=\x20)[A-Z]{2}[0-9]{2}")
+
+
+def card_end(text: str, start: int, key: bytes, back: bool = False) -> int | None:
+    """Where the card number ends that begins here, if one does: the shortest of a usual layout, else the longest unless a usual one begins within it."""
+    valid = [e for e in _ends(text, start, CARD_GROUP, 13, 19) if pseudonym("card", text[start:e], key, back)]
+    usual = [e for e in valid if CARD.fullmatch(text, start, e)]
+    if usual or not valid:
+        return usual[0] if usual else None
+    for m in BORDER.finditer(text, start + 1, valid[-1]):
+        if any(CARD.fullmatch(text, m.start(), e) and pseudonym("card", text[m.start() : e], key, back) for e in _ends(text, m.start(), CARD_GROUP, 13, 19)):
+            return None
+    return valid[-1]
+
+
+def iban_end(text: str, start: int, end: int, key: bytes, back: bool = False) -> int | None:
+    """Where the IBAN ends that begins here, if one does: at its country's length, else at ``end``; of unknown countries at the last border,
+    unless one of a known country begins within it."""
+
+    def at_length(at: int) -> list[int]:
+        long = int(IBAN.get(text[at : at + 2], 0))
+        return [e for e in _ends(text, at, IBAN_GROUP, long, long) if pseudonym("iban", text[at:e], key, back)]
+
+    if ends := at_length(start):
+        return ends[0]
+    others = [end] if text[start : start + 2] in IBAN else [*_ends(text, start, IBAN_GROUP, 12, 34)[::-1], end]
+    valid = next((e for e in others if pseudonym("iban", text[start:e], key, back)), None)
+    return None if valid and any(at_length(m.start()) for m in IBAN_BORDER.finditer(text, start + 1, valid)) else valid
+
+
 def places(text: str, key: bytes, back: bool = False) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of each valid value, from the left, without overlaps."""
     at = 0
     while m := PLACES.search(text, at):
         kind = m.lastgroup
-        if new := pseudonym(kind, m[0], key, back):
-            yield kind, m.start(), m.end(), new
-            at = m.end()
+        end = card_end(text, m.start(), key, back) if kind == "card" else iban_end(text, m.start(), m.end(), key, back) if kind == "iban" else m.end()
+        if end and (new := pseudonym(kind, text[m.start() : end], key, back)):
+            yield kind, m.start(), end, new
+            at = end
         else:  # not valid as that kind: another may begin here, or inside
-            other = next((o for o in KINDS[KINDS.index(kind) + 1 :] if (p := ONE[o].match(text, m.start())) and pseudonym(o, p[0], key, back)), None)
+            other = next((o for o in KINDS[KINDS.index(kind) + 1 :] if o != "card" and (p := ONE[o].match(text, m.start())) and pseudonym(o, p[0], key, back)), None)
             if other:
                 p = ONE[other].match(text, m.start())
                 yield other, p.start(), p.end(), pseudonym(other, p[0], key, back)
                 at = p.end()
-            else:  # go on behind this run of digits, so that no part of a longer number is taken
-                at = m.start() + 1 if kind in ("email", "iban") else m.end()
+            elif kind in ("email", "iban"):
+                at = m.start() + 1
+            else:  # go on at the next number of this run, or behind it, so that no part of a longer number is taken
+                inside = (b.start() for b in BORDER.finditer(text, m.start() + 1, m.end())) if kind == "card" else ()
+                at = next((b for b in inside if text[b - 1] == " " or card_end(text, b, key, back)), m.end())
 
 
 def _alone(kind: str) -> re.Pattern:

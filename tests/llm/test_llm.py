@@ -56,6 +56,32 @@ def test_pii_permutes_within_the_format_and_back():
     assert pii.replace("no numbers 12 here", key) == ("no numbers 12 here", [])
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+        ("4111111111111111 123", "4111111111111111", "card"),
+        ("qty 3 4111111111111111", "4111111111111111", "card"),
+        ("qty 3-4111111111111111", "4111111111111111", "card"),
+        ("5678 9012 3456 4111 1111 1111 1111 end", "4111 1111 1111 1111", "card"),
+        ("4111111111111111 023", "4111111111111111", "card"),
+        ("order 12345678901 212-555-1234", "212-555-1234", "phone"),
+        ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "iban"),
+        ("BE68539007547034 PAID 12", "BE68539007547034", "iban"),
+        ("ref AB12 BE68 5390 0754 7034", "BE68 5390 0754 7034", "iban"),
+        ("GB82 WEST 1234 5698 7654 32 OK 7", "GB82 WEST 1234 5698 7654 32", "iban"),
+    ],
+)
+def test_pii_next_to_other_numbers(text, value, kind):
+    new, kinds = pii.replace(text, b"k")
+    assert kinds == [kind] and new == text.replace(value, pii.pseudonym(kind, value, b"k"))
+
+
+def test_a_longer_run_that_is_valid_by_chance_is_no_card():
+    chance = next(f"4111111111111111 {k:03d}" for k in range(1000) if pii.luhn_digit(f"4111111111111111{k:03d}"[:-1]) == str(k % 10))
+    assert pii.replace(chance, b"k")[0] == pii.pseudonym("card", "4111111111111111", b"k") + chance[16:]
+
+
 def test_pii_is_a_permutation():
     assert sorted(pii.permute(x, 1000, b"k", "t") for x in range(1000)) == list(range(1000))
     days = [pii.pseudonym("date", f"2001-{m:02d}-{d:02d}", b"k") for m in range(1, 13) for d in range(1, 29)]
