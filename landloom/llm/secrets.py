@@ -20,6 +20,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
+ALNUM = re.compile(r"[A-Za-z0-9]+")
 #: Character classes, narrowest first, and the bits of entropy that a window of such characters must reach.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9))
 #: What looks random but is none: UUIDs, words joined by punctuation or case, and strings of too few kinds of characters.
@@ -62,8 +63,28 @@ def random_looking(text: str) -> bool:
     return next(greatest_entropy(text) >= least for _, kind, least in CLASSES if kind.fullmatch(text))
 
 
+def _rest(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """What is left of a range without the base spans."""
+    out = []
+    for s, e in sorted((s, e) for _, s, e in base if s < end and start < e):
+        if s > start:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
+def _secret(text: str, whole: re.Match, start: int, end: int) -> bool:
+    """Whether a piece of a candidate looks random: by itself, or a short one as a part of the run of letters and digits that goes over its border."""
+    piece = text[start:end]
+    if len(piece) >= WINDOW:
+        return random_looking(piece)
+    if any(p.fullmatch(piece) for p in ALLOWED):
+        return False
+    return any(m.start() < start < m.end() or m.start() < end < m.end() for m in ALNUM.finditer(text, *whole.span()) if m.end() - m.start() >= WINDOW and random_looking(m[0]))
+
+
 def find(text: str) -> list[Span]:
-    """Spans (kind, start, end) in code points, by start, then kind. A candidate string that overlaps a base span isn't scored again."""
+    """Spans (kind, start, end) in code points, by start, then kind. Of a candidate string, what base spans leave is scored."""
     spans: list[Span] = []
     if "=" in text or ":" in text:
         spans += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -72,8 +93,7 @@ def find(text: str) -> list[Span]:
     spans += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
     base = list(spans)
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for _, s, e in base) and random_looking(m[0]):
-            spans.append(("entropy", *m.span()))
+        spans += [("entropy", s, e) for s, e in _rest(m.start(), m.end(), base) if _secret(text, m, s, e)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
