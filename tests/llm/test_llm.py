@@ -518,6 +518,18 @@ def test_sketches_estimate_and_merge():
     assert sketches.write(b"", h.sketch(b"")) != sketches.write(b" ", h.sketch(b" "))
 
 
+def test_likeness_of_short_texts_is_right():
+    rnd = random.Random(7)
+    h = sketches.Hasher()
+    for n in (1, 5, 6, 8, 12, 20, 40):
+        for _ in range(20):
+            a = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            b = a[: max(1, 2 * n // 3)] + [f"w{rnd.randrange(10**6)}" for _ in range(n // 3)]
+            sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b)]
+            got = sketches.likeness(*(h.sketch(" ".join(x).encode()) for x in (a, b)), a == b)
+            assert isclose(got, len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+
+
 def test_pipeline_stages_on_the_smallest_tables(spark):
     import corpus_pipeline as cp
 
