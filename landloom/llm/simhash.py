@@ -9,7 +9,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from landloom.operators.components import connected_components
 from landloom.session import cut, read
@@ -149,6 +149,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Sampled documents whose shingles tell which are common, and how many common shingles are told to all tasks. Both set an order only.
 SAMPLE, COMMON = 4_000, 100_000
+#: Ranges of hashes whose counts bound what two texts can share.
+BINS = 128
 
 
 def shingle_hashes(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -185,6 +187,11 @@ def prefix(distinct: np.ndarray, common: np.ndarray, counts: np.ndarray, similar
     return distinct[np.lexsort((distinct, weight))][: n - least_common(n, similarity) + 1] if n else distinct
 
 
+def tally(distinct: np.ndarray) -> bytes:
+    """How many of these hashes each of BINS equal ranges of hashes holds."""
+    return np.bincount((distinct >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two arrays of distinct hashes; of two empty ones 1."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -208,8 +215,19 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return h[order], n[order]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts (id, t) have at least that Jaccard similarity of distinct shingles."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts (id, t) have at least that Jaccard similarity of distinct shingles.
+
+    Two texts share no more than the smaller counts of the tallies of their ``nodes`` (id, tally) sum up to; pairs for which that is too little
+    go before whole sets of shingles are moved.
+    """
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, other = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64) for k in (2, 3))
+            most = np.minimum(one, other).sum(axis=1)
+            good = pa.array(most * (1 + similarity) >= similarity * (one.sum(axis=1) + other.sum(axis=1)) - 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +240,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             good = pa.array([jaccard(x, y) >= similarity - 1e-9 for x, y in zip(one, other)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
-    pairs = cut(pairs.distinct())
+    tallies = nodes.select("id", "tally")
+    told = pairs.distinct().join(tallies.toDF("a", "ta"), "a").join(tallies.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    pairs = cut(told.mapInArrow(bound, "a long, b long").distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = cut(texts.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary").distinct())
     first = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -272,17 +292,18 @@ def untied_pairs(live: DataFrame, tied: DataFrame, similarity: float) -> DataFra
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) between ids, enough to connect all whose texts have at least that similarity, and none below it.
 
-    ``nodes`` are rows (id, fp, n, prefix), ``texts`` rows (id, t). Two texts of the similarity share a shingle of their prefixes, so the
+    ``nodes`` are rows (id, fp, n, prefix, tally), ``texts`` rows (id, t). Two texts of the similarity share a shingle of their prefixes, so the
     posting lists of these hold every such pair. First the links by fingerprint and those of each list's row to its smallest
     are verified; these tie crowds of copies in a linear number of pairs. Then all pairs of a list that are still apart are.
     """
     index = nodes.select("id", "n", F.posexplode("prefix").alias("at", "h"))
-    lists = index.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.struct("id", "n", "at")).alias("r")).where("rows > 1")
-    live = cut(index.join(lists.select("h", "r.*").toDF("h", "least", "least_n", "least_at"), "h"))
+    of_list = Window.partitionBy("h")
+    listed = index.withColumns({"rows": F.count("*").over(of_list), "r": F.min(F.struct("id", "n", "at")).over(of_list)}).where("rows > 1")
+    live = cut(listed.select("h", "id", "n", "at", F.col("r.id").alias("least"), F.col("r.n").alias("least_n"), F.col("r.at").alias("least_at")))
     stars = live.where("id <> least").where(_may_be(similarity, "n", "at", "least_n", "least_at")).select(*_pair("id", "least"))
-    first = verified(stars.union(fingerprint_pairs(nodes.select("id", "fp"))), texts, width, similarity)
+    first = verified(stars.union(fingerprint_pairs(nodes.select("id", "fp"))), nodes, texts, width, similarity)
     tied = cut(connected_components(first))
-    return first.union(verified(untied_pairs(live.select("h", "id", "n", "at"), tied, similarity), texts, width, similarity))
+    return first.union(verified(untied_pairs(live.select("h", "id", "n", "at"), tied, similarity), nodes, texts, width, similarity))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -303,10 +324,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             n = pa.array([len(s) for s in sets], pa.int32())
             first = pa.array([prefix(s, common, counts, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), digest, fp, n, first], ["id", "digest", "fp", "n", "prefix"])
+            tallies = pa.array([tally(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), digest, fp, n, first, tallies], ["id", "digest", "fp", "n", "prefix", "tally"])
 
-    rows = texts.mapInArrow(each, "id long, digest binary, fp long, n int, prefix array<long>")
-    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "fp", "n", "prefix")).alias("r")).select("r.*"))
+    rows = texts.mapInArrow(each, "id long, digest binary, fp long, n int, prefix array<long>, tally binary")
+    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "fp", "n", "prefix", "tally")).alias("r")).select("r.*"))
     tied = connected_components(similar_links(nodes, texts, width, similarity))
     heads = nodes.join(tied.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias(id_col)).distinct()
     kept = known.join(heads, id_col, "left_semi").dropDuplicates([id_col, text_col])
