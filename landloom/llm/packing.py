@@ -7,12 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from landloom.session import read
+from landloom.session import cut, read
 
-#: Lengths up to this are bins of their own in the histogram; longer ones share bins of at most 1/EXACT of their length.
-EXACT = 4096
-#: Groups into which the rows of one length are split while they are numbered.
-SHARDS = 64
+#: Rows of one length that are numbered together; a commoner length is split into as many groups as that takes.
+GROUP = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -20,12 +18,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
 
 
-def length_bin(n: Column) -> Column:
-    """The bin of a length, ordered like the lengths."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)) / F.lit(EXACT))) + 1).cast("int")
-    return F.when(n < EXACT, n.cast("long")).otherwise(shift * F.lit(EXACT).cast("long") + F.floor(n / F.pow(F.lit(2.0), shift)).cast("long"))
-
-
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """At most ``buckets`` upper bounds, out of the increasing lengths, that minimise the padding when each row is padded to its bound.
 
@@ -70,21 +62,23 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 32768, id_col: str = "doc_id", length: Column | None = None) -> DataFrame:
     """Batches of all rows: (doc_id, n_tokens, bucket, bucket_len, batch_id, slot).
 
-    ``length`` (by default the words of column text; null counts as 0) is a row's tokens. The histogram of all lengths fixes at most ``buckets``
-    upper bounds of least total padding; lengths of over 4096 enter it by bins of at most 1/4096 of their length, whose bound
-    is their greatest length. A batch holds max(1, budget // bucket_len) rows of one bucket, in order of length, so its padded tokens stay in the
+    ``length`` (by default the words of column text; null counts as 0) is a row's tokens. The histogram of all lengths, which has a line for each
+    length there is, fixes at most ``buckets`` upper bounds of least total padding. A batch holds max(1, budget // bucket_len) rows of one bucket, in order of length, so its padded tokens stay in the
     budget unless a single row is over it; only the last batch of a bucket may be short. Nothing is cut or left out: nulls, repeats and
     empty texts are rows like others (empty ones in a bucket of length 0 or with longer ones). Ties of length are ordered by
     a hash of the id, then the id, so ids that repeat may swap places. An empty table gives no rows; other columns are ignored.
     """
+    spark = docs.sparkSession
     n = word_count(F.col("text")) if length is None else F.coalesce(length, F.lit(0))
-    rows = docs.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n_tokens")).persist()
-    binned = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("most"), F.sum("n").alias("n"))
-    histogram = sorted((r.most, r.n) for r in binned.collect())  # bounded by the bins: 4096 for each doubling of the length
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n_tokens")))
+    histogram = sorted((r.n_tokens, r.n) for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())  # a line for each length, of which the longest text sets a bound
     bounds = boundaries([h[0] for h in histogram], [h[1] for h in histogram], buckets)
     size = F.col("n_tokens")
     pick = lambda of: reduce(lambda other, k: F.when(size <= bounds[k], of(k)).otherwise(other), reversed(range(len(bounds))), F.lit(None)) if bounds else F.lit(None)
-    held = rows.withColumns({"bucket": pick(lambda k: F.lit(k)).cast("int"), "bucket_len": pick(lambda k: F.lit(bounds[k])).cast("long"), "shard": F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")})
+    # Lengths of more than GROUP rows, so at most as many as there are times GROUP rows.
+    split = spark.createDataFrame([(h, -(-c // GROUP)) for h, c in histogram if c > GROUP], "n_tokens long, groups long")
+    held = rows.join(F.broadcast(split), "n_tokens", "left")
+    held = held.withColumns({"bucket": pick(lambda k: F.lit(k)).cast("int"), "bucket_len": pick(lambda k: F.lit(bounds[k])).cast("long"), "shard": F.pmod(F.xxhash64("doc_id"), F.coalesce("groups", F.lit(1).cast("long"))).cast("int")})
     # A row's place in its bucket is the rows of all smaller (length, shard) plus its own number in that group.
     groups = held.groupBy("bucket", "n_tokens", "shard").agg(F.count("*").alias("n"))
     before = groups.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("n_tokens", "shard").rowsBetween(Window.unboundedPreceding, -1)))
