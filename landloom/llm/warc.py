@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from landloom.session import read, scratch_path
+from landloom.session import cut, read, scratch_path
 
 #: Written into every record; a run's date is a parameter, so that runs can be compared byte by byte.
 DATE = "2024-01-01T00:00:00Z"
@@ -52,19 +52,25 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     """Archive all pages below ``path``: payloads (sha256, payload), each payload once, and records (sha256, header, stored).
 
     Of records with equal payloads of ``least`` bytes or more that of the greatest id is the response and the others revisit it, storing no payload
-    of their own; each smaller one is a response. Null payloads are empty; a null id is less than any other; rows that repeat
-    the greatest id with the same payload are all responses; an empty table gives empty archives; other columns are left out. Which digests repeat is
+    of their own; each smaller one is a response. Where rows repeat the greatest id with the same payload, the one of the smallest URL is the response and the others
+    revisit it. Null payloads are empty; a null id is less than any other; an empty table gives empty archives; other columns are left out. Which digests repeat is
     counted first, and only payloads that do move, so distinct ones are written from where they are read.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.select("page", "url", "payload", F.sha2("payload", 256).alias("sha256"), base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    first = rows.groupBy("sha256").agg(F.max("page").alias("first"), F.count("*").alias("n"))
-    narrow = rows.select("page", "url", "sha256", "sha1", "size").join(first.drop("n"), "sha256")
+    rows = rows.select("page", "url", "payload", F.sha2("payload", 256).alias("sha256"))
+    narrow = cut(rows.select("page", "url", "sha256", base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("size")))
+    each = narrow.groupBy("sha256", "page").agg(F.count("*").alias("n"))  # before digests meet, so that a common payload is a few rows a task
+    first = cut(each.groupBy("sha256").agg(F.max("page").alias("first"), F.sum("n").alias("n"), F.max_by("n", F.struct(F.col("page").isNotNull(), "page")).alias("top")))
+    told = narrow.join(first, "sha256")
+    leading = F.col("page").eqNullSafe(F.col("first")) & (F.col("size") >= least)
     alone = (F.col("size") < least) | F.col("page").eqNullSafe(F.col("first"))
-    kind = F.when(alone, F.lit("response")).otherwise(F.lit("revisit"))
+    # Rows that repeat the greatest id are numbered among themselves; there are few.
+    tied = told.where(leading & (F.col("top") > 1)).withColumn("alone", F.row_number().over(Window.partitionBy("sha256").orderBy("url")) == 1)
+    told = told.where(~(leading & (F.col("top") > 1))).withColumn("alone", alone).unionByName(tied)
+    kind = F.when(F.col("alone"), F.lit("response")).otherwise(F.lit("revisit"))
     header = headers(F.col("page"), F.col("url"), kind, F.col("sha1"), F.col("size"), F.col("first"), date)
-    narrow.select("sha256", header.alias("header"), alone.alias("stored")).write.parquet(f"{path}/records")
+    told.select("sha256", header.alias("header"), F.col("alone").alias("stored")).write.parquet(f"{path}/records")
     # A payload that no other record shares is stored from where it is read. Digests that repeat are told to all tasks by their slot, of which there
     # are SLOTS at most; only payloads of those slots move, and of these only rows of the greatest id bear the payload.
     slot = F.pmod(F.xxhash64("sha256"), F.lit(SLOTS)).cast("int")
@@ -87,7 +93,7 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """All records rebuilt: (header, payload, record). ``payload`` is the full one; ``record`` are the exact bytes, in which a revisit has none."""
+    """All records rebuilt: (header, payload, record). ``payload`` is the full one; ``record`` are the exact bytes, in which a revisit has none. Empty archives give no rows."""
     joined = spark.read.parquet(f"{path}/records").join(payloads(spark, path), "sha256")
     body = F.when(F.col("stored"), F.col("payload")).otherwise(F.lit(b""))
     record = F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n"))
@@ -100,17 +106,34 @@ def field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
+def parsed(rebuilt: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as the bytes of rebuilt records say.
+
+    Digest and length are those of the body that the record holds, for a revisit those of the payload that it refers to. A record whose header says
+    another digest, payload length or content length is an error.
+    """
+    size = F.octet_length("header")
+    body = F.col("record").substr(size + 1, F.octet_length("record") - size - 4)
+    head = F.col("record").substr(F.lit(1), size).cast("string")
+    read_back = rebuilt.select(head.alias("head"), body.alias("body"), "payload").withColumn("kind", field(F.col("head"), "WARC-Type"))
+    full = F.when(F.col("kind") == "revisit", F.col("payload")).otherwise(F.col("body"))
+    found = read_back.select("head", "kind", F.octet_length("body").alias("content"), F.octet_length(full).cast("long").alias("bytes"), base32(F.sha1(full)).alias("digest"))
+    said = lambda name: field(F.col("head"), name)
+    right = (said("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("digest"))) & (said("X-Payload-Length").cast("long") == F.col("bytes")) & (said("Content-Length").cast("long") == F.col("content"))
+    checked = F.when(right, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("a record isn't what its header says: "), F.col("head"))).cast("string"))
+    return found.select(
+        said("X-Page").cast("long").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        checked.alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        said("X-Refers-To-Page").cast("long").alias("refers_to"),
+    )
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(read(spark, sf_dir, "pages"), path)
-    back, header = records(spark, path), F.col("header")
-    return back.select(
-        field(header, "X-Page").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.regexp_replace(field(header, "WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        field(header, "WARC-Type").alias("record_type"),
-        field(header, "X-Refers-To-Page").cast("long").alias("refers_to"),
-    )
+    return parsed(records(spark, path))
 
 
 OP6_SQL = """
