@@ -17,6 +17,8 @@ from landloom.session import cut, free_name, read
 #: Texts of more characters are cut into chunks.
 GIANT, CHUNK = 1 << 16, 1 << 15
 NONE = -(1 << 60)
+#: Steps of a score of 1, where scores are no whole numbers.
+SCALE = 1 << 24
 NAMES = ["doc_id", "n_chars", "ids", "round_trip"]
 #: Of the rolling hash of a piece's characters.
 STEP, MIX, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -255,21 +257,78 @@ class Vocabulary:
         return shared, ways, [entry] * len(ways)
 
 
-def load(path: str) -> Vocabulary:
-    """The vocabulary of a SentencePiece model file that the driver can open; pieces that the model never uses (runs of spaces) are left out."""
+def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message: whole numbers, and bytes of the rest."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = blob[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(blob):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if tag & 7 == 2 else 8 if tag & 7 == 1 else 4
+            yield tag >> 3, blob[at : at + size]
+            at += size
+
+
+def model_kind(blob: bytes) -> tuple[str, str]:
+    """The kind of a SentencePiece model and the name of its normaliser."""
+    parts = {n: v for n, v in _fields(blob) if n in (2, 3)}
+    kind = dict(_fields(parts.get(2, b""))).get(3, 1)
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(kind, "other"), bytes(dict(_fields(parts.get(3, b""))).get(1, b"")).decode()
+
+
+def whole_scores(scores: list[float]) -> list[int]:
+    """Scores as whole numbers, so that sums are exact: as they are if they are whole (ranks), else in steps of 2 ** -24, in which logarithms of 32 bits
+    and at least a half in size are whole."""
+    if all(s == round(s) for s in scores):
+        return [round(s) for s in scores]
+    return [round(s * SCALE) for s in scores]
+
+
+def load(path: str, as_unigram: bool = False) -> Vocabulary:
+    """The vocabulary of a SentencePiece model file that the driver can open; pieces that the model never uses (runs of spaces) are left out.
+
+    The segmentation with the greatest sum of scores is what a unigram model encodes. A file of another kind is refused, unless it is to be taken
+    ``as_unigram``: then its pieces and scores are, and ids aren't those of its own merges. Texts aren't normalised, whatever
+    normaliser the file names, so that decoding gives them back.
+    """
     import sentencepiece
 
+    with open(path, "rb") as f:
+        kind, _ = model_kind(f.read())
+    if kind != "unigram" and not as_unigram:
+        raise ValueError(f"{path} is a {kind} model; only a unigram model's encoding is the segmentation with the greatest sum")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
     texts = ["" if special[i] else model.id_to_piece(i).replace("▁", " ") for i in range(n)]
-    used = {t: (i, round(model.get_score(i))) for i, t in enumerate(texts) if t and " " not in t[1:]}
-    least = min(score for _, score in used.values() if score > -(10**8)) - 10
-    pieces = {t: (i, max(score, least)) for t, (i, score) in used.items()}  # the bare word mark has no score of its own
+    used = [i for i, t in enumerate(texts) if t and " " not in t[1:]]
+    first_byte = next((i for i in range(n) if model.is_byte(i)), n)  # a model without byte pieces gets their ids behind its own
+    return vocabulary({texts[i]: i for i in used}, [model.get_score(i) for i in used], texts, first_byte)
+
+
+def vocabulary(ids: dict[str, int], scores: list[float], texts: list[str], first_byte: int) -> Vocabulary:
+    """Of pieces with their ids and scores, in that order, and the text of each id."""
+    exact = whole_scores(scores)
+    real = [s for s, given in zip(exact, scores) if given > -(10**8)]
+    least = min(real, default=0) - 10 * (1 if exact == [round(s) for s in scores] else SCALE)
+    pieces = {t: (i, max(s, least)) for (t, i), s in zip(ids.items(), exact)}  # the bare word mark has no score of its own
     starts = {t[:k] for t in pieces for k in range(1, len(t))}
-    first_byte = next(i for i in range(n) if model.is_byte(i))
+    texts = [*texts, *[""] * (first_byte + 256 - len(texts))]
     texts[first_byte : first_byte + 128] = map(chr, range(128))
-    return Vocabulary(pieces, starts, texts, first_byte, least, max(map(len, pieces)))
+    return Vocabulary(pieces, starts, texts, first_byte, least, max(map(len, pieces), default=1))
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -366,7 +425,7 @@ def _giants(rows: DataFrame, held: Broadcast, longest: int) -> DataFrame:
     return texts.join(encoded, "uid").select("doc_id", "t", "ids").mapInArrow(compared, _schema(rows))
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", as_unigram: bool = False) -> DataFrame:
     """(doc_id, n_chars, ids, round_trip) of every row: the ids of its whole text's segmentation with the greatest sum of piece scores, and whether they decode to it.
 
     Of equal sums the one with the longest pieces from the right. Characters that no piece holds, which include the word mark itself, become
@@ -374,7 +433,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     columns are ignored. Texts of over 65536 characters are cut into chunks of 32768 that are encoded apart from each other,
     with the same result. Only one document's matrices, 2 KB a chunk, and its finished ids meet in a task.
     """
-    v = load(model_path)
+    v = load(model_path, as_unigram)
     held = docs.sparkSession.sparkContext.broadcast(v)  # the vocabulary
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     giant = F.coalesce(F.length("t") > GIANT, F.lit(False))
@@ -382,10 +441,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of each array of ids; of null null, of none empty. A column that is called like ``out`` already is an error."""
-    if free_name(rows, out) != out:
-        raise ValueError(f"there is a column {out}")
-    held = rows.sparkSession.sparkContext.broadcast(load(model_path))
+    """``rows`` with a last column of the text of each array of ids; of null null, of none empty. Where a column is called like ``out`` already, the new one's
+    name has underscores in front. Rows, repeats and other columns stay; an empty table stays empty. Any kind of model decodes."""
+    out = free_name(rows, out)
+    held = rows.sparkSession.sparkContext.broadcast(load(model_path, as_unigram=True))
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
@@ -400,6 +459,6 @@ def model_path(spark: SparkSession) -> str:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids, and whether they decode to its text."""
-    found = encode(read(spark, sf_dir, "documents"), model_path(spark))
+    """Every document's ids, and whether they decode to its text. The public file is a BPE model's; its pieces and ranks are taken as a unigram vocabulary."""
+    found = encode(read(spark, sf_dir, "documents"), model_path(spark), as_unigram=True)
     return found.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
