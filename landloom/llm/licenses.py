@@ -16,30 +16,42 @@ from landloom.session import read
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices by their words, and identifiers by their words as tags write them. The last value is how freely a text may be reused, 0 to 1.
+#: Notices by their words, and identifiers by their words as tags write them. The last value is how freely a text may be reused, 0 to 1. A notice's phrase is long
+#: enough to tell it; where licences share a sentence the most permissive of those that begin so is named.
 LICENCES = {
-    "mit": (["mit license"], 0.9),
-    "isc": (["isc license"], 0.9),
-    "0bsd": (["zero clause bsd"], 1.0),
-    "bsd-2-clause": (["bsd 2 clause", "simplified bsd license"], 0.9),
-    "bsd-3-clause": (["bsd 3 clause", "new bsd license", "revised bsd license"], 0.9),
-    "apache-2.0": (["apache license version 2 0", "apache license 2 0", "apache 2 0"], 0.85),
-    "mpl-2.0": (["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"], 0.6),
-    "epl-2.0": (["eclipse public license 2 0", "eclipse public license v 2 0"], 0.55),
-    "lgpl-2.1": (["lesser general public license version 2 1", "lgpl 2 1"], 0.5),
-    "lgpl-3.0": (["lesser general public license version 3", "lgpl 3 0"], 0.5),
-    "gpl-2.0": (["gnu general public license version 2", "gpl 2 0"], 0.4),
-    "gpl-3.0": (["gnu general public license version 3", "gpl 3 0"], 0.4),
-    "agpl-3.0": (["affero general public license version 3", "agpl 3 0"], 0.3),
-    "cc0-1.0": (["cc0"], 1.0),
+    "mit": (["mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"], 0.9),
+    "isc": (["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided"], 0.9),
+    "0bsd": (["zero clause bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"], 1.0),
+    "bsd": (["redistribution and use in source and binary forms with or without modification are permitted", "bsd license"], 0.9),
+    "bsd-2-clause": (["bsd 2 clause", "simplified bsd license", "freebsd license"], 0.9),
+    "bsd-3-clause": (["bsd 3 clause", "new bsd license", "revised bsd license", "may be used to endorse or promote products derived from this software without specific prior written permission"], 0.9),
+    "apache-2.0": (["apache license version 2 0", "apache license 2 0", "apache 2 0", "licensed under the apache license"], 0.85),
+    "zlib": (["zlib license", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"], 0.9),
+    "bsl-1.0": (["boost software license"], 0.9),
+    "artistic-2.0": (["artistic license 2 0", "the artistic license"], 0.7),
+    "python-2.0": (["psf license agreement", "python software foundation license"], 0.85),
+    "ms-pl": (["microsoft public license"], 0.7),
+    "ofl-1.1": (["sil open font license"], 0.7),
+    "mpl-2.0": (["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mpl 2 0"], 0.6),
+    "epl-2.0": (["eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license version 2 0"], 0.55),
+    "cddl-1.0": (["common development and distribution license"], 0.5),
+    "eupl-1.2": (["european union public licence", "european union public license"], 0.5),
+    "lgpl": (["lesser general public license", "library general public license"], 0.5),
+    "lgpl-2.1": (["lesser general public license version 2 1", "lesser general public license as published by the free software foundation either version 2 1", "lgpl 2 1"], 0.5),
+    "lgpl-3.0": (["lesser general public license version 3", "lesser general public license as published by the free software foundation either version 3", "lgpl 3 0"], 0.5),
+    "gpl-2.0": (["gnu general public license version 2", "gnu general public license as published by the free software foundation either version 2", "gpl 2 0"], 0.4),
+    "gpl-3.0": (["gnu general public license version 3", "gnu general public license as published by the free software foundation either version 3", "gpl 3 0"], 0.4),
+    "agpl-3.0": (["affero general public license version 3", "affero general public license as published by the free software foundation either version 3", "agpl 3 0"], 0.3),
+    "cc0-1.0": (["cc0", "creative commons zero", "to the extent possible under law"], 1.0),
     "unlicense": (["the unlicense", "released into the public domain"], 1.0),
-    "cc-by-sa": (["cc by sa", "creative commons attribution sharealike"], 0.6),
-    "cc-by-nc": (["cc by nc", "creative commons attribution noncommercial"], 0.2),
-    "cc-by-nd": (["cc by nd"], 0.2),
-    "cc-by": ([], 0.8),
+    "wtfpl": (["do what the fuck you want to public license"], 1.0),
+    "cc-by-sa": (["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"], 0.6),
+    "cc-by-nc": (["cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"], 0.2),
+    "cc-by-nd": (["cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs"], 0.2),
+    "cc-by": (["creative commons attribution"], 0.8),
     "gpl": ([], 0.4),
     "reserved": ([], 0.05),
-    "proprietary": (["proprietary and confidential"], 0.0),
+    "proprietary": (["proprietary and confidential", "unauthorized copying of this file"], 0.0),
 }
 TAG = "spdx license identifier"
 #: A byte of a word, A-Z made small, or a space.
@@ -151,16 +163,17 @@ def look(text: bytes) -> Found:
     words = text.translate(FOLD).split()
     flat = f" {b' '.join(words).decode('utf-8', 'replace')} "
     base, labels, values, expressions = [], set(), [], []
-    tagged = False
+    tagged, counted, spaces = False, 0, 0  # the spaces of flat before ``counted``
     for end, (length, meant) in AUTOMATON.iter(flat):
+        spaces, counted = spaces + flat.count(" ", counted, end), end
         for what, label in meant:
             if what == "tag":
                 tagged = True
                 continue
             labels.add(label)
             if what == "base":
-                base.append((flat.count(" ", 0, end - length - 1), label))
-    finer = {"gpl": "gpl-", "cc-by": "cc-by-"}
+                base.append((spaces - 1 - flat.count(" ", end - length, end), label))
+    finer = {"gpl": "gpl-", "lgpl": "lgpl-", "cc-by": "cc-by-", "bsd": "bsd-"}
     for label in labels:  # the base phrase within a finer notice says no more than that notice
         if not (label in finer and any(o.startswith(finer[label]) for o in labels)):
             values.append(LICENCES[label][1])
@@ -180,8 +193,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_words, places array<struct<word,label>>, labels, score, expressions) of the whole text of every row.
 
     Places are those of the base phrases, in order; labels are those of phrases, notices and identifier tags, sorted; the score is how freely
-    the strictest of them lets reuse (0 without any). A tag whose expression can't be parsed adds nothing. Null texts count as
-    empty; ids may be null or repeat; other columns are ignored.
+    the strictest of them lets reuse (0 without any). Identifiers that aren't known are labels as they are written, in lower case. A tag whose expression can't be parsed adds nothing. Null texts count as
+    empty; ids may be null and rows may repeat, each giving a row; an empty table gives none; other columns are ignored. The time a text takes grows with its length.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
