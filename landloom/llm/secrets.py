@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -23,13 +24,16 @@ WINDOW = 20
 ALNUM = re.compile(r"[A-Za-z0-9]+")
 #: Character classes, narrowest first, and the bits of entropy that a window of such characters must reach.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9))
-#: What looks random but is none: UUIDs, words joined by punctuation or case, and strings of too few kinds of characters.
+#: What looks random but is none: UUIDs and digits, and words joined by punctuation or case, whose long runs of letters must read like words.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*"),
     re.compile(r"[0-9]+([-_/=+][0-9]+)*[-_/=+]*"),
+)
+ALLOWED_WORDS = (
+    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*"),
     re.compile(r"([A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z0-9]{0,6}"),
 )
+LONG_LETTERS = re.compile("[A-Za-z]{16,}")
 
 Span = tuple[str, int, int]
 
@@ -44,43 +48,79 @@ def greatest_entropy(text: str, window: int = WINDOW) -> float:
     now = 0.0
     best = 0.0
     for i, ch in enumerate(text):
-        k = counts.get(ch, 0)
-        now += term[k + 1] - term[k]
-        counts[ch] = k + 1
         if i >= width:
             old = text[i - width]
             k = counts[old]
             now += term[k - 1] - term[k]
             counts[old] = k - 1
+        k = counts.get(ch, 0)
+        now += term[k + 1] - term[k]
+        counts[ch] = k + 1
         if i >= width - 1 and now > best:
             best = now
     return best
 
 
-def random_looking(text: str) -> bool:
-    if any(p.fullmatch(text) for p in ALLOWED):
-        return False
-    return next(greatest_entropy(text) >= least for _, kind, least in CLASSES if kind.fullmatch(text))
+def wordlike(letters: str) -> bool:
+    """Whether letters can be read as words: enough vowels, and no long run without one. Random letters seldom pass."""
+    low = letters.lower()
+    vowels = sum(map(low.count, "aeiouy"))
+    return 10 * vowels >= 3 * len(low) and max(map(len, re.split("[aeiouy]", low))) <= 4
 
 
-def _rest(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
-    """What is left of a range without the base spans."""
-    out = []
-    for s, e in sorted((s, e) for _, s, e in base if s < end and start < e):
-        if s > start:
-            out.append((start, s))
-        start = max(start, e)
-    return [*out, (start, end)] if start < end else out
+def allowed(text: str) -> bool:
+    """Whether the allow-list covers all of the text."""
+    return any(p.fullmatch(text) for p in ALLOWED) or any(p.fullmatch(text) for p in ALLOWED_WORDS) and all(map(wordlike, LONG_LETTERS.findall(text)))
 
 
-def _secret(text: str, whole: re.Match, start: int, end: int) -> bool:
-    """Whether a piece of a candidate looks random: by itself, or a short one as a part of the run of letters and digits that goes over its border."""
-    piece = text[start:end]
-    if len(piece) >= WINDOW:
-        return random_looking(piece)
-    if any(p.fullmatch(piece) for p in ALLOWED):
-        return False
-    return any(m.start() < start < m.end() or m.start() < end < m.end() for m in ALNUM.finditer(text, *whole.span()) if m.end() - m.start() >= WINDOW and random_looking(m[0]))
+def random_looking(text: str) -> bool:
+    """Whether a window of the text reaches the entropy of its character class and the allow-list doesn't cover it."""
+    return not allowed(text) and next(greatest_entropy(text) >= least for _, kind, least in CLASSES if kind.fullmatch(text))
+
+
+class _Walk:
+    """Base spans as disjoint ranges in order, walked along with the candidates."""
+
+    def __init__(self, base: list[Span]) -> None:
+        self.ranges, self.at = [], 0
+        for _, s, e in sorted(base, key=lambda b: b[1]):
+            if self.ranges and s <= self.ranges[-1][1]:
+                self.ranges[-1][1] = max(e, self.ranges[-1][1])
+            else:
+                self.ranges.append([s, e])
+
+    def rest(self, start: int, end: int) -> list[tuple[int, int]]:
+        """What is left of a range without the base spans; ranges must come in order."""
+        while self.at < len(self.ranges) and self.ranges[self.at][1] <= start:
+            self.at += 1
+        out, k = [], self.at
+        while k < len(self.ranges) and self.ranges[k][0] < end:
+            s, e = self.ranges[k]
+            if s > start:
+                out.append((start, s))
+            start = max(start, e)
+            k += 1
+        return [*out, (start, end)] if start < end else out
+
+
+class _Candidate:
+    """A candidate string, of which pieces are scored: a long one by itself, a short one as a part of the run of letters and digits that goes over its border."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.span, self.runs = text, (start, end), None
+
+    def _over(self, at: int) -> bool:
+        """Whether a random-looking run goes over this place."""
+        if self.runs is None:
+            self.runs = [r.span() for r in ALNUM.finditer(self.text, *self.span) if r.end() - r.start() >= WINDOW and random_looking(r[0])]
+        k = bisect_right(self.runs, at, key=lambda r: r[0]) - 1
+        return k >= 0 and self.runs[k][0] < at < self.runs[k][1]
+
+    def secret(self, start: int, end: int) -> bool:
+        piece = self.text[start:end]
+        if end - start >= WINDOW:
+            return random_looking(piece)
+        return not allowed(piece) and (self._over(start) or self._over(end))
 
 
 def find(text: str) -> list[Span]:
@@ -91,9 +131,10 @@ def find(text: str) -> list[Span]:
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
-    base = list(spans)
+    walk = _Walk(spans)
     for m in CANDIDATE.finditer(text):
-        spans += [("entropy", s, e) for s, e in _rest(m.start(), m.end(), base) if _secret(text, m, s, e)]
+        candidate = _Candidate(text, *m.span())
+        spans += [("entropy", s, e) for s, e in walk.rest(*m.span()) if candidate.secret(s, e)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -116,7 +157,8 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) of the whole text of every row.
 
-    Null texts count as empty; rows without a secret have an empty array; ids may be null or repeat; other columns are ignored.
+    Null texts count as empty; rows without a secret have an empty array; ids may be null and rows may repeat, each giving a row; an empty
+    table gives none; of spans that start at one place the kind's order decides; other columns are ignored. The time a text takes grows with its length.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -131,7 +173,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the secrets of whole texts replaced by a mark; ``count_col``, if there, follows. Null texts stay null, and no row goes."""
+    """``docs`` with the secrets of whole texts replaced by a mark; ``count_col``, if there, follows.
+
+    Null texts stay null and empty ones empty; no row goes, repeats and columns stay as they are, and an empty table stays empty.
+    """
 
     @F.udf("string", useArrow=True)
     def clean(text: str | None) -> str | None:
