@@ -1,63 +1,66 @@
-"""Document fingerprints: a sketch that keeps every shingle hash up to a fixed fraction of the hash range; the fraction is 1 unless told otherwise."""
+"""Document fingerprints: a threshold-scaled sketch that keeps every shingle hash below a fixed fraction of the hash range."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from landloom.session import read
 
-#: Of this many hashes one is kept. With 1 likeness and containment are exact, on texts of few shingles too.
-SCALE = 1
-WIDTH = 5
-#: Words whose hashes a task holds at once.
-CACHE = 1 << 18
-MASK = (1 << 64) - 1
-
-
-class Hasher:
-    """Hashes of word shingles; those of words are held while there is room."""
-
-    def __init__(self, width: int = WIDTH, scale: int = SCALE) -> None:
-        self.width, self.limit, self.words = width, np.uint64(MASK // scale), {}
-
-    def _word(self, word: bytes) -> int:
-        h = self.words.get(word)
-        if h is None:
-            h = xxhash.xxh64_intdigest(word, 7)
-            if len(self.words) < CACHE:
-                self.words[word] = h
-        return h
-
-    def sketch(self, text: bytes) -> np.ndarray:
-        """Sorted distinct hashes, up to the limit, of the shingles of a text in lower case; the whole of a text of fewer words is one shingle."""
-        words = text.lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        w = np.fromiter(map(self._word, words), np.uint64, len(words))
-        n = min(self.width, len(w))
-        h = np.zeros(len(w) - n + 1, np.uint64)
-        for k in range(n):
-            h ^= w[k : len(w) - n + 1 + k]
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        return np.unique(h[h <= self.limit])
-
-
-def write(text: bytes, hashes: np.ndarray) -> str:
-    """A fingerprint as text: 16 digits that tell the text itself, a colon, and 16 digits for each kept hash, in order."""
-    return f"{xxhash.xxh64_intdigest(text):016x}:{hashes.astype('>u8').tobytes().hex()}"
+#: Of this many hashes one is kept, whatever the text.
+SCALE = 4
+#: Code points of a shingle. Shingles of words are too few in short texts, where one edit breaks most of them.
+WIDTH = 8
+#: Hashes have so many bits, which are written as eight characters.
+BITS = 48
+#: Rows of a range of ids, and ranges at most: their ends are held by the driver and by each task.
+ROWS, RANGES = 2048, 50_000
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """A hash of BITS bits for each run of ``width`` code points of a text in lower case (A-Z) whose white space is single spaces; it is padded at both ends, so that ends count and short texts have shingles too."""
+    words = text.encode(errors="surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    points = np.frombuffer(b" ".join(words).decode(errors="surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    padded = np.zeros(len(points) + 2 * (width - 1), np.uint64)
+    padded[width - 1 : width - 1 + len(points)] = points
+    n = len(points) + width - 1
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += padded[k : k + n]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(64 - BITS)
+
+
+def sketch(text: str, width: int = WIDTH, scale: int = SCALE) -> np.ndarray:
+    """The distinct hashes in the lowest of ``scale`` parts of their range, in order."""
+    h = shingle_hashes(text, width)
+    return np.unique(h[h < np.uint64((1 << BITS) // scale)])
+
+
+def write(text: str, hashes: np.ndarray) -> str:
+    """A fingerprint as text: 16 digits that tell the text itself, a colon, and the kept hashes in base64, eight characters each."""
+    kept = np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :])
+    return f"{xxhash.xxh64_intdigest(text.encode(errors='surrogatepass')):016x}:{base64.b64encode(kept.tobytes()).decode()}"
 
 
 def parse(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint.partition(":")[2]), ">u8").astype(np.uint64)
+    kept = np.frombuffer(base64.b64decode(fingerprint.partition(":")[2]), np.uint8).reshape(-1, BITS // 8)
+    out = np.zeros((len(kept), 8), np.uint8)
+    out[:, 8 - BITS // 8 :] = kept
+    return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,7 +73,7 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray, same: bool) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, same: bool = False) -> float:
     """The estimated share of shingles in common out of those of either (Jaccard); of equal texts 1, and 0 where nothing was kept."""
     if same:
         return 1.0
@@ -82,92 +85,103 @@ def likeness(a: np.ndarray, b: np.ndarray, same: bool) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, scale: int = SCALE) -> DataFrame:
     """(doc_id, fingerprint) of the whole text of every row.
 
-    Equal texts have equal fingerprints. Null texts count as empty, whose sketch holds nothing; with a scale over 1 texts of few
-    shingles may keep none. Rows may repeat, ids may be null, other columns are ignored.
+    Equal texts have equal fingerprints. Null texts count as empty, whose sketch holds nothing; texts of few characters
+    may keep none. Rows may repeat, ids may be null, an empty table gives no rows, other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(width, scale)
         for b in batches:
-            out = pa.array([write(t or b"", hasher.sketch(t or b"")) for t in b.column(1).to_pylist()], pa.string())
+            out = pa.array([write(t or "", sketch(t or "", width, scale)) for t in b.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), out], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(each, f"doc_id {kind}, fingerprint string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(each, f"doc_id {kind}, fingerprint string")
 
 
-def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that ``make(id, text, next_text)`` gives for each document and the next one in descending order of id, the first following the last.
+def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_col: str = "text", rows_each: int = ROWS) -> DataFrame:
+    """Rows that ``make()(id, text, next_text)`` gives for each document and the next one in descending order of id, the first following the last.
 
-    The ids are cut into ranges of about equal counts, as many as there are tasks. Each range is sorted and read as a
-    stream, together with a copy of the first row of the next range that has rows, so a text moves once. Nulls come last; rows of one id are ordered by text.
+    The ids are cut into ranges of about ``rows_each`` rows, so their number follows the input (RANGES at most, then ranges grow). Each range is a partition, sorted and read as a
+    stream, together with a copy of the first row of the next range that has rows, so a text moves once. Nulls come last; rows of one id are ordered by text,
+    null texts being empty. An empty table gives no rows; a single row is its own next; other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    ids = rows.select("i")
-    cuts = ids.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))  # as many as parts at most
-    # Range 0 holds the greatest ids, the last one the smallest and nulls.
-    nth = F.when(F.col("i").isNull(), len(cuts)).otherwise(len(cuts) - F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("i")))) if cuts else F.lit(0)
-    ranged = rows.withColumn("range", nth.cast("int"))
-    heads = ranged.groupBy("range").agg(F.max("i").alias("top")).orderBy("range").collect()
-    if not heads:
-        return spark.createDataFrame([], schema)
-    before = {heads[k].range: heads[k - 1].range for k in range(len(heads))}
-    tops = [r.top for r in heads if r.top is not None]
-    first = F.col("i").isin(tops) if tops else F.lit(False)
-    if any(r.top is None for r in heads):
-        first = first | (F.col("i").isNull() & F.lit(len(heads) == 1 or heads[-1].top is None))
+    n = rows.select("i").count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], schema)
+    parts = min(RANGES, -(-n // rows_each))
+    ends = rows.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], 4 * parts)).first()[0] if parts > 1 else []
+    ends = np.array(sorted(set(ends or [])), np.int64)
+
+    # Range 0 holds the greatest ids, the last one nulls. Only ids go through Python here.
+    @F.pandas_udf("int")
+    def nth(i: pd.Series) -> pd.Series:
+        known = i.notna().to_numpy()
+        at = np.where(known, len(ends) - np.searchsorted(ends, i.fillna(0).to_numpy(np.int64), side="right"), len(ends) + 1)
+        return pd.Series(at.astype(np.int32))
+
+    numbered = rows.withColumn("range", nth("i"))
+    tops = {r.range: r.top for r in numbered.select("i", "range").groupBy("range").agg(F.max("i").alias("top")).collect()}  # as many as ranges
+    order = sorted(tops)
+    before = {r: order[k - 1] for k, r in enumerate(order)}
+
+    @F.pandas_udf("int")
+    def previous(r: pd.Series) -> pd.Series:
+        return r.map(before).astype("int32")
+
+    firsts = [v for v in tops.values() if v is not None]
+    first = F.col("i").isin(firsts) if firsts else F.lit(False)
+    if None in tops.values():
+        first = first | F.col("i").isNull()
     # Of the rows of a range's first id the one with the smallest text is its first.
-    chosen = ranged.where(first).groupBy("range", "i").agg(F.min("t").alias("t"))
-    top_of = F.create_map(*[F.lit(v) for r in heads for v in (r.range, r.top if r.top is not None else None)]) if tops else None
-    if top_of is not None:
-        chosen = chosen.where(F.col("i").eqNullSafe(top_of[F.col("range")]))
-    moved = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
-    copies = chosen.select("i", "t", moved[F.col("range")].cast("int").alias("range"), F.lit(True).alias("copy"))
-    dealt = ranged.select("i", "t", "range", F.lit(False).alias("copy")).unionByName(copies)
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "copy", F.col("i").desc_nulls_last(), "t")
+    copies = rows.where(first).groupBy("i").agg(F.min("t").alias("t")).withColumn("own", nth("i"))
+    copies = copies.select("i", "t", previous("own").alias("range"), F.lit(True).alias("copy"))
+    dealt = numbered.select("i", "t", "range", F.lit(False).alias("copy")).unionByName(copies)
+    ordered = dealt.repartitionById(len(ends) + 2, F.col("range")).sortWithinPartitions("copy", F.col("i").desc_nulls_last(), "t")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         last = None
         for b in batches:
             out = []
-            for row in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if last and last[2] == row[2] and not last[3]:
-                    out.append(work(last[0], last[1], row[1]))
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if last:
+                    out.append(work(*last, row[1]))
                 last = row
             if out:
                 yield pa.RecordBatch.from_pylist(out, arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return ordered.mapInArrow(each, schema)
+    return ordered.select("i", "t").mapInArrow(each, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and how much of the edited and of the next text's sketch is contained in the document's own, and the other way round."""
+
     def make():
-        hasher = Hasher()
+        held: list = [None, None]  # the next text and its sketch, which is the next row's own
 
         def work(doc_id: int | None, text: str, following: str) -> dict:
             k = len(text) // 3
             edited = text[: len(text) - k] + following[:k]
-            own, other, beside = (t.encode() for t in (text, edited, following))
-            a, b, c = (hasher.sketch(t) for t in (own, other, beside))
+            a = held[1] if held[0] == text else sketch(text)
+            b, c = sketch(edited), sketch(following)
+            held[:] = following, c
             return {
                 "doc_id": doc_id,
                 "n_chars": len(text),
-                "edited_sha256": hashlib.sha256(other).hexdigest(),
-                "fingerprint": write(own, a),
-                "edited_fingerprint": write(other, b),
-                "near_edited": likeness(a, b, own == other),
-                "near_next": likeness(a, c, own == beside),
+                "edited_sha256": hashlib.sha256(edited.encode(errors="surrogatepass")).hexdigest(),
+                "fingerprint": write(text, a),
+                "edited_fingerprint": write(edited, b),
+                "near_edited": likeness(a, b, text == edited),
+                "near_next": likeness(a, c, text == following),
+                "edited_in_own": containment(b, a),
+                "own_in_edited": containment(a, b),
+                "next_in_own": containment(c, a),
+                "own_in_next": containment(a, c),
             }
 
         return work
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_in_own double, own_in_edited double, next_in_own double, own_in_next double"
     return with_next(read(spark, sf_dir, "documents"), make, schema)
