@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from datetime import date
 from functools import lru_cache
 from math import isqrt
+from secrets import token_hex
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,6 +41,11 @@ IBAN = dict(
         "PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20",
     )
 )
+#: Country calling codes of one and of two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Digits of an international number with and without its country's code.
+PHONE_MOST, SUBSCRIBER_LEAST = 15, 5
 #: What any match holds; texts without it are left at once.
 HINT = re.compile(r"@|[0-9][0-9 ().\-/]{6}")
 
@@ -136,8 +142,10 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         fits = lambda x: 0 < x // 10**6 < 900 and x // 10**6 != 666 and x // 10**4 % 100 and x % 10**4
         return _refill(text, f"{_until(fits, int(digits), 10**9, key, kind, back):09d}") if fits(int(digits)) else None
     if kind == "phone":
-        head = digits[: 1 if digits[0] == "1" else 2] if text[0] == "+" else ""
+        head = digits[: 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3] if text[0] == "+" else ""
         body = digits[len(head) :]
+        if len(digits) > PHONE_MOST or len(body) < SUBSCRIBER_LEAST or head == "1" and len(body) != 10:
+            return None
         nanp = lambda x: x // 10**9 >= 2 and x // 10**6 % 10 >= 2
         n = len(body)
         dialled = n == 10 and head in ("", "1") and nanp(int(body))
@@ -183,7 +191,7 @@ def _ends(text: str, start: int, group: re.Pattern, least: int, most: int) -> li
     return out
 
 
-CARD_GROUP, IBAN_GROUP = re.compile(r"[\x20-]?([0-9]+)"), re.compile(r"\x20?([A-Z0-9]+)")
+CARD_GROUP, IBAN_GROUP, PHONE_GROUP = re.compile(r"[\x20-]?([0-9]+)"), re.compile(r"\x20?([A-Z0-9]+)"), re.compile(r"[\x20().-]{0,2}([0-9]+)")
 #: Where a number may begin within a run of them.
 BORDER = re.compile(r"(?<=[\x20-])[0-9]")
 IBAN_BORDER = re.compile(r"(?<=\x20)[A-Z]{2}[0-9]{2}")
@@ -202,7 +210,7 @@ def card_end(text: str, start: int, key: bytes, back: bool = False) -> int | Non
 
 
 def iban_end(text: str, start: int, end: int, key: bytes, back: bool = False) -> int | None:
-    """Where the IBAN ends that begins here, if one does: at its country's length, else at ``end``; of unknown countries at the last border,
+    """Where the IBAN ends that begins here, if one does: at its country's length; of unknown countries at the last border,
     unless one of a known country begins within it."""
 
     def at_length(at: int) -> list[int]:
@@ -211,17 +219,29 @@ def iban_end(text: str, start: int, end: int, key: bytes, back: bool = False) ->
 
     if ends := at_length(start):
         return ends[0]
-    others = [end] if text[start : start + 2] in IBAN else [*_ends(text, start, IBAN_GROUP, 12, 34)[::-1], end]
+    if text[start : start + 2] in IBAN:
+        return None
+    others = [*_ends(text, start, IBAN_GROUP, 12, 34)[::-1], end]
     valid = next((e for e in others if pseudonym("iban", text[start:e], key, back)), None)
     return None if valid and any(at_length(m.start()) for m in IBAN_BORDER.finditer(text, start + 1, valid)) else valid
 
 
+def phone_end(text: str, start: int, end: int, key: bytes, back: bool = False) -> int | None:
+    """Where the phone number ends that begins here: at ``end``, or at the last border of digit groups up to which it is valid."""
+    ends = [end] if text[start] != "+" else [end, *reversed(_ends(text, start + 1, PHONE_GROUP, 8, PHONE_MOST))]
+    return next((e for e in ends if pseudonym("phone", text[start:e], key, back)), None)
+
+
 def places(text: str, key: bytes, back: bool = False) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of each valid value, from the left, without overlaps."""
     at = 0
     while m := PLACES.search(text, at):
         kind = m.lastgroup
-        end = card_end(text, m.start(), key, back) if kind == "card" else iban_end(text, m.start(), m.end(), key, back) if kind == "iban" else m.end()
+        end = m.end()
+        if kind == "card":
+            end = card_end(text, m.start(), key, back)
+        elif kind in ("iban", "phone"):
+            end = (iban_end if kind == "iban" else phone_end)(text, m.start(), m.end(), key, back)
         if end and (new := pseudonym(kind, text[m.start() : end], key, back)):
             yield kind, m.start(), end, new
             at = end
@@ -276,7 +296,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     Card numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 addresses, phone numbers, calendar dates and the local parts of mail
     addresses are permuted among the values of the same form, by a Feistel network whose rounds are keyed: equal values get equal pseudonyms in all
     documents, different ones stay different, and the key's holder can invert them. What fails its check (a number
-    with a wrong check digit, 31 February) is no such value and stays. Null texts stay null with counts of 0; nothing else of a text changes;
+    with a wrong check digit, an IBAN that isn't as long as its country's, a phone number of over 15 digits, 31 February) is no such value and stays. A phone number's
+    country code, a card's check digit and an IBAN's country and check digits follow from the form. Null texts stay null with counts of 0; nothing else of a text changes;
     rows may repeat and ids may be null; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -292,6 +313,13 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(each, f"doc_id {kind}, text string, " + ", ".join(f"{c} long" for c in columns))
 
 
+def run_key(spark: SparkSession) -> bytes:
+    """The key of the setting landloom.pii.key; where that is unset, one drawn at random for this session, which nobody can invert with afterwards."""
+    if not spark.conf.get("landloom.pii.key", None):
+        spark.conf.set("landloom.pii.key", token_hex(32))
+    return spark.conf.get("landloom.pii.key").encode()
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under the key of the setting landloom.pii.key, or a published one where that is unset."""
-    return pseudonymise(read(spark, sf_dir, "documents"), spark.conf.get("landloom.pii.key", "published test key").encode())
+    """All documents under the session's key. To link runs, or to invert pseudonyms, set landloom.pii.key."""
+    return pseudonymise(read(spark, sf_dir, "documents"), run_key(spark))
