@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _USE = lambda k: f"CASE ({k}) % 6 WHEN 0 THEN 'residential' WHEN 1 THEN 'commercial' WHEN 2 THEN 'retail' WHEN 3 THEN 'office' WHEN 4 THEN 'industrial' ELSE 'agricultural' END"
 _ZONE = "CASE k % 3 WHEN 0 THEN 'R-1' WHEN 1 THEN 'C-1' ELSE 'historic-district' END"
 _PARCEL = f"""
-  SELECT k, 'P-' || CAST(k AS STRING) AS parcel_id, 'town-' || CAST(k % 5 AS STRING) AS jurisdiction, 'N-' || CAST(k DIV 100 AS STRING) AS neighborhood,
+  SELECT k, 'P-' || CAST(k AS STRING) AS parcel_id, 'town-' || CAST((k DIV 2) % 5 AS STRING) AS jurisdiction, 'N-' || CAST(k DIV 100 AS STRING) AS neighborhood,
     {_ZONE} AS zone_code, k % 10 = 0 AS overlay, CASE WHEN k % 41 <> 0 THEN CAST(200 + (k * 37) % 1800 AS DOUBLE) END AS area_sqm,
     {_USE('k')} AS current_use, k % 4 = 0 AS for_sale, p_retailprice / 50 AS price_per_sqm, 'Owner ' || CAST(k % 97 AS STRING) AS owner_name,
     CAST((k * 211) % 90000 AS DOUBLE) AS tax_value, CAST(40 + (k * 17) % 300 AS DOUBLE) AS footprint_area,
@@ -55,7 +55,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
         CASE WHEN o.o_orderkey % 71 <> 0 THEN CAST(o.o_orderkey % 8 AS DOUBLE) END AS setback_front_m, CASE WHEN o.o_orderkey % 73 <> 0 THEN CAST(o.o_orderkey % 4 AS DOUBLE) END AS setback_side_m,
         CASE WHEN o.o_orderkey % 79 <> 0 THEN CAST(o.o_orderkey % 6 AS DOUBLE) END AS setback_rear_m, CASE WHEN o.o_orderkey % 83 <> 0 THEN CAST(o.o_orderkey % 20 AS DOUBLE) END AS parking_spaces,
         CASE WHEN o.o_orderkey % 3 = 0 THEN 'brick' WHEN o.o_orderkey % 3 = 1 THEN 'glass' END AS facade_material, CASE WHEN o.o_orderkey % 5 < 4 THEN o.o_orderkey % 5 = 0 END AS includes_demolition
-      FROM orders o JOIN (SELECT *, COUNT(*) OVER () AS n FROM parcels) p ON p.k = o.o_orderkey % p.n"""),
+      FROM (SELECT *, o_orderkey % (SELECT COUNT(*) FROM part) AS at FROM orders) o JOIN parcels p ON p.k = o.at"""),
     "entities": ([], """
       SELECT j AS eid, CASE t WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINE' WHEN 2 THEN 'LWPOLYLINE' WHEN 3 THEN 'POLYLINE' WHEN 4 THEN 'CIRCLE' WHEN 5 THEN 'ARC' ELSE 'TEXT' END AS dxftype,
         CASE s WHEN 0 THEN 'PARCELS' WHEN 1 THEN 'BUILDING_A' WHEN 2 THEN 'ROAD_MAIN' WHEN 3 THEN 'WATER_1' WHEN 4 THEN 'DEFPOINTS' WHEN 5 THEN 'DIMENSION' WHEN 6 THEN 'TITLE' ELSE 'misc' END AS layer,

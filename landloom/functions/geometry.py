@@ -352,10 +352,10 @@ def geometry_flags(g: Column) -> Column:
 
 
 def number(x: Column, digits: int = 6) -> Column:
-    """A double as text without exponent: up to so many decimals, trailing zeros gone."""
-    text = F.format_string(f"%.{digits}f", x)
-    bare = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(bare == "-0", "0").otherwise(bare)
+    """A double as text without exponent: up to so many decimals, half up, trailing zeros gone."""
+    usual = F.coalesce(x.cast(f"decimal({18 + digits},{digits})").cast("string"), F.when(F.isnan(x) | (F.abs(x) > 1e17), F.format_string(f"%.{digits}f", x)))
+    bare = F.rtrim(F.rtrim(usual, F.lit("0")), F.lit(".")) if digits else usual
+    return F.when(bare == "-0", "0").otherwise(F.when(usual.contains("."), bare).otherwise(usual)) if digits else bare
 
 
 def _nested(g: Column, pair, open_: str, close: str, sep: str) -> dict[str, Column]:

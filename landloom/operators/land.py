@@ -79,15 +79,18 @@ def landuse_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-def parcel_lineage(previous: DataFrame, current: DataFrame, key: str, size: float = 0.05) -> DataFrame:
-    """(kind, parcel, n): removed parcels that two or more new ones cover (subdivided), and new ones that cover two or more removed ones (merged).
+def parcel_lineage(previous: DataFrame, current: DataFrame, keys: list[str], size: float = 0.05) -> DataFrame:
+    """(kind, keys, n): removed parcels that two or more new ones cover (subdivided), and new ones that cover two or more removed ones (merged).
 
-    Covering means that the overlap is half of the smaller area or more. Only parcels whose key is on one side are compared.
+    Covering means that the overlap is half of the smaller area or more. ``keys``, in order, name a parcel; only parcels whose keys are on one side are compared, and only
+    with those that share all keys but the last, such as their jurisdiction.
     """
-    gone, come = previous.join(current.select(key), key, "left_anti"), current.join(previous.select(key), key, "left_anti")
-    pairs = sp.overlaps(gone.select(F.col(key).alias("a_id"), "geom"), come.select(F.col(key).alias("b_id"), "geom"), size)
+    gone, come = previous.join(current.select(*keys), keys, "left_anti"), current.join(previous.select(*keys), keys, "left_anti")
+    pairs = sp.overlaps(gone.select(F.struct(*keys).alias("a_id"), "geom"), come.select(F.struct(*keys).alias("b_id"), "geom"), size)
     close = pairs.where(F.col("overlap") >= 0.5 * F.least("a_area", "b_area"))
-    count = lambda by, kind: close.groupBy(F.col(by).alias("parcel")).agg(F.count("*").alias("n")).where("n >= 2").select(F.lit(kind).alias("kind"), "parcel", "n")
+    for k in keys[:-1]:
+        close = close.where(F.col(f"a_id.{k}") == F.col(f"b_id.{k}"))
+    count = lambda by, kind: close.groupBy(F.col(by).alias("parcel")).agg(F.count("*").alias("n")).where("n >= 2").select(F.lit(kind).alias("kind"), "parcel.*", "n")
     return count("a_id", "subdivided").unionByName(count("b_id", "merged"))
 
 

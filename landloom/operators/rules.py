@@ -56,13 +56,6 @@ def merge_overlays(parcels: DataFrame, overlays: str = "overlays") -> DataFrame:
     return parcels.select(*keep, F.col("zone_code").alias("base_zone"), F.posexplode(zones).alias("part", "zone_code"))
 
 
-def _canonical(df: DataFrame, c: str) -> Column:
-    kind = df.schema[c].dataType
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return number(F.col(c).cast("double"), 10)
-    return F.col(c).cast("string")
-
-
 def required_text(kind: Column) -> Column:
     """What a rule asks for, as text."""
     none = F.lit("∞")
@@ -84,19 +77,41 @@ def evaluate(proposals: DataFrame, rules: DataFrame, fields: list[str], key: str
     ruleset is found there is one failing row of type error. Rules are a small dimension and are broadcast; proposals aren't shuffled.
     """
     resolved = resolve_ruleset(proposals, rules)
-    numeric = [c for c in fields if isinstance(proposals.schema[c].dataType, T.NumericType)]
-    pairs = lambda cols, f: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c), f(c)) for c in cols]), lambda s: s["col2"].isNotNull()))
-    texts = pairs(fields, lambda c: _canonical(proposals, c).alias("col2"))
-    numbers = pairs(numeric, lambda c: F.col(c).cast("double").alias("col2"))
-    rows = resolved.select(key, "part", "from", F.col("zone_code").alias("zone"), texts.alias("t"), numbers.alias("n"))
+    kinds = {c: proposals.schema[c].dataType for c in fields}
+    real = [c for c in fields if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
+    numeric = [c for c in fields if isinstance(kinds[c], T.NumericType)]
     told = rules.withColumn("required", required_text(F.col("type")))  # once for each rule
-    each = rows.join(F.broadcast(told), (F.col("from") == told.jurisdiction) & (F.col("zone") == told.zone_code), "left")
-    at = lambda m, c: F.try_element_at(F.col(m), F.col(c))
-    v, text, num, den = at("n", "field"), at("t", "field"), at("n", "field"), at("n", "denominator")
+    rows = resolved.select(key, "part", "from", F.col("zone_code").alias("zone"), *fields)
+    # Rules' own columns are put in a struct, as fields may be called like them.
+    of_rule = F.broadcast(told.select(F.struct("*").alias("rule")))
+    each = rows.join(of_rule, (F.col("from") == F.col("rule.jurisdiction")) & (F.col("zone") == F.col("rule.zone_code")), "left")
+
+    def by_name(name: Column, columns: list[str], kind: str) -> Column:
+        """The value of the field of that name, out of these columns; no map of all fields is made for it."""
+        out = F.lit(None).cast(kind)
+        for c in columns:
+            out = F.when(name == c, F.col(c).cast(kind)).otherwise(out)
+        return out
+
+    asked = F.col("rule.field")
+    values = F.map_from_entries(F.transform(F.map_entries(F.coalesce("rule.fields", F.create_map().cast("map<string,string>"))), lambda s: F.struct(s["key"], by_name(s["value"], numeric, "double"))))
+    each = each.select(
+        key,
+        "part",
+        "rule.*",
+        by_name(asked, numeric, "double").alias("num"),
+        by_name(asked, [c for c in fields if c not in real], "string").alias("plain"),
+        by_name(F.col("rule.denominator"), numeric, "double").alias("den"),
+        F.when(F.col("rule.type") == "setback_check", values).alias("n"),
+    )
+    v, num, den = F.col("num"), F.col("num"), F.col("den")
+    # Text is made where a result shows it.
+    text = F.coalesce("plain", number(F.col("num"), 10))
+    missing = F.col("plain").isNull() & F.col("num").isNull()
     ratio = F.try_divide(num, den)
     directions = F.map_entries(F.coalesce("fields", F.create_map().cast("map<string,string>")))
     limit = lambda s: F.try_element_at(F.col("limits"), s["key"])
-    value = lambda s: F.try_element_at(F.col("n"), s["value"])
+    value = lambda s: F.try_element_at(F.col("n"), s["key"])
     lacking = lambda s: value(s).isNull() | limit(s).isNull()
     failing = F.filter(directions, lambda s: lacking(s) | (value(s) < limit(s)))
     failures = F.transform(failing, lambda s: F.concat(s["key"], F.lit("="), F.when(lacking(s), "MISSING").otherwise(F.concat(number(value(s)), F.lit(" (need ≥ "), number(limit(s)), F.lit(")")))))
@@ -106,7 +121,7 @@ def evaluate(proposals: DataFrame, rules: DataFrame, fields: list[str], key: str
     ratio_missing = (kind == "ratio_min") & (num.isNull() | den.isNull())
     proposed = (
         F.when(kind.isNull(), "")
-        .when(simple & text.isNull() | ratio_missing, "MISSING")
+        .when(simple & missing | ratio_missing, "MISSING")
         .when(simple, text)
         .when((kind == "ratio_min") & (den == 0), "DIV/0")
         .when(kind == "ratio_min", F.concat(number(num), F.lit(" ("), F.format_string("%.2f", ratio), F.lit(" per "), F.col("denominator"), F.lit(")")))

@@ -24,49 +24,115 @@ def segments(layer: DataFrame) -> DataFrame:
     return layer.where(F.col("geom").isNotNull()).select("layer_key", "fid", F.inline(sides))
 
 
+def sides_of(candidates: DataFrame) -> DataFrame:
+    """(candidate_id, cax, cay, cbx, cby): the sides of candidates (candidate_id, geom) or of points (candidate_id, x, y)."""
+    geom = F.col("geom") if "geom" in candidates.columns else g.point(F.col("x"), F.col("y"))
+    rows = segments(candidates.select(F.lit("").alias("layer_key"), F.col("candidate_id").alias("fid"), geom.alias("geom")))
+    return rows.select(F.col("fid").alias("candidate_id"), *[F.col(c).alias(f"c{c}") for c in ("ax", "ay", "bx", "by")])
+
+
+def _closest(point: tuple[str, str], start: tuple[str, str], end: tuple[str, str]) -> tuple[Column, Column]:
+    """The place of a side that is the closest to a point."""
+    (px, py), (ax, ay), (bx, by) = (tuple(map(F.col, at)) for at in (point, start, end))
+    dx, dy = bx - ax, by - ay
+    along = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))))
+    return ax + along * dx, ay + along * dy
+
+
+def side_gap() -> Column:
+    """struct<flat, x, y, px, py>: the least distance of two sides, ca to cb and a to b, in the plane, and the places that are so far apart; 0 where the sides cross.
+
+    If they don't cross, an end of one of them is closest.
+    """
+    ends = [("cax", "cay"), ("cbx", "cby"), ("ax", "ay"), ("bx", "by")]
+    options = []
+    for k, (x, y) in enumerate(ends):
+        other = (ends[2], ends[3]) if k < 2 else (ends[0], ends[1])
+        px, py = _closest((x, y), *other)
+        flat = F.sqrt((F.col(x) - px) * (F.col(x) - px) + (F.col(y) - py) * (F.col(y) - py))
+        options.append(F.struct(flat.alias("flat"), F.col(x).alias("x"), F.col(y).alias("y"), px.alias("px"), py.alias("py")))
+    turn = lambda p, q, r: (F.col(q[0]) - F.col(p[0])) * (F.col(r[1]) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(r[0]) - F.col(p[0]))
+    a, b, c, d = ends
+    apart = lambda u, v: F.signum(u) * F.signum(v) < 0
+    crossing = apart(turn(a, b, c), turn(a, b, d)) & apart(turn(c, d, a), turn(c, d, b))
+    nothing = F.struct(F.lit(0.0).alias("flat"), F.col("cax").alias("x"), F.col("cay").alias("y"), F.col("cax").alias("px"), F.col("cay").alias("py"))
+    return F.when(crossing, nothing).otherwise(F.least(*options))
+
+
+def inside_pairs(candidates: DataFrame, layer: DataFrame, size: float) -> DataFrame:
+    """Pairs (candidate_id, layer_key, fid) of which one geometry lies in the other or over its edge: a first vertex of a part of one is in a polygon of the other."""
+    geom = F.col("geom") if "geom" in candidates.columns else g.point(F.col("x"), F.col("y"))
+    own = candidates.select("candidate_id", geom.alias("geom")).where(F.col("geom").isNotNull())
+    feats = layer.select("layer_key", "fid", "geom").where(F.col("geom").isNotNull())
+
+    def firsts(df: DataFrame, *ids: str) -> DataFrame:
+        v = df.select(*ids, F.explode(F.transform("geom.parts", lambda part: part[0][0])).alias("v")).where("v is not null")
+        return v.select(*ids, F.col("v.x").alias("x"), F.col("v.y").alias("y"), *[F.col(f"v.{c[0]}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+
+    areas = lambda df, *ids: g.with_bbox(df.where(g.is_area(F.col("geom"))).select(*ids, "geom")).where("xmin is not null")
+    one = sp.bbox_pairs(firsts(own, "candidate_id"), areas(feats, "layer_key", "fid"), size).where(sp.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
+    other = sp.bbox_pairs(firsts(feats, "layer_key", "fid"), areas(own, "candidate_id"), size).where(sp.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
+    return one.select("candidate_id", "layer_key", "fid").unionByName(other.select("candidate_id", "layer_key", "fid"))
+
+
 def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, size: float = 0.02, sphere: bool = False) -> DataFrame:
-    """(candidate_id, layer_key, metres): of each layer the least distance of a candidate point (candidate_id, x, y) to a feature.
+    """(candidate_id, layer_key, metres): of each layer the least distance of a candidate, a geometry of any type (candidate_id, geom) or a point (candidate_id, x, y), to a feature.
 
-    For each feature the nearest point in the plane counts, and its length on the ellipsoid (or the sphere); 0 inside polygons. Features are looked for in the
-    cells around a candidate; a candidate that has found none that is surely the nearest looks again with cells four times as wide, so each round joins a
-    bounded neighbourhood and has fewer candidates. Layers without a geometry give no row.
+    For each feature the nearest places in the plane count, and the length between them on the ellipsoid (or the sphere); 0 where they meet or one lies in the other. Features are looked for in the
+    cells around a candidate's sides; a candidate that has found none that is surely the nearest looks again with cells four times as wide, so each round joins a
+    bounded neighbourhood and has fewer candidates. Layers without a geometry give no row, and candidates without one neither.
     """
     feats = layer.where(F.col("layer_key").isin(keys)) if keys is not None else layer
-    seg = cut(segments(feats))
+    seg, own = cut(segments(feats)), cut(sides_of(candidates))
+    nothing = candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("metres")).where("false")
     ends = seg.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
-    if ends[0] is None:
-        return candidates.select("candidate_id", F.lit(None).cast("string").alias("layer_key"), F.lit(None).cast("double").alias("metres")).where("false")
-    here = candidates.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if here[0] is None:
-        return candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("metres")).where("false")
+    here = own.agg(F.min(F.least("cax", "cbx")), F.max(F.greatest("cax", "cbx")), F.min(F.least("cay", "cby")), F.max(F.greatest("cay", "cby"))).first()
+    if ends[0] is None or here[0] is None:
+        return nothing
     span = max(max(ends[1], here[1]) - min(ends[0], here[0]), max(ends[3], here[3]) - min(ends[2], here[2]))
     present = F.broadcast(seg.select("layer_key").distinct())
-    rest = cut(candidates.select("candidate_id", "x", "y").join(present))  # a row for each layer there is
+    rest = cut(own.select("candidate_id").distinct().join(present))  # a row for each layer there is
     done: list[DataFrame] = []
-    polygons = feats.where(g.is_area(F.col("geom")))
-    if polygons.take(1):
-        named = g.with_bbox(polygons.select("layer_key", "geom")).where("xmin is not null")
-        left = candidates.select("candidate_id", "x", "y", F.col("x").alias("xmin"), F.col("x").alias("xmax"), F.col("y").alias("ymin"), F.col("y").alias("ymax"))
-        inside = sp.bbox_pairs(left, named, size).where(sp.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
-        done.append(cut(inside.select("candidate_id", "layer_key", F.lit(0.0).alias("metres")).distinct()))
+    if feats.where(g.is_area(F.col("geom"))).take(1) or "geom" in candidates.columns and candidates.where(g.is_area(F.col("geom"))).take(1):
+        done.append(cut(inside_pairs(candidates, feats, size).select("candidate_id", "layer_key", F.lit(0.0).alias("metres")).distinct()))
         rest = cut(rest.join(done[0], ["candidate_id", "layer_key"], "left_anti"))
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    along = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy))))
     while rest.take(1):
         wide = seg.withColumns({"xmin": F.least("ax", "bx"), "xmax": F.greatest("ax", "bx"), "ymin": F.least("ay", "by"), "ymax": F.greatest("ay", "by")})
-        near = sp._neighbour_cells(rest, size).join(sp._cells(wide, size), ["layer_key", "cx", "cy"])
-        near = near.withColumns({"px": F.col("ax") + along * dx, "py": F.col("ay") + along * dy})
-        flat = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
-        each = near.groupBy("candidate_id", "layer_key", "fid", "x", "y").agg(F.min(F.struct(flat.alias("flat"), "px", "py")).alias("p"))
-        length = (g.distance_sphere if sphere else g.distance_geodesic)("x", "y", F.col("p.px"), F.col("p.py"))
-        best = each.withColumn("m", length).groupBy("candidate_id", "layer_key", "y").agg(F.min("m").alias("metres"))
+        asked = own.join(rest, "candidate_id").withColumns({"xmin": F.least("cax", "cbx"), "xmax": F.greatest("cax", "cbx"), "ymin": F.least("cay", "cby"), "ymax": F.greatest("cay", "cby")})
+        asked = sp._cells(asked, size, size).select("candidate_id", "layer_key", "cax", "cay", "cbx", "cby", "cx", "cy")
+        near = asked.join(sp._cells(wide, size).select("layer_key", "fid", "ax", "ay", "bx", "by", "cx", "cy"), ["layer_key", "cx", "cy"])
+        each = near.groupBy("candidate_id", "layer_key", "fid").agg(F.min(side_gap()).alias("p"))
+        length = (g.distance_sphere if sphere else g.distance_geodesic)(F.col("p.x"), F.col("p.y"), F.col("p.px"), F.col("p.py"))
+        best = each.withColumn("m", length).groupBy("candidate_id", "layer_key").agg(F.min("m").alias("metres"), F.max(F.abs("p.y")).alias("y"))
         # Whatever lies outside the cells around is at least a cell's width away.
-        sure = F.lit(True) if size > span else F.col("metres") <= F.lit(size * 110500.0) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("y") + size)))
+        sure = F.lit(True) if size > span else F.col("metres") <= F.lit(size * 110500.0) * F.cos(F.radians(F.least(F.lit(89.0), F.col("y") + size)))
         found = cut(best.where(sure).select("candidate_id", "layer_key", "metres"))
         done.append(found)
         rest = cut(rest.join(found, ["candidate_id", "layer_key"], "left_anti"))
         size *= 4
-    return reduce(DataFrame.unionByName, done) if done else rest.select("candidate_id", "layer_key", F.lit(0.0).alias("metres"))
+    return reduce(DataFrame.unionByName, done) if done else nothing
+
+
+def features_within(candidates: DataFrame, layer: DataFrame, radius_deg: float) -> DataFrame:
+    """(candidate_id, n): features of any type at most the radius, in degrees, from a candidate of any type; candidates without any have 0.
+
+    Points around points are counted over a grid; where a line or polygon is on either side, sides are compared in cells of the radius.
+    """
+    plain = F.col("geom.type") == "Point"
+    at = F.col("geom.parts")[0][0][0]
+    asked = candidates if "geom" in candidates.columns else candidates.withColumn("geom", g.point(F.col("x"), F.col("y")))
+    spots = layer.where(plain).select(at["x"].alias("x"), at["y"].alias("y"))
+    points = asked.where(plain & at.isNotNull()).select("candidate_id", at["x"].alias("x"), at["y"].alias("y"))
+    counts = [sp.density_count(points, spots, radius_deg)]
+    shapes, areas = layer.where(~plain), asked.where(~plain)
+    for some, feats in ((points.withColumn("geom", g.point(F.col("x"), F.col("y"))), shapes), (areas, layer)):
+        own = sides_of(some).withColumns({"xmin": F.least("cax", "cbx"), "xmax": F.greatest("cax", "cbx"), "ymin": F.least("cay", "cby"), "ymax": F.greatest("cay", "cby")})
+        theirs = segments(feats).withColumns({"xmin": F.least("ax", "bx"), "xmax": F.greatest("ax", "bx"), "ymin": F.least("ay", "by"), "ymax": F.greatest("ay", "by")})
+        met = sp.bbox_pairs(own, theirs, max(radius_deg, 1e-6), radius_deg).where(side_gap()["flat"] <= radius_deg).select("candidate_id", "layer_key", "fid")
+        held = inside_pairs(some, feats, max(radius_deg, 1e-6))
+        counts.append(met.unionByName(held).distinct().groupBy("candidate_id").agg(F.count("*").alias("n")))
+    total = reduce(DataFrame.unionByName, counts).groupBy("candidate_id").agg(F.sum("n").alias("n"))
+    return candidates.select("candidate_id").join(total, "candidate_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def overlap_share(candidates: DataFrame, layer: DataFrame, size: float = 0.05) -> DataFrame:
@@ -101,9 +167,7 @@ def score_criteria(candidates: DataFrame, layers: DataFrame, criteria: DataFrame
     share = overlap_share(candidates, layers.where(F.col("layer_key").isin(by("overlap_with_layer"))))
     found.append(share.select("candidate_id", F.lit("overlap_with_layer").alias("type"), F.col("layer_key").alias("layer"), F.lit(None).cast("double").alias("radius_km"), F.col("share").alias("value")))
     for layer, radius in sorted({(r.layer, r.radius_km) for r in rows if r.type == "density_count"}):
-        p = g.centroid(F.col("geom"))
-        pts = layers.where(F.col("layer_key") == layer).select(p["x"].alias("x"), p["y"].alias("y"))
-        n = sp.density_count(candidates, pts, radius / 111)
+        n = features_within(candidates, layers.where(F.col("layer_key") == layer), radius / 111)
         found.append(n.select("candidate_id", F.lit("density_count").alias("type"), F.lit(layer).alias("layer"), F.lit(radius).alias("radius_km"), F.col("n").cast("double").alias("value")))
     if dem is not None:
         e = terrain_elevation(candidates, dem)

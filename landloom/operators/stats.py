@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from landloom.functions import geometry as g, text as tx
+from landloom.session import cut
 
 
 def layer_summary(df: DataFrame) -> DataFrame:
@@ -53,33 +54,56 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each numeric column: count, min, max, mean, median, population std, 5th and 95th by rank, and values over 3 std from the mean.
 
-    Values are counted by (column, value) before anything else, so repeats move once a task. Ranks come from running counts over ranges of
-    values, not from a sort in one place: counts of 512 ranges of equal width give each range's first rank. Columns without values give no row.
+    Values are counted by (column, value) once, so repeats move once a task, and all else reads these counts. Columns without values give no row.
     """
-    values = long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("c"))
-    lo_hi = values.groupBy("column").agg(
+    values = cut(long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("c")))
+    moments = values.groupBy("column").agg(
         F.sum("c").alias("count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"),
     )
-    lo_hi = F.broadcast(lo_hi)  # a row for each column
-    centred = values.join(lo_hi, "column").withColumn("d", F.col("value") - F.col("mean"))
-    spread = centred.groupBy("column").agg(F.sqrt(F.sum(F.col("d") * F.col("d") * F.col("c")) / F.sum("c")).alias("std"))
-    spread = F.broadcast(spread)
-    far = centred.join(spread, "column").groupBy("column").agg(F.sum(F.when((F.col("std") > 0) & (F.abs("d") > 3 * F.col("std")), F.col("c")).otherwise(0)).alias("outliers"))
-    width = (F.col("max") - F.col("min")) / 512
-    ranged = values.join(lo_hi.select("column", "count", "min", "max"), "column").withColumn("bin", F.when(width > 0, F.least(F.lit(511), F.floor((F.col("value") - F.col("min")) / width))).otherwise(0))
-    bins = ranged.groupBy("column", "bin").agg(F.sum("c").alias("n"))
-    before = bins.select("column", "bin", F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    run = F.sum("c").over(Window.partitionBy("column", "bin").orderBy("value"))
-    ranks = ranged.join(F.broadcast(before), ["column", "bin"]).withColumn("last", F.col("before") + run).withColumn("first", F.col("last") - F.col("c"))  # at most 512 rows a column
-    n = F.col("count")
-    p5, p95 = F.greatest(F.lit(0), F.floor(n * 0.05) - 1), F.least(n - 1, F.floor(n * 0.95))
-    m1, m2 = F.floor((n - 1) / 2), F.floor(n / 2)
-    at = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("last")), F.col("value")))
-    picked = ranks.groupBy("column").agg(((at(m1) + at(m2)) / 2).alias("median"), at(p5).alias("p5"), at(p95).alias("p95"))
-    return lo_hi.join(spread, "column").join(far, "column").join(picked, "column").select("column", "count", "min", "max", "mean", "median", "std", "p5", "p95", "outliers")
+    moments = cut(moments)  # a row for each column
+    centred = values.join(F.broadcast(moments), "column").withColumn("d", F.col("value") - F.col("mean"))
+    spread = cut(centred.groupBy("column").agg(F.sqrt(F.sum(F.col("d") * F.col("d") * F.col("c")) / F.sum("c")).alias("std")))
+    far = centred.join(F.broadcast(spread), "column").groupBy("column").agg(F.sum(F.when((F.col("std") > 0) & (F.abs("d") > 3 * F.col("std")), F.col("c")).otherwise(0)).alias("outliers"))
+    ranks = {}
+    for r in moments.select("column", "count", "min", "max").collect():
+        n = r["count"]
+        ranks[r["column"]] = (r["min"], r["max"], {"m1": (n - 1) // 2, "m2": n // 2, "p5": max(0, int(n * 0.05) - 1), "p95": min(n - 1, int(n * 0.95))})
+    at = values_at(values, ranks)
+    picked = df.sparkSession.createDataFrame([(c, (at[c, "m1"] + at[c, "m2"]) / 2, at[c, "p5"], at[c, "p95"]) for c in ranks], "column string, median double, p5 double, p95 double")
+    return moments.join(spread, "column").join(far, "column").join(F.broadcast(picked), "column").select("column", "count", "min", "max", "mean", "median", "std", "p5", "p95", "outliers")
+
+
+def values_at(values: DataFrame, ranks: dict[str, tuple[float, float, dict[str, int]]], bins: int = 512) -> dict[tuple[str, str], float]:
+    """The value at each rank (from 0) of each column's values (column, value, c times), by rounds that narrow ranges; ``ranks`` has each column's least and greatest value and its ranks by name.
+
+    Of each range ``bins`` parts are counted, and the part that holds the rank is the next round's range, so nothing is sorted. Ranges that stay crowded, as where one value is far from all
+    others, are narrow in the next round. The driver sees the counts of these parts only.
+    """
+    spark = values.sparkSession
+    found: dict[tuple[str, str], float] = {}
+    left = {(c, name): (lo, hi, k) for c, (lo, hi, names) in ranks.items() for name, k in names.items()}
+    while left:
+        found |= {at: lo for at, (lo, hi, _) in left.items() if lo == hi}
+        left = {at: r for at, r in left.items() if r[0] != r[1]}
+        if not left:
+            break
+        spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in left.items()})
+        asked = F.broadcast(spark.createDataFrame(spans, "column string, lo double, hi double"))  # a few rows for each column
+        part = F.least(F.lit(bins - 1), F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins))  # halves, as the whole width may be infinite
+        counted = values.join(asked, "column").where("value between lo and hi").groupBy("column", "lo", "hi", part.alias("part")).agg(F.sum("c").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        parts: dict[tuple[str, float, float], list] = {}
+        for r in counted.orderBy("part").collect():
+            parts.setdefault((r.column, r.lo, r.hi), []).append((r.least, r.most, r.n))
+        for (c, name), (lo, hi, k) in list(left.items()):
+            for least, most, n in parts[c, lo, hi]:
+                if k < n:
+                    left[c, name] = (least, most, k)
+                    break
+                k -= n
+    return found
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:

@@ -49,6 +49,7 @@ def layer_statistics(df: DataFrame, columns: list[str], categories: list[str], b
     """Types, quality, duplicates, numeric statistics (those of areas and lengths among them), histograms and categories of a layer."""
     measured = df.where(~g.is_empty(F.col("geom"))).withColumns({"area": F.when(g.is_area(F.col("geom")), g.area(F.col("geom"))), "length": F.when(g.dimension(F.col("geom")) == 1, g.length(F.col("geom")))})
     numbers = [*columns, "area", "length"]
+    measured = cut(measured.select(*dict.fromkeys([*numbers, *categories])))  # geometries are measured once
     return {
         "types": stats.geometry_type_counts(df),
         "quality": stats.quality_counts(df),
@@ -121,5 +122,5 @@ def monitor_landuse(current: DataFrame, plan: DataFrame, previous: DataFrame | N
     flagged = current.join(status.where("status = 'violation'").select(*KEY), KEY, "left_semi")
     out["worst"] = land.top_groups(flagged, "neighborhood")
     if previous is not None:
-        out["drift"] = land.drift_counts(previous, current, land.parcel_lineage(previous, current, "parcel_id"), KEY)
+        out["drift"] = land.drift_counts(previous, current, land.parcel_lineage(previous, current, KEY), KEY)
     return out

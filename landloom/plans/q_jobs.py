@@ -236,7 +236,7 @@ def z05_layer_diff(s, d):
 @query()
 def z06_score_sites(s, d):
     """All four rulesets on the ellipsoid; the airport's scores are compared on the sphere by a13."""
-    return si.score_sites(ql.site_candidates(s, d, "true"), ql.site_layers(s, d), load_site_rulesets(s), fx.table(s, d, "dem"))
+    return si.score_sites(ql.site_candidates(s, d), ql.site_layers(s, d), load_site_rulesets(s), fx.table(s, d, "dem"))
 
 
 @query(f"{ql._DERIVED}{ql._RULES} SELECT proposal_id, count(*) FILTER (WHERE NOT passed) AS violations, count(*) FILTER (WHERE passed) AS passes, CASE WHEN bool_and(passed) THEN 'COMPLIANT' ELSE 'NON-COMPLIANT' END AS verdict, CAST(count(*) FILTER (WHERE NOT passed) AS INTEGER) AS advice FROM r GROUP BY proposal_id")

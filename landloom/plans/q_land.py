@@ -194,12 +194,12 @@ def site_layers(s, d):
     return f.select("layer_key", "fid", g.point(F.col("x"), F.col("y")).alias("geom")).unionByName(p)
 
 
-def site_candidates(s, d, where="fid % 3 = 1"):
-    p = fx.table(s, d, "points").where(where)
+def site_candidates(s, d):
+    p = fx.table(s, d, "points")
     return p.select(F.col("fid").alias("candidate_id"), "x", "y", g.point(F.col("x"), F.col("y")).alias("geom"))
 
 
-_DIST = f"dist AS (SELECT p.fid AS candidate_id, f.layer_key, min({_SPHERE('p', 'f')}) AS metres FROM points p JOIN facilities f ON true WHERE p.fid % 3 = 1 GROUP BY 1, 2)"
+_DIST = f"dist AS (SELECT p.fid AS candidate_id, f.layer_key, min({_SPHERE('p', 'f')}) AS metres FROM points p JOIN facilities f ON true GROUP BY 1, 2)"
 
 
 @query(f"{fx.duck('points', 'facilities')}, {_DIST} SELECT candidate_id, layer_key, round(metres, 2) AS metres FROM dist")
@@ -212,7 +212,17 @@ def j01_nearest_distance(s, d):
 def j01_nearest_distance_to_lines(s, d):
     r = fx.table(s, d, "roads")
     layer = r.select(F.lit("roads").alias("layer_key"), "fid", g.line((r.x0, r.y), (r.x1, r.y)).alias("geom"))
-    return si.nearest_distance(site_candidates(s, d, "true"), layer, sphere=True).select("candidate_id", "layer_key", _r("metres", 2).alias("metres"))
+    return si.nearest_distance(site_candidates(s, d), layer, sphere=True).select("candidate_id", "layer_key", _r("metres", 2).alias("metres"))
+
+
+_GAP = "sqrt(pow(greatest(0, b.x0 - a.x1, a.x0 - b.x1), 2) + pow(greatest(0, b.y0 - a.y1, a.y0 - b.y1), 2))"
+
+
+@query(f"{fx.duck('parcels_old', 'facilities')}, b AS (SELECT fid, layer_key, x AS x0, y AS y0, x AS x1, y AS y1 FROM facilities), n AS (SELECT a.fid AS candidate_id, b.layer_key, min({_SPHERE('u', 'v')}) AS metres FROM (SELECT * FROM parcels_old) a JOIN b ON true, LATERAL (SELECT greatest(a.x0, least(a.x1, b.x0)) AS x, greatest(a.y0, least(a.y1, b.y0)) AS y) u, LATERAL (SELECT b.x0 AS x, b.y0 AS y) v GROUP BY 1, 2) SELECT candidate_id, layer_key, round(metres, 2) AS metres FROM n")
+def j01_nearest_distance_of_polygons(s, d):
+    """From the edge of each parcel; 0 where the feature is in it."""
+    layers = site_layers(s, d).where("layer_key <> 'natural_earth:protected_areas'")
+    return si.nearest_distance(_boxes(s, d).select(F.col("fid").alias("candidate_id"), "geom"), layers, sphere=True).select("candidate_id", "layer_key", _r("metres", 2).alias("metres"))
 
 
 @query(f"""{fx.duck('parcels_old', 'protected')} SELECT a.fid AS candidate_id, 'p' AS layer_key, round(max((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0))), 8) AS share FROM parcels_old a JOIN protected b ON a.x1 >= b.x0 AND a.x0 <= b.x1 AND a.y1 >= b.y0 AND a.y0 <= b.y1 GROUP BY 1""")
@@ -223,7 +233,7 @@ def j02_overlap_share(s, d):
 
 @query(f"{fx.duck('points', 'dem')} SELECT p.fid AS candidate_id, e.elevation FROM points p LEFT JOIN dem e ON e.cell_x = CAST(floor((p.x - 36) / 0.01e0) AS BIGINT) AND e.cell_y = CAST(floor((p.y - 33) / 0.01e0) AS BIGINT)")
 def a15_terrain_elevation(s, d):
-    return si.terrain_elevation(site_candidates(s, d, "true"), fx.table(s, d, "dem"))
+    return si.terrain_elevation(site_candidates(s, d), fx.table(s, d, "dem"))
 
 
 _DEC = lambda v, i, a, u: f"CASE WHEN {v} <= {i} THEN 100 WHEN {v} >= {u} THEN 0 WHEN {v} <= {a} THEN 100 - 30 * (({v} - {i}) / ({a} - {i})) ELSE 70 - 70 * (({v} - {a}) / ({u} - {a})) END"
@@ -262,7 +272,7 @@ def a14_site_recommendations(s, d):
     return si.site_recommendations(scored).select("candidate_id", F.size("recommendations").alias("n")).join(weak, "candidate_id")
 
 
-@query(f"{_AIRPORT} SELECT candidate_id, printf('%.2f', road) || ' km to nearest matching feature (osm:highway=motorway|trunk|primary).' AS road_why, CASE WHEN hit THEN 'Full overlap with natural_earth:protected_areas (100%).' ELSE 'No overlap with natural_earth:protected_areas.' END AS overlap_why FROM k WHERE candidate_id % 3 = 1")
+@query(f"{_AIRPORT} SELECT candidate_id, printf('%.2f', road) || ' km to nearest matching feature (osm:highway=motorway|trunk|primary).' AS road_why, CASE WHEN hit THEN 'Full overlap with natural_earth:protected_areas (100%).' ELSE 'No overlap with natural_earth:protected_areas.' END AS overlap_why FROM k")
 def p33_explain_criterion(s, d):
     w = lambda n, a: F.max(F.when(F.col("name") == n, F.col("why"))).alias(a)
     return _airport(s, d).groupBy("candidate_id").agg(w("distance_to_major_road", "road_why"), w("protected_area_conflict", "overlap_why"))
@@ -344,20 +354,20 @@ def a26_landuse_status(s, d):
     return la.landuse_status(_compliance(s, d)).select(*KEY, "status")
 
 
-_LINEAGE = f"""{_PREV}, g AS (SELECT * FROM parcels_old WHERE parcel_id NOT IN (SELECT parcel_id FROM parcels_new)), c AS (SELECT * FROM parcels_new WHERE parcel_id NOT IN (SELECT parcel_id FROM parcels_old)),
-o AS (SELECT g.parcel_id AS a, c.parcel_id AS b FROM g JOIN c ON g.x1 >= c.x0 AND g.x0 <= c.x1 AND g.y1 >= c.y0 AND g.y0 <= c.y1 WHERE (least(g.x1, c.x1) - greatest(g.x0, c.x0)) * (least(g.y1, c.y1) - greatest(g.y0, c.y0)) >= 0.5e0 * least((g.x1 - g.x0) * (g.y1 - g.y0), (c.x1 - c.x0) * (c.y1 - c.y0))),
-l AS (SELECT 'subdivided' AS kind, a AS parcel, count(*) AS n FROM o GROUP BY a HAVING count(*) >= 2 UNION ALL SELECT 'merged', b, count(*) FROM o GROUP BY b HAVING count(*) >= 2)"""
+_LINEAGE = f"""{_PREV}, g AS (SELECT * FROM parcels_old o ANTI JOIN parcels_new n ON o.jurisdiction = n.jurisdiction AND o.parcel_id = n.parcel_id), c AS (SELECT * FROM parcels_new n ANTI JOIN parcels_old o ON o.jurisdiction = n.jurisdiction AND o.parcel_id = n.parcel_id),
+o AS (SELECT g.jurisdiction, g.parcel_id AS a, c.parcel_id AS b FROM g JOIN c ON g.jurisdiction = c.jurisdiction AND g.x1 >= c.x0 AND g.x0 <= c.x1 AND g.y1 >= c.y0 AND g.y0 <= c.y1 WHERE (least(g.x1, c.x1) - greatest(g.x0, c.x0)) * (least(g.y1, c.y1) - greatest(g.y0, c.y0)) >= 0.5e0 * least((g.x1 - g.x0) * (g.y1 - g.y0), (c.x1 - c.x0) * (c.y1 - c.y0))),
+l AS (SELECT 'subdivided' AS kind, jurisdiction, a AS parcel_id, count(*) AS n FROM o GROUP BY 2, 3 HAVING count(*) >= 2 UNION ALL SELECT 'merged', jurisdiction, b, count(*) FROM o GROUP BY 2, 3 HAVING count(*) >= 2)"""
 
 
-@query(f"{_LINEAGE} SELECT kind, parcel, n FROM l")
+@query(f"{_LINEAGE} SELECT kind, jurisdiction, parcel_id, n FROM l")
 def j14_parcel_lineage(s, d):
-    return la.parcel_lineage(_boxes(s, d), _boxes(s, d, "parcels_new"), "parcel_id")
+    return la.parcel_lineage(_boxes(s, d), _boxes(s, d, "parcels_new"), KEY)
 
 
 @query(f"""{_LINEAGE} SELECT kind, count(*) AS n FROM l GROUP BY kind UNION ALL SELECT CASE WHEN p.parcel_id IS NULL THEN 'new' WHEN q.parcel_id IS NULL THEN 'removed' ELSE 'changed' END AS kind, count(*) FROM parcels_old p FULL JOIN parcels_new q ON p.jurisdiction = q.jurisdiction AND p.parcel_id = q.parcel_id WHERE p.parcel_id IS NULL OR q.parcel_id IS NULL OR p.current_use IS DISTINCT FROM q.current_use GROUP BY 1""")
 def a26_drift_counts(s, d):
     old, new = _boxes(s, d), _boxes(s, d, "parcels_new")
-    return la.drift_counts(old, new, la.parcel_lineage(old, new, "parcel_id"), KEY)
+    return la.drift_counts(old, new, la.parcel_lineage(old, new, KEY), KEY)
 
 
 _RECON = f"""{fx.duck('parcels_old', 'parcels_new', 'damage')}, dmg AS (SELECT a.jurisdiction, a.parcel_id, max(list_position(['light', 'moderate', 'severe', 'destroyed'], b.damage_severity)) AS sev FROM parcels_old a JOIN damage b ON a.x1 >= b.x0 AND a.x0 <= b.x1 AND a.y1 >= b.y0 AND a.y0 <= b.y1 GROUP BY 1, 2),

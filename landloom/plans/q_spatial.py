@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landloom import fixtures as fx
 from landloom.functions import geometry as g
-from landloom.operators import spatial as sp, stats as st
+from landloom.operators import sites as si, spatial as sp, stats as st
 from landloom.plans.q_functions import _boxes, _odd
 
 Q: dict = {}
@@ -27,12 +27,22 @@ _r = lambda c, n=6: F.round(c, n)
 _MEET = "a.x1 >= b.x0 AND a.x0 <= b.x1 AND a.y1 >= b.y0 AND a.y0 <= b.y1"
 
 
-@query(f"{fx.duck('points', 'facilities')} SELECT c.fid AS candidate_id, count(f.fid) AS n FROM (SELECT * FROM points WHERE fid % 5 = 0) c LEFT JOIN facilities f ON sqrt((c.x - f.x) * (c.x - f.x) + (c.y - f.y) * (c.y - f.y)) <= 0.08e0 GROUP BY c.fid")
+@query(f"{fx.duck('points', 'facilities')} SELECT c.fid AS candidate_id, count(f.fid) AS n FROM points c LEFT JOIN facilities f ON sqrt((c.x - f.x) * (c.x - f.x) + (c.y - f.y) * (c.y - f.y)) <= 0.08e0 GROUP BY c.fid")
 def j03_density_count(s, d):
-    c = fx.table(s, d, "points").where("fid % 5 = 0").select(F.col("fid").alias("candidate_id"), "x", "y")
+    c = fx.table(s, d, "points").select(F.col("fid").alias("candidate_id"), "x", "y")
     return sp.density_count(c, fx.table(s, d, "facilities"), 0.08)
 
 
+@query(f"""{fx.duck('parcels_old', 'damage', 'roads')}, f AS (SELECT fid, x0, y0, x1, y1 FROM damage UNION ALL SELECT 1000000 + fid, x0, y, x1, y FROM roads)
+  SELECT a.fid AS candidate_id, count(b.fid) AS n FROM parcels_old a LEFT JOIN f b ON sqrt(pow(greatest(0, b.x0 - a.x1, a.x0 - b.x1), 2) + pow(greatest(0, b.y0 - a.y1, a.y0 - b.y1), 2)) <= 0.031e0 GROUP BY a.fid""")
+def j03_density_count_of_shapes(s, d):
+    """Parcels, and lines and polygons around them: what meets a parcel widened by the radius counts."""
+    r = fx.table(s, d, "roads")
+    lines = r.select(F.lit("f").alias("layer_key"), (F.col("fid") + 1000000).alias("fid"), g.line((r.x0, r.y), (r.x1, r.y)).alias("geom"))
+    feats = _boxes(s, d, "damage").select(F.lit("f").alias("layer_key"), "fid", "geom").unionByName(lines)
+    return si.features_within(_boxes(s, d).select(F.col("fid").alias("candidate_id"), "geom"), feats, 0.031)
+
+
 @query(f"""{fx.duck('facilities')}, t AS (SELECT fid, 2 * 6371008.8e0 * asin(sqrt(pow(sin(radians(33.5e0 - y) / 2), 2) + cos(radians(y)) * cos(radians(33.5e0)) * pow(sin(radians(36.5e0 - x) / 2), 2))) AS m FROM facilities)
   SELECT fid, round(m, 3) AS metres FROM t WHERE m <= 40000 ORDER BY m, fid LIMIT 20""")
 def j04_dwithin(s, d):
