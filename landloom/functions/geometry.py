@@ -288,29 +288,120 @@ def _plain(parts) -> list:
     return [[[(p["x"], p["y"]) for p in ring] for ring in part] for part in parts]
 
 
-@F.udf(T.BooleanType(), useArrow=True)
-def self_crossing(g) -> bool:
-    """Whether a ring of a polygon crosses itself."""
-    return bool(g) and g["type"] in ("Polygon", "MultiPolygon") and any(helpers.crosses_itself(r) for part in _plain(g["parts"]) for r in part)
+def ring_sides(rings: Column) -> Column:
+    """array<struct<p,q>>: the sides of rings or lines; one of a single vertex is a side of length 0."""
+    two = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.flatten(F.transform(rings, lambda r: F.when(F.size(r) > 1, two(r)).otherwise(F.transform(r, lambda p: F.struct(p.alias("p"), p.alias("q"))))))
 
 
-@F.udf(T.DoubleType(), useArrow=True)
-def overlap_area(a, b) -> float:
-    """Area common to two polygons; 0 if one is null."""
-    return helpers.overlap_area(_plain(a["parts"]), _plain(b["parts"])) if a and b else 0.0
+def sides(g: Column) -> Column:
+    return ring_sides(F.flatten(g["parts"]))
+
+
+def turn(p: Column, q: Column, x: Column, y: Column) -> Column:
+    """Over 0 where (x, y) is to the left of the way from p to q, 0 on its line."""
+    return (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
+
+
+def on_side(s: Column, x: Column, y: Column) -> Column:
+    between = lambda f, v: (v >= F.least(s["p"][f], s["q"][f])) & (v <= F.greatest(s["p"][f], s["q"][f]))
+    return (turn(s["p"], s["q"], x, y) == 0) & between("x", x) & between("y", y)
+
+
+def sides_meet(s: Column, t: Column) -> Column:
+    """Whether two closed sides have a point in common."""
+    boxes = F.lit(True)
+    for f in ("x", "y"):
+        boxes &= (F.least(s["p"][f], s["q"][f]) <= F.greatest(t["p"][f], t["q"][f])) & (F.greatest(s["p"][f], s["q"][f]) >= F.least(t["p"][f], t["q"][f]))
+    apart = lambda a, b: F.signum(a) * F.signum(b) <= 0
+    # Where boxes meet and neither side's ends are strictly on one side of the other, the sides meet.
+    of = lambda a, b: apart(turn(a["p"], a["q"], b["p"]["x"], b["p"]["y"]), turn(a["p"], a["q"], b["q"]["x"], b["q"]["y"]))
+    return boxes & of(s, t) & of(t, s)
+
+
+def in_polygon(x: Column, y: Column, g: Column) -> Column:
+    """Whether a point is in a polygon or on its boundary; sides are counted that a ray to the right crosses."""
+    all_sides = sides(g)
+    on = F.exists(all_sides, lambda s: on_side(s, x, y))
+    rises = lambda s: s["q"]["y"] > s["p"]["y"]
+    t = lambda s: turn(s["p"], s["q"], x, y)
+    crossed = F.size(F.filter(all_sides, lambda s: ((s["p"]["y"] > y) != (s["q"]["y"] > y)) & F.when(rises(s), t(s) > 0).otherwise(t(s) < 0)))
+    return on | (crossed % 2 == 1)
+
+
+def self_crossing(g: Column) -> Column:
+    """Whether sides of a polygon's ring meet anywhere but at the corners that neighbours share."""
+
+    def of_ring(ring: Column) -> Column:
+        # Without the repeated end; sides are numbered and each meets the later ones that it isn't next to. Neighbours may not turn back.
+        return let(F.when((F.size(ring) > 1) & (ring[0] == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring), lambda pts: of_points(pts))
+
+    def of_points(pts: Column) -> Column:
+        n = F.size(pts)
+        at = lambda k: F.get(pts, k % n)
+        numbered = F.transform(pts, lambda p, k: F.struct(p.alias("p"), at(k + 1).alias("q"), at(k + 2).alias("r"), k.alias("k")))
+
+        def back(s: Column) -> Column:
+            ahead = (s["p"]["x"] - s["q"]["x"]) * (s["r"]["x"] - s["q"]["x"]) + (s["p"]["y"] - s["q"]["y"]) * (s["r"]["y"] - s["q"]["y"])
+            return (n > 2) & (turn(s["p"], s["q"], s["r"]["x"], s["r"]["y"]) == 0) & (ahead > 0)
+
+        far = lambda s, t: (t["k"] > s["k"] + 1) & ~((s["k"] == 0) & (t["k"] == n - 1))
+        return let(numbered, lambda all_: F.exists(all_, lambda s: back(s) | F.exists(all_, lambda t: far(s, t) & sides_meet(s, t))))
 
+    return F.coalesce(is_area(g) & F.exists(F.flatten(g["parts"]), of_ring), F.lit(False))
 
-_AREAS = ("Polygon", "MultiPolygon")
 
+def _first_vertices(g: Column) -> Column:
+    return F.filter(F.transform(g["parts"], lambda part: part[0][0]), lambda v: v.isNotNull())
 
-@F.udf(T.BooleanType(), useArrow=True)
-def intersects(a, b) -> bool:
-    return bool(a and b) and helpers.meet(_plain(a["parts"]), _plain(b["parts"]), a["type"] in _AREAS, b["type"] in _AREAS)
 
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two geometries have a point in common: sides that meet, or one within the other; false for null. Points, lines and polygons of any form."""
+    crossing = let(sides(b), lambda other: F.exists(sides(a), lambda s: F.exists(other, lambda t: sides_meet(s, t))))
+    within = lambda x, y: is_area(y) & F.exists(_first_vertices(x), lambda v: in_polygon(v["x"], v["y"], y))
+    return F.coalesce(a.isNotNull() & b.isNotNull() & (crossing | within(a, b) | within(b, a)), F.lit(False))
 
-@F.udf(T.BooleanType(), useArrow=True)
-def contains(a, b) -> bool:
-    return bool(a and b) and a["type"] in _AREAS and helpers.contains(_plain(a["parts"]), _plain(b["parts"]), b["type"] in _AREAS)
+
+def contains(a: Column, b: Column) -> Column:
+    """Whether polygon a holds all of b, which may touch its boundary; false for null and empty.
+
+    The sides of b are cut where a's sides cross them or have an end on them; b is held if its vertices and the middles of all pieces are, and no hole's vertex of a lies inside b.
+    """
+
+    def pieces(s: Column, edges: Column) -> Column:
+        """Places along a side, from 0 to 1, at which an edge crosses or touches it."""
+        dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+
+        def along(e: Column) -> Column:
+            ex, ey = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+            cross = dx * ey - dy * ex
+            t = ((e["p"]["x"] - s["p"]["x"]) * ey - (e["p"]["y"] - s["p"]["y"]) * ex) / F.when(cross != 0, cross)
+            end = lambda v: F.when(on_side(s, v["x"], v["y"]), F.when(F.abs(dx) > F.abs(dy), (v["x"] - s["p"]["x"]) / F.when(dx != 0, dx)).otherwise((v["y"] - s["p"]["y"]) / F.when(dy != 0, dy)))
+            return F.array(F.when(sides_meet(s, e), t), end(e["p"]), end(e["q"]))
+
+        inner = F.filter(F.flatten(F.transform(edges, along)), lambda t: (t > 0) & (t < 1))
+        return F.array_sort(F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0))))
+
+    def middles_in(s: Column, edges: Column) -> Column:
+        def held(ts: Column) -> Column:
+            pairs = F.zip_with(F.slice(ts, 1, F.size(ts) - 1), F.slice(ts, 2, F.size(ts) - 1), lambda u, v: F.struct(((u + v) / 2).alias("m"), (v - u).alias("w")))
+            inside = lambda m: in_polygon(s["p"]["x"] + m * (s["q"]["x"] - s["p"]["x"]), s["p"]["y"] + m * (s["q"]["y"] - s["p"]["y"]), a)
+            return F.forall(pairs, lambda x: (x["w"] < 1e-9) | inside(x["m"]))
+
+        crossed = F.exists(edges, lambda e: sides_meet(s, e))
+        return F.when(crossed, let(pieces(s, edges), held)).otherwise(F.lit(True))
+
+    corners = F.forall(vertices(b), lambda v: in_polygon(v["x"], v["y"], a))
+    lines = let(sides(a), lambda edges: F.forall(sides(b), lambda s: middles_in(s, edges)))
+    strictly = lambda v: in_polygon(v["x"], v["y"], b) & ~F.exists(sides(b), lambda s: on_side(s, v["x"], v["y"]))
+    hole = is_area(b) & F.exists(F.flatten(F.transform(a["parts"], lambda part: F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0))))), lambda r: F.exists(r, strictly))
+    return F.coalesce(is_area(a) & ~is_empty(b) & corners & lines & ~hole, F.lit(False))
+
+
+@F.udf(T.DoubleType(), useArrow=True)
+def overlap_area(a, b) -> float:
+    """Area common to two polygons; 0 if one is null."""
+    return helpers.overlap_area(_plain(a["parts"]), _plain(b["parts"])) if a and b else 0.0
 
 
 @F.udf(GEOM_TYPE, useArrow=True)
@@ -326,13 +417,38 @@ def _clip(g, x0: float, y0: float, x1: float, y1: float):
     return {"type": g["type"], "parts": parts} if parts else None
 
 
+def _clip_lines(g: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """The pieces of lines inside a box, as a multi-line of their sides; null if there are none."""
+
+    def piece(s: Column) -> Column:
+        dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+        enter, leave, outside = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+        for d, at, low, high in ((dx, s["p"]["x"], x0, x1), (dy, s["p"]["y"], y0, y1)):
+            step = F.when(d != 0, d)
+            to_low, to_high = (low - at) / step, (high - at) / step
+            enter.append(F.coalesce(F.least(to_low, to_high), F.lit(0.0)))
+            leave.append(F.coalesce(F.greatest(to_low, to_high), F.lit(1.0)))
+            outside |= (d == 0) & ((at < low) | (at > high))
+        ends = F.struct(F.greatest(*enter).alias("t"), F.least(*leave).alias("u"))
+        where = lambda t: vertex(s["p"]["x"] + t * dx, s["p"]["y"] + t * dy)
+        return F.when(~outside, let(ends, lambda e: F.when(e["t"] < e["u"], F.array(F.array(F.when(e["t"] == 0, s["p"]).otherwise(where(e["t"])), F.when(e["u"] == 1, s["q"]).otherwise(where(e["u"])))))))
+
+    return let(F.array_compact(F.transform(sides(g), piece)), lambda parts: F.when(F.size(parts) > 0, make("MultiLineString", parts)))
+
+
 def clip_box(g: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
-    """The part of a polygon or point inside a box; null if there is none. Only polygons across the edge leave the JVM."""
+    """The part of a geometry inside a box; null if there is none. Lines across the edge come back as a multi-line of their pieces, points of a multi-point one by one. Only polygons across the edge leave the JVM."""
     b = bbox(g)
     inside = (b["xmin"] >= x0) & (b["xmax"] <= x1) & (b["ymin"] >= y0) & (b["ymax"] <= y1)
     apart = (b["xmax"] < x0) | (b["xmin"] > x1) | (b["ymax"] < y0) | (b["ymin"] > y1)
     across = F.when(~inside & ~apart & is_area(g), g)
-    return F.when(inside, g).when(~apart & is_area(g), F.when(across.isNotNull(), _clip(across, F.lit(float(x0)), F.lit(float(y0)), F.lit(float(x1)), F.lit(float(y1)))))
+    held = F.filter(g["parts"], lambda part: (part[0][0]["x"] >= x0) & (part[0][0]["x"] <= x1) & (part[0][0]["y"] >= y0) & (part[0][0]["y"] <= y1))
+    return (
+        F.when(inside, g)
+        .when(~apart & is_area(g), F.when(across.isNotNull(), _clip(across, F.lit(float(x0)), F.lit(float(y0)), F.lit(float(x1)), F.lit(float(y1)))))
+        .when(~apart & g["type"].endswith("LineString"), _clip_lines(g, float(x0), float(y0), float(x1), float(y1)))
+        .when(~apart & (g["type"] == "MultiPoint"), F.when(F.size(held) > 0, make(g["type"], held)))
+    )
 
 
 def geometry_flags(g: Column) -> Column:

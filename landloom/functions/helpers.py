@@ -106,73 +106,6 @@ def _turn(p, q, r) -> float:
     return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
 
 
-def _on(p, q, r) -> bool:
-    return _turn(p, q, r) == 0 and min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-
-
-def segments_meet(a, b, c, d) -> bool:
-    """Whether two closed segments have a point in common."""
-    t = _turn(a, b, c), _turn(a, b, d), _turn(c, d, a), _turn(c, d, b)
-    if ((t[0] > 0 > t[1]) or (t[0] < 0 < t[1])) and ((t[2] > 0 > t[3]) or (t[2] < 0 < t[3])):
-        return True
-    return _on(a, b, c) or _on(a, b, d) or _on(c, d, a) or _on(c, d, b)
-
-
-def crosses_itself(ring: Ring) -> bool:
-    """Whether sides of a closed ring meet anywhere but at the corners that neighbours share."""
-    pts = open_ring(ring)
-    n = len(pts)
-    sides = [(pts[i], pts[(i + 1) % n]) for i in range(n)]
-    for i in range(n):
-        for j in range(i + 1, n):
-            near = j == i + 1 or (i == 0 and j == n - 1)
-            if near:
-                a, b = (sides[i], sides[j]) if j == i + 1 else (sides[j], sides[i])
-                if n > 2 and _turn(a[0], a[1], b[1]) == 0 and (a[0][0] - a[1][0]) * (b[1][0] - a[1][0]) + (a[0][1] - a[1][1]) * (b[1][1] - a[1][1]) > 0:
-                    return True
-            elif segments_meet(*sides[i], *sides[j]):
-                return True
-    return False
-
-
-def where(p, rings: list[Ring]) -> int:
-    """1 inside a polygon, 0 on its boundary, -1 outside."""
-    inside = False
-    for ring in rings:
-        pts = open_ring(ring)
-        for a, b in zip(pts, pts[1:] + pts[:1]):
-            if _on(a, b, p):
-                return 0
-            if (a[1] > p[1]) != (b[1] > p[1]) and (p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]):
-                inside = not inside
-    return 1 if inside else -1
-
-
-def _sides(parts: list[list[Ring]]) -> list[tuple]:
-    return [s for part in parts for ring in part for s in (zip(ring, ring[1:]) if len(ring) > 1 else [(ring[0], ring[0])] if ring else [])]
-
-
-def meet(a: list[list[Ring]], b: list[list[Ring]], area_a: bool, area_b: bool) -> bool:
-    """Whether two geometries (points, lines or, by the flags, polygons) have a point in common."""
-    if any(segments_meet(*s, *t) for s in _sides(a) for t in _sides(b)):
-        return True
-    if area_b and any(where(part[0][0], q) >= 0 for part in a if part and part[0] for q in b):
-        return True
-    return area_a and any(where(part[0][0], q) >= 0 for part in b if part and part[0] for q in a)
-
-
-def contains(a: list[list[Ring]], b: list[list[Ring]], area_b: bool) -> bool:
-    """Whether polygon a holds all of b, which may touch its boundary."""
-    points = [p for part in b for ring in part for p in ring]
-    if not points or not all(any(where(p, part) >= 0 for part in a) for p in points):
-        return False
-    if area_b:
-        whole = sum(s * abs(signed_area(t)) for part in b for s, t in fan(part))
-        return overlap_area(a, b) >= whole * (1 - 1e-9)
-    middles = [((p[0] + q[0]) / 2, (p[1] + q[1]) / 2) for p, q in _sides(b)]
-    return all(any(where(m, part) >= 0 for part in a) for m in middles)
-
-
 def hull(points: Ring) -> Ring:
     """Convex hull, counter-clockwise, by monotone chain."""
     pts = sorted(set(points))

@@ -63,9 +63,11 @@ def land_availability(parcels: DataFrame, by: str = "town") -> DataFrame:
 def profile_stats(wide: DataFrame, section: str, strict: bool = False, by: str = "town") -> DataFrame:
     """(town, section, nth, label, value, unit, source, as_of): a row for each known field that has a value.
 
-    Without a source or date 'user-supplied' and '(undated)' stand; ``strict`` leaves such rows out.
+    Without a source or date 'user-supplied' and '(undated)' stand; ``strict`` leaves such rows out. Without a known field there are no rows.
     """
     known = [(i, *f) for i, f in enumerate(FIELDS[section]) if f[1] in wide.columns]
+    if not known:
+        return wide.sparkSession.createDataFrame([], f"{by} string, section string, nth int, label string, value string, unit string, source string, as_of string")
     items = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(label).alias("label"), F.col(c).cast("string").alias("value"), F.lit(unit).alias("unit")) for i, label, c, unit in known])
     extra = lambda c: F.col(c).cast("string") if c in wide.columns else F.lit(None).cast("string")
     rows = wide.select(by, extra("source").alias("source"), extra("as_of").alias("as_of"), F.inline(items)).where("value is not null")

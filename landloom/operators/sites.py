@@ -70,8 +70,8 @@ def inside_pairs(candidates: DataFrame, layer: DataFrame, size: float) -> DataFr
         return v.select(*ids, F.col("v.x").alias("x"), F.col("v.y").alias("y"), *[F.col(f"v.{c[0]}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
     areas = lambda df, *ids: g.with_bbox(df.where(g.is_area(F.col("geom"))).select(*ids, "geom")).where("xmin is not null")
-    one = sp.bbox_pairs(firsts(own, "candidate_id"), areas(feats, "layer_key", "fid"), size).where(sp.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
-    other = sp.bbox_pairs(firsts(feats, "layer_key", "fid"), areas(own, "candidate_id"), size).where(sp.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
+    one = sp.bbox_pairs(firsts(own, "candidate_id"), areas(feats, "layer_key", "fid"), size).where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
+    other = sp.bbox_pairs(firsts(feats, "layer_key", "fid"), areas(own, "candidate_id"), size).where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
     return one.select("candidate_id", "layer_key", "fid").unionByName(other.select("candidate_id", "layer_key", "fid"))
 
 

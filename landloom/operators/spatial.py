@@ -63,24 +63,13 @@ def overlaps(a: DataFrame, b: DataFrame, size: float = 0.05) -> DataFrame:
     return met.select("a_id", "b_id", g.area(F.col("a_geom")).alias("a_area"), g.area(F.col("b_geom")).alias("b_area"), g.overlap_area(F.col("a_geom"), F.col("b_geom")).alias("overlap"))
 
 
-def in_polygon(x: Column, y: Column, geom: Column) -> Column:
-    """Whether a point is in a polygon or on its boundary; sides are counted that a ray to the right crosses."""
-    sides = F.flatten(F.transform(F.flatten(geom["parts"]), lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))))
-    turn = lambda s: (s["q"]["x"] - s["p"]["x"]) * (y - s["p"]["y"]) - (s["q"]["y"] - s["p"]["y"]) * (x - s["p"]["x"])
-    between = lambda s, f, v: (v >= F.least(s["p"][f], s["q"][f])) & (v <= F.greatest(s["p"][f], s["q"][f]))
-    on = F.exists(sides, lambda s: (turn(s) == 0) & between(s, "x", x) & between(s, "y", y))
-    rises = lambda s: s["q"]["y"] > s["p"]["y"]
-    crossed = F.size(F.filter(sides, lambda s: ((s["p"]["y"] > y) != (s["q"]["y"] > y)) & F.when(rises(s), turn(s) > 0).otherwise(turn(s) < 0)))
-    return on | (crossed % 2 == 1)
-
-
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
     """Pairs (fid, poly_id) of points (fid, x, y) and polygons (poly_id, geom) that hold them; a boundary holds. Points in no polygon give no row."""
     right = g.with_bbox(polygons.select("poly_id", "geom")).where("xmin is not null")
     right = _cells(right, size)
     left = points.select("fid", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
     met = left.join(right, ["cx", "cy"]).where("x between xmin and xmax and y between ymin and ymax")
-    return met.where(in_polygon(F.col("x"), F.col("y"), F.col("geom"))).select("fid", "poly_id")
+    return met.where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom"))).select("fid", "poly_id")
 
 
 def _neighbour_cells(df: DataFrame, size: float) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from landloom import fixtures as fx
 from landloom.functions import geometry as g
-from landloom.operators import sites as si
+from landloom.operators import sites as si, stats as st
 from landloom.plans import jobs, q_land as ql
-from landloom.plans.q_functions import _boxes, _odd
+from landloom.plans.q_functions import _boxes, _odd, utm_sql
 from landloom.session import scratch_path
 from landloom.sources import readers as rd, sinks as sk
 from landloom.sources.rulesets import load_permit_rulesets, load_site_rulesets
@@ -44,10 +44,11 @@ def _back(t: DataFrame) -> DataFrame:
     return t.select(F.get_json_object("properties", "$.parcel_id").alias("parcel_id"), _r(g.area(F.col("geom")), 8).alias("area"), "reason")
 
 
-@query(f"{_READ} WHERE fid % 50 <> 0")
+@query(_READ)
 def s01_read_geojson(s, d):
-    """Collections of a hundred features; one broken feature would break its whole file, so broken ones are left to s02."""
-    t = _rendered(s, d).where("fid % 50 <> 0").groupBy(F.floor(F.col("fid") / 100).alias("grp")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ", "), F.lit("]}")).alias("value"))
+    """Collections of a hundred features; a broken feature would break its whole file, so each broken one is a file of its own."""
+    whole = F.col("fid") % 50 != 0
+    t = _rendered(s, d).groupBy(F.when(whole, F.floor(F.col("fid") / 100)).otherwise(-F.col("fid") - 1).alias("grp")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ", "), F.lit("]}")).alias("value"))
     path = scratch_path(s, "geojson")
     t.write.partitionBy("grp").text(path)
     return _back(rd.read_geojson(s, path))
@@ -108,18 +109,22 @@ def s07_read_town_data(s, d):
     return out
 
 
-@query("SELECT * FROM (VALUES ('GeoJSONSeq', 1), ('CSV', 1), ('File Geodatabase', 1)) AS t(format, n)")
+@query(f"{fx.duck('parcels_old')}, f AS (SELECT DISTINCT jurisdiction, zone_code FROM parcels_old) SELECT 'GeoJSONSeq' AS format, count(*) AS n FROM f UNION ALL SELECT 'CSV', count(*) FROM f UNION ALL SELECT 'File Geodatabase', count(*) FROM f")
 def s08_file_inventory(s, d):
+    """A file of each format for each town and zone that there is."""
     path = scratch_path(s, "inventory")
-    rows = _rendered(s, d).select("value").coalesce(1)
+    rows = _rendered(s, d).join(fx.table(s, d, "parcels_old").select("fid", F.concat_ws("-", "jurisdiction", "zone_code").alias("grp")), "fid")
+    groups = [r.grp for r in rows.select("grp").distinct().collect()]  # towns by zones
+    rows.select("value", "grp").repartition("grp").write.partitionBy("grp").text(f"{path}-raw")
     fs, conf = s._jvm.org.apache.hadoop.fs, s._jsc.hadoopConfiguration()
-    for name in ("parcels.geojsonl", "table.csv", "base.gdb/a00000001.gdbtable"):
-        rows.write.text(f"{path}-raw/{name}")
-        system = fs.Path(path).getFileSystem(conf)
-        to = fs.Path(f"{path}/{name}")
-        system.mkdirs(to.getParent())
-        system.rename(system.globStatus(fs.Path(f"{path}-raw/{name}/part-*"))[0].getPath(), to)
-    return rd.file_inventory(s, path).where("bytes > 0").groupBy("format").agg(F.count("*").cast("int").alias("n"))
+    system = fs.Path(path).getFileSystem(conf)
+    for grp in groups:
+        part = system.globStatus(fs.Path(f"{path}-raw/grp={grp}/part-*"))[0].getPath()
+        for name in (f"{grp}.geojsonl", f"{grp}.csv", f"{grp}.gdb/a00000001.gdbtable"):
+            to = fs.Path(f"{path}/{name}")
+            system.mkdirs(to.getParent())
+            s._jvm.org.apache.hadoop.fs.FileUtil.copy(system, part, system, to, False, conf)
+    return rd.file_inventory(s, path).where("bytes > 0").groupBy("format").agg(F.count("*").alias("n"))
 
 
 _NUM = "rtrim(rtrim(printf('%.6f', {}), '0'), '.')"
@@ -177,9 +182,11 @@ def m01_landuse_drift_stream(s, d):
     lo, hi = t.agg(F.min("ts"), F.max("ts")).first()
     for k in range(4):
         nth = F.least(F.lit(3), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(lo))) * 4 / F.greatest(F.lit(1), F.unix_micros(F.lit(hi)) - F.unix_micros(F.lit(lo)))))
-        t.where(nth == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    updates = s.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    lu.run_drift(updates, f"{path}/out", f"{path}/state").awaitTermination()
+        t.where(nth == k).write.mode("append").parquet(f"{path}/in/{k}")
+    # A batch is what has come since the run before; each run goes on from the state.
+    for k in range(4):
+        updates = s.readStream.schema(t.schema).option("recursiveFileLookup", True).parquet(f"{path}/in/[0-{k}]")
+        lu.run_drift(updates, f"{path}/out", f"{path}/state").awaitTermination()
     return s.read.parquet(f"{path}/out")
 
 
@@ -201,10 +208,15 @@ def m03_violation_alerts(s, d):
 # --- jobs ---------------------------------------------------------------------------------------------------------------
 
 
-@query(f"{fx.duck('parcels_old')} SELECT {_VALUES} || '''));' AS value FROM parcels_old WHERE fid % 41 <> 0 AND zone_code = 'R-1'")
+_DDL = """SELECT 0 AS part, 'CREATE EXTENSION IF NOT EXISTS postgis;' AS value UNION ALL SELECT 2, 'CREATE INDEX IF NOT EXISTS parcels_geom_gist ON parcels USING GIST (geom);'
+  UNION ALL SELECT 1, concat_ws(chr(10), 'CREATE TABLE IF NOT EXISTS parcels (', '  id BIGSERIAL PRIMARY KEY,', '  fid BIGINT,', '  owner TEXT,', '  for_sale BOOLEAN,', '  geom geometry(Geometry, 4326) NOT NULL,', '  created_at TIMESTAMPTZ NOT NULL DEFAULT NOW()', ');')"""
+
+
+@query(f"{fx.duck('parcels_old')} SELECT CAST(part AS INTEGER) AS part, value FROM ({_DDL} UNION ALL SELECT 3, {_VALUES} || '''));' FROM parcels_old WHERE fid % 41 <> 0 AND zone_code = 'R-1') AS t")
 def z01_convert_layer(s, d):
+    """With K4, the statements that make the table."""
     t = _loads(s, d).join(fx.table(s, d, "parcels_old").select("fid", F.col("zone_code").alias("layer")), "fid")
-    return jobs.convert_layer(t.where("layer = 'R-1'").drop("layer"), "postgis", "parcels")
+    return jobs.convert_layer(t, "postgis", "parcels", layer="R-1", ddl=True)
 
 
 @query(f"{fx.duck('odd')} SELECT 'L' || CAST(fid % 3 AS VARCHAR) AS layer, count(*) AS feature_count, CAST(least(3, count(*)) AS INTEGER) AS n_samples, CASE WHEN fid % 3 = 1 THEN 'medium: Source CRS is EPSG:32637; reprojection to EPSG:4326 will be required' ELSE '' END AS warnings FROM odd GROUP BY fid % 3")
@@ -222,10 +234,11 @@ def z03_layer_statistics(s, d):
     return t["numeric"].where("column in ('tax_value', 'area_sqm')").select("column", "count", "min", "max", _r("mean", 4).alias("mean"), _r("median", 4).alias("median"))
 
 
-@query()
+@query(ql._HOT.format(m=f"{fx.duck('points')[5:]}, {utm_sql('m', 'points')}", eps=150, least=8) + "SELECT m.fid, coalesce(done.cluster_id, -1) AS cluster_id, round(m.x, 6) AS lng FROM m LEFT JOIN done ON m.fid = done.fid")
 def z04_point_patterns(s, d):
-    """Clusters in metres of the points' zone; clustering and summaries are compared in the plane by a18 to a21."""
-    return jobs.point_patterns(fx.table(s, d, "points"), 0.15, 8)["clusters"]
+    """Labelled points, clustered in metres of their zone; summaries are compared in the plane by a18 to a21."""
+    t = jobs.point_patterns(fx.table(s, d, "points"), 0.15, 8)
+    return t["features"].select("fid", "cluster_id", _r(F.col("geom.parts")[0][0][0]["x"], 6).alias("lng"))
 
 
 @query(ql.SQL["a23_diff_summary"])
@@ -239,18 +252,27 @@ def z06_score_sites(s, d):
     return si.score_sites(ql.site_candidates(s, d), ql.site_layers(s, d), load_site_rulesets(s), fx.table(s, d, "dem"))
 
 
-@query(f"{ql._DERIVED}{ql._RULES} SELECT proposal_id, count(*) FILTER (WHERE NOT passed) AS violations, count(*) FILTER (WHERE passed) AS passes, CASE WHEN bool_and(passed) THEN 'COMPLIANT' ELSE 'NON-COMPLIANT' END AS verdict, CAST(count(*) FILTER (WHERE NOT passed) AS INTEGER) AS advice FROM r GROUP BY proposal_id")
+@query(f"""{ql._DERIVED}{ql._RULES}, t AS (SELECT proposal_id, count(*) FILTER (WHERE NOT passed) AS violations, count(*) FILTER (WHERE passed) AS passes, CASE WHEN bool_and(passed) THEN 'COMPLIANT' ELSE 'NON-COMPLIANT' END AS verdict, coalesce(string_agg(text, '|' ORDER BY part, no) FILTER (WHERE NOT passed), '') AS advice FROM r GROUP BY proposal_id)
+  SELECT t.*, 'permit-check-2024-01-01T00:00:00Z-' || p.parcel_id AS run_id FROM t JOIN proposals p ON p.proposal_id = t.proposal_id""")
 def z07_check_permits(s, d):
     p = fx.table(s, d, "proposals").withColumn("overlays", F.when(F.col("overlay"), F.array(F.lit("historic-district"))))
-    return jobs.check_permits(p, load_permit_rulesets(s), ql.FIELDS).select("proposal_id", "violations", "passes", "verdict", F.size("recommendations").alias("advice"))
+    out = jobs.check_permits(p, load_permit_rulesets(s), ql.FIELDS, at="2024-01-01T00:00:00Z")
+    return out.select("proposal_id", "violations", "passes", "verdict", F.array_join("recommendations", "|").alias("advice"), "run_id")
 
 
-@query(ql.SQL["a34_profile_headlines"])
+@query(f"""{fx.duck('town_years', 'parcels_old')}, {ql._LAST[ql._LAST.index('l AS'):]}{ql._LAND}, t AS (SELECT n_name AS town FROM nation), c AS (SELECT n_name AS town, string_agg(s_name || ' (sector ' || s_suppkey % 3 || ', ' || CASE WHEN s_suppkey % 4 = 0 THEN '?' ELSE CAST(s_suppkey * 10 AS VARCHAR) END || ' employees)', ', ' ORDER BY s_suppkey) AS employers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+  SELECT 'headline' AS part, town, 'Population' AS what, CAST(population AS VARCHAR) AS value FROM l UNION ALL SELECT 'land', town, 'largest', CAST(largest AS VARCHAR) FROM z UNION ALL SELECT 'narrative', t.town, 'employers', employers FROM t LEFT JOIN c ON t.town = c.town
+  UNION ALL SELECT 'completeness', town, 'demographics', CAST(1 + (median_income IS NOT NULL)::INT AS VARCHAR) FROM l UNION ALL SELECT 'completeness', town, 'land', CAST(5 + (price IS NOT NULL)::INT AS VARCHAR) FROM z""")
 def z08_town_profiles(s, d):
+    """Headlines, the land section, narrative and completeness; values of land's headlines are compared by a29."""
     from landloom.operators import profiles as pr
 
-    t = jobs.town_profiles({"demographics": pr.latest_snapshot(fx.table(s, d, "town_years")), "land": ql._town_land(s, d)})
-    return t["headlines"].select("town", "headline", "label")
+    economy, why_now = ql.narrative_sources(s, d)
+    t = jobs.town_profiles({"demographics": pr.latest_snapshot(fx.table(s, d, "town_years")), "economy": economy, "why_now": why_now}, parcels=ql.town_parcels(s, d))
+    line = lambda df, part, what, value: df.select(F.lit(part).alias("part"), "town", (F.lit(what) if what else F.col("headline")).alias("what"), F.col(value).cast("string").alias("value"))
+    full = t["completeness"]
+    parts = [line(t["headlines"].where("headline = 'Population'"), "headline", None, "value"), line(t["land"], "land", "largest", "largest_available"), line(t["narrative"], "narrative", "employers", "employers")]
+    return st.union_all([*parts, line(full.where("demographics > 0"), "completeness", "demographics", "demographics"), line(full.where("land > 0"), "completeness", "land", "land")])
 
 
 @query()
@@ -261,9 +283,21 @@ def z09_match_investment_sites(s, d):
     return jobs.match_investment_sites(o, ql.briefs(s), ql.site_layers(s, d), rules, fx.table(s, d, "dem")).select("brief_id", "jurisdiction", "parcel_id", "rank", "score", "verdict", "shortlisted")
 
 
-@query(ql._RECON + " SELECT status, count(*) AS n FROM r GROUP BY status")
+_TOP = "SELECT neighborhood AS what, n FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS k FROM (SELECT neighborhood, count(*) AS n FROM {} GROUP BY 1) AS t) AS u WHERE k <= 10"
+
+
+@query(f"""{ql._RECON}, v AS (SELECT area, snapshot, count(*) FILTER (WHERE (fid * 7 + snapshot * 3) % 5 < snapshot) AS n FROM (SELECT neighborhood AS area, fid, s.snapshot FROM parcels_old CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS snapshot) AS s) AS t GROUP BY 1, 2)
+  SELECT 'status' AS part, status AS what, count(*) AS n FROM r GROUP BY status UNION ALL SELECT 'total', jurisdiction, count(*) FROM r GROUP BY jurisdiction UNION ALL SELECT 'worst', what, n FROM ({_TOP.format("(SELECT * FROM r WHERE status IN ('damaged', 'destroyed'))")}) AS t UNION ALL SELECT 'velocity', area, CAST(sum(n) AS BIGINT) FROM v GROUP BY area
+  UNION ALL SELECT 'hot zones', 'parcels', count(*) FROM parcels_old o JOIN r ON o.jurisdiction = r.jurisdiction AND o.parcel_id = r.parcel_id WHERE r.status IN ('damaged', 'destroyed')""")
 def z10_track_reconstruction(s, d):
-    return ql.reconstruction(s, d).groupBy("status").agg(F.count("*").alias("n"))
+    """A line or more of each output; the clusters themselves are compared by a27."""
+    h = fx.table(s, d, "parcels_old").select(F.col("neighborhood").alias("area"), "fid", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("snapshot_id"))
+    h = h.withColumn("status", F.when((F.col("fid") * 7 + F.col("snapshot_id") * 3) % 5 < F.col("snapshot_id"), "rebuilt").otherwise("intact"))
+    t = jobs.track_reconstruction(_boxes(s, d), _boxes(s, d, "parcels_new"), _boxes(s, d, "damage"), h)
+    line = lambda df, part, what, n: df.select(F.lit(part).alias("part"), what.alias("what"), n.cast("long").alias("n"))
+    parts = [line(t["status"].groupBy("status").count(), "status", F.col("status"), F.col("count")), line(t["totals"].where("level = 1"), "total", F.col("jurisdiction"), F.col("n")), line(t["worst"], "worst", F.col("neighborhood"), F.col("n"))]
+    parts += [line(t["velocity"].groupBy("area").agg(F.sum("rebuilt").alias("n")), "velocity", F.col("area"), F.col("n")), line(t["hot_zones"].agg(F.count("*").alias("n")), "hot zones", F.lit("parcels"), F.col("n"))]
+    return st.union_all(parts)
 
 
 _PUBLIC = [a for a in ("neighborhood", "zone_code", "overlay", "area_sqm", "current_use", "for_sale", "price_per_sqm", "footprint_area")]
@@ -276,9 +310,67 @@ def z11_publish_cadastre(s, d):
     return jobs.publish_cadastre(_boxes(s, d, "parcels_new").select(*keep), _boxes(s, d).select(*keep), scratch_path(s, "cadastre")).select("parcel_id", "status")
 
 
-@query(f"{ql._STATUS} SELECT status, count(*) AS n FROM s GROUP BY status")
+@query(f"""{ql._STATUS} SELECT 'counts' AS part, status AS what, count(*) AS n FROM s GROUP BY status UNION ALL SELECT 'worst', what, n FROM ({_TOP.format("(SELECT * FROM s WHERE status = 'violation')")}) AS t UNION ALL SELECT 'alerts', 'violation', count(*) FROM s WHERE status = 'violation' HAVING count(*) > 50
+  UNION ALL SELECT 'drift', CASE WHEN p.parcel_id IS NULL THEN 'new' WHEN q.parcel_id IS NULL THEN 'removed' ELSE 'changed' END, count(*) FROM parcels_old p FULL JOIN parcels_new q ON p.jurisdiction = q.jurisdiction AND p.parcel_id = q.parcel_id WHERE p.parcel_id IS NULL OR q.parcel_id IS NULL OR p.current_use IS DISTINCT FROM q.current_use GROUP BY 2
+  UNION ALL SELECT 'hot zones', 'parcels', count(*) FROM s WHERE status = 'violation' UNION ALL SELECT 'saved', 'parcels', count(*) FROM parcels_new""")
 def z12_monitor_landuse(s, d):
-    return jobs.monitor_landuse(_boxes(s, d, "parcels_new"), fx.table(s, d, "master_plan"), _boxes(s, d), ql._general(s), {"violation": 50}, "run-1")["counts"]
+    """A line or more of each output. The previous run is read from the folder of snapshots, and this one is saved there; lineage is compared by j14, clusters by a27."""
+    path = scratch_path(s, "monitor")
+    lu.persist_snapshot(_boxes(s, d), path, "run-0")
+    t = jobs.monitor_landuse(_boxes(s, d, "parcels_new"), fx.table(s, d, "master_plan"), None, ql._general(s), {"violation": 50}, "run-1", snapshots=path)
+    line = lambda df, part, what, n=F.col("n"): df.select(F.lit(part).alias("part"), what.alias("what"), n.cast("long").alias("n"))
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    parts = [line(t["counts"], "counts", F.col("status")), line(t["worst"], "worst", F.col("neighborhood")), line(t["alerts"], "alerts", F.col("status")), line(t["drift"].where("kind in ('new', 'removed', 'changed')"), "drift", F.col("kind"))]
+    return st.union_all([*parts, line(count(t["hot_zones"]), "hot zones", F.lit("parcels")), line(count(lu.previous_snapshot(s, path)), "saved", F.lit("parcels"))])
+
+
+@query(f"""{fx.duck('parcels_old', 'parcels')} SELECT 'old' AS side, 'x1' AS name, count(x1) AS n FROM parcels_old UNION ALL SELECT 'old', 'y1', count(y1) FROM parcels_old UNION ALL SELECT 'old', 'fid', count(fid) FROM parcels_old
+  UNION ALL SELECT 'new', 'k', count(k) FROM parcels UNION ALL SELECT 'new', 'w', count(w) FROM parcels UNION ALL SELECT 'new', 'h', count(h) FROM parcels""")
+def u03_schema_difference(s, d):
+    """Columns of one side only, and how many values a comparison leaves out with them."""
+    from landloom.operators import diff
+
+    old, new = fx.table(s, d, "parcels_old"), fx.table(s, d, "parcels")
+    only = diff.schema_difference(old, new)
+    counts = [df.select(F.lit(side).alias("side"), F.lit(c).alias("name"), F.count(c).alias("n")) for side, df, names in (("old", old, only[0]), ("new", new, only[1])) for c in names]
+    return st.union_all(counts)
+
+
+# Rulesets in files of the tables' own zones: a file for each town and zone.
+
+
+def _rule_files(s, d, text) -> str:
+    """A local folder of rulesets, made by ``text(row)`` for each town and zone; the library reads such files on the driver."""
+    import tempfile
+    from pathlib import Path
+
+    folder = tempfile.mkdtemp(prefix="landloom-rules-")
+    zones = fx.table(s, d, "parcels_old").groupBy("jurisdiction", "zone_code").agg(F.count("*").alias("n"), F.max("footprint_area").alias("most"))
+    for r in zones.collect():  # towns by zones
+        Path(folder, f"{r.jurisdiction}-{r.zone_code}.yaml").write_text(text(r))
+    return folder
+
+
+_ZONES = f"{fx.duck('parcels_old')}, z AS (SELECT jurisdiction, zone_code, count(*) AS n, max(footprint_area) AS most FROM parcels_old GROUP BY 1, 2)"
+
+
+@query(f"{_ZONES} SELECT jurisdiction || '-' || zone_code AS ruleset, CAST(0 AS INTEGER) AS criterion_no, 'far' AS name, CAST(n AS DOUBLE) AS weight, 'distance_to_layer' AS type, CAST(20 + n AS DOUBLE) AS unacceptable FROM z UNION ALL SELECT jurisdiction || '-' || zone_code, 1, 'dense', 1.0e0, 'density_count', most FROM z")
+def s05_load_site_rulesets(s, d):
+    text = lambda r: f"name: {r.jurisdiction}-{r.zone_code}\ncriteria:\n  - {{name: far, weight: {r.n}, type: distance_to_layer, layer: roads, bounds: {{ideal: 1, acceptable: 10, unacceptable: {20 + r.n}}}}}\n  - {{name: dense, type: density_count, layer: roads, radius_km: 2, bounds: {{unacceptable: {r.most}}}}}\n"
+    rules = load_site_rulesets(s, override=[_rule_files(s, d, text)]).where("ruleset like 'town-%'")
+    return rules.select("ruleset", "criterion_no", "name", "weight", "type", F.col("bounds.unacceptable").alias("unacceptable"))
+
+
+@query(f"{_ZONES} SELECT p.parcel_id, p.jurisdiction AS \"from\", r.name, r.lim AS \"limit\" FROM parcels_old p JOIN z ON p.jurisdiction = z.jurisdiction AND p.zone_code = z.zone_code, LATERAL (SELECT 'max_footprint' AS name, z.most AS lim UNION ALL SELECT 'min_share', CAST(z.n AS DOUBLE)) AS r")
+def s06_load_permit_rulesets(s, d):
+    """The rules that hold for each parcel, when each town has rulesets of its own besides the bundled ones."""
+    from landloom.operators import rules as ru
+
+    text = lambda r: f"name: own\njurisdiction: {r.jurisdiction}\nzone_code: {r.zone_code}\nrules:\n  - {{name: max_footprint, type: max, field: footprint_sqm, limit: {r.most}}}\n  - {{name: min_share, type: min, field: share, limit: {r.n}}}\n"
+    rules = load_permit_rulesets(s, user=[_rule_files(s, d, text)])
+    known = ru.resolve_ruleset(fx.table(s, d, "parcels_old").select("parcel_id", "jurisdiction", "zone_code"), rules)
+    own = F.broadcast(rules.select(F.col("jurisdiction").alias("from"), F.col("zone_code"), "name", "limit"))
+    return known.join(own, ["from", "zone_code"]).select("parcel_id", "from", "name", "limit")
 
 
 def flagship(spark, sf_dir):

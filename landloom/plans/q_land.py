@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from landloom import fixtures as fx
 from landloom.functions import geometry as g
 from landloom.operators import diff as df_, land as la, patterns as pt, profiles as pr, rules as ru, sites as si, spatial as sp
-from landloom.plans.q_functions import _boxes
+from landloom.plans.q_functions import _boxes, utm_sql
 from landloom.sources.rulesets import load_permit_rulesets, load_site_rulesets
 
 Q: dict = {}
@@ -113,17 +113,24 @@ def _results(s, d):
 
 
 _DERIVED = f"""{fx.duck('proposals')}, q AS (SELECT *, coalesce(parcel_area, 0) AS a FROM proposals), v AS (SELECT *, CASE WHEN a > 0 THEN footprint_sqm / a * 100 END AS cover, CASE WHEN a > 0 THEN 100 - footprint_sqm / a * 100 END AS open, CASE WHEN a > 0 THEN gross_floor_area_sqm / a END AS far, ceil(gross_floor_area_sqm / 80) AS units FROM q)"""
-_RULES = """, e AS (SELECT v.*, unnest(CASE WHEN overlay AND zone_code <> 'historic-district' THEN [zone_code, 'historic-district'] ELSE [zone_code] END) AS z FROM v), r AS (
- SELECT proposal_id, z, 'allowed_use' AS name, coalesce(use IN ('residential', 'single_family', 'mixed_use_residential'), false) AS passed FROM e WHERE z = 'R-1' UNION ALL SELECT proposal_id, z, 'max_height_m', coalesce(height_m <= 10, false) FROM e WHERE z = 'R-1' UNION ALL SELECT proposal_id, z, 'max_lot_coverage_pct', coalesce(cover <= 35, false) FROM e WHERE z = 'R-1'
- UNION ALL SELECT proposal_id, z, 'max_FAR', coalesce(far <= 0.6e0, false) FROM e WHERE z = 'R-1' UNION ALL SELECT proposal_id, z, 'min_setback_front_m', coalesce(setback_front_m >= 5, false) FROM e WHERE z = 'R-1' UNION ALL SELECT proposal_id, z, 'min_setback_side_m', coalesce(setback_side_m >= 2, false) FROM e WHERE z = 'R-1'
- UNION ALL SELECT proposal_id, z, 'min_setback_rear_m', coalesce(setback_rear_m >= 3, false) FROM e WHERE z IN ('R-1', 'C-1') UNION ALL SELECT proposal_id, z, 'min_parcel_size_sqm', a >= 300 FROM e WHERE z = 'R-1' UNION ALL SELECT proposal_id, z, 'min_open_space_pct', coalesce(open >= 50, false) FROM e WHERE z = 'R-1'
- UNION ALL SELECT proposal_id, z, 'min_parking_per_unit', coalesce(parking_spaces / units >= 1, false) FROM e WHERE z = 'R-1' UNION ALL SELECT proposal_id, z, 'allowed_use', coalesce(use IN ('commercial', 'retail', 'office', 'restaurant', 'mixed_use', 'mixed_use_commercial'), false) FROM e WHERE z = 'C-1'
- UNION ALL SELECT proposal_id, z, 'max_height_m', coalesce(height_m <= 15, false) FROM e WHERE z = 'C-1' UNION ALL SELECT proposal_id, z, 'max_lot_coverage_pct', coalesce(cover <= 70, false) FROM e WHERE z = 'C-1' UNION ALL SELECT proposal_id, z, 'max_FAR', coalesce(far <= 1.5e0, false) FROM e WHERE z = 'C-1'
- UNION ALL SELECT proposal_id, z, 'min_setback_front_m', setback_front_m IS NOT NULL FROM e WHERE z = 'C-1' UNION ALL SELECT proposal_id, z, 'min_setback_side_m', setback_side_m IS NOT NULL FROM e WHERE z = 'C-1'
- UNION ALL SELECT proposal_id, z, 'min_parking_per_100sqm_commercial', coalesce(parking_spaces / gross_floor_area_sqm >= 0.03e0, false) FROM e WHERE z = 'C-1'
- UNION ALL SELECT proposal_id, z, 'allowed_use', coalesce(use IN ('residential', 'commercial', 'retail', 'restaurant', 'office', 'mixed_use', 'cultural', 'museum', 'gallery'), false) FROM e WHERE z = 'historic-district' UNION ALL SELECT proposal_id, z, 'max_height_m', coalesce(height_m <= 12, false) FROM e WHERE z = 'historic-district'
- UNION ALL SELECT proposal_id, z, 'required_material_check', coalesce(facade_material IN ('stone', 'brick', 'plaster', 'wood', 'traditional_render'), false) FROM e WHERE z = 'historic-district' UNION ALL SELECT proposal_id, z, 'demolition_request', coalesce(NOT includes_demolition, false) FROM e WHERE z = 'historic-district'
- UNION ALL SELECT proposal_id, z, 'max_facade_alteration_pct', false FROM e WHERE z = 'historic-district' UNION ALL SELECT proposal_id, z, 'window_pattern_preserved', false FROM e WHERE z = 'historic-district' UNION ALL SELECT proposal_id, z, 'max_signage_area_sqm', false FROM e WHERE z = 'historic-district')"""
+# The bundled rules, retyped: zone, number, name, what must hold, and the advice where it doesn't.
+_USES = {"R-1": "residential, single_family, mixed_use_residential", "C-1": "commercial, retail, office, restaurant, mixed_use, mixed_use_commercial", "historic-district": "residential, commercial, retail, restaurant, office, mixed_use, cultural, museum, gallery"}
+_LESS = lambda f, v: f"Reduce {f} to {v} or apply for a variance."
+_MORE = lambda f, v: f"Increase {f} to {v} or apply for a variance."
+_IN = lambda f, allowed: f"{f} IN ({', '.join(repr(v) for v in allowed.split(', '))})"
+_RULE_ROWS = [
+    ("R-1", "allowed_use", _IN("use", _USES["R-1"]), f"Change use to one of: {_USES['R-1']}."), ("R-1", "max_height_m", "height_m <= 10", _LESS("height_m", 10)), ("R-1", "max_lot_coverage_pct", "cover <= 35", _LESS("lot_coverage_pct", 35)), ("R-1", "max_FAR", "far <= 0.6e0", _LESS("FAR", 0.6)),
+    ("R-1", "min_setback_front_m", "setback_front_m >= 5", _MORE("setback_front_m", 5)), ("R-1", "min_setback_side_m", "setback_side_m >= 2", _MORE("setback_side_m", 2)), ("R-1", "min_setback_rear_m", "setback_rear_m >= 3", _MORE("setback_rear_m", 3)), ("R-1", "min_parcel_size_sqm", "a >= 300", _MORE("parcel_area_sqm", 300)),
+    ("R-1", "min_open_space_pct", "open >= 50", _MORE("open_space_pct", 50)), ("R-1", "min_parking_per_unit", "parking_spaces / units >= 1", "Raise the count of min_parking_per_unit to meet ≥ 1 per units."),
+    ("C-1", "allowed_use", _IN("use", _USES["C-1"]), f"Change use to one of: {_USES['C-1']}."), ("C-1", "max_height_m", "height_m <= 15", _LESS("height_m", 15)), ("C-1", "max_lot_coverage_pct", "cover <= 70", _LESS("lot_coverage_pct", 70)), ("C-1", "max_FAR", "far <= 1.5e0", _LESS("FAR", 1.5)),
+    ("C-1", "min_setback_front_m", "setback_front_m >= 0", _MORE("setback_front_m", 0)), ("C-1", "min_setback_side_m", "setback_side_m >= 0", _MORE("setback_side_m", 0)), ("C-1", "min_setback_rear_m", "setback_rear_m >= 3", _MORE("setback_rear_m", 3)),
+    ("C-1", "min_parking_per_100sqm_commercial", "parking_spaces / gross_floor_area_sqm >= 0.03e0", "Raise the count of min_parking_per_100sqm_commercial to meet ≥ 0.03 per gross_floor_area_sqm."),
+    ("historic-district", "allowed_use", _IN("use", _USES["historic-district"]), f"Change use to one of: {_USES['historic-district']}."), ("historic-district", "max_height_m", "height_m <= 12", _LESS("height_m", 12)),
+    ("historic-district", "required_material_check", _IN("facade_material", "stone, brick, plaster, wood, traditional_render"), "Change facade_material to one of: stone, brick, plaster, wood, traditional_render."), ("historic-district", "demolition_request", "NOT includes_demolition", "Change includes_demolition to one of: false, no, partial_with_review."),
+    ("historic-district", "max_facade_alteration_pct", "false", _LESS("facade_alteration_pct", 30)), ("historic-district", "window_pattern_preserved", "false", "Change window_pattern_change to one of: false, no, minor."), ("historic-district", "max_signage_area_sqm", "false", _LESS("signage_area_sqm", 2)),
+]
+_RULES = """, e AS (SELECT v.*, p.part, p.z FROM v, LATERAL (SELECT 0 AS part, zone_code AS z UNION ALL SELECT 1, 'historic-district' WHERE overlay AND zone_code <> 'historic-district') AS p), r AS (
+ """ + "\n UNION ALL ".join(f"SELECT proposal_id, z, part, {no} AS no, '{name}' AS name, coalesce({holds}, false) AS passed, '{text}' AS text FROM e WHERE z = '{zone}'" for no, (zone, name, holds, text) in enumerate(_RULE_ROWS)) + ")"
 
 
 @query(f"{_DERIVED} SELECT proposal_id, round(cover, 6) AS lot_coverage_pct, round(open, 6) AS open_space_pct, round(far, 6) AS far, units, a AS parcel_area_sqm FROM v")
@@ -178,9 +185,9 @@ def a16_permit_verdict(s, d):
     return ru.permit_verdict(_results(s, d))
 
 
-@query(f"{_DERIVED}{_RULES} SELECT proposal_id, CAST(count(*) FILTER (WHERE NOT passed) AS INTEGER) AS n FROM r GROUP BY proposal_id")
+@query(f"{_DERIVED}{_RULES} SELECT proposal_id, coalesce(string_agg(text, '|' ORDER BY part, no) FILTER (WHERE NOT passed), '') AS recommendations FROM r GROUP BY proposal_id")
 def a17_permit_recommendations(s, d):
-    return ru.permit_recommendations(_results(s, d)).select("proposal_id", F.size("recommendations").alias("n"))
+    return ru.permit_recommendations(_results(s, d)).select("proposal_id", F.array_join("recommendations", "|").alias("recommendations"))
 
 
 # --- sites --------------------------------------------------------------------------------------------------------------
@@ -379,9 +386,9 @@ r AS (SELECT coalesce(o.jurisdiction, n.jurisdiction) AS jurisdiction, coalesce(
 
 def reconstruction(s, d):
     """(jurisdiction, parcel_id, neighborhood, area, status, restitution_status) of all parcels of either snapshot."""
-    from landloom.plans.jobs import track_reconstruction
+    from landloom.plans.jobs import reconstruction as status
 
-    return track_reconstruction(_boxes(s, d), _boxes(s, d, "parcels_new"), _boxes(s, d, "damage"))
+    return status(_boxes(s, d), _boxes(s, d, "parcels_new"), _boxes(s, d, "damage"))
 
 
 @query(f"{_RECON} SELECT jurisdiction, parcel_id, status, CASE WHEN status = 'destroyed' THEN 'awaiting restitution' END AS restitution_status FROM r")
@@ -400,9 +407,16 @@ def w05_top_neighborhoods(s, d):
     return la.top_groups(reconstruction(s, d).where("status in ('damaged', 'destroyed')"), "neighborhood")
 
 
-@query()
+_HOT = """WITH RECURSIVE {m}, e AS (SELECT a.fid AS a, b.fid AS b FROM m a JOIN m b ON pow(a.e - b.e, 2) + pow(a.n - b.n, 2) <= {eps} * {eps}), core AS (SELECT a AS fid FROM e GROUP BY a HAVING count(*) >= {least}),
+ce AS (SELECT a, b FROM e WHERE a IN (SELECT fid FROM core) AND b IN (SELECT fid FROM core)), walk AS (SELECT fid, fid AS root FROM core UNION SELECT ce.b, walk.root FROM walk JOIN ce ON ce.a = walk.fid),
+lab AS (SELECT fid, min(root) AS root FROM walk GROUP BY fid), num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT root FROM lab) AS t),
+done AS (SELECT lab.fid, num.cluster_id FROM lab JOIN num ON lab.root = num.root UNION ALL SELECT e.a, min(num.cluster_id) FROM e JOIN lab ON e.b = lab.fid JOIN num ON lab.root = num.root WHERE e.a NOT IN (SELECT fid FROM core) GROUP BY e.a)
+"""
+
+
+@query(_HOT.format(m=f"{_STATUS[5:]}, f AS (SELECT c.fid, (c.x0 + c.x1) / 2 AS x, (c.y0 + c.y1) / 2 AS y FROM parcels_new c JOIN s ON c.jurisdiction = s.jurisdiction AND c.parcel_id = s.parcel_id WHERE s.status = 'violation'), {utm_sql('m', 'f')}", eps=3000, least=4) + "SELECT m.fid, coalesce(done.cluster_id, -1) AS cluster_id FROM m LEFT JOIN done ON m.fid = done.fid")
 def a27_hot_zones(s, d):
-    """Clusters of violations; the clustering itself is compared by a20."""
+    """Clusters of violations, in metres."""
     flagged = la.landuse_status(_compliance(s, d)).where("status = 'violation'").select("jurisdiction", "parcel_id")
     c = g.centroid(F.col("geom"))
     pts = _boxes(s, d, "parcels_new").join(flagged, KEY).select("fid", c["x"].alias("x"), c["y"].alias("y"))
@@ -472,9 +486,13 @@ def w03_latest_snapshot(s, d):
     return pr.latest_snapshot(fx.table(s, d, "town_years")).select("town", "year", "population")
 
 
-def _town_land(s, d):
+def town_parcels(s, d):
     t = fx.table(s, d, "parcels_old")
-    return pr.land_availability(t.select(F.col("jurisdiction").alias("town"), "area_sqm", F.col("current_use").alias("use_class"), "price_per_sqm", "for_sale", (F.col("fid") % 6 == 0).alias("vacant"), (F.col("fid") % 4 != 1).alias("serviced")))
+    return t.select(F.col("jurisdiction").alias("town"), "area_sqm", F.col("current_use").alias("use_class"), "price_per_sqm", "for_sale", (F.col("fid") % 6 == 0).alias("vacant"), (F.col("fid") % 4 != 1).alias("serviced"))
+
+
+def _town_land(s, d):
+    return pr.land_availability(town_parcels(s, d))
 
 
 @query(f"""{fx.duck('parcels_old')} SELECT jurisdiction AS town, round(sum(coalesce(area_sqm, 0)) / 10000, 6) AS total, round(sum(CASE WHEN current_use = 'industrial' THEN coalesce(area_sqm, 0) ELSE 0 END) / 10000, 6) AS industrial, round(avg(CASE WHEN current_use = 'industrial' THEN price_per_sqm END), 6) AS price,
@@ -492,22 +510,27 @@ def town_stats(s, d):
 _LAST = f"{fx.duck('town_years')}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY town ORDER BY as_of DESC NULLS LAST, year DESC NULLS LAST) AS k FROM town_years) AS t WHERE k = 1)"
 
 
-@query(f"{_LAST} SELECT town, 'Population' AS label, CAST(population AS VARCHAR) AS value, 'people' AS unit, coalesce(source, 'user-supplied') AS source, coalesce(as_of, '(undated)') AS as_of FROM l")
+@query(f"{_LAST} SELECT town, label, value, unit, coalesce(source, 'user-supplied') AS source, coalesce(as_of, '(undated)') AS as_of FROM l, LATERAL (SELECT 'Population' AS label, CAST(population AS VARCHAR) AS value, 'people' AS unit UNION ALL SELECT 'Median household income', CAST(round(median_income, 2) AS VARCHAR), '' WHERE median_income IS NOT NULL) AS v")
 def a32_profile_stats(s, d):
-    t = pr.latest_snapshot(fx.table(s, d, "town_years")).drop("median_income")
+    t = pr.latest_snapshot(fx.table(s, d, "town_years")).withColumn("median_income", _r("median_income", 2))
     return pr.profile_stats(t, "demographics").select("town", "label", "value", "unit", "source", "as_of")
 
 
 @query(f"""WITH t AS (SELECT n_name AS town, n_nationkey AS k FROM nation), c AS (SELECT n_name AS town, string_agg(s_name || ' (sector ' || s_suppkey % 3 || ', ' || CASE WHEN s_suppkey % 4 = 0 THEN '?' ELSE CAST(s_suppkey * 10 AS VARCHAR) END || ' employees)', ', ' ORDER BY s_suppkey) AS employers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
   SELECT coalesce(c.town, t.town) AS town, employers, CASE WHEN t.k % 2 = 0 THEN 'tax relief;free land' END AS incentives, CASE WHEN t.k % 2 = 0 THEN 'flood' WHEN t.town IS NOT NULL THEN '' END AS risks FROM c FULL JOIN t ON c.town = t.town""")
 def a33_profile_narrative(s, d):
+    return pr.profile_narrative(*narrative_sources(s, d)).select("town", "employers", F.array_join("incentives", ";").alias("incentives"), F.array_join("risks", ";").alias("risks"))
+
+
+def narrative_sources(s, d):
+    """Economy and why_now of the nations as towns."""
     n, sup = s.read.parquet(f"{d}/nation.parquet"), s.read.parquet(f"{d}/supplier.parquet")
     e = F.struct("s_suppkey", F.col("s_name").alias("name"), F.concat(F.lit("sector "), (F.col("s_suppkey") % 3).cast("string")).alias("sector"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") * 10).alias("headcount"))
     econ = sup.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("town")).agg(F.array_sort(F.collect_list(e)).alias("major_employers"))
     econ = econ.withColumn("top_industries", F.lit(None).cast("array<struct<industry:string,share_pct:double>>"))
     even = F.col("n_nationkey") % 2 == 0
     why = n.select(F.col("n_name").alias("town"), F.when(even, F.array(F.lit("tax relief"), F.lit("free land"))).alias("incentives"), F.lit(None).cast("array<string>").alias("recent_improvements"), F.lit(None).cast("array<string>").alias("advantages"), F.when(even, F.array(F.lit("flood"))).alias("risks"))
-    return pr.profile_narrative(econ, why).select("town", "employers", F.array_join("incentives", ";").alias("incentives"), F.array_join("risks", ";").alias("risks"))
+    return econ, why
 
 
 @query(f"{_LAST}, p AS (SELECT town, CAST(population AS VARCHAR) AS value FROM l), q AS (SELECT DISTINCT jurisdiction AS town FROM part_land) SELECT town, 'Population' AS headline, 'Population' AS label FROM p UNION ALL SELECT town, 'Industrial-zoned land', 'Industrial-zoned land' FROM q".replace("part_land", "(SELECT 'town-' || CAST(p_partkey % 5 AS VARCHAR) AS jurisdiction FROM part) AS z"))
@@ -515,6 +538,10 @@ def a34_profile_headlines(s, d):
     return pr.profile_headlines(town_stats(s, d)).select("town", "headline", "label")
 
 
-@query(f"{_LAST} SELECT town, CAST(1 + (median_income IS NOT NULL)::INT AS BIGINT) AS demographics, CAST(0 AS BIGINT) AS infrastructure, CAST(0 AS BIGINT) AS land, CAST(0 AS BIGINT) AS economy FROM l")
+_LAND = """, z AS (SELECT jurisdiction AS town, sum(coalesce(area_sqm, 0)) / 10000 AS total, avg(CASE WHEN current_use = 'industrial' THEN price_per_sqm END) AS price, max(CASE WHEN for_sale THEN area_sqm END) AS largest FROM parcels_old GROUP BY 1)"""
+
+
+@query(f"""{fx.duck('town_years', 'parcels_old')}, {_LAST[_LAST.index('l AS'):]}{_LAND} SELECT town, CAST(1 + (median_income IS NOT NULL)::INT AS BIGINT) AS demographics, CAST(0 AS BIGINT) AS infrastructure, CAST(0 AS BIGINT) AS land, CAST(0 AS BIGINT) AS economy FROM l
+  UNION ALL SELECT town, 0, 0, 5 + (price IS NOT NULL)::INT, 0 FROM z""")
 def a35_section_completeness(s, d):
-    return pr.section_completeness(town_stats(s, d).where("section = 'demographics'"))
+    return pr.section_completeness(town_stats(s, d))

@@ -63,9 +63,13 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojsonseq(spark: SparkSession, path: str) -> DataFrame:
-    """Features of files with one on each line; lines may begin with a record separator. Files are split among tasks; empty lines are skipped."""
-    text = spark.read.text(path).select(F.regexp_replace("value", "^\\x1e", "").alias("v")).where("trim(v) <> ''")
-    return _features(text.select(F.xxhash64("v").cast("string").alias("fid"), F.from_json("v", _FEATURE).alias("f")))
+    """Features of files with one on each line; lines may begin with a record separator. Files are split among tasks; empty lines are skipped.
+
+    A feature's fid is its file, the place of the block it was read with and its number in that block, so equal lines have ids of their own, the same in every run over the same files.
+    """
+    rows = spark.read.text(path).select(F.regexp_replace("value", "^\\x1e", "").alias("v"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("m"))
+    rows = rows.where("trim(v) <> ''").withColumn("nth", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return _features(rows.select(F.concat_ws("#", "file_path", "file_block_start", "nth").alias("fid"), F.from_json("v", _FEATURE).alias("f")))
 
 
 def read_csv_points(spark: SparkSession, path: str, lng: str, lat: str) -> DataFrame:

@@ -43,21 +43,26 @@ def run_drift(updates: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return landuse_drift_stream(updates).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(out)
 
 
-def _pointer(spark: SparkSession, root: str) -> str | None:
-    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{root}/pointer") if _exists(spark, f"{root}/pointer") else None
-    return json.loads(rows.first()[0])["version"] if rows is not None else None
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointers that were written whole."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    p = fs.Path(f"{root}/pointer/*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _pointer(spark: SparkSession, root: str) -> str | None:
+    known = _pointers(spark, root)
+    return json.loads(spark.read.text(f"{root}/pointer/{known[-1]}").first()[0])["version"] if known else None
 
 
 def persist_snapshot(current: DataFrame, root: str, version: str) -> None:
-    """Current becomes previous: a folder for the version, then the pointer to it, written last, so that a run that fails leaves the old one in force."""
+    """Current becomes previous: a folder for the version, then a pointer to it of the next number. The greatest number counts, and a pointer only once it is whole, so a run that fails
+    at any time leaves the old one in force."""
     current.write.mode("overwrite").parquet(f"{root}/versions/{version}")
     spark = current.sparkSession
-    spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/pointer")
+    known = _pointers(spark, root)
+    spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/pointer/{known[-1] + 1 if known else 0}")
 
 
 def previous_snapshot(spark: SparkSession, root: str) -> DataFrame | None:

@@ -16,6 +16,80 @@ def moved(parts, dx, dy):
     return [[[(x + dx, y + dy) for x, y in r] for r in p] for p in parts]
 
 
+# --- brute force for what the library says by column expressions: sides one by one ------------------------------------
+
+
+def turned(p, q, r) -> float:
+    return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+
+def _on(p, q, r) -> bool:
+    return turned(p, q, r) == 0 and min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
+
+
+def segments_meet(a, b, c, d) -> bool:
+    """Whether two closed segments have a point in common."""
+    t = turned(a, b, c), turned(a, b, d), turned(c, d, a), turned(c, d, b)
+    if ((t[0] > 0 > t[1]) or (t[0] < 0 < t[1])) and ((t[2] > 0 > t[3]) or (t[2] < 0 < t[3])):
+        return True
+    return _on(a, b, c) or _on(a, b, d) or _on(c, d, a) or _on(c, d, b)
+
+
+def crosses_itself(ring: list) -> bool:
+    """Whether sides of a closed ring meet anywhere but at the corners that neighbours share."""
+    pts = h.open_ring(ring)
+    n = len(pts)
+    sides = [(pts[i], pts[(i + 1) % n]) for i in range(n)]
+    for i in range(n):
+        for j in range(i + 1, n):
+            near = j == i + 1 or (i == 0 and j == n - 1)
+            if near:
+                a, b = (sides[i], sides[j]) if j == i + 1 else (sides[j], sides[i])
+                if n > 2 and turned(a[0], a[1], b[1]) == 0 and (a[0][0] - a[1][0]) * (b[1][0] - a[1][0]) + (a[0][1] - a[1][1]) * (b[1][1] - a[1][1]) > 0:
+                    return True
+            elif segments_meet(*sides[i], *sides[j]):
+                return True
+    return False
+
+
+def where(p, rings: list) -> int:
+    """1 inside a polygon, 0 on its boundary, -1 outside."""
+    inside = False
+    for ring in rings:
+        pts = h.open_ring(ring)
+        for a, b in zip(pts, pts[1:] + pts[:1]):
+            if _on(a, b, p):
+                return 0
+            if (a[1] > p[1]) != (b[1] > p[1]) and (p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]):
+                inside = not inside
+    return 1 if inside else -1
+
+
+def _sides(parts: list) -> list[tuple]:
+    return [s for part in parts for ring in part for s in (zip(ring, ring[1:]) if len(ring) > 1 else [(ring[0], ring[0])] if ring else [])]
+
+
+def meet(a: list, b: list, area_a: bool, area_b: bool) -> bool:
+    """Whether two geometries (points, lines or, by the flags, polygons) have a point in common."""
+    if any(segments_meet(*s, *t) for s in _sides(a) for t in _sides(b)):
+        return True
+    if area_b and any(where(part[0][0], q) >= 0 for part in a if part and part[0] for q in b):
+        return True
+    return area_a and any(where(part[0][0], q) >= 0 for part in b if part and part[0] for q in a)
+
+
+def contains(a: list, b: list, area_b: bool) -> bool:
+    """Whether polygon a holds all of b, which may touch its boundary."""
+    points = [p for part in b for ring in part for p in ring]
+    if not points or not all(any(where(p, part) >= 0 for part in a) for p in points):
+        return False
+    if area_b:
+        whole = sum(s * abs(h.signed_area(t)) for part in b for s, t in h.fan(part))
+        return h.overlap_area(a, b) >= whole * (1 - 1e-9)
+    middles = [((p[0] + q[0]) / 2, (p[1] + q[1]) / 2) for p, q in _sides(b)]
+    return all(any(where(m, part) >= 0 for part in a) for m in middles)
+
+
 @pytest.mark.parametrize("dx, dy, want", [(0, 0, 1.0), (0.5, 0.5, 0.25), (1, 0, 0.0), (2, 2, 0.0), (0.25, 0, 0.75)])
 def test_overlap_of_boxes(dx, dy, want):
     assert math.isclose(h.overlap_area(BOX, moved(BOX, dx, dy)), want, abs_tol=1e-12)
@@ -39,27 +113,86 @@ def test_overlap_is_symmetric_and_bounded():
         assert x <= min(h.signed_area(a[0][0]), h.signed_area(b[0][0])) + 1e-12
 
 
-def test_meeting_and_containing():
-    assert h.meet(BOX, moved(BOX, 1, 1), True, True)  # a corner
-    assert not h.meet(BOX, moved(BOX, 1.01, 0), True, True)
-    inner = [[[(0.2, 0.2), (0.4, 0.2), (0.4, 0.4), (0.2, 0.4), (0.2, 0.2)]]]
-    assert h.meet(BOX, inner, True, True) and h.contains(BOX, inner, True) and not h.contains(inner, BOX, True)
-    assert h.contains(BOX, BOX, True)
-    ell = [[[(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]]]
-    assert not h.contains(ell, [[[(0.5, 0.5), (1.8, 0.5), (0.5, 1.8), (0.5, 0.5)]]], True)
-
-
-def test_self_crossing():
-    assert h.crosses_itself([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)])
-    assert not h.crosses_itself(BOX[0][0])
-    assert h.crosses_itself([(0, 0), (2, 0), (1, 0), (1, 1), (0, 0)])  # goes back on itself
+AREAS = ("Polygon", "MultiPolygon")
+
+
+def _shape(rnd):
+    spot = lambda: (float(rnd.randrange(9)), float(rnd.randrange(9)))
+    box = lambda x, y, w, height: [(x, y), (x + w, y), (x + w, y + height), (x, y + height), (x, y)]
+    k = rnd.randrange(7)
+    if k == 0:
+        return "Point", [[[spot()]]]
+    if k == 1:
+        return "LineString", [[[spot() for _ in range(rnd.randrange(2, 5))]]]
+    if k == 2:
+        x, y = spot()
+        return "Polygon", [[box(x, y, 4.0, 4.0), box(x + 1, y + 1, 2.0, 2.0)]]
+    if k == 3:
+        return "Polygon", [[box(*spot(), float(rnd.randrange(1, 5)), float(rnd.randrange(1, 5)))]]
+    if k == 4:
+        ring = [spot() for _ in range(rnd.randrange(3, 6))]  # may cross itself
+        return "Polygon", [[[*ring, ring[0]]]]
+    if k == 5:
+        x, y = spot()
+        return "Polygon", [[[(x, y), (x + 4, y), (x + 4, y + 4), (x + 3, y + 4), (x + 3, y + 1), (x + 1, y + 1), (x + 1, y + 4), (x, y + 4), (x, y)]]]
+    return "MultiPolygon", [[box(*spot(), 1.0, 1.0)], [box(*spot(), 1.0, 1.0)]]
+
+
+def _on_the_edge_of_a_hole(a, b):
+    """Where brute force, which tries the middle of a side only, may be wrong."""
+    return any(len(part) > 1 for part in a[1]) and b[0] not in AREAS
+
+
+def test_meeting_containing_and_crossing_equal_brute_force(spark):
+    rnd = random.Random(5)
+    pairs = [(k, _shape(rnd), _shape(rnd)) for k in range(600)]
+    df = spark.createDataFrame(pairs + [(600, None, pairs[0][1])], f"k int, a {g.GEOM}, b {g.GEOM}")
+    a, b = F.col("a"), F.col("b")
+    got = {r.k: r for r in df.select("k", g.intersects(a, b).alias("meet"), g.contains(a, b).alias("holds"), g.self_crossing(a).alias("crosses")).collect()}
+    assert tuple(got[600])[1:] == (False, False, False)
+    seen = [0, 0, 0]
+    for k, a, b in pairs:
+        crossed = any(a[0] in AREAS and crosses_itself(r) for part in a[1] for r in part)
+        assert got[k].crosses == crossed, (a, b)
+        seen[2] += crossed
+        if crossed or any(b[0] in AREAS and crosses_itself(r) for part in b[1] for r in part):
+            continue
+        met = meet(a[1], b[1], a[0] in AREAS, b[0] in AREAS)
+        assert got[k].meet == met, (a, b)
+        seen[0] += met
+        if not _on_the_edge_of_a_hole(a, b) and a[0] != "MultiPolygon":
+            held = a[0] in AREAS and contains(a[1], b[1], b[0] in AREAS)
+            assert got[k].holds == held, (a, b)
+            seen[1] += held
+    assert seen[0] > 100 and seen[1] > 5 and seen[2] > 10
+
+
+def test_a_line_through_a_hole_is_not_held(spark):
+    ring = ("Polygon", [[[(3.0, 1.0), (7.0, 1.0), (7.0, 5.0), (3.0, 5.0), (3.0, 1.0)], [(4.0, 2.0), (6.0, 2.0), (6.0, 4.0), (4.0, 4.0), (4.0, 2.0)]]])
+    df = spark.createDataFrame([(ring, ("LineString", [[[(6.0, 3.0), (5.0, 5.0)]]])), (ring, ("LineString", [[[(3.0, 1.0), (7.0, 1.0)]]])), (ring, ("Polygon", [[[(3.0, 1.0), (7.0, 1.0), (7.0, 5.0), (3.0, 5.0), (3.0, 1.0)]]]))], f"a {g.GEOM}, b {g.GEOM}")
+    assert [r.h for r in df.select(g.contains(F.col("a"), F.col("b")).alias("h")).collect()] == [False, True, False]
+
+
+def test_self_crossing(spark):
+    rings = [[(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)], BOX[0][0], [(0, 0), (2, 0), (1, 0), (1, 1), (0, 0)]]  # a bow-tie, none, back on itself
+    df = spark.createDataFrame([(("Polygon", [[[(float(x), float(y)) for x, y in r]]]),) for r in rings], f"a {g.GEOM}")
+    assert [r.c for r in df.select(g.self_crossing(F.col("a")).alias("c")).collect()] == [True, False, True] == [crosses_itself(r) for r in rings]
+
+
+def test_lines_are_clipped_to_their_pieces(spark):
+    line = lambda *at: ("LineString", [[[(float(x), float(y)) for x, y in at]]])
+    df = spark.createDataFrame([(line((-1, 0.5), (2, 0.5)),), (line((0.2, 0.2), (0.4, 0.4)),), (line((2, 2), (3, 3)),), (line((-1, 0), (0.5, 1.5)),), (line((0.5, 0.5), (0.5, 2), (0.8, 2), (0.8, 0.5)),), (("MultiPoint", [[[(0.5, 0.5)]], [[(5.0, 5.0)]]]),), (None,)], f"a {g.GEOM}")
+    got = [r.c for r in df.select(g.clip_box(F.col("a"), 0, 0, 1, 1).alias("c")).collect()]
+    flat = [None if c is None else [[(v.x, v.y) for v in part[0]] for part in c.parts] for c in got]
+    assert flat == [[[(0, 0.5), (1, 0.5)]], [[(0.2, 0.2), (0.4, 0.4)]], None, None, [[(0.5, 0.5), (0.5, 1)], [(0.8, 1), (0.8, 0.5)]], [[(0.5, 0.5)]], None]
+    assert [c.type for c in got if c] == ["MultiLineString", "LineString", "MultiLineString", "MultiPoint"]
 
 
 def test_hull_and_greedy_against_brute_force():
     rnd = random.Random(2)
     pts = [(rnd.random(), rnd.random()) for _ in range(50)]
     ring = h.hull(pts)
-    assert all(h.where(p, [ring]) >= 0 or min(abs(h._turn(a, b, p)) for a, b in zip(ring, ring[1:] + ring[:1])) < 1e-12 for p in pts)
+    assert all(where(p, [ring]) >= 0 or min(abs(h._turn(a, b, p)) for a, b in zip(ring, ring[1:] + ring[:1])) < 1e-12 for p in pts)
     assert h.greedy([(1, 0, 0), (2, 0.1, 0)], [(5, 0.1, 0), (6, 0, 0.05)], 0.2) == [(1, 6), (2, 5)]
     assert h.greedy([(1, 0, 0)], [(9, 0.1, 0), (4, -0.1, 0)], 0.2) == [(1, 4)]
 

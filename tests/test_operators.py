@@ -1,5 +1,6 @@
 """Operators against brute force and hand-made cases."""
 
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as g
-from landloom.operators import diff, patterns, rules, sites, spatial, stats
+from landloom.operators import diff, land, patterns, rules, sites, spatial, stats
 from landloom.operators.components import connected_components
 from landloom.sources import readers, sinks
 from landloom.sources.rulesets import load_permit_rulesets, load_site_rulesets
@@ -213,3 +214,62 @@ def test_snapshots_switch_only_when_written(spark, tmp_path):
     landuse.persist_snapshot(spark.range(3), root, "a")
     spark.range(9).write.parquet(f"{root}/versions/b")  # a run that stopped before its pointer
     assert landuse.previous_snapshot(spark, root).count() == 3
+    (tmp_path / "s" / "pointer" / "1").mkdir()  # a run that stopped while it wrote its pointer
+    assert landuse.previous_snapshot(spark, root).count() == 3
+    landuse.persist_snapshot(spark.range(5), root, "c")
+    landuse.persist_snapshot(spark.range(6), root, "d")
+    assert landuse.previous_snapshot(spark, root).count() == 6
+
+
+def test_equal_lines_are_features_of_their_own(spark, tmp_path):
+    (tmp_path / "f.geojsonl").write_text('{"type": "Feature", "geometry": null, "properties": {"a": 1}}\n' * 5)
+    ids = [r.fid for r in readers.read_geojsonseq(spark, str(tmp_path / "f.geojsonl")).collect()]
+    assert len(set(ids)) == 5 and sorted(ids) == sorted(r.fid for r in readers.read_geojsonseq(spark, str(tmp_path / "f.geojsonl")).collect())
+
+
+def test_keys_that_repeat_are_unknown(spark):
+    from landloom.plans import jobs
+
+    row = lambda k, fid, foot=50.0: ("t", k, fid, "n", 100.0, foot, ("Polygon", [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]))
+    schema = f"jurisdiction string, parcel_id string, fid long, neighborhood string, area_sqm double, footprint_area double, geom {g.GEOM}"
+    base = spark.createDataFrame([row("a", 1), row("b", 2), row("b", 3), row(None, 4), row("c", 5)], schema)
+    current = spark.createDataFrame([row("a", 1), row("b", 2), row("c", 5, 10.0), row("d", 6)], schema)
+    damage = spark.createDataFrame([], f"fid long, damage_severity string, geom {g.GEOM}")
+    got = sorted((str(r.parcel_id), r.status) for r in jobs.reconstruction(base, current, damage).collect())
+    assert got == [("None", "unknown"), ("a", "intact"), ("b", "unknown"), ("b", "unknown"), ("b", "unknown"), ("c", "destroyed"), ("d", "new_construction")]
+
+
+def test_lineage_stays_inside_its_jurisdiction(spark):
+    box = lambda x0, x1: ("Polygon", [[[(x0, 0.0), (x1, 0.0), (x1, 1.0), (x0, 1.0), (x0, 0.0)]]])
+    schema = f"jurisdiction string, parcel_id string, geom {g.GEOM}"
+    old = spark.createDataFrame([("1", "P", box(0.0, 2.0)), ("2", "P", box(10.0, 12.0))], schema)
+    new = spark.createDataFrame([("1", "P-a", box(0.0, 1.0)), ("1", "P-b", box(1.0, 2.0)), ("2", "P", box(10.0, 12.0)), ("2", "Q", box(0.0, 1.0))], schema)
+    assert [tuple(r) for r in land.parcel_lineage(old, new, ["jurisdiction", "parcel_id"]).collect()] == [("subdivided", "1", "P", 2)]
+
+
+def test_ranks_with_a_value_far_from_all_others(spark):
+    import statistics
+
+    values = [float(k % 977) for k in range(4000)] + [1e300, -1e300, 7.5]
+    got = stats.numeric_stats(spark.createDataFrame([(v,) for v in values], "v double"), ["v"]).first()
+    ordered = sorted(values)
+    n = len(ordered)
+    assert (got.median, got.p5, got.p95) == (statistics.median(values), ordered[int(n * 0.05) - 1], ordered[int(n * 0.95)])
+
+
+def test_distances_and_densities_of_shapes(spark):
+    from landloom.operators import sites
+
+    box = lambda x0, y0, x1, y1: ("Polygon", [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]])
+    ell = ("Polygon", [[[(36.0, 33.0), (36.2, 33.0), (36.2, 33.1), (36.1, 33.1), (36.1, 33.2), (36.0, 33.2), (36.0, 33.0)]]])
+    ring = ("Polygon", [[[(37.0, 33.0), (37.3, 33.0), (37.3, 33.3), (37.0, 33.3), (37.0, 33.0)], [(37.1, 33.1), (37.2, 33.1), (37.2, 33.2), (37.1, 33.2), (37.1, 33.1)]]])
+    found = spark.createDataFrame([(1, ell), (2, ring), (3, ("Point", [[[(36.15, 33.15)]]])), (4, ("LineString", [[[(35.9, 33.05), (35.95, 33.05)]]])), (5, None)], f"candidate_id long, geom {g.GEOM}")
+    layer = spark.createDataFrame([("p", 10, ("Point", [[[(36.15, 33.15)]]])), ("p", 11, ("Point", [[[(37.15, 33.15)]]])), ("b", 12, box(37.12, 33.12, 37.13, 33.13)), ("b", 13, box(36.01, 33.01, 36.02, 33.02))], f"layer_key string, fid long, geom {g.GEOM}")
+    got = {(r.candidate_id, r.layer_key): r.metres for r in sites.nearest_distance(found, layer, sphere=True).collect()}
+    degree = math.radians(1) * 6371008.8
+    close = lambda a, b: abs(a - b) < 1e-3 * b + 1e-6
+    assert close(got[1, "p"], 0.05 * degree * math.cos(math.radians(33.15))) and got[1, "b"] == 0 and got[3, "p"] == 0
+    assert close(got[2, "p"], 0.05 * degree * math.cos(math.radians(33.15))) and close(got[2, "b"], 0.02 * degree * math.cos(math.radians(33.12)))  # in the hole
+    assert close(got[4, "b"], math.hypot(0.06 * math.cos(math.radians(33.035)), 0.03) * degree) and (5, "p") not in got
+    n = {r.candidate_id: r.n for r in sites.features_within(found, layer, 0.051).collect()}
+    assert n == {1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
