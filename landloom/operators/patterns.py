@@ -13,8 +13,8 @@ from landloom.operators import spatial as sp
 from landloom.operators.components import connected_components
 from landloom.session import cut
 
-#: Points of a fine cell that a task compares at once.
-BLOCK = 2048
+#: Points of a cell's part that a task compares at once, and parts of a cell along each side.
+BLOCK, PARTS = 2048, 16
 
 
 def to_metres(points: DataFrame, srid: int | None = None) -> tuple[DataFrame, int]:
@@ -45,13 +45,13 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
 
     A border point joins the lowest-numbered cluster it touches; clusters are numbered by their smallest core; noise is -1. Points are laid on
     cells of side eps / sqrt(2), whose points are all within eps of each other: a cell with min_samples points has cores only, needs no counting, and counts as one
-    node of the graph. So crowded cells give no pairs: between cells of cores one link is looked for, by blocks that stop at the first one found.
+    node of the graph. So crowded cells give no pairs: between cells of cores one link is looked for, by the boxes of their parts first.
     """
     side = eps / np.sqrt(2)
     laid = cut(points.select("fid", "x", "y", sp.cell(F.col("x"), side).alias("gx"), sp.cell(F.col("y"), side).alias("gy")))
     cells = cut(laid.groupBy("gx", "gy").agg(F.count("*").alias("n")))
     reach = F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)])
-    # Points of sparse cells count neighbours, at most until there are enough: dense cells around them are read through points near them only.
+    # Points of sparse cells, fewer than min_samples in each, count their neighbours in the cells around.
     sparse = laid.join(cells.where(F.col("n") < min_samples).select("gx", "gy"), ["gx", "gy"])
     around = sparse.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select(F.col("fid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
     near = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")) <= eps * eps
@@ -62,22 +62,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     per_cell = cut(cores.groupBy("gx", "gy").agg(F.min("fid").alias("node"), F.count("*").alias("n")))
     other = per_cell.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("node").alias("to"))
     pairs = per_cell.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select("gx", "gy", "node", (F.col("gx") + F.col("dx")).alias("hx"), (F.col("gy") + F.col("dy")).alias("hy")).join(other, ["hx", "hy"]).where("node < to")
-    sized = cores.join(per_cell.select("gx", "gy", "n"), ["gx", "gy"])
-    blocks = sized.withColumn("block", F.pmod(F.xxhash64("fid"), F.ceil(F.col("n") / BLOCK)).cast("int")).groupBy("gx", "gy", "block").agg(F.collect_list(F.struct("x", "y")).alias("pts"))
-    lined = pairs.join(blocks.select("gx", "gy", F.col("pts").alias("p")), ["gx", "gy"]).join(blocks.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("pts").alias("q")), ["hx", "hy"])
-
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: set[tuple[int, int]] = set()
-            for node, to, p, q in zip(b["node"], b["to"], b["p"], b["q"]):
-                if (node, to) in seen:
-                    continue
-                p, q = (np.array([(v["x"], v["y"]) for v in s]) for s in (p, q))
-                if any((((p[i : i + BLOCK, None, :] - q[None, :, :]) ** 2).sum(axis=2) <= eps * eps).any() for i in range(0, len(p), BLOCK)):
-                    seen.add((node, to))
-            yield pd.DataFrame(list(seen), columns=["a", "b"], dtype="int64")
-
-    edges = lined.select("node", "to", "p", "q").mapInPandas(linked, "a long, b long").distinct()
+    edges = _linked_cells(cores, pairs, side, eps)
     comp = connected_components(edges)
     rooted = per_cell.join(comp.select(F.col("node"), "component"), "node", "left").select("gx", "gy", F.coalesce("component", "node").alias("root"))
     roots = rooted.select("root").distinct()
@@ -90,6 +75,56 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return points.select("fid").join(core_labels.unionByName(border), "fid", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)).cast("long"))
 
 
+def _linked_cells(cores: DataFrame, pairs: DataFrame, side: float, eps: float) -> DataFrame:
+    """Edges (a, b) of pairs of cells (gx, gy, node, hx, hy, to) of which two cores are within eps of each other.
+
+    Cores of a cell are summed up by the boxes of its PARTS by PARTS parts, so a crowded cell moves as few rows. Where the far corners of two
+    boxes are within eps the cells are linked, where no near corners are they aren't; only for pairs of parts in between, in cells that aren't linked by others, are cores compared.
+    """
+    part = lambda v, lo: F.least(F.lit(PARTS - 1), F.greatest(F.lit(0), F.floor((F.col(v) / side - F.col(lo)) * PARTS))).cast("int")
+    parted = cores.withColumns({"sx": part("x", "gx"), "sy": part("y", "gy")})
+    boxes = parted.groupBy("gx", "gy", "sx", "sy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"))
+    lists = cut(boxes.groupBy("gx", "gy").agg(F.collect_list(F.struct("sx", "sy", "x0", "x1", "y0", "y1")).alias("l")))
+    lined = pairs.join(lists.select("gx", "gy", F.col("l").alias("p")), ["gx", "gy"]).join(lists.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("l").alias("q")), ["hx", "hy"])
+    names = ["a", "b", "sure", "gx", "gy", "sx", "sy", "hx", "hy", "tx", "ty"]
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for node, to, gx, gy, hx, hy, p, q in zip(*(rows[c] for c in ("node", "to", "gx", "gy", "hx", "hy", "p", "q"))):
+                p, q = (np.array([tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in s], np.float64) for s in (p, q))
+                near, far = np.zeros((len(p), len(q))), np.zeros((len(p), len(q)))
+                for lo, hi in ((2, 3), (4, 5)):
+                    near += np.maximum(0, np.maximum(p[:, None, lo] - q[None, :, hi], q[None, :, lo] - p[:, None, hi])) ** 2
+                    far += np.maximum(p[:, None, hi] - q[None, :, lo], q[None, :, hi] - p[:, None, lo]) ** 2
+                if (far <= eps * eps).any():
+                    out.append((node, to, True, gx, gy, 0, 0, hx, hy, 0, 0))
+                else:
+                    out += [(node, to, False, gx, gy, int(p[i, 0]), int(p[i, 1]), hx, hy, int(q[j, 0]), int(q[j, 1])) for i, j in zip(*np.nonzero(near <= eps * eps))]
+            yield pd.DataFrame(out, columns=names)
+
+    found = cut(lined.select("node", "to", "gx", "gy", "hx", "hy", "p", "q").mapInPandas(tested, "a long, b long, sure boolean, gx long, gy long, sx int, sy int, hx long, hy long, tx int, ty int"))
+    at, other = ["gx", "gy", "sx", "sy"], ["hx", "hy", "tx", "ty"]
+    sized = parted.join(boxes.select(*at, "n"), at)
+    blocks = sized.withColumn("block", F.pmod(F.xxhash64("fid"), F.ceil(F.col("n") / BLOCK)).cast("int")).groupBy(*at, "block").agg(F.collect_list(F.struct("x", "y")).alias("p"))
+    doubtful = found.where("not sure")
+    met = doubtful.join(blocks.drop("block"), at).join(blocks.select(*[F.col(c).alias(d) for c, d in zip(at, other)], F.col("p").alias("q")), other)
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            seen: set[tuple[int, int]] = set()
+            for node, to, p, q in zip(rows["a"], rows["b"], rows["p"], rows["q"]):
+                if (node, to) in seen:
+                    continue
+                p, q = (np.array([tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in s]) for s in (p, q))
+                if (((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) <= eps * eps).any():
+                    seen.add((node, to))
+            yield pd.DataFrame(list(seen), columns=["a", "b"], dtype="int64")
+
+    compared = met.select("a", "b", "p", "q").mapInPandas(linked, "a long, b long")
+    return found.where("sure").select("a", "b").union(compared).distinct()
+
+
 def _numbered(roots: DataFrame) -> DataFrame:
     """Roots numbered from 0 in order: ranges of roots are numbered by themselves, then moved by the counts of the ranges before."""
     parts = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -89,30 +89,38 @@ def neighbors_within(points: DataFrame, eps: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= eps).select("a", "b", "dist")
 
 
+#: Places of the most crowded cell with which a search for neighbours starts.
+CROWD = 64
+
+
 def nearest_neighbor(points: DataFrame, size: float) -> DataFrame:
     """(fid, dist) to the nearest other row; coincident rows give 0, a single row gives null.
 
-    Rows that share a place need no search. Of the others, each looks through the cells around its own, of side ``size``; those that find
-    none within a side look again in cells twice as wide. Each round has fewer rows and no more than a bounded neighbourhood.
+    Rows that share a place need no search. Cells of side ``size`` are made narrower until the most crowded one holds CROWD places at most, so no crowd is compared with itself. Then each
+    row looks through the cells around its own; those that find none within a side look again in cells four times as wide, which only rows far from
+    others do. Each round has fewer rows.
     """
     from landloom.session import cut
 
     places = points.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("fid").alias("fid"))
-    many = points.join(places.where("n > 1").select("x", "y"), ["x", "y"], "left_semi").select("fid", F.lit(0.0).alias("dist"))
     places = cut(places)
+    many = points.join(places.where("n > 1").select("x", "y"), ["x", "y"], "left_semi").select("fid", F.lit(0.0).alias("dist"))
     rest, done, total = cut(places.where("n = 1").select("fid", "x", "y")), [many], places.count()
     if total < 2:
         return many.unionByName(rest.select("fid", F.lit(None).cast("double").alias("dist")))
-    span = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    ends = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
+    span = max(ends[0], ends[1])
+    while places.groupBy(cell(F.col("x"), size), cell(F.col("y"), size)).count().agg(F.max("count")).first()[0] > CROWD and size > ends[2] * 1e-12:
+        size /= 4
     while rest.take(1):
         right = places.select(F.col("x").alias("x2"), F.col("y").alias("y2"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
         dist = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
         near = _neighbour_cells(rest, size).join(right, ["cx", "cy"]).where("x <> x2 or y <> y2").groupBy("fid").agg(F.min(dist).alias("dist"))
-        sure = F.lit(True) if size > max(span) else F.col("dist") <= size
+        sure = F.lit(True) if size > span else F.col("dist") <= size
         found = cut(near.where(sure))
         done.append(found)
         rest = cut(rest.join(found.select("fid"), "fid", "left_anti"))
-        size *= 2
+        size *= 4
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -247,6 +247,34 @@ def test_lineage_stays_inside_its_jurisdiction(spark):
     assert [tuple(r) for r in land.parcel_lineage(old, new, ["jurisdiction", "parcel_id"]).collect()] == [("subdivided", "1", "P", 2)]
 
 
+def test_crowded_cells_are_linked_right(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "BLOCK", 16)
+    monkeypatch.setattr(spatial, "CROWD", 8)
+    rnd = random.Random(3)
+    crowd = lambda x, y, n, w: [(x + rnd.random() * w, y + rnd.random() * w) for _ in range(n)]
+    at = crowd(0, 0, 150, 0.7) + crowd(1.6, 0, 150, 0.7) + crowd(0, 2.2, 120, 0.7) + crowd(2.9, 2.9, 40, 0.5) + [(9.0, 9.0)]  # gaps of about eps
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(at)], "fid long, x double, y double")
+    near = [[j for j, q in enumerate(at) if math.dist(p, q) <= 1] for p in at]
+    core = [len(n) >= 5 for n in near]
+    root = {k: k for k in range(len(at)) if core[k]}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k in root:
+        for j in near[k]:
+            if core[j]:
+                a, b = find(k), find(j)
+                root[max(a, b)] = min(a, b)
+    numbers = {r: n for n, r in enumerate(sorted({find(k) for k in root}))}
+    want = {k: numbers[find(k)] if core[k] else min((numbers[find(j)] for j in near[k] if core[j]), default=-1) for k in range(len(at))}
+    assert {r.fid: r.cluster_id for r in patterns.dbscan(points, 1.0, 5).collect()} == want
+    got = {r.fid: r.dist for r in spatial.nearest_neighbor(points, 1.0).collect()}
+    assert all(abs(got[k] - min(math.dist(p, q) for j, q in enumerate(at) if j != k)) < 1e-9 for k, p in enumerate(at))
+
+
 def test_ranks_with_a_value_far_from_all_others(spark):
     import statistics
 
