@@ -13,7 +13,7 @@ from landloom import queries as core
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind here; all are compared on larger tables by the driver.
-SOME = ["p02_utm_epsg", "p11_measures", "p15_geometry_text", "j03_density_count", "j05_spatial_join_intersects", "j06_point_in_polygon", "a06_numeric_stats", "a10_categorical_stats", "a16_permit_verdict", "a22_diff_changes", "a24_reconstruction_status", "j13_compliance_join", "j14_parcel_lineage", "w08_consecutive_drift", "j11_match_sites", "a34_profile_headlines", "s02_read_geojsonseq", "k01_format_postgis", "m01_landuse_drift_stream", "z12_monitor_landuse"]
+SOME = ["p02_utm_epsg", "p11_measures", "p15_geometry_text", "j03_density_count", "j05_spatial_join_intersects", "j06_point_in_polygon", "a06_numeric_stats", "a10_categorical_stats", "a16_permit_verdict", "a22_diff_changes", "a24_reconstruction_status", "j13_compliance_join", "j14_parcel_lineage", "w08_consecutive_drift", "j11_match_sites", "a34_profile_headlines", "s02_read_geojsonseq", "k01_format_postgis", "m01_landuse_drift_stream", "z12_monitor_landuse", "a17_permit_recommendations", "j01_nearest_distance_of_polygons", "j03_density_count_of_shapes", "s06_load_permit_rulesets", "p12_area_sqm"]
 
 
 def plain(v):
