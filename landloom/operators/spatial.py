@@ -59,8 +59,14 @@ def overlaps(a: DataFrame, b: DataFrame, size: float = 0.05) -> DataFrame:
     left = g.with_bbox(a.select("a_id", F.col("geom").alias("a_geom")), "a_geom")
     right = g.with_bbox(b.select("b_id", F.col("geom").alias("b_geom")), "b_geom")
     pairs = bbox_pairs(left.where("xmin is not null"), right.where("xmin is not null"), size)
-    met = pairs.where(g.intersects(F.col("a_geom"), F.col("b_geom")))
-    return met.select("a_id", "b_id", g.area(F.col("a_geom")).alias("a_area"), g.area(F.col("b_geom")).alias("b_area"), g.overlap_area(F.col("a_geom"), F.col("b_geom")).alias("overlap"))
+    areas = {"a_area": g.area(F.col("a_geom")), "b_area": g.area(F.col("b_geom"))}
+    met = pairs.where(g.intersects(F.col("a_geom"), F.col("b_geom"))).withColumns(areas)
+    # Upright boxes fill their bounding boxes; of two of these the overlap is a product, and no geometry leaves the JVM.
+    fills = lambda area, p: F.abs(F.col(area) - (F.col(f"{p}xmax") - F.col(f"{p}xmin")) * (F.col(f"{p}ymax") - F.col(f"{p}ymin"))) <= 1e-12 * F.col(area)
+    boxes = (F.col("a_area") > 0) & (F.col("b_area") > 0) & fills("a_area", "") & fills("b_area", "b_")
+    side = lambda f: F.least(f"{f}max", f"b_{f}max") - F.greatest(f"{f}min", f"b_{f}min")
+    other = g.overlap_area(F.when(~boxes, F.col("a_geom")), F.when(~boxes, F.col("b_geom")))
+    return met.select("a_id", "b_id", "a_area", "b_area", F.when(boxes, side("x") * side("y")).otherwise(other).alias("overlap"))
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
