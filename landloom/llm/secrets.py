@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
