@@ -9,11 +9,11 @@ from math import acos, ceil, floor, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from landloom.llm.members import marked
 from landloom.operators.components import connected_components
-from landloom.session import cut, read
+from landloom.session import cut, read, release
 
 BYTES = 8
 #: Rows of one posting list that are compared in one place; longer lists are dealt in pairs of blocks.
@@ -178,12 +178,21 @@ WIDE, KEYED = 256, 251
 RING = (0, 1, 3)
 #: Odd multipliers that turn one hash into the 64-bit words of a wide fingerprint.
 WORDS = np.random.default_rng(42).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows of a list whose pairs are made where it is read; in longer lists each row meets the first one, then those that it isn't tied to.
-SHORT = 16
+#: Partners, the closest ones, that a text's links are verified with first, in rounds, each over one of FIRST parts of the lists; then all pairs that are left are verified.
+PARTNERS, ROUNDS, FIRST = 3, 2, 8
+#: Pairs that one task verifies, about.
+CELL = 10_000
 #: Texts of fewer shingles have fingerprints that vary more.
 FEW = 20
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts' hashes are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def wide_fingerprint(distinct: np.ndarray) -> bytes:
     """SimHash of WIDE bytes of distinct hashes."""
     total = np.zeros(WIDE * 8, np.int64)
@@ -228,53 +237,146 @@ def postings(ids: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> tuple[np
 
 
 def may_be(one: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two postings' sizes and further bits allow the similarity."""
+    """Whether what goes with two postings, sizes and further bits, allows the similarity."""
     levels = ceil(np.log(1 / similarity) / np.log(1.1))
-    bits = np.bitwise_count(((one ^ other) >> 7 & 0xFFFFFF).astype(np.uint64))
+    bits = np.bitwise_count((one ^ other) >> 7)
     return (np.abs((one & 127) - (other & 127)) <= levels) & (bits <= most_bits(24, similarity, True))
 
 
-def _listed(similarity: float):
-    """Of postings in order, row by row: pairs (a, b) of ids that may be that similar, and rows (b, key, more) of the long lists."""
+def _live(similarity: float):
+    """Of postings in order (packed, id) those rows (key, id) that have a row in their list which they may be that similar to. Lists of over BLOCK rows stay whole."""
 
-    def run(packed: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """Of whole lists, one behind the other."""
+    def run(packed: np.ndarray) -> np.ndarray:
+        """Which rows of whole lists, one behind the other."""
         key = packed >> 31
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(starts, len(key)))
-        out = []
-        for n in np.unique(size[(size > 1) & (size <= SHORT)]):
-            rows = starts[size == n][:, None]
-            for i, j in combinations(range(n), 2):
-                a, b = (rows + i)[:, 0], (rows + j)[:, 0]
-                good = may_be(packed[a], packed[b], similarity) & (ids[a] != ids[b])
-                out.append((ids[a[good]], ids[b[good]], np.full(good.sum(), -1), np.full(good.sum(), -1)))
-        long = size > SHORT
-        if long.any():
-            rows = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[long], size[long])])
-            first = np.repeat(starts[long], size[long])
-            good = may_be(packed[first], packed[rows], similarity) & (ids[first] != ids[rows])
-            out.append((ids[first[good]], ids[rows[good]], np.full(good.sum(), -1), np.full(good.sum(), -1)))
-            out.append((np.full(len(rows), -1), ids[rows], key[rows], packed[rows] & 0x7FFFFFFF))
-        return out
+        good = np.repeat(size > BLOCK, size)
+        for n in np.unique(size[(size > 1) & (size <= BLOCK)]):
+            rows = starts[size == n][:, None] + np.arange(n)
+            for part in np.array_split(rows, 1 + (rows.size * n >> 18)):  # a quarter of a million pairs at a time
+                more = packed[part] & 0x7FFFFFFF
+                near = may_be(more[:, :, None], more[:, None, :], similarity)
+                good[part] = near.sum(axis=2) > 1  # besides itself
+        return good
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_p, held_i = np.empty(0, np.int64), np.empty(0, np.int64)  # a list that may go on
+
+        def whole(p: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
+            good = run(p)
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(p[good] >> 31), pa.array(i[good])], ["key", "id"])
+
         for b in batches:
             p, i = (np.concatenate([held, b.column(k).to_numpy(zero_copy_only=False)]) for k, held in ((0, held_p), (1, held_i)))
             if not len(p):
                 continue
             end = int(np.searchsorted(p >> 31, p[-1] >> 31))
             held_p, held_i = p[end:], i[end:]
-            yield from _batches(run(p[:end], i[:end]) if end else [])
-        yield from _batches(run(held_p, held_i) if len(held_p) else [])
+            if end:
+                yield from whole(p[:end], i[:end])
+        if len(held_p):
+            yield from whole(held_p, held_i)
 
     return each
 
 
-def _batches(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], ["a", "b", "key", "more"])
+def retained(prints: np.ndarray, sizes: np.ndarray, other: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs i < j of rows of one list that ``other`` (a matrix) asks for and whose fingerprints share as many positional bytes, and differ in no more bits, than those of texts of that
+    similarity do; their differing bits, and the first list that both are in."""
+    n = len(prints)
+    shared = np.array([least_shared(KEYED, similarity, few) for few in (False, True)])
+    most = np.array([most_bits(WIDE * 8, similarity, few) for few in (False, True)])
+    if n <= 64:
+        i, j = np.nonzero(np.triu(other, 1))
+        tally = (prints[i, :KEYED] == prints[j, :KEYED]).sum(axis=1)
+    else:
+        counts = np.zeros((n, n), np.uint8)
+        for k in range(KEYED):
+            counts += prints[:, k, None] == prints[None, :, k]
+        i, j = np.nonzero(np.triu(other & (counts >= shared.min()), 1))
+        tally = counts[i, j]
+    few = (np.minimum(sizes[i], sizes[j]) < FEW).astype(int)
+    kept = tally >= shared[few]
+    i, j, few = i[kept], j[kept], few[kept]
+    out = []
+    for at in range(0, max(1, len(i)), 8192):
+        x, y = prints[i[at : at + 8192]], prints[j[at : at + 8192]]
+        bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        equal = x[:, :KEYED] == y[:, :KEYED]
+        first = np.logical_and.reduce([np.roll(equal, -k, axis=1) for k in RING]).argmax(axis=1)
+        out.append((bits, first))
+    bits, first = (np.concatenate(x) for x in zip(*out))
+    good = bits <= most[few]
+    return i[good], j[good], bits[good], first[good]
+
+
+def proposed(live: DataFrame, tied: DataFrame | None, nodes: DataFrame, similarity: float, partners: int | None) -> DataFrame:
+    """Pairs (a, b) of ids of one list (rows key, id) that are retained and that ``tied`` doesn't hold together: each text's closest ``partners``, or all.
+
+    Lists are dealt in pairs of blocks of BLOCK rows, and lists that are tied together already aren't dealt at all. Pairs are made inside a task; where a number of partners is told, at
+    most so many for each text leave it.
+    """
+    held = nodes.select("id", "n", "fp")
+    if tied is None:
+        parted = live.join(held, "id").withColumn("c", F.col("id"))
+    else:
+        parted = live.join(tied.select(F.col("node").alias("id"), "component"), "id", "left").join(held, "id").withColumn("c", F.coalesce("component", "id"))
+    of_list = Window.partitionBy("key")
+    dealt = (
+        parted.withColumns({"low": F.min("c").over(of_list), "high": F.max("c").over(of_list), "g": F.ceil(F.count("*").over(of_list) / BLOCK).cast("int")})
+        .where("low <> high")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .agg(F.collect_list(F.struct("id", "c", "own", "n", "fp")).alias("rows"))
+        .where(F.size("rows") > 1)
+        .select(F.expr("lo <> hi").alias("two"), F.shiftright("key", 24).alias("k"), *[F.col("rows")[k].alias(k) for k in ("id", "c", "own", "n", "fp")])
+    )
+
+    def closest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+        """Of each a the ``most`` rows of least bits, each b once."""
+        order = np.lexsort((b, bits, a))
+        a, b, bits = a[order], b[order], bits[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # equal pairs have equal bits
+        a, b, bits = a[new], b[new], bits[new]
+        start = np.flatnonzero(np.diff(a, prepend=a[:1] - 1))
+        kept = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < most
+        return a[kept], b[kept], bits[kept]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty(0, np.int64)] * 3
+        for b in batches:
+            ends = np.concatenate([[0], np.cumsum(np.asarray(b.column("id").value_lengths()))]).astype(int)
+            ids, c, own, n = (b.column(k).flatten().to_numpy() for k in ("id", "c", "own", "n"))
+            prints = np.frombuffer(b"".join(b.column("fp").flatten().to_pylist()), np.uint8).reshape(-1, WIDE)
+            out = [[np.empty(0, np.int64)] * 3]
+            for two, k, s, e in zip(b.column("two").to_pylist(), b.column("k").to_pylist(), ends, ends[1:]):
+                other = c[s:e, None] != c[None, s:e]
+                if two:  # pairs within a block are made where it meets itself
+                    other &= own[s:e, None] != own[None, s:e]
+                i, j, bits, first = retained(prints[s:e], n[s:e], other, similarity)
+                if partners:
+                    i, j, bits = closest(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([bits, bits]), 1)
+                else:  # a pair leaves the first of its lists
+                    i, j, bits = i[first == k], j[first == k], bits[first == k]
+                out.append([ids[s + i], ids[s + j], bits])
+            found = [np.concatenate(x) for x in zip(*out)]
+            if partners:
+                best = closest(*(np.concatenate(x) for x in zip(best, found)), partners)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "bits"])
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["a", "b", "bits"])
+
+    found = dealt.mapInArrow(pairs, "a long, b long, bits long")
+    if partners:
+        best = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "b"))), 1, partners).alias("best"))  # a row has few more candidates than lists
+        found = best.select("a", F.explode("best.b").alias("b"))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.select("a", "b")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -284,98 +386,82 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / total if total else 1.0
 
 
-def retained(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose fingerprints (of ``nodes``: id, n, fp) share the positional bytes, and differ in no more bits, than texts of that similarity do."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = np.array([least_shared(KEYED, similarity, few) for few in (False, True)])
-        most = np.array([most_bits(WIDE * 8, similarity, few) for few in (False, True)])
-        for b in batches:
-            one, other = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, WIDE) for k in (2, 3))
-            few = (b.column(4).to_numpy(zero_copy_only=False) < FEW).astype(int)
-            tally = (one[:, :KEYED] == other[:, :KEYED]).sum(axis=1)
-            good = np.flatnonzero(tally >= shared[few])
-            good = pa.array(good[np.bitwise_count(one[good] ^ other[good]).sum(axis=1, dtype=np.int64) <= most[few[good]]])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(good), b.column(1).take(good)], ["a", "b"])
+def in_cells(pairs: DataFrame, contents, test) -> DataFrame:
+    """The pairs (a, b) of ids that ``test`` finds good, by what ``contents`` of each id there is.
 
-    held = nodes.select("id", "n", "fp")
-    told = pairs.join(held.toDF("a", "na", "fa"), "a").join(held.toDF("b", "nb", "fb"), "b")
-    return told.select("a", "b", "fa", "fb", F.least("na", "nb").alias("n")).mapInArrow(count, "a long, b long")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts (id, t) have at least that Jaccard similarity of distinct shingles. The shingles of the texts that retained pairs name are the only ones to move."""
+    Pairs are laid out in cells, by groups of both ids, so many that a cell has about CELL pairs. ``contents`` is given (id, cells), the cells of each id that
+    has pairs, and returns rows (id, cells, s) with a binary s, which moves to each of these cells once, however many pairs it has there. ``test`` is given
+    two arrays of positions of a cell's pairs and its list of contents, and returns which are good.
+    """
+    pairs = cut(pairs)
+    sides = max(1, ceil(sqrt(pairs.count() / CELL)))
+    cell = lambda a, b: F.pmod(F.xxhash64(a), F.lit(sides)) * sides + F.pmod(F.xxhash64(b, F.lit(1)), F.lit(sides))
+    laid = pairs.select("a", "b", cell("a", "b").alias("cell"))
+    places = laid.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = places.groupBy("id").agg(F.collect_list("cell").alias("cells"))  # no more than an id's pairs, nor than two rows of cells
+    held = contents(needed).select(F.explode("cells").alias("cell"), "id", "s")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        good = np.zeros(len(a), bool)
+        if len(ids):
+            at = [order[np.minimum(np.searchsorted(ids[order], x), len(ids) - 1)] for x in (a, b)]
+            known = np.flatnonzero((ids[at[0]] == a) & (ids[at[1]] == b))
+            good[known] = test(at[0][known], at[1][known], right.column("s").to_pylist())
+        return pa.table([a[good], b[good]], names=["a", "b"])
+
+    return laid.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(check, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts (id, t) have at least that Jaccard similarity of distinct shingles. Texts without pairs don't move."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             made = pa.array([np.unique(shingle_hashes(t or b"", width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), made], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), made, b.column(2)], ["id", "s", "cells"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            one, other = (map(lambda x: np.frombuffer(x, np.uint64), b.column(k).to_pylist()) for k in (2, 3))
-            good = pa.array([jaccard(x, y) >= similarity - 1e-9 for x, y in zip(one, other)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
-
-    pairs = cut(retained(pairs, nodes, similarity))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    maybe = marked(texts, "id", needed, "needed").where("needed").drop("needed")
-    held = maybe.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary")
-    first = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = first.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return cut(both.mapInArrow(check, "a long, b long").distinct())
-
-
-def untied_pairs(long: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of ids in one long list (rows key, id, more) that may be that similar and that ``tied`` doesn't hold together. Lists are dealt in pairs of blocks."""
-    parted = long.join(tied.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    lists = parted.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    dealt = (
-        parted.join(lists.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("g")), "key")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "more", "c")
-    )
-    x, y = dealt.alias("x"), dealt.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.c") < F.col("y.c")))
-    met = met.where("x.lo = x.hi or x.own <> y.own")
-    level = F.abs(F.col("x.more").bitwiseAND(127) - F.col("y.more").bitwiseAND(127))
-    bits = F.bit_count(F.shiftright(F.col("x.more").bitwiseXOR(F.col("y.more")), 7))
-    near = (level <= ceil(np.log(1 / similarity) / np.log(1.1))) & (bits <= most_bits(24, similarity, True))
-    return met.where(near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    def shingles(needed: DataFrame) -> DataFrame:
+        maybe = marked(texts, "id", needed.select("id"), "needed").where("needed").drop("needed")
+        return maybe.join(needed, "id").select("id", "t", "cells").mapInArrow(sets, "id long, s binary, cells array<long>")
+
+    def alike(i: np.ndarray, j: np.ndarray, held: list[bytes]) -> list[bool]:
+        known = [np.frombuffer(s, np.uint64) for s in held]
+        return [jaccard(known[x], known[y]) >= similarity - 1e-9 for x, y in zip(i, j)]
+
+    return cut(in_cells(pairs, shingles, alike))
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) between ids that connect those whose texts have at least that similarity, and none below it.
 
     ``nodes`` are rows (id, n, fp) of distinct ids, ``texts`` rows (id, t). The index has KEYED lists of a text, each by three positional bytes. Two texts of similarity 0.8 meet in five
-    lists in the mean and in none in 1.4 of 100 cases; of 0.85 in nine, and in none in 4 of 10,000 (README). The lists that two
-    texts share are tallied for each pair. First each text's link to the one before it with which it shares most is verified, which ties crowds of copies by a
-    linear number of pairs; then all pairs that met and are still apart are. To verify means: equal positional bytes and differing bits as such texts
-    have, then the exact Jaccard of their distinct shingles.
+    lists in the mean and in none in 1.4 of 100 cases; of 0.85 in nine, and in none in 4 of 10,000 (README). In a list the positional bytes that two
+    texts share are tallied, and pairs with as many as such texts have are retained. First each text's links to the closest of them, out of some of the lists, are verified, which ties crowds of
+    copies by a linear number of pairs; then all pairs that are retained and still apart are. To verify means the exact Jaccard of the distinct shingles.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
-                packed, ids = postings(part.column(0).to_numpy(), part.column(1).to_numpy(), prints)
-                yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(ids)], ["packed", "id"])
+        for b in _slices(batches):
+            prints = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, WIDE)
+            packed, ids = postings(b.column(0).to_numpy(), b.column(1).to_numpy(), prints)
+            yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(ids)], ["packed", "id"])
 
     index = nodes.select("id", "n", "fp").mapInArrow(keys, "packed long, id long")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = index.repartition(parts, F.shiftright("packed", 31)).sortWithinPartitions("packed")
-    found = cut(lists.mapInArrow(_listed(similarity), "a long, b long, key long, more long"))
-    pairs = cut(found.where("key < 0").groupBy("a", "b").agg(F.count("*").alias("lists")))
-    long = found.where("key >= 0").select("key", F.col("b").alias("id"), F.col("more").cast("int").alias("more"))
-    closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
-    first = verified(closest, nodes, texts, width, similarity)
-    tied = cut(connected_components(first))
-    of = [tied.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b")]
-    apart = pairs.join(of[0], "a", "left").join(of[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    apart = apart.join(closest, ["a", "b"], "left_anti").union(untied_pairs(long, tied, similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.union(verified(apart, nodes, texts, width, similarity))
+    live = cut(lists.mapInArrow(_live(similarity), "key long, id long"))
+    release(nodes.sparkSession)  # of the index
+    links, tied = None, None
+    for k in range(ROUNDS):
+        some = live.where(F.shiftright("key", 24) % FIRST == k)
+        found = verified(proposed(some, tied, nodes, similarity, PARTNERS), texts, width, similarity)
+        links = found if links is None else links.union(found)
+        tied = cut(connected_components(links))
+        release(nodes.sparkSession)
+    return links.union(verified(proposed(live, tied, nodes, similarity, None), texts, width, similarity))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -392,7 +478,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     texts = known.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = [np.unique(shingle_hashes(t or b"", width)) for t in b.column(1).to_pylist()]
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             n, fp = pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())
