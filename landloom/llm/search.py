@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 32, i
     non-finite component, and null ids, take no part; vectors of other lengths count as padded with zeros; of rows that
     repeat an id the greatest vector counts. Less than k others give less than k rows; an empty table gives none; other columns are ignored.
 
-    The pivot table, distances to ``pivots`` rows, is made once. Scores with SEED rows give each query a floor. Queries are dealt into blocks by their nearest
+    The pivot table, distances to ``pivots`` rows, is made once. Scores with SEED rows give each query a floor. Queries are dealt into blocks of about QUERIES, pivot by nearest
     pivot; of a block only the range of its distances to each pivot, its greatest square and its least floor are told to all tasks, and a candidate
     is sent to those blocks alone which it can have a winner for. There each query goes through the candidates in the order of their bounds. Of each pair of blocks
     at most k rows a query go on. The driver sees the pivots, the seed rows and a line for each block of QUERIES queries.
@@ -133,10 +133,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 32, i
     asked = query_floors(table.where(is_query), few.column("vec_id").to_numpy(), seed, k)
     nearest = F.array_position("d", F.array_min("d")).cast("int")
     near = cut(asked.withColumn("p", F.coalesce(nearest, F.lit(0))))
-    crowds = near.groupBy("p").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).orderBy("p")
     order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each pivot
-    crowds = crowds.withColumn("first", F.coalesce(F.sum("parts").over(order), F.lit(0)).cast("int"))
-    queries = cut(near.join(F.broadcast(crowds), "p").withColumn("b", F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int")).drop("p", "parts", "first"))
+    crowds = near.groupBy("p").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    place = F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("n"))  # about its place among all queries, pivot by pivot
+    queries = cut(near.join(F.broadcast(crowds), "p").withColumn("b", F.floor(place / QUERIES).cast("int")).drop("p", "n", "first"))
     width = min(pivots, len(seed))
     told = [F.max("xx").alias("xx"), F.min("floor").alias("floor"), *[f(F.col("d")[j]).alias(f"{n}{j}") for j in range(width) for n, f in (("lo", F.min), ("hi", F.max))]]
     blocks = queries.groupBy("b").agg(*told).orderBy("b").toArrow()
