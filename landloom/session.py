@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
 import uuid
@@ -43,13 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner delete shuffle files that nothing refers to any more, those behind checkpoints among them, before a job of many rounds goes on. It would do so only at the
-    driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
