@@ -9,11 +9,11 @@ from math import acos, ceil, floor, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landloom.llm.members import marked
 from landloom.operators.components import connected_components
-from landloom.session import cut, read, release
+from landloom.session import cut, read
 
 BYTES = 8
 #: Rows of one posting list that are compared in one place; longer lists are dealt in pairs of blocks.
@@ -318,15 +318,13 @@ def proposed(live: DataFrame, tied: DataFrame | None, nodes: DataFrame, similari
     Lists are dealt in pairs of blocks of BLOCK rows, and lists that are tied together already aren't dealt at all. Pairs are made inside a task; where a number of partners is told, at
     most so many for each text leave it.
     """
-    held = nodes.select("id", "n", "fp")
-    if tied is None:
-        parted = live.join(held, "id").withColumn("c", F.col("id"))
-    else:
-        parted = live.join(tied.select(F.col("node").alias("id"), "component"), "id", "left").join(held, "id").withColumn("c", F.coalesce("component", "id"))
-    of_list = Window.partitionBy("key")
+    parted = live.withColumn("c", F.col("id"))
+    if tied is not None:
+        parted = live.join(tied.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    lists = parted.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
     dealt = (
-        parted.withColumns({"low": F.min("c").over(of_list), "high": F.max("c").over(of_list), "g": F.ceil(F.count("*").over(of_list) / BLOCK).cast("int")})
-        .where("low <> high")
+        parted.join(lists.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("g")), "key")
+        .join(nodes.select("id", "n", "fp"), "id")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -453,14 +451,12 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int = 5, similarity
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = index.repartition(parts, F.shiftright("packed", 31)).sortWithinPartitions("packed")
     live = cut(lists.mapInArrow(_live(similarity), "key long, id long"))
-    release(nodes.sparkSession)  # of the index
     links, tied = None, None
     for k in range(ROUNDS):
         some = live.where(F.shiftright("key", 24) % FIRST == k)
         found = verified(proposed(some, tied, nodes, similarity, PARTNERS), texts, width, similarity)
         links = found if links is None else links.union(found)
         tied = cut(connected_components(links))
-        release(nodes.sparkSession)
     return links.union(verified(proposed(live, tied, nodes, similarity, None), texts, width, similarity))
 
 
