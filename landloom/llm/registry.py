@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landloom.llm import licenses, packing, pieces, pii, quality, search, secrets, simhash, sketches, warc
+from landloom.llm import licenses, negatives, packing, pieces, pii, quality, search, secrets, simhash, sketches, warc
 
 QUERIES = {
     "op1_pii_feistel": pii.op1,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_licence_scan": licenses.op8,
     "op9_secret_scan": secrets.op9,
     "op10_scaled_sketch": sketches.op10,
+    "op11_hard_negatives": negatives.op11,
 }
 
 #: The others rest on descent, fingerprints, programmes or spans that SQL can't express; tests hold them against brute force.
-ORACLE_SQL = {"op5_pivot_top_k": search.OP5_SQL, "op6_warc_archive": warc.OP6_SQL}
+ORACLE_SQL = {"op5_pivot_top_k": search.OP5_SQL, "op6_warc_archive": warc.OP6_SQL, "op11_hard_negatives": negatives.OP11_SQL}
