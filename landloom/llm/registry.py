@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landloom.llm import alignment, licenses, negatives, packing, pieces, pii, quality, search, secrets, simhash, sketches, warc
+from landloom.llm import alignment, licenses, negatives, packing, pieces, pii, quality, search, secrets, simhash, sketches, toxicity, warc
 
 QUERIES = {
     "op1_pii_feistel": pii.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9,
     "op10_scaled_sketch": sketches.op10,
     "op11_hard_negatives": negatives.op11,
+    "op12_toxicity": toxicity.op12,
     "op13_cross_alignment": alignment.op13,
 }
 
