@@ -32,6 +32,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown"
 #: Lengths of word beginnings that can be terms; a term is dense where it is one word in so many; weights beyond this are cut.
 STEMS, DENSE, MOST, ROOM = range(3, 8), 250, 6.0, 30
 _HIDDEN = re.compile(rf"[{re.escape(''.join(STANDS_FOR))}]+(?=[^\W\d_])|(?<=[^\W\d_])[{re.escape(''.join(STANDS_FOR))}]+(?=[^\W\d_])")
+_GOES_ON = re.compile(rf"[^\W\d_][{re.escape(''.join(STANDS_FOR))}]*[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 _FOLD = {ord(c): x for c, x in LOOK_ALIKE.items()} | {ord(c): None for c in UNSEEN}
 _READ = str.maketrans(STANDS_FOR)
@@ -51,7 +52,7 @@ def folded(text: str) -> list[str]:
     def letters(m: re.Match) -> str:
         nonlocal doubtful
         start = m.start() == 0 or not text[m.start() - 1].isalpha()
-        if start and not (len(m[0]) == 1 and text[m.end() : m.end() + 2].isalpha() and len(text[m.end() : m.end() + 2]) == 2):
+        if start and not (len(m[0]) == 1 and _GOES_ON.match(text, m.end())):
             return m[0]  # 3d, 500km, $$pay: numbers and signs before a word are none of its letters, but for one alone, as in 1diot
         doubtful |= any(c in ALSO_L for c in m[0])
         return m[0].translate(_READ)
