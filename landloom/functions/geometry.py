@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from landloom.functions import helpers
+from landloom.functions import helpers, kernels
 
 VERTEX = "struct<x:double,y:double>"
 GEOM = f"struct<type:string,parts:array<array<array<{VERTEX}>>>>"
@@ -197,6 +198,8 @@ _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2
 _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
 _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
 _SCALE, _EAST = 0.9996, 500000.0
+#: The mean radius.
+SPHERE = 6371008.8
 
 
 def utm_epsg(lng: Column, lat: Column) -> Column:
@@ -271,7 +274,7 @@ def distance_sphere(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Great-circle metres on a sphere of the mean radius."""
     x1, y1, x2, y2 = map(_c, (x1, y1, x2, y2))
     h = F.pow(F.sin(F.radians(y2 - y1) / 2), 2) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
-    return F.lit(2 * 6371008.8) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * SPHERE) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -284,10 +287,6 @@ def distance_geodesic(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series
 # --- checks and text --------------------------------------------------------------------------------------------------
 
 
-def _plain(parts) -> list:
-    return [[[(p["x"], p["y"]) for p in ring] for ring in part] for part in parts]
-
-
 def ring_sides(rings: Column) -> Column:
     """array<struct<p,q>>: the sides of rings or lines; one of a single vertex is a side of length 0."""
     two = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
@@ -398,23 +397,15 @@ def contains(a: Column, b: Column) -> Column:
     return F.coalesce(is_area(a) & ~is_empty(b) & corners & lines & ~hole, F.lit(False))
 
 
-@F.udf(T.DoubleType(), useArrow=True)
-def overlap_area(a, b) -> float:
-    """Area common to two polygons; 0 if one is null."""
-    return helpers.overlap_area(_plain(a["parts"]), _plain(b["parts"])) if a and b else 0.0
+@F.arrow_udf(T.DoubleType())
+def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Area common to two polygons; 0 if one is null. A batch is measured at once."""
+    return pa.array(kernels.overlap_areas(a, b))
 
 
-@F.udf(GEOM_TYPE, useArrow=True)
-def _clip(g, x0: float, y0: float, x1: float, y1: float):
-    if not g:
-        return None
-    window = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-    parts = []
-    for part in _plain(g["parts"]):
-        rings = [helpers.clip_convex(helpers.open_ring(r), window) for r in part]
-        if rings and len(rings[0]) > 2:
-            parts.append([[{"x": x, "y": y} for x, y in [*r, r[0]]] for r in rings if len(r) > 2])
-    return {"type": g["type"], "parts": parts} if parts else None
+@F.arrow_udf(GEOM_TYPE)
+def _clip(g: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    return kernels.clipped(g, x0, y0, x1, y1)
 
 
 def _clip_lines(g: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
@@ -437,7 +428,7 @@ def _clip_lines(g: Column, x0: float, y0: float, x1: float, y1: float) -> Column
 
 
 def clip_box(g: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
-    """The part of a geometry inside a box; null if there is none. Lines across the edge come back as a multi-line of their pieces, points of a multi-point one by one. Only polygons across the edge leave the JVM."""
+    """The part of a geometry inside a box; null if there is none. Lines across the edge come back as a multi-line of their pieces, points of a multi-point one by one. A polygon across the edge comes back as its true parts, each with the holes that it keeps. Only these leave the JVM."""
     b = bbox(g)
     inside = (b["xmin"] >= x0) & (b["xmax"] <= x1) & (b["ymin"] >= y0) & (b["ymax"] <= y1)
     apart = (b["xmax"] < x0) | (b["xmin"] > x1) | (b["ymax"] < y0) | (b["ymin"] > y1)

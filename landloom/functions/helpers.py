@@ -45,63 +45,10 @@ def signed_area(ring: Ring) -> float:
     return sum((ax - x0) * (by - y0) - (bx - x0) * (ay - y0) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) / 2
 
 
-def _half_plane(ring: Ring, inside, cross) -> Ring:
-    out: Ring = []
-    for p, q in zip(ring, ring[1:] + ring[:1]):
-        a, b = inside(p), inside(q)
-        if a:
-            out.append(p)
-        if a != b:
-            out.append(cross(p, q))
-    return out
-
-
-def clip_convex(ring: Ring, by: Ring) -> Ring:
-    """The part of a ring inside a convex counter-clockwise ring (Sutherland-Hodgman)."""
-    for (ax, ay), (bx, by_) in zip(by, by[1:] + by[:1]):
-        if not ring:
-            return []
-        side = lambda p, ax=ax, ay=ay, bx=bx, by_=by_: (bx - ax) * (p[1] - ay) - (by_ - ay) * (p[0] - ax)
-
-        def cross(p, q, side=side):
-            s, t = side(p), side(q)
-            r = s / (s - t)
-            return p[0] + r * (q[0] - p[0]), p[1] + r * (q[1] - p[1])
-
-        ring = _half_plane(ring, lambda p, side=side: side(p) >= 0, cross)
-    return ring
-
-
 def open_ring(ring: Ring) -> Ring:
     return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
 
 
-def fan(rings: list[Ring]) -> list[tuple[float, Ring]]:
-    """Signed triangles that sum to a polygon: exterior (first) positive, holes negative, whatever way the rings turn."""
-    out = []
-    for k, ring in enumerate(rings):
-        ring = open_ring(ring)
-        way = 1 if signed_area(ring) >= 0 else -1
-        for i in range(1, len(ring) - 1):
-            t = [ring[0], ring[i], ring[i + 1]]
-            a = signed_area(t)
-            if a:
-                out.append(((1 if a > 0 else -1) * way * (1 if k == 0 else -1), t if a > 0 else t[::-1]))
-    return out
-
-
-def overlap_area(a: list[list[Ring]], b: list[list[Ring]]) -> float:
-    """Area common to two (multi)polygons, concave rings and holes included: the sum of signed overlaps of their triangles."""
-    total = 0.0
-    left, right = ([t for part in g for t in fan(part)] for g in (a, b))
-    for s, t in left:
-        xs, ys = [p[0] for p in t], [p[1] for p in t]
-        for r, u in right:
-            if max(xs) > min(p[0] for p in u) and min(xs) < max(p[0] for p in u) and max(ys) > min(p[1] for p in u) and min(ys) < max(p[1] for p in u):
-                total += s * r * signed_area(clip_convex(t, u))
-    return max(0.0, total)
-
-
 def _turn(p, q, r) -> float:
     return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
 

@@ -15,11 +15,11 @@ LOST = 0.30
 PERMITTED = {"C-1": ("commercial", "retail", "office"), "R-1": ("residential",), "historic-district": ("commercial", "retail", "office", "residential")}
 
 
-def damage_overlay(parcels: DataFrame, damage: DataFrame, keys: list[str], size: float = 0.05) -> DataFrame:
+def damage_overlay(parcels: DataFrame, damage: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, severity): the worst severity of the damage polygons (geom, damage_severity) that a parcel meets; others give no row."""
     rank = F.array_position(F.array(*[F.lit(x) for x in SEVERITY]), F.col("damage_severity"))
     right = damage.select(F.struct(rank.alias("rank"), F.col("fid")).alias("b_id"), "geom")
-    met = sp.spatial_join(parcels.select(F.struct(*keys).alias("a_id"), "geom"), right, "intersects", size)
+    met = sp.spatial_join(parcels.select(F.struct(*keys).alias("a_id"), "geom"), right)
     worst = met.groupBy("a_id").agg(F.max("b_id.rank").alias("rank"))
     return worst.select(*[F.col(f"a_id.{k}").alias(k) for k in keys], F.element_at(F.array(*[F.lit(x) for x in SEVERITY]), F.col("rank").cast("int")).alias("severity"))
 
@@ -79,17 +79,17 @@ def landuse_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-def parcel_lineage(previous: DataFrame, current: DataFrame, keys: list[str], size: float = 0.05) -> DataFrame:
+def parcel_lineage(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """(kind, keys, n): removed parcels that two or more new ones cover (subdivided), and new ones that cover two or more removed ones (merged).
 
     Covering means that the overlap is half of the smaller area or more. ``keys``, in order, name a parcel; only parcels whose keys are on one side are compared, and only
     with those that share all keys but the last, such as their jurisdiction.
     """
     gone, come = previous.join(current.select(*keys), keys, "left_anti"), current.join(previous.select(*keys), keys, "left_anti")
-    pairs = sp.overlaps(gone.select(F.struct(*keys).alias("a_id"), "geom"), come.select(F.struct(*keys).alias("b_id"), "geom"), size)
+    within = [f"_{k}" for k in keys[:-1]]
+    side = lambda df, name: df.select(*[F.col(k).alias(f"_{k}") for k in keys[:-1]], F.struct(*keys).alias(name), "geom")
+    pairs = sp.overlaps(side(gone, "a_id"), side(come, "b_id"), within)
     close = pairs.where(F.col("overlap") >= 0.5 * F.least("a_area", "b_area"))
-    for k in keys[:-1]:
-        close = close.where(F.col(f"a_id.{k}") == F.col(f"b_id.{k}"))
     count = lambda by, kind: close.groupBy(F.col(by).alias("parcel")).agg(F.count("*").alias("n")).where("n >= 2").select(F.lit(kind).alias("kind"), "parcel.*", "n")
     return count("a_id", "subdivided").unionByName(count("b_id", "merged"))
 
@@ -111,10 +111,11 @@ def hot_zones(points: DataFrame, flagged: Column, eps_m: float, min_samples: int
 def top_groups(rows: DataFrame, by: str, n: int = 10) -> DataFrame:
     """(by, n, rank): the n greatest groups by rows, ties sharing a rank and all kept."""
     counts = rows.groupBy(by).agg(F.count("*").alias("n"))
-    # Only groups that reach the n-th count are ranked, so the ranking sees few rows.
-    least = F.broadcast(counts.select("n").orderBy(F.desc("n")).limit(n).agg(F.min("n").alias("least")))
-    best = counts.join(least, F.col("n") >= F.col("least")).drop("least")
-    return best.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")))).where(F.col("rank") <= n)
+    # Ranks are told by counts of counts: one more than the groups above. Only the n greatest different counts can be ranked, so however many groups tie no task gathers them.
+    sizes = counts.groupBy("n").agg(F.count("*").alias("same")).orderBy(F.desc("n")).limit(n)
+    above = F.coalesce(F.sum("same").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # n rows at most
+    ranked = sizes.select("n", (above + 1).cast("int").alias("rank")).where(F.col("rank") <= n)
+    return counts.join(F.broadcast(ranked), "n").select(by, "n", "rank")
 
 
 def rebuild_velocity(snapshots: DataFrame, area: str = "area") -> DataFrame:

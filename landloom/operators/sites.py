@@ -59,7 +59,7 @@ def side_gap() -> Column:
     return F.when(crossing, nothing).otherwise(F.least(*options))
 
 
-def inside_pairs(candidates: DataFrame, layer: DataFrame, size: float) -> DataFrame:
+def inside_pairs(candidates: DataFrame, layer: DataFrame) -> DataFrame:
     """Pairs (candidate_id, layer_key, fid) of which one geometry lies in the other or over its edge: a first vertex of a part of one is in a polygon of the other."""
     geom = F.col("geom") if "geom" in candidates.columns else g.point(F.col("x"), F.col("y"))
     own = candidates.select("candidate_id", geom.alias("geom")).where(F.col("geom").isNotNull())
@@ -70,8 +70,8 @@ def inside_pairs(candidates: DataFrame, layer: DataFrame, size: float) -> DataFr
         return v.select(*ids, F.col("v.x").alias("x"), F.col("v.y").alias("y"), *[F.col(f"v.{c[0]}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
     areas = lambda df, *ids: g.with_bbox(df.where(g.is_area(F.col("geom"))).select(*ids, "geom")).where("xmin is not null")
-    one = sp.bbox_pairs(firsts(own, "candidate_id"), areas(feats, "layer_key", "fid"), size).where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
-    other = sp.bbox_pairs(firsts(feats, "layer_key", "fid"), areas(own, "candidate_id"), size).where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
+    one = sp.bbox_pairs(firsts(own, "candidate_id"), areas(feats, "layer_key", "fid")).where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
+    other = sp.bbox_pairs(firsts(feats, "layer_key", "fid"), areas(own, "candidate_id")).where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))
     return one.select("candidate_id", "layer_key", "fid").unionByName(other.select("candidate_id", "layer_key", "fid"))
 
 
@@ -128,20 +128,20 @@ def features_within(candidates: DataFrame, layer: DataFrame, radius_deg: float)
     for some, feats in ((points.withColumn("geom", g.point(F.col("x"), F.col("y"))), shapes), (areas, layer)):
         own = sides_of(some).withColumns({"xmin": F.least("cax", "cbx"), "xmax": F.greatest("cax", "cbx"), "ymin": F.least("cay", "cby"), "ymax": F.greatest("cay", "cby")})
         theirs = segments(feats).withColumns({"xmin": F.least("ax", "bx"), "xmax": F.greatest("ax", "bx"), "ymin": F.least("ay", "by"), "ymax": F.greatest("ay", "by")})
-        met = sp.bbox_pairs(own, theirs, max(radius_deg, 1e-6), radius_deg).where(side_gap()["flat"] <= radius_deg).select("candidate_id", "layer_key", "fid")
-        held = inside_pairs(some, feats, max(radius_deg, 1e-6))
+        met = sp.bbox_pairs(own, theirs, radius_deg).where(side_gap()["flat"] <= radius_deg).select("candidate_id", "layer_key", "fid")
+        held = inside_pairs(some, feats)
         counts.append(met.unionByName(held).distinct().groupBy("candidate_id").agg(F.count("*").alias("n")))
     total = reduce(DataFrame.unionByName, counts).groupBy("candidate_id").agg(F.sum("n").alias("n"))
     return candidates.select("candidate_id").join(total, "candidate_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def overlap_share(candidates: DataFrame, layer: DataFrame, size: float = 0.05) -> DataFrame:
+def overlap_share(candidates: DataFrame, layer: DataFrame) -> DataFrame:
     """(candidate_id, layer_key, share): the greatest share of a candidate's area (candidate_id, geom) that a feature covers.
 
     A candidate without area counts 1 where it meets a feature; touching is a share of 0; candidates that meet none give no row.
     """
     right = layer.select(F.struct("layer_key", "fid").alias("b_id"), "geom")
-    met = sp.overlaps(candidates.select(F.col("candidate_id").alias("a_id"), "geom"), right, size)
+    met = sp.overlaps(candidates.select(F.col("candidate_id").alias("a_id"), "geom"), right)
     share = F.when(F.col("a_area") > 0, F.col("overlap") / F.col("a_area")).otherwise(1.0)
     return met.groupBy(F.col("a_id").alias("candidate_id"), F.col("b_id.layer_key").alias("layer_key")).agg(F.max(share).alias("share"))
 

@@ -1,7 +1,9 @@
-"""Filters and joins by place: equi-joins on grid cells, then an exact test."""
+"""Filters and joins by place: equi-joins on cells of the boxes' own sizes, then an exact test."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landloom.functions import geometry as g
@@ -18,64 +20,118 @@ def layer_filter(df: DataFrame, layer: str, where: str | None = None) -> DataFra
     return out.where(F.expr(where)) if where else out
 
 
-def cell(v: Column, size: float) -> Column:
+def cell(v: Column, size: float | Column) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _cells(df: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """A row for each grid cell that a row's bounding box, widened by ``pad``, covers: columns cx, cy."""
-    span = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo) - pad, size), cell(F.col(hi) + pad, size)))
-    return df.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
+#: Cells of one level of the index are so many times as wide as those of the level below.
+STEP = 8
+
+
+def _width(level: Column) -> Column:
+    return F.pow(F.lit(float(STEP)), level)  # a power of two, so exact
+
+
+def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The narrowest cells that a box fills to 7/8 at most; no cell is so narrow that its number would lose digits."""
+    least = F.greatest(F.abs(x0), F.abs(x1), F.abs(y0), F.abs(y1)) * 1e-12
+    extent = F.greatest(x1 - x0, y1 - y0, least, F.lit(1e-300))
+    return F.ceil(F.log(extent * (STEP / (STEP - 1))) / math.log(STEP) + 1e-9).cast("int")
+
+
+def _covered(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, role: Column, level: Column) -> Column:
+    """array<struct<role, level, cx, cy>>: the cells that a box covers."""
+    at = lambda cx, cy: F.struct(role.alias("role"), level.alias("level"), cx.alias("cx"), cy.alias("cy"))
+    return F.flatten(F.transform(F.sequence(cell(x0, width), cell(x1, width)), lambda cx: F.transform(F.sequence(cell(y0, width), cell(y1, width)), lambda cy: at(cx, cy))))
+
+
+def indexed(df: DataFrame, levels: DataFrame, first: bool) -> DataFrame:
+    """``df`` (boxes _x0 to _y1 and their _level) with a row for each index cell (role, level, cx, cy) in which it can meet the boxes of another layer, whose ``levels`` (_levels, one row) are given.
+
+    Boxes of a level meet in the cells that they cover, four at most (role 0). Of boxes of different levels the wider one lies in the cells that it covers when widened by an eighth of a cell to the left and below, four at most,
+    and the narrower one in that cell alone which holds its lower left corner (role 1 where the first layer's box is the wider one, 2 where the second's is). So a box has no more cells than these, and one for each wider
+    level of the other layer, however large it is.
+    """
+    x0, y0, x1, y1, own, levels_ = (F.col(c) for c in ("_x0", "_y0", "_x1", "_y1", "_level", "_levels"))
+    width = _width(own)
+    same = F.when(F.array_contains(levels_, own), _covered(x0, y0, x1, y1, width, F.lit(0), own))
+    wider = F.when(F.exists(levels_, lambda n: n < own), _covered(x0 - width / STEP, y0 - width / STEP, x1, y1, width, F.lit(1 if first else 2), own))
+    above = F.transform(F.filter(levels_, lambda n: n > own), lambda n: F.struct(F.lit(2 if first else 1).alias("role"), n.alias("level"), cell(x0, _width(n)).alias("cx"), cell(y0, _width(n)).alias("cy")))
+    none = F.array().cast("array<struct<role:int,level:int,cx:bigint,cy:bigint>>")
+    cells = F.concat(F.coalesce(same, none), F.coalesce(wider, none), F.coalesce(above, none))
+    return df.join(F.broadcast(levels)).select(*df.columns, F.inline(cells))  # one row of levels
 
 
-def bbox_pairs(a: DataFrame, b: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """Pairs of rows whose bounding boxes (the first widened by ``pad``) meet, once each.
+def bbox_pairs(a: DataFrame, b: DataFrame, pad: float | Column = 0.0, on: list[str] | None = None) -> DataFrame:
+    """Pairs of rows whose bounding boxes (the first widened by ``pad``, a number or an expression over its columns) meet, and whose columns ``on`` are equal, once each.
 
-    Both sides come with columns xmin to ymax and others of different names; b's box columns come out with prefix b_. Rows meet in grid cells,
-    and a pair counts in the one cell that holds the lower left corner of what its boxes have in common, so no distinct is needed.
+    Both sides come with columns xmin to ymax and others of different names; b's box columns come out with prefix b_. Rows without a box meet none. Each box is laid on cells of its own size (``indexed``), so layers of
+    any extent, in degrees or metres, and boxes of mixed sizes meet by an equi-join, and no distinct is needed.
     """
+    pad = pad if isinstance(pad, Column) else F.lit(float(pad))
+    on = on or []
     right = b.withColumnsRenamed({c: f"b_{c}" for c in ("xmin", "ymin", "xmax", "ymax")})
-    right = right.withColumn("cx", F.explode(F.sequence(cell(F.col("b_xmin"), size), cell(F.col("b_xmax"), size)))).withColumn("cy", F.explode(F.sequence(cell(F.col("b_ymin"), size), cell(F.col("b_ymax"), size))))
-    pairs = _cells(a, size, pad).join(right, ["cx", "cy"])
-    met = (F.col("xmin") - pad <= F.col("b_xmax")) & (F.col("xmax") + pad >= F.col("b_xmin")) & (F.col("ymin") - pad <= F.col("b_ymax")) & (F.col("ymax") + pad >= F.col("b_ymin"))
-    own = (F.col("cx") == cell(F.greatest(F.col("xmin") - pad, F.col("b_xmin")), size)) & (F.col("cy") == cell(F.greatest(F.col("ymin") - pad, F.col("b_ymin")), size))
-    return pairs.where(met & own).drop("cx", "cy")
+
+    def boxed(df: DataFrame, prefix: str, by: Column) -> DataFrame:
+        c = lambda n: F.col(f"{prefix}{n}")
+        out = df.where(c("xmin").isNotNull()).withColumns({"_x0": c("xmin") - by, "_y0": c("ymin") - by, "_x1": c("xmax") + by, "_y1": c("ymax") + by})
+        return out.withColumn("_level", _level(*(F.col(x) for x in ("_x0", "_y0", "_x1", "_y1"))))
+
+    left, right = boxed(a, "", pad), boxed(right, "b_", F.lit(0.0))
+    known = [df.agg(F.sort_array(F.collect_set("_level")).alias("_levels")) for df in (left, right)]  # a few levels each
+    keys = ["role", "level", "cx", "cy", *on]
+    theirs = indexed(right, known[0], False).withColumnsRenamed({c: f"_b{c}" for c in ("_x0", "_y0", "_x1", "_y1")}).drop("_level")
+    pairs = indexed(left, known[1], True).drop("_level").join(theirs, keys)
+    met = (F.col("_x0") <= F.col("_b_x1")) & (F.col("_x1") >= F.col("_b_x0")) & (F.col("_y0") <= F.col("_b_y1")) & (F.col("_y1") >= F.col("_b_y0"))
+    # Boxes of one level may share up to four cells: the pair counts where the lower left corner of what they have in common lies.
+    width = _width(F.col("level"))
+    own = (F.col("role") != 0) | (F.col("cx") == cell(F.greatest("_x0", "_b_x0"), width)) & (F.col("cy") == cell(F.greatest("_y0", "_b_y0"), width))
+    return pairs.where(met & own).drop("role", "level", "cx", "cy", *(f"{p}_{c}" for p in ("", "_b") for c in ("x0", "y0", "x1", "y1")))
+
+
+def _with_place(df: DataFrame, geom: str) -> DataFrame:
+    """With its bounding box, and whether it fills that (upright boxes), so that the box says all."""
+    out = g.with_bbox(df, geom)
+    space = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    return out.withColumn(f"{geom}_full", F.coalesce((F.size(g.vertices(F.col(geom))) == 5) & (space > 0) & (F.abs(g.area(F.col(geom)) - space) <= 1e-12 * space), F.lit(False)))
 
 
-def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "intersects", size: float = 0.05) -> DataFrame:
+def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "intersects") -> DataFrame:
     """Pairs (a_id, b_id) of rows (a_id, geom) and (b_id, geom) that meet the predicate: intersects, contains (a holds b) or within (b holds a).
 
-    Touching counts. Null and empty geometries are in no pair; ids that repeat give their rows' pairs.
+    Touching counts. Null and empty geometries are in no pair; ids that repeat give their rows' pairs. Of upright boxes the bounding boxes tell; sides are looked at for the rest.
     """
-    left = g.with_bbox(a.select("a_id", F.col("geom").alias("a_geom")), "a_geom")
-    right = g.with_bbox(b.select("b_id", F.col("geom").alias("b_geom")), "b_geom")
-    pairs = bbox_pairs(left.where("xmin is not null"), right.where("xmin is not null"), size)
-    tests = {"intersects": lambda x, y: g.intersects(x, y), "contains": lambda x, y: g.contains(x, y), "within": lambda x, y: g.contains(y, x)}
-    return pairs.where(tests[predicate](F.col("a_geom"), F.col("b_geom"))).select("a_id", "b_id")
-
-
-def overlaps(a: DataFrame, b: DataFrame, size: float = 0.05) -> DataFrame:
-    """Pairs (a_id, b_id, a_area, b_area, overlap) of rows that meet; touching ones have overlap 0. A point's area and overlap are 0."""
-    left = g.with_bbox(a.select("a_id", F.col("geom").alias("a_geom")), "a_geom")
-    right = g.with_bbox(b.select("b_id", F.col("geom").alias("b_geom")), "b_geom")
-    pairs = bbox_pairs(left.where("xmin is not null"), right.where("xmin is not null"), size)
-    areas = {"a_area": g.area(F.col("a_geom")), "b_area": g.area(F.col("b_geom"))}
-    met = pairs.where(g.intersects(F.col("a_geom"), F.col("b_geom"))).withColumns(areas)
-    # Upright boxes fill their bounding boxes; of two of these the overlap is a product, and no geometry leaves the JVM.
-    fills = lambda area, p: F.abs(F.col(area) - (F.col(f"{p}xmax") - F.col(f"{p}xmin")) * (F.col(f"{p}ymax") - F.col(f"{p}ymin"))) <= 1e-12 * F.col(area)
-    boxes = (F.col("a_area") > 0) & (F.col("b_area") > 0) & fills("a_area", "") & fills("b_area", "b_")
+    left, right = (_with_place(df.select(i, F.col("geom").alias(n)), n) for df, i, n in ((a, "a_id", "a_geom"), (b, "b_id", "b_geom")))
+    c = F.col
+    holds = lambda p, q: (c(f"{p}xmin") <= c(f"{q}xmin")) & (c(f"{p}xmax") >= c(f"{q}xmax")) & (c(f"{p}ymin") <= c(f"{q}ymin")) & (c(f"{p}ymax") >= c(f"{q}ymax"))
+    tests = {
+        "intersects": lambda: F.when(c("a_geom_full") & c("b_geom_full"), True).otherwise(g.intersects(c("a_geom"), c("b_geom"))),
+        "contains": lambda: F.when(~holds("", "b_"), False).when(c("a_geom_full"), True).otherwise(g.contains(c("a_geom"), c("b_geom"))),
+        "within": lambda: F.when(~holds("b_", ""), False).when(c("b_geom_full"), True).otherwise(g.contains(c("b_geom"), c("a_geom"))),
+    }
+    return bbox_pairs(left, right).where(tests[predicate]()).select("a_id", "b_id")
+
+
+def overlaps(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Pairs (on..., a_id, b_id, a_area, b_area, overlap) of rows that meet and whose columns ``on`` are equal; touching ones have overlap 0. A point's area and overlap are 0.
+
+    Of two upright boxes the overlap is a product, and no geometry leaves the JVM; all others are measured in batches.
+    """
+    on = on or []
+    left, right = (_with_place(df.select(*on, i, F.col("geom").alias(n)), n).withColumn(f"{n[0]}_area", g.area(F.col(n))) for df, i, n in ((a, "a_id", "a_geom"), (b, "b_id", "b_geom")))
+    boxes = F.col("a_geom_full") & F.col("b_geom_full")
+    met = bbox_pairs(left, right, on=on).where(F.when(boxes, True).otherwise(g.intersects(F.col("a_geom"), F.col("b_geom"))))
     side = lambda f: F.least(f"{f}max", f"b_{f}max") - F.greatest(f"{f}min", f"b_{f}min")
-    other = g.overlap_area(F.when(~boxes, F.col("a_geom")), F.when(~boxes, F.col("b_geom")))
-    return met.select("a_id", "b_id", "a_area", "b_area", F.when(boxes, side("x") * side("y")).otherwise(other).alias("overlap"))
+    other = ~boxes & (F.col("a_area") > 0) & (F.col("b_area") > 0)
+    area = g.overlap_area(F.when(other, F.col("a_geom")), F.when(other, F.col("b_geom")))
+    return met.select(*on, "a_id", "b_id", "a_area", "b_area", F.when(boxes, side("x") * side("y")).otherwise(area).alias("overlap"))
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
+def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Pairs (fid, poly_id) of points (fid, x, y) and polygons (poly_id, geom) that hold them; a boundary holds. Points in no polygon give no row."""
-    right = g.with_bbox(polygons.select("poly_id", "geom")).where("xmin is not null")
-    right = _cells(right, size)
-    left = points.select("fid", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    met = left.join(right, ["cx", "cy"]).where("x between xmin and xmax and y between ymin and ymax")
-    return met.where(g.in_polygon(F.col("x"), F.col("y"), F.col("geom"))).select("fid", "poly_id")
+    left = points.select("fid", "x", "y", F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
+    met = bbox_pairs(left, _with_place(polygons.select("poly_id", "geom"), "geom"))
+    return met.where(F.when(F.col("geom_full"), True).otherwise(g.in_polygon(F.col("x"), F.col("y"), F.col("geom")))).select("fid", "poly_id")
 
 
 def _neighbour_cells(df: DataFrame, size: float) -> DataFrame:
@@ -134,12 +190,23 @@ def nearest_neighbor(points: DataFrame, size: float) -> DataFrame:
 
 
 def dwithin(df: DataFrame, x: float, y: float, metres: float, k: int) -> DataFrame:
-    """The k rows nearest to a point within so many metres (great circle), nearest first, ties by fid: (fid, metres)."""
-    import math
+    """The k rows nearest to a point within so many metres (great circle), nearest first, ties by fid: (fid, metres).
 
-    dy = metres / 110574.0
-    dx = metres / (111320.0 * max(0.01, math.cos(math.radians(min(89.0, abs(y) + dy)))))
-    near = df.where(F.col("x").between(x - dx, x + dx) & F.col("y").between(y - dy, y + dy))
+    The search cap is a range of latitudes and one or two of longitudes, so that it reaches over the 180th meridian; a cap that holds a pole takes all longitudes. Both reach the scan.
+    """
+    reach = metres / g.SPHERE * (1 + 1e-9) + 1e-12
+    low, high = y - math.degrees(reach), y + math.degrees(reach)
+    near = df.where(F.col("y").between(low - 1e-9, high + 1e-9))
+    if low > -90 and high < 90:
+        spread = math.degrees(math.asin(min(1.0, math.sin(reach) / math.cos(math.radians(y))))) + 1e-9
+        middle = (x + 180) % 360 - 180
+        west, east = middle - spread, middle + spread
+        there = F.col("x").between(west, east)
+        if west < -180:
+            there |= F.col("x") >= west + 360
+        if east > 180:
+            there |= F.col("x") <= east - 360
+        near = near.where(there)
     dist = g.distance_sphere("x", "y", F.lit(x), F.lit(y))
     return near.select("fid", dist.alias("metres")).where(F.col("metres") <= metres).orderBy("metres", "fid").limit(k)
 

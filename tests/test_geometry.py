@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landloom.functions import geometry as g, helpers as h, scoring as sc, text as tx
+import pyarrow as pa
+
+from landloom.functions import geometry as g, helpers as h, kernels, scoring as sc, text as tx
 
 BOX = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]
 
@@ -16,7 +18,56 @@ def moved(parts, dx, dy):
     return [[[(x + dx, y + dy) for x, y in r] for r in p] for p in parts]
 
 
-# --- brute force for what the library says by column expressions: sides one by one ------------------------------------
+# --- brute force for what the library says by column expressions and in batches: sides and triangles one by one -------
+
+
+def half(ring: list, keep, cross) -> list:
+    out = []
+    for p, q in zip(ring, ring[1:] + ring[:1]):
+        if keep(p):
+            out.append(p)
+        if keep(p) != keep(q):
+            out.append(cross(p, q))
+    return out
+
+
+def of_triangles(ring: list, by: list) -> list:
+    """The part of a triangle inside another, both counter-clockwise."""
+    for a, b in zip(by, by[1:] + by[:1]):
+        side = lambda p, a=a, b=b: turned(a, b, p)
+        ring = half(ring, lambda p, side=side: side(p) >= 0, lambda p, q, side=side: tuple(p[i] + side(p) / (side(p) - side(q)) * (q[i] - p[i]) for i in (0, 1)))
+        if not ring:
+            return []
+    return ring
+
+
+def triangles(parts: list) -> list:
+    """Signed triangles that sum to a (multi)polygon, whatever way its rings turn."""
+    out = []
+    for part in parts:
+        for k, ring in enumerate(part):
+            ring = h.open_ring(ring)
+            way = (1 if h.signed_area(ring) >= 0 else -1) * (1 if k == 0 else -1)
+            for p, q in zip(ring[1:], ring[2:]):
+                t, a = [ring[0], p, q], h.signed_area([ring[0], p, q])
+                if a:
+                    out.append((way if a > 0 else -way, t if a > 0 else t[::-1]))
+    return out
+
+
+def slow_overlap(a: list, b: list) -> float:
+    return max(0.0, sum(s * r * h.signed_area(of_triangles(t, u)) for s, t in triangles(a) for r, u in triangles(b)))
+
+
+def as_arrow(geoms: list) -> pa.Array:
+    """Polygons (lists of parts, or None) as the library holds them."""
+    vertex = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kind = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(vertex))))])
+    return pa.array([None if x is None else {"type": "Polygon" if len(x) == 1 else "MultiPolygon", "parts": [[[{"x": float(p[0]), "y": float(p[1])} for p in r] for r in part] for part in x]} for x in geoms], kind)
+
+
+def overlap(a: list, b: list) -> float:
+    return float(kernels.overlap_areas(as_arrow([a]), as_arrow([b]))[0])
 
 
 def turned(p, q, r) -> float:
@@ -84,35 +135,133 @@ def contains(a: list, b: list, area_b: bool) -> bool:
     if not points or not all(any(where(p, part) >= 0 for part in a) for p in points):
         return False
     if area_b:
-        whole = sum(s * abs(h.signed_area(t)) for part in b for s, t in h.fan(part))
-        return h.overlap_area(a, b) >= whole * (1 - 1e-9)
+        whole = sum(s * h.signed_area(t) for s, t in triangles(b))
+        return slow_overlap(a, b) >= whole * (1 - 1e-9)
     middles = [((p[0] + q[0]) / 2, (p[1] + q[1]) / 2) for p, q in _sides(b)]
     return all(any(where(m, part) >= 0 for part in a) for m in middles)
 
 
 @pytest.mark.parametrize("dx, dy, want", [(0, 0, 1.0), (0.5, 0.5, 0.25), (1, 0, 0.0), (2, 2, 0.0), (0.25, 0, 0.75)])
 def test_overlap_of_boxes(dx, dy, want):
-    assert math.isclose(h.overlap_area(BOX, moved(BOX, dx, dy)), want, abs_tol=1e-12)
+    assert math.isclose(overlap(BOX, moved(BOX, dx, dy)), want, abs_tol=1e-12)
 
 
 def test_overlap_with_holes_and_concave_rings():
     outer, hole = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]
     ring = [[outer, hole]]
-    assert math.isclose(h.overlap_area(ring, [[outer]]), 12)
-    assert math.isclose(h.overlap_area(ring, [[[(1, 1), (3, 1), (3, 3), (1, 3)]]]), 0, abs_tol=1e-12)
+    assert math.isclose(overlap(ring, [[outer]]), 12)
+    assert math.isclose(overlap(ring, [[[(1, 1), (3, 1), (3, 3), (1, 3)]]]), 0, abs_tol=1e-12)
     ell = [[[(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]]]
-    assert math.isclose(h.overlap_area(ell, BOX), 1) and math.isclose(h.overlap_area(ell, moved(BOX, 1, 1)), 0, abs_tol=1e-12)
+    assert math.isclose(overlap(ell, BOX), 1) and math.isclose(overlap(ell, moved(BOX, 1, 1)), 0, abs_tol=1e-12)
 
 
 def test_overlap_is_symmetric_and_bounded():
     rnd = random.Random(1)
     for _ in range(60):
         a, b = ([[h.hull([(rnd.random(), rnd.random()) for _ in range(7)])]] for _ in range(2))
-        x, y = h.overlap_area(a, b), h.overlap_area(b, a)
+        x, y = overlap(a, b), overlap(b, a)
         assert math.isclose(x, y, abs_tol=1e-12)
         assert x <= min(h.signed_area(a[0][0]), h.signed_area(b[0][0])) + 1e-12
 
 
+def star(rnd, x, y, size, n):
+    """A concave ring around a place."""
+    return [(x + r * math.cos(t), y + r * math.sin(t)) for t, r in zip(((k + rnd.uniform(0, 0.5)) * 2 * math.pi / n for k in range(n)), (size * rnd.uniform(0.3, 1) for _ in range(n)))]
+
+
+def shapes_of(rnd, n):
+    """Stars, holed and multi-part ones among them, on a grid and off, some with coordinates like those of UTM zones."""
+    out = []
+    for k in range(n):
+        x, y = rnd.uniform(0, 3), rnd.uniform(0, 3)
+        ring = star(rnd, x, y, 2.0, rnd.randrange(6, 14))
+        parts = [[[*ring, ring[0]]]]
+        if k % 3 == 1:
+            parts[0].append(star(rnd, x, y, 0.3, 6))
+        if k % 4 == 2:
+            parts.append([star(rnd, x + 9, y, 2.0, 7)[::-1]])
+        if k % 5 == 3:
+            parts = [[[(float(round(u)), float(round(v))) for u, v in r] for r in p] for p in [[[(0, 0), (4, 0), (4, 4), (3, 4), (3, 1), (1, 1), (1, 4), (0, 4), (0, 0)]]]]
+            parts = moved(parts, float(rnd.randrange(3)), float(rnd.randrange(3)))
+        out.append(moved(parts, 500000.0, 3700000.0) if k % 7 == 6 else parts)
+    return out
+
+
+def test_overlaps_of_a_batch_equal_those_of_triangles(monkeypatch):
+    rnd = random.Random(5)
+    a, b = shapes_of(rnd, 210), shapes_of(rnd, 210)
+    a[3] = b[4] = None
+    a[5] = []
+    want = [slow_overlap(x, y) if x and y else 0.0 for x, y in zip(a, b)]
+    for edges in (1 << 20, 50):
+        monkeypatch.setattr(kernels, "EDGES", edges)
+        got = kernels.overlap_areas(as_arrow(a), as_arrow(b))
+        assert np.allclose(got, want, rtol=1e-9, atol=2e-8) and sum(w > 0.1 for w in want) > 60
+    part = slice(17, 80)
+    assert np.allclose(kernels.overlap_areas(as_arrow(a)[part], as_arrow(b)[part]), want[part], atol=2e-8)  # slices of larger arrays
+    assert len(kernels.overlap_areas(as_arrow([]), as_arrow([]))) == 0
+
+
+def test_overlaps_in_batches_are_a_hundred_times_as_fast():
+    import time
+
+    rnd = random.Random(6)
+    a, b = ([[[star(rnd, rnd.uniform(0, 2), rnd.uniform(0, 2), 2.0, 16)]] for _ in range(20000)] for _ in range(2))
+    x, y = as_arrow(a), as_arrow(b)
+    began = time.perf_counter()
+    kernels.overlap_areas(x, y)
+    each = (time.perf_counter() - began) / 20000
+    began = time.perf_counter()
+    for p, q in zip(a[:40], b[:40]):
+        slow_overlap(p, q)
+    assert (time.perf_counter() - began) / 40 > 100 * each
+
+
+def checked_clip(parts, box):
+    """Parts inside the box, after checks: their area is what parts and box share, rings are closed, simple and turn right, holes lie in their exteriors."""
+    got = kernels.clip_polygon(parts, *box)
+    x0, y0, x1, y1 = box
+    frame = [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]]
+    area = sum(h.signed_area(h.open_ring(r)) for p in got for r in p)
+    assert math.isclose(area, slow_overlap(parts, frame), rel_tol=1e-9, abs_tol=1e-9)
+    for p in got:
+        for k, r in enumerate(p):
+            assert r[0] == r[-1] and len(r) > 3 and (h.signed_area(h.open_ring(r)) > 0) == (k == 0) and not crosses_itself(r)
+            assert all(x0 <= u <= x1 and y0 <= v <= y1 for u, v in r)
+    return got
+
+
+def test_polygons_are_clipped_to_their_true_parts():
+    u = [[[(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6), (0, 0)]]]
+    assert len(checked_clip(u, (-1, 3, 7, 5))) == 2  # a band cuts a U into two
+    assert len(checked_clip(u, (-1, 1, 7, 5))) == 1
+    comb = [[[(0, 0), (9, 0), (9, 5), (8, 5), (8, 1), (7, 1), (7, 5), (6, 5), (6, 1), (5, 1), (5, 5), (4, 5), (4, 1), (0, 1), (0, 0)]]]
+    assert len(checked_clip(comb, (0, 2, 9, 4))) == 3
+    ring = [[[(0, 0), (6, 0), (6, 6), (0, 6), (0, 0)], [(2, 2), (2, 4), (4, 4), (4, 2), (2, 2)]]]
+    assert [len(p) for p in checked_clip(ring, (-1, -1, 7, 7))] == [2]  # the hole stays
+    assert [len(p) for p in checked_clip(ring, (-1, -1, 3, 7))] == [1]  # a hole across the edge becomes part of the border
+    assert [len(p) for p in checked_clip(ring, (-1, 2.5, 7, 3.5))] == [1, 1]  # and cuts a band into two
+    assert checked_clip(ring, (2.5, 2.5, 3.5, 3.5)) == [] == checked_clip(ring, (8, 8, 9, 9)) == checked_clip(ring, (6, 0, 7, 6))
+    assert len(checked_clip(u + moved(u, 10, 0), (-1, 3, 17, 5))) == 4
+    on_edges = checked_clip(u, (0, 2, 6, 6))  # edges and corners that lie on the box
+    assert len(on_edges) == 2
+    held = [[[(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)], [(5, 5), (5, 6), (6, 6), (6, 5), (5, 5)]]]
+    assert [len(p) for p in checked_clip(held, (0.5, 0.5, 5.5, 7))] == [2]
+
+
+def test_clips_of_random_shapes():
+    rnd = random.Random(8)
+    several = holed = 0
+    for parts in shapes_of(rnd, 300):
+        x, y = np.mean([p for part in parts for r in part for p in r], axis=0)
+        w, height = rnd.uniform(0.1, 3), rnd.uniform(0.05, 0.8)
+        cx, cy = x + rnd.uniform(-1, 1), y + rnd.uniform(-1, 1)
+        got = checked_clip(parts, (cx - w, cy - height, cx + w, cy + height))
+        several += len(got) > 1
+        holed += any(len(p) > 1 for p in got)
+    assert several > 10 and holed > 3
+
+
 AREAS = ("Polygon", "MultiPolygon")
 
 
