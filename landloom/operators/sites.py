@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -75,42 +76,98 @@ def inside_pairs(candidates: DataFrame, layer: DataFrame) -> DataFrame:
     return one.select("candidate_id", "layer_key", "fid").unionByName(other.select("candidate_id", "layer_key", "fid"))
 
 
-def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, size: float = 0.02, sphere: bool = False) -> DataFrame:
+#: Sides that a leaf of the search tree holds at most, cells of a node along each axis, and the depth at which places can't be told apart any more.
+LEAF, SPLIT, DEEPEST = 64, 8, 14
+# Metres that a degree has at least, along a meridian, and at most, in any direction.
+DEGREE = (110500.0, 111700.0)
+
+
+def side_tree(seg: DataFrame, x0: float, y0: float, span: float) -> tuple[list[DataFrame], DataFrame, int]:
+    """A count quadtree of sides: the nodes of each depth (layer_key, cx, cy, n, leaf, box of their sides nx0 to ny1, an end of one of them sx, sy), and the sides with their leaf (depth, cx, cy); and the depth.
+
+    Cells are SPLIT times narrower at each depth; those with more than LEAF sides have children. So crowds have deep leaves and lonely sides shallow ones, and each side lies in one leaf.
+    """
+    middle = lambda a, b, low: ((F.col(a) + F.col(b)) / 2 - low) / span
+    rest = seg.withColumns({"tx": middle("ax", "bx", x0), "ty": middle("ay", "by", y0)})
+    nodes, held, depth, key = [], [], 0, ["layer_key", "cx", "cy"]
+    while True:
+        depth += 1
+        at = rest.withColumns({"cx": F.floor(F.col("tx") * float(SPLIT**depth)).cast("long"), "cy": F.floor(F.col("ty") * float(SPLIT**depth)).cast("long")})
+        ends = lambda f, of, axis: f(of(f"a{axis}", f"b{axis}"))
+        box = {"nx0": ends(F.min, F.least, "x"), "ny0": ends(F.min, F.least, "y"), "nx1": ends(F.max, F.greatest, "x"), "ny1": ends(F.max, F.greatest, "y")}
+        cells = at.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("ax", "ay")).alias("s"), *[v.alias(k) for k, v in box.items()])
+        cells = cut(cells.select(*key, ((F.col("n") <= LEAF) | F.lit(depth == DEEPEST)).alias("leaf"), *box, F.col("s.ax").alias("sx"), F.col("s.ay").alias("sy")))
+        nodes.append(cells)
+        crowded = cells.where("not leaf").select(*key)
+        if not crowded.take(1):
+            held.append(at.withColumn("depth", F.lit(depth)))
+            break
+        held.append(at.join(crowded, key, "left_anti").withColumn("depth", F.lit(depth)))
+        rest = cut(at.join(crowded, key, "left_semi").drop("cx", "cy"))
+    return nodes, reduce(DataFrame.unionByName, [h.drop("tx", "ty") for h in held]), depth
+
+
+def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(candidate_id, layer_key, depth, cx, cy): the leaves whose sides can be a candidate's nearest.
+
+    A node's box bounds the gap of a candidate (box kx0 to ky1, a vertex vx, vy) to all its sides from below, the end that it knows of bounds the gap to its nearest from above. Down the tree, nodes go whose least
+    possible length is over the least upper bound so far; so does no node that is as near, in the plane, as one that may count, since of each feature the nearest place in the plane counts. ``layers`` are
+    the pairs (candidate_id, layer_key) that are looked for.
+    """
+    c = F.col
+    apart = lambda axis: F.greatest(F.lit(0.0), c(f"n{axis}0") - c(f"k{axis}1"), c(f"k{axis}0") - c(f"n{axis}1"))
+    across = lambda axis: F.greatest(f"n{axis}1", f"k{axis}1") - F.least(f"n{axis}0", f"k{axis}0")
+    latitude = F.radians(F.least(F.lit(89.9), F.greatest(F.abs("ny0"), F.abs("ny1"), F.abs("ky0"), F.abs("ky1"))))
+    half = F.greatest(F.lit(1e-9), F.least(F.lit(math.pi), F.radians(F.greatest(across("x"), across("y"))) / 2))  # a chord is shorter than its arc
+    measures = {"gap": F.sqrt(apart("x") * apart("x") + apart("y") * apart("y")), "least": DEGREE[0] * F.cos(latitude) * F.sin(half) / half, "most": DEGREE[1] * F.sqrt((c("vx") - c("sx")) * (c("vx") - c("sx")) + (c("vy") - c("sy")) * (c("vy") - c("sy")))}
+    each = Window.partitionBy("candidate_id", "layer_key")
+    kept = ["candidate_id", "layer_key", "kx0", "ky0", "kx1", "ky1", "vx", "vy", "depth", "cx", "cy", "leaf", "gap", "least", "most"]
+
+    def pruned(rows: DataFrame) -> DataFrame:
+        some = rows.withColumn("best", F.min("most").over(each) * (1 + 1e-9) + 1e-6)
+        some = some.withColumn("slope", F.min(F.when(c("gap") * c("least") <= c("best"), c("least"))).over(each))
+        return cut(some.where(c("gap") * c("slope") <= c("best")).select(*kept))
+
+    first = F.broadcast(nodes[0])  # SPLIT * SPLIT nodes of each layer at most
+    found = pruned(layers.join(places, "candidate_id").join(first, "layer_key").withColumn("depth", F.lit(1)).withColumns(measures))
+    for depth, below in enumerate(nodes[1:], 2):
+        parents = found.where("not leaf").drop("leaf", "gap", "least", "most", "depth").withColumnsRenamed({"cx": "px", "cy": "py"})
+        under = below.withColumns({"px": F.floor(c("cx") / SPLIT), "py": F.floor(c("cy") / SPLIT)})
+        children = parents.join(under, ["layer_key", "px", "py"]).withColumn("depth", F.lit(depth)).withColumns(measures)
+        found = pruned(found.where("leaf").unionByName(children.select(*kept)))
+    return found.select("candidate_id", "layer_key", "depth", "cx", "cy")
+
+
+def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, sphere: bool = False) -> DataFrame:
     """(candidate_id, layer_key, metres): of each layer the least distance of a candidate, a geometry of any type (candidate_id, geom) or a point (candidate_id, x, y), to a feature.
 
-    For each feature the nearest places in the plane count, and the length between them on the ellipsoid (or the sphere); 0 where they meet or one lies in the other. Features are looked for in the
-    cells around a candidate's sides; a candidate that has found none that is surely the nearest looks again with cells four times as wide, so each round joins a
-    bounded neighbourhood and has fewer candidates. Layers without a geometry give no row, and candidates without one neither.
+    For each feature the nearest places in the plane count, and the length between them on the ellipsoid (or the sphere); 0 where they meet or one lies in the other. The features' sides lie in a tree by their counts;
+    each candidate goes down it with bounds and meets the sides of the few leaves that can hold its nearest, so neither crowds nor empty stretches make many pairs. Layers without a geometry give no
+    row, and candidates without one neither.
     """
     feats = layer.where(F.col("layer_key").isin(keys)) if keys is not None else layer
-    seg, own = cut(segments(feats)), cut(sides_of(candidates))
+    spots, shapes = feats.where("geom.type = 'Point'"), feats.where("geom.type <> 'Point'")
+    seg = cut(segments(spots).groupBy("layer_key", "ax", "ay", "bx", "by").agg(F.min("fid").alias("fid")).unionByName(segments(shapes)))  # points in one place are one
+    own = cut(sides_of(candidates))
     nothing = candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("metres")).where("false")
     ends = seg.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
-    here = own.agg(F.min(F.least("cax", "cbx")), F.max(F.greatest("cax", "cbx")), F.min(F.least("cay", "cby")), F.max(F.greatest("cay", "cby"))).first()
-    if ends[0] is None or here[0] is None:
+    if ends[0] is None or not own.take(1):
         return nothing
-    span = max(max(ends[1], here[1]) - min(ends[0], here[0]), max(ends[3], here[3]) - min(ends[2], here[2]))
-    present = F.broadcast(seg.select("layer_key").distinct())
-    rest = cut(own.select("candidate_id").distinct().join(present))  # a row for each layer there is
+    span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
+    nodes, sides, _ = side_tree(seg, ends[0], ends[2], span)
+    box = {"kx0": F.min(F.least("cax", "cbx")), "ky0": F.min(F.least("cay", "cby")), "kx1": F.max(F.greatest("cax", "cbx")), "ky1": F.max(F.greatest("cay", "cby"))}
+    places = cut(own.groupBy("candidate_id").agg(F.min(F.struct("cax", "cay")).alias("v"), *[e.alias(k) for k, e in box.items()]).select("candidate_id", *box, F.col("v.cax").alias("vx"), F.col("v.cay").alias("vy")))
+    rest = places.select("candidate_id").join(F.broadcast(seg.select("layer_key").distinct()))  # a row for each layer there is
     done: list[DataFrame] = []
     if feats.where(g.is_area(F.col("geom"))).take(1) or "geom" in candidates.columns and candidates.where(g.is_area(F.col("geom"))).take(1):
-        done.append(cut(inside_pairs(candidates, feats, size).select("candidate_id", "layer_key", F.lit(0.0).alias("metres")).distinct()))
-        rest = cut(rest.join(done[0], ["candidate_id", "layer_key"], "left_anti"))
-    while rest.take(1):
-        wide = seg.withColumns({"xmin": F.least("ax", "bx"), "xmax": F.greatest("ax", "bx"), "ymin": F.least("ay", "by"), "ymax": F.greatest("ay", "by")})
-        asked = own.join(rest, "candidate_id").withColumns({"xmin": F.least("cax", "cbx"), "xmax": F.greatest("cax", "cbx"), "ymin": F.least("cay", "cby"), "ymax": F.greatest("cay", "cby")})
-        asked = sp._cells(asked, size, size).select("candidate_id", "layer_key", "cax", "cay", "cbx", "cby", "cx", "cy")
-        near = asked.join(sp._cells(wide, size).select("layer_key", "fid", "ax", "ay", "bx", "by", "cx", "cy"), ["layer_key", "cx", "cy"])
-        each = near.groupBy("candidate_id", "layer_key", "fid").agg(F.min(side_gap()).alias("p"))
-        length = (g.distance_sphere if sphere else g.distance_geodesic)(F.col("p.x"), F.col("p.y"), F.col("p.px"), F.col("p.py"))
-        best = each.withColumn("m", length).groupBy("candidate_id", "layer_key").agg(F.min("m").alias("metres"), F.max(F.abs("p.y")).alias("y"))
-        # Whatever lies outside the cells around is at least a cell's width away.
-        sure = F.lit(True) if size > span else F.col("metres") <= F.lit(size * 110500.0) * F.cos(F.radians(F.least(F.lit(89.0), F.col("y") + size)))
-        found = cut(best.where(sure).select("candidate_id", "layer_key", "metres"))
-        done.append(found)
-        rest = cut(rest.join(found, ["candidate_id", "layer_key"], "left_anti"))
-        size *= 4
-    return reduce(DataFrame.unionByName, done) if done else nothing
+        done.append(cut(inside_pairs(candidates, feats).select("candidate_id", "layer_key", F.lit(0.0).alias("metres")).distinct()))
+        rest = rest.join(done[0], ["candidate_id", "layer_key"], "left_anti")
+    leaves = near_leaves(places, rest, nodes)
+    near = leaves.join(sides, ["layer_key", "depth", "cx", "cy"]).join(own, "candidate_id")
+    each = near.groupBy("candidate_id", "layer_key", "fid").agg(F.min(side_gap()).alias("p"))
+    length = (g.distance_sphere if sphere else g.distance_geodesic)(F.col("p.x"), F.col("p.y"), F.col("p.px"), F.col("p.py"))
+    done.append(each.withColumn("m", length).groupBy("candidate_id", "layer_key").agg(F.min("m").alias("metres")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def features_within(candidates: DataFrame, layer: DataFrame, radius_deg: float) -> DataFrame:
