@@ -21,8 +21,9 @@ def merge_layers(sources: list[DataFrame]) -> DataFrame:
 
 def segments(layer: DataFrame) -> DataFrame:
     """(layer_key, fid, ax, ay, bx, by): the sides of all geometries; a point is a side of length 0."""
-    sides = F.flatten(F.transform(F.flatten("geom.parts"), lambda r: F.when(F.size(r) > 1, F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))).otherwise(F.transform(r, lambda p: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), p["x"].alias("bx"), p["y"].alias("by"))))))
-    return layer.where(F.col("geom").isNotNull()).select("layer_key", "fid", F.inline(sides))
+    side = lambda p, q: f"named_struct('ax', {p}.x, 'ay', {p}.y, 'bx', {q}.x, 'by', {q}.y)"
+    of_ring = f"if(size(r) > 1, zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> {side('p', 'q')}), transform(r, p -> {side('p', 'p')}))"
+    return layer.where(F.col("geom").isNotNull()).select("layer_key", "fid", F.expr(f"inline(flatten(transform(flatten(geom.parts), r -> {of_ring})))"))
 
 
 def sides_of(candidates: DataFrame) -> DataFrame:
@@ -32,12 +33,20 @@ def sides_of(candidates: DataFrame) -> DataFrame:
     return rows.select(F.col("fid").alias("candidate_id"), *[F.col(c).alias(f"c{c}") for c in ("ax", "ay", "bx", "by")])
 
 
-def _closest(point: tuple[str, str], start: tuple[str, str], end: tuple[str, str]) -> tuple[Column, Column]:
-    """The place of a side that is the closest to a point."""
-    (px, py), (ax, ay), (bx, by) = (tuple(map(F.col, at)) for at in (point, start, end))
-    dx, dy = bx - ax, by - ay
-    along = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))))
-    return ax + along * dx, ay + along * dy
+def _gap_text() -> str:
+    ends = [("cax", "cay"), ("cbx", "cby"), ("ax", "ay"), ("bx", "by")]
+    options = []
+    for k, (x, y) in enumerate(ends):
+        (ax, ay), (bx, by) = (ends[2], ends[3]) if k < 2 else (ends[0], ends[1])
+        dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+        along = f"if({dx} = 0 and {dy} = 0, 0D, least(1D, greatest(0D, (({x} - {ax}) * {dx} + ({y} - {ay}) * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0D))))"
+        # The place of the other side that is closest to this end.
+        place = f"transform(array({along}), t -> named_struct('px', {ax} + t * {dx}, 'py', {ay} + t * {dy}))"
+        options.append(f"transform({place}, p -> named_struct('flat', sqrt(({x} - p.px) * ({x} - p.px) + ({y} - p.py) * ({y} - p.py)), 'x', {x}, 'y', {y}, 'px', p.px, 'py', p.py))[0]")
+    turn = lambda p, q, r: f"(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
+    a, b, c, d = ends
+    crossing = f"signum({turn(a, b, c)}) * signum({turn(a, b, d)}) < 0 and signum({turn(c, d, a)}) * signum({turn(c, d, b)}) < 0"
+    return f"if({crossing}, named_struct('flat', 0D, 'x', cax, 'y', cay, 'px', cax, 'py', cay), least({', '.join(options)}))"
 
 
 def side_gap() -> Column:
@@ -45,19 +54,7 @@ def side_gap() -> Column:
 
     If they don't cross, an end of one of them is closest.
     """
-    ends = [("cax", "cay"), ("cbx", "cby"), ("ax", "ay"), ("bx", "by")]
-    options = []
-    for k, (x, y) in enumerate(ends):
-        other = (ends[2], ends[3]) if k < 2 else (ends[0], ends[1])
-        px, py = _closest((x, y), *other)
-        flat = F.sqrt((F.col(x) - px) * (F.col(x) - px) + (F.col(y) - py) * (F.col(y) - py))
-        options.append(F.struct(flat.alias("flat"), F.col(x).alias("x"), F.col(y).alias("y"), px.alias("px"), py.alias("py")))
-    turn = lambda p, q, r: (F.col(q[0]) - F.col(p[0])) * (F.col(r[1]) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(r[0]) - F.col(p[0]))
-    a, b, c, d = ends
-    apart = lambda u, v: F.signum(u) * F.signum(v) < 0
-    crossing = apart(turn(a, b, c), turn(a, b, d)) & apart(turn(c, d, a), turn(c, d, b))
-    nothing = F.struct(F.lit(0.0).alias("flat"), F.col("cax").alias("x"), F.col("cay").alias("y"), F.col("cax").alias("px"), F.col("cay").alias("py"))
-    return F.when(crossing, nothing).otherwise(F.least(*options))
+    return F.expr(_gap_text())
 
 
 def inside_pairs(candidates: DataFrame, layer: DataFrame) -> DataFrame:
@@ -80,10 +77,13 @@ def inside_pairs(candidates: DataFrame, layer: DataFrame) -> DataFrame:
 LEAF, SPLIT, DEEPEST = 64, 8, 14
 # Metres that a degree has at least, along a meridian, and at most, in any direction.
 DEGREE = (110500.0, 111700.0)
+#: Lengths on the ellipsoid as shares of those on the sphere of its mean radius, at least and at most; and leaves of a candidate and layer whose number is no matter.
+SPHEROID, CLOSE = (0.9943, 1.0057), 32
 
 
 def side_tree(seg: DataFrame, x0: float, y0: float, span: float) -> tuple[list[DataFrame], DataFrame, int]:
-    """A count quadtree of sides: the nodes of each depth (layer_key, cx, cy, n, leaf, box of their sides nx0 to ny1, an end of one of them sx, sy), and the sides with their leaf (depth, cx, cy); and the depth.
+    """A count quadtree of sides (layer_key, fid, ax to by, lone: the feature's only one): the nodes of each depth (layer_key, cx, cy, lone, leaf, box of their sides nx0 to ny1, an end of one of them sx, sy), and the
+    sides with their leaf (depth, cx, cy); and the depth.
 
     Cells are SPLIT times narrower at each depth; those with more than LEAF sides have children. So crowds have deep leaves and lonely sides shallow ones, and each side lies in one leaf.
     """
@@ -95,8 +95,8 @@ def side_tree(seg: DataFrame, x0: float, y0: float, span: float) -> tuple[list[D
         at = rest.withColumns({"cx": F.floor(F.col("tx") * float(SPLIT**depth)).cast("long"), "cy": F.floor(F.col("ty") * float(SPLIT**depth)).cast("long")})
         ends = lambda f, of, axis: f(of(f"a{axis}", f"b{axis}"))
         box = {"nx0": ends(F.min, F.least, "x"), "ny0": ends(F.min, F.least, "y"), "nx1": ends(F.max, F.greatest, "x"), "ny1": ends(F.max, F.greatest, "y")}
-        cells = at.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("ax", "ay")).alias("s"), *[v.alias(k) for k, v in box.items()])
-        cells = cut(cells.select(*key, ((F.col("n") <= LEAF) | F.lit(depth == DEEPEST)).alias("leaf"), *box, F.col("s.ax").alias("sx"), F.col("s.ay").alias("sy")))
+        cells = at.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("ax", "ay")).alias("s"), F.min("lone").alias("lone"), *[v.alias(k) for k, v in box.items()])
+        cells = cut(cells.select(*key, "lone", ((F.col("n") <= LEAF) | F.lit(depth == DEEPEST)).alias("leaf"), *box, F.col("s.ax").alias("sx"), F.col("s.ay").alias("sy")))
         nodes.append(cells)
         crowded = cells.where("not leaf").select(*key)
         if not crowded.take(1):
@@ -107,35 +107,65 @@ def side_tree(seg: DataFrame, x0: float, y0: float, span: float) -> tuple[list[D
     return nodes, reduce(DataFrame.unionByName, [h.drop("tx", "ty") for h in held]), depth
 
 
-def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sphere: bool = False) -> DataFrame:
     """(candidate_id, layer_key, depth, cx, cy): the leaves whose sides can be a candidate's nearest.
 
-    A node's box bounds the gap of a candidate (box kx0 to ky1, a vertex vx, vy) to all its sides from below, the end that it knows of bounds the gap to its nearest from above. Down the tree, nodes go whose least
-    possible length is over the least upper bound so far; so does no node that is as near, in the plane, as one that may count, since of each feature the nearest place in the plane counts. ``layers`` are
-    the pairs (candidate_id, layer_key) that are looked for.
+    A node's box bounds the length from a candidate (box kx0 to ky1, a vertex vx, vy) to all its sides from below, the end that it knows of that to its nearest from above. Down the tree, nodes go whose least
+    possible length is over the least upper bound so far. Features of several sides count by their nearest place in the plane: of them no node goes that is as near, in the plane, as one that may count. ``layers`` are
+    the pairs (candidate_id, layer_key) that are looked for. Where many leaves are left, as for a candidate far from a crowd, whose bounds on the ellipsoid are as wide as the crowd, its own length to the
+    leaf's middle tells.
     """
-    c = F.col
-    apart = lambda axis: F.greatest(F.lit(0.0), c(f"n{axis}0") - c(f"k{axis}1"), c(f"k{axis}0") - c(f"n{axis}1"))
-    across = lambda axis: F.greatest(f"n{axis}1", f"k{axis}1") - F.least(f"n{axis}0", f"k{axis}0")
-    latitude = F.radians(F.least(F.lit(89.9), F.greatest(F.abs("ny0"), F.abs("ny1"), F.abs("ky0"), F.abs("ky1"))))
-    half = F.greatest(F.lit(1e-9), F.least(F.lit(math.pi), F.radians(F.greatest(across("x"), across("y"))) / 2))  # a chord is shorter than its arc
-    measures = {"gap": F.sqrt(apart("x") * apart("x") + apart("y") * apart("y")), "least": DEGREE[0] * F.cos(latitude) * F.sin(half) / half, "most": DEGREE[1] * F.sqrt((c("vx") - c("sx")) * (c("vx") - c("sx")) + (c("vy") - c("sy")) * (c("vy") - c("sy")))}
+    apart = lambda n, v: f"greatest(0D, {n}n{v}0 - k{v}1, k{v}0 - {n}n{v}1)"
+    across = lambda n, v: f"(greatest({n}n{v}1, k{v}1) - least({n}n{v}0, k{v}0))"
+    low, high = (1.0, 1.0) if sphere else SPHEROID
+
+    def measured(n: str = "") -> dict[str, str]:
+        farthest = lambda p: f"cos(radians(least(90D, greatest(abs({p}y0), abs({p}y1)))))"
+        half = f"greatest(1e-9D, least({math.pi!r}D, radians(greatest({across(n, 'x')}, {across(n, 'y')})) / 2))"
+        turn = f"greatest(0D, least({apart(n, 'x')}, 360D - {across(n, 'x')}))"  # the longitudes between them, whichever way is shorter
+        arc = lambda dy, c1, c2, dx: f"{2 * g.SPHERE!r}D * asin(sqrt(least(1D, power(sin(radians({dy}) / 2), 2) + {c1} * {c2} * power(sin(radians({dx}) / 2), 2))))"
+        return {
+            "gap": f"sqrt({apart(n, 'x')} * {apart(n, 'x')} + {apart(n, 'y')} * {apart(n, 'y')})",
+            "least": f"{low!r}D * {arc(apart(n, 'y'), farthest(n + 'n'), farthest('k'), turn)}",
+            "most": f"{high!r}D * {arc(f'vy - {n}sy', 'cos(radians(vy))', f'cos(radians({n}sy))', f'vx - {n}sx')}",
+            "slope": f"{DEGREE[0]!r}D * least({farthest(n + 'n')}, {farthest('k')}) * sin({half}) / {half}",  # metres of a degree of the gap at least; a chord is shorter than its arc
+            "mx": f"({n}nx0 + {n}nx1) / 2",
+            "my": f"({n}ny0 + {n}ny1) / 2",
+            "radius": f"{DEGREE[1]!r}D * sqrt(({n}nx1 - {n}nx0) * ({n}nx1 - {n}nx0) + ({n}ny1 - {n}ny0) * ({n}ny1 - {n}ny0)) / 2",
+        }
+
     each = Window.partitionBy("candidate_id", "layer_key")
-    kept = ["candidate_id", "layer_key", "kx0", "ky0", "kx1", "ky1", "vx", "vy", "depth", "cx", "cy", "leaf", "gap", "least", "most"]
+    own = ["candidate_id", "layer_key", "kx0", "ky0", "kx1", "ky1", "vx", "vy"]
+    told = ["depth", "cx", "cy", "leaf", "lone", *measured()]
+    slack = "* (1 + 1e-9D) + 1e-6D"
 
     def pruned(rows: DataFrame) -> DataFrame:
-        some = rows.withColumn("best", F.min("most").over(each) * (1 + 1e-9) + 1e-6)
-        some = some.withColumn("slope", F.min(F.when(c("gap") * c("least") <= c("best"), c("least"))).over(each))
-        return cut(some.where(c("gap") * c("slope") <= c("best")).select(*kept))
-
-    first = F.broadcast(nodes[0])  # SPLIT * SPLIT nodes of each layer at most
-    found = pruned(layers.join(places, "candidate_id").join(first, "layer_key").withColumn("depth", F.lit(1)).withColumns(measures))
+        some = rows.withColumn("best", F.expr("min(most)").over(each) * (1 + 1e-9) + 1e-6)
+        some = some.withColumn("flat", F.expr("min(case when least <= best then slope end)").over(each))
+        return some.where("least <= best or not lone and gap * flat <= best").select(*own, *told)
+
+    # The uppermost nodes, SPLIT * SPLIT of a layer at most, come as one array a layer, so that nothing moves for them.
+    top = nodes[0].groupBy("layer_key").agg(F.expr("collect_list(struct(1 as depth, cx, cy, leaf, lone, nx0, ny0, nx1, ny1, sx, sy))").alias("ns"))
+    held = layers.join(places, "candidate_id").join(F.broadcast(top), "layer_key")
+    fields = ", ".join([f"'{k}', n.{k}" for k in told[:5]] + [f"'{k}', {v}" for k, v in measured("n.").items()])
+    held = held.withColumn("m", F.expr(f"transform(ns, n -> named_struct({fields}))")).drop("ns")
+    held = held.withColumn("best", F.expr(f"array_min(transform(m, x -> x.most)) {slack}"))
+    held = held.withColumn("flat", F.expr("array_min(transform(filter(m, x -> x.least <= best), x -> x.slope))"))
+    found = held.select(*own, F.expr("inline(filter(m, x -> x.least <= best or not x.lone and x.gap * flat <= best))"))
     for depth, below in enumerate(nodes[1:], 2):
-        parents = found.where("not leaf").drop("leaf", "gap", "least", "most", "depth").withColumnsRenamed({"cx": "px", "cy": "py"})
-        under = below.withColumns({"px": F.floor(c("cx") / SPLIT), "py": F.floor(c("cy") / SPLIT)})
-        children = parents.join(under, ["layer_key", "px", "py"]).withColumn("depth", F.lit(depth)).withColumns(measures)
-        found = pruned(found.where("leaf").unionByName(children.select(*kept)))
-    return found.select("candidate_id", "layer_key", "depth", "cx", "cy")
+        found = cut(found)
+        parents = found.where("not leaf").select(*own, F.col("cx").alias("px"), F.col("cy").alias("py"))
+        under = below.withColumns({"px": F.floor(F.col("cx") / SPLIT), "py": F.floor(F.col("cy") / SPLIT)})
+        children = parents.join(under, ["layer_key", "px", "py"]).select(*own, F.lit(depth).alias("depth"), *told[1:5], *[F.expr(v).alias(k) for k, v in measured().items()])
+        found = pruned(found.where("leaf").unionByName(children))
+    found = cut(found)
+    if sphere:
+        return found.select("candidate_id", "layer_key", *told[:3])
+    wide = f"{DEGREE[1]!r}D * sqrt(power(greatest(vx - kx0, kx1 - vx), 2) + power(greatest(vy - ky0, ky1 - vy), 2))"
+    many = found.withColumn("n", F.count("*").over(each))
+    exact = many.where(F.col("n") > CLOSE).withColumn("m", g.distance_geodesic(F.col("vx"), F.col("vy"), F.col("mx"), F.col("my"))).withColumn("wide", F.expr(wide))
+    exact = exact.withColumns({"least": F.expr("greatest(least, coalesce(m - radius - wide, 0D))"), "most": F.expr("least(most, coalesce(m + radius, most))")})
+    return pruned(exact).unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select("candidate_id", "layer_key", *told[:3])
 
 
 def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, sphere: bool = False) -> DataFrame:
@@ -147,7 +177,10 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     """
     feats = layer.where(F.col("layer_key").isin(keys)) if keys is not None else layer
     spots, shapes = feats.where("geom.type = 'Point'"), feats.where("geom.type <> 'Point'")
-    seg = cut(segments(spots).groupBy("layer_key", "ax", "ay", "bx", "by").agg(F.min("fid").alias("fid")).unionByName(segments(shapes)))  # points in one place are one
+    points = segments(spots).groupBy("layer_key", "ax", "ay", "bx", "by").agg(F.min("fid").alias("fid"))  # points in one place are one
+    lone = F.expr("size(geom.parts) = 1 and size(geom.parts[0]) = 1 and size(geom.parts[0][0]) <= 2")
+    several = segments(shapes.where(~lone)).withColumn("lone", F.lit(False)).unionByName(segments(shapes.where(lone)).withColumn("lone", F.lit(True)))
+    seg = cut(points.withColumn("lone", F.lit(True)).unionByName(several))
     own = cut(sides_of(candidates))
     nothing = candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("metres")).where("false")
     ends = seg.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
@@ -156,40 +189,53 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
     nodes, sides, _ = side_tree(seg, ends[0], ends[2], span)
     box = {"kx0": F.min(F.least("cax", "cbx")), "ky0": F.min(F.least("cay", "cby")), "kx1": F.max(F.greatest("cax", "cbx")), "ky1": F.max(F.greatest("cay", "cby"))}
-    places = cut(own.groupBy("candidate_id").agg(F.min(F.struct("cax", "cay")).alias("v"), *[e.alias(k) for k, e in box.items()]).select("candidate_id", *box, F.col("v.cax").alias("vx"), F.col("v.cay").alias("vy")))
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: candidates are dealt to all tasks whatever their size
+    places = cut(own.repartition(parts, "candidate_id").groupBy("candidate_id").agg(F.min(F.struct("cax", "cay")).alias("v"), *[e.alias(k) for k, e in box.items()]).select("candidate_id", *box, F.col("v.cax").alias("vx"), F.col("v.cay").alias("vy")))
     rest = places.select("candidate_id").join(F.broadcast(seg.select("layer_key").distinct()))  # a row for each layer there is
     done: list[DataFrame] = []
     if feats.where(g.is_area(F.col("geom"))).take(1) or "geom" in candidates.columns and candidates.where(g.is_area(F.col("geom"))).take(1):
         done.append(cut(inside_pairs(candidates, feats).select("candidate_id", "layer_key", F.lit(0.0).alias("metres")).distinct()))
         rest = rest.join(done[0], ["candidate_id", "layer_key"], "left_anti")
-    leaves = near_leaves(places, rest, nodes)
-    near = leaves.join(sides, ["layer_key", "depth", "cx", "cy"]).join(own, "candidate_id")
+    leaves = near_leaves(places, rest, nodes, sphere)
+    met = leaves.repartition(parts, "candidate_id").join(own.repartition(parts, "candidate_id"), "candidate_id")
+    near = met.join(sides, ["layer_key", "depth", "cx", "cy"])
     each = near.groupBy("candidate_id", "layer_key", "fid").agg(F.min(side_gap()).alias("p"))
     length = (g.distance_sphere if sphere else g.distance_geodesic)(F.col("p.x"), F.col("p.y"), F.col("p.px"), F.col("p.py"))
     done.append(each.withColumn("m", length).groupBy("candidate_id", "layer_key").agg(F.min("m").alias("metres")))
     return reduce(DataFrame.unionByName, done)
 
 
-def features_within(candidates: DataFrame, layer: DataFrame, radius_deg: float) -> DataFrame:
-    """(candidate_id, n): features of any type at most the radius, in degrees, from a candidate of any type; candidates without any have 0.
+def densities(candidates: DataFrame, layers: DataFrame, wanted: list[tuple[str, float]]) -> DataFrame:
+    """(candidate_id, layer_key, radius, n): for each wanted layer and radius, in degrees, the features of any type that are at most that far from a candidate of any type; without any there is no row.
 
-    Points around points are counted over a grid; where a line or polygon is on either side, sides are compared in cells of the radius.
+    Points around points are counted over a grid; where there are lines or polygons on either side, sides whose boxes are that near are compared, for all layers and radii at once.
     """
-    plain = F.col("geom.type") == "Point"
-    at = F.col("geom.parts")[0][0][0]
+    spark = candidates.sparkSession
+    at = F.expr("geom.parts[0][0][0]")
     asked = candidates if "geom" in candidates.columns else candidates.withColumn("geom", g.point(F.col("x"), F.col("y")))
-    spots = layer.where(plain).select(at["x"].alias("x"), at["y"].alias("y"))
-    points = asked.where(plain & at.isNotNull()).select("candidate_id", at["x"].alias("x"), at["y"].alias("y"))
-    counts = [sp.density_count(points, spots, radius_deg)]
-    shapes, areas = layer.where(~plain), asked.where(~plain)
-    for some, feats in ((points.withColumn("geom", g.point(F.col("x"), F.col("y"))), shapes), (areas, layer)):
-        own = sides_of(some).withColumns({"xmin": F.least("cax", "cbx"), "xmax": F.greatest("cax", "cbx"), "ymin": F.least("cay", "cby"), "ymax": F.greatest("cay", "cby")})
-        theirs = segments(feats).withColumns({"xmin": F.least("ax", "bx"), "xmax": F.greatest("ax", "bx"), "ymin": F.least("ay", "by"), "ymax": F.greatest("ay", "by")})
-        met = sp.bbox_pairs(own, theirs, radius_deg).where(side_gap()["flat"] <= radius_deg).select("candidate_id", "layer_key", "fid")
-        held = inside_pairs(some, feats)
-        counts.append(met.unionByName(held).distinct().groupBy("candidate_id").agg(F.count("*").alias("n")))
-    total = reduce(DataFrame.unionByName, counts).groupBy("candidate_id").agg(F.sum("n").alias("n"))
-    return candidates.select("candidate_id").join(total, "candidate_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    feats = layers.where(F.col("layer_key").isin([k for k, _ in wanted]))
+    spots = feats.where("geom.type = 'Point'").select("layer_key", at["x"].alias("x"), at["y"].alias("y"))
+    points = asked.where("geom.type = 'Point'").select("candidate_id", at["x"].alias("x"), at["y"].alias("y")).where("x is not null")
+    counts = [sp.density_count(points, spots.where(F.col("layer_key") == k), r).where("n > 0").select("candidate_id", F.lit(k).alias("layer_key"), F.lit(r).alias("radius"), "n") for k, r in wanted]
+    shapes = feats.where("geom.type <> 'Point'")
+    areas = asked.where("geom.type <> 'Point'")
+    radii = F.broadcast(spark.createDataFrame(wanted, "layer_key string, radius double"))  # of the rulesets
+    box = lambda p: [F.expr(f"{f}({p}a{v}, {p}b{v})").alias(f"{v}{end}") for f, end in (("least", "min"), ("greatest", "max")) for v in ("x", "y")]
+    for some, others, there in ((asked, shapes, shapes.take(1)), (areas, feats.where("geom.type = 'Point'"), areas.take(1))):
+        if not there:
+            continue
+        own = sides_of(some).select("*", *box("c")).join(radii)
+        theirs = segments(others).select("*", *box(""))
+        met = sp.bbox_pairs(own, theirs, F.col("radius"), ["layer_key"]).where(side_gap()["flat"] <= F.col("radius")).select("candidate_id", "layer_key", "radius", "fid")
+        held = inside_pairs(some, others).join(radii, "layer_key").select("candidate_id", "layer_key", "radius", "fid")
+        counts.append(met.unionByName(held).distinct().groupBy("candidate_id", "layer_key", "radius").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, counts).groupBy("candidate_id", "layer_key", "radius").agg(F.sum("n").alias("n"))
+
+
+def features_within(candidates: DataFrame, layer: DataFrame, radius_deg: float) -> DataFrame:
+    """(candidate_id, n): features of any type at most the radius, in degrees, from a candidate of any type; candidates without any have 0."""
+    found = densities(candidates, layer.withColumn("layer_key", F.lit("")), [("", radius_deg)])
+    return candidates.select("candidate_id").join(found.select("candidate_id", "n"), "candidate_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def overlap_share(candidates: DataFrame, layer: DataFrame) -> DataFrame:
@@ -223,9 +269,11 @@ def score_criteria(candidates: DataFrame, layers: DataFrame, criteria: DataFrame
     found.append(dist.select("candidate_id", F.lit("distance_to_layer").alias("type"), F.col("layer_key").alias("layer"), F.lit(None).cast("double").alias("radius_km"), F.col("metres").alias("value")))
     share = overlap_share(candidates, layers.where(F.col("layer_key").isin(by("overlap_with_layer"))))
     found.append(share.select("candidate_id", F.lit("overlap_with_layer").alias("type"), F.col("layer_key").alias("layer"), F.lit(None).cast("double").alias("radius_km"), F.col("share").alias("value")))
-    for layer, radius in sorted({(r.layer, r.radius_km) for r in rows if r.type == "density_count"}):
-        n = features_within(candidates, layers.where(F.col("layer_key") == layer), radius / 111)
-        found.append(n.select("candidate_id", F.lit("density_count").alias("type"), F.lit(layer).alias("layer"), F.lit(radius).alias("radius_km"), F.col("n").cast("double").alias("value")))
+    radii = {(r.layer, r.radius_km / 111): r.radius_km for r in rows if r.type == "density_count" and r.layer}
+    if radii:
+        km = F.create_map(*[F.lit(x) for (_, deg), r in radii.items() for x in (deg, r)])
+        n = densities(candidates, layers, sorted(radii))
+        found.append(n.select("candidate_id", F.lit("density_count").alias("type"), F.col("layer_key").alias("layer"), km[F.col("radius")].alias("radius_km"), F.col("n").cast("double").alias("value")))
     if dem is not None:
         e = terrain_elevation(candidates, dem)
         found.append(e.select("candidate_id", F.lit("terrain_stat").alias("type"), F.lit(None).cast("string").alias("layer"), F.lit(None).cast("double").alias("radius_km"), F.col("elevation").alias("value")))

@@ -28,21 +28,18 @@ def cell(v: Column, size: float | Column) -> Column:
 STEP = 8
 
 
-def _width(level: Column) -> Column:
-    return F.pow(F.lit(float(STEP)), level)  # a power of two, so exact
+def _level(x0: str, y0: str, x1: str, y1: str) -> Column:
+    """The narrowest cells that a box fills to 7/8 at most; no cell is so narrow that its number would lose digits."""
+    extent = f"greatest({x1} - {x0}, {y1} - {y0}, greatest(abs({x0}), abs({x1}), abs({y0}), abs({y1})) * 1e-12D, 1e-300D)"
+    return F.expr(f"cast(ceil(ln({extent} * {STEP / (STEP - 1)!r}D) / {math.log(STEP)!r}D + 1e-9D) as int)")
 
 
-def _level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The narrowest cells that a box fills to 7/8 at most; no cell is so narrow that its number would lose digits."""
-    least = F.greatest(F.abs(x0), F.abs(x1), F.abs(y0), F.abs(y1)) * 1e-12
-    extent = F.greatest(x1 - x0, y1 - y0, least, F.lit(1e-300))
-    return F.ceil(F.log(extent * (STEP / (STEP - 1))) / math.log(STEP) + 1e-9).cast("int")
+def _width(level: str) -> str:
+    return f"power({STEP}.0D, {level})"  # a power of two, so exact
 
 
-def _covered(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, role: Column, level: Column) -> Column:
-    """array<struct<role, level, cx, cy>>: the cells that a box covers."""
-    at = lambda cx, cy: F.struct(role.alias("role"), level.alias("level"), cx.alias("cx"), cy.alias("cy"))
-    return F.flatten(F.transform(F.sequence(cell(x0, width), cell(x1, width)), lambda cx: F.transform(F.sequence(cell(y0, width), cell(y1, width)), lambda cy: at(cx, cy))))
+def _at(v: str, width: str) -> str:
+    return f"cast(floor(({v}) / {width}) as bigint)"
 
 
 def indexed(df: DataFrame, levels: DataFrame, first: bool) -> DataFrame:
@@ -52,14 +49,18 @@ def indexed(df: DataFrame, levels: DataFrame, first: bool) -> DataFrame:
     and the narrower one in that cell alone which holds its lower left corner (role 1 where the first layer's box is the wider one, 2 where the second's is). So a box has no more cells than these, and one for each wider
     level of the other layer, however large it is.
     """
-    x0, y0, x1, y1, own, levels_ = (F.col(c) for c in ("_x0", "_y0", "_x1", "_y1", "_level", "_levels"))
-    width = _width(own)
-    same = F.when(F.array_contains(levels_, own), _covered(x0, y0, x1, y1, width, F.lit(0), own))
-    wider = F.when(F.exists(levels_, lambda n: n < own), _covered(x0 - width / STEP, y0 - width / STEP, x1, y1, width, F.lit(1 if first else 2), own))
-    above = F.transform(F.filter(levels_, lambda n: n > own), lambda n: F.struct(F.lit(2 if first else 1).alias("role"), n.alias("level"), cell(x0, _width(n)).alias("cx"), cell(y0, _width(n)).alias("cy")))
-    none = F.array().cast("array<struct<role:int,level:int,cx:bigint,cy:bigint>>")
-    cells = F.concat(F.coalesce(same, none), F.coalesce(wider, none), F.coalesce(above, none))
-    return df.join(F.broadcast(levels)).select(*df.columns, F.inline(cells))  # one row of levels
+    wide, narrow = (1, 2) if first else (2, 1)
+    width = _width("_level")
+
+    def covered(x0: str, y0: str, role: int) -> str:
+        cell_ = f"named_struct('role', {role}, 'level', _level, 'cx', cx, 'cy', cy)"
+        return f"flatten(transform(sequence({_at(x0, width)}, {_at('_x1', width)}), cx -> transform(sequence({_at(y0, width)}, {_at('_y1', width)}), cy -> {cell_})))"
+
+    none = "cast(array() as array<struct<role:int,level:int,cx:bigint,cy:bigint>>)"
+    same = f"if(array_contains(_levels, _level), {covered('_x0', '_y0', 0)}, {none})"
+    wider = f"if(exists(_levels, n -> n < _level), {covered(f'_x0 - {width} / {STEP}', f'_y0 - {width} / {STEP}', wide)}, {none})"
+    above = f"transform(filter(_levels, n -> n > _level), n -> named_struct('role', {narrow}, 'level', n, 'cx', {_at('_x0', _width('n'))}, 'cy', {_at('_y0', _width('n'))}))"
+    return df.join(F.broadcast(levels)).select(*df.columns, F.expr(f"inline(concat({same}, {wider}, {above}))"))  # one row of levels
 
 
 def bbox_pairs(a: DataFrame, b: DataFrame, pad: float | Column = 0.0, on: list[str] | None = None) -> DataFrame:
@@ -68,25 +69,25 @@ def bbox_pairs(a: DataFrame, b: DataFrame, pad: float | Column = 0.0, on: list[s
     Both sides come with columns xmin to ymax and others of different names; b's box columns come out with prefix b_. Rows without a box meet none. Each box is laid on cells of its own size (``indexed``), so layers of
     any extent, in degrees or metres, and boxes of mixed sizes meet by an equi-join, and no distinct is needed.
     """
-    pad = pad if isinstance(pad, Column) else F.lit(float(pad))
     on = on or []
-    right = b.withColumnsRenamed({c: f"b_{c}" for c in ("xmin", "ymin", "xmax", "ymax")})
-
-    def boxed(df: DataFrame, prefix: str, by: Column) -> DataFrame:
-        c = lambda n: F.col(f"{prefix}{n}")
-        out = df.where(c("xmin").isNotNull()).withColumns({"_x0": c("xmin") - by, "_y0": c("ymin") - by, "_x1": c("xmax") + by, "_y1": c("ymax") + by})
-        return out.withColumn("_level", _level(*(F.col(x) for x in ("_x0", "_y0", "_x1", "_y1"))))
-
-    left, right = boxed(a, "", pad), boxed(right, "b_", F.lit(0.0))
-    known = [df.agg(F.sort_array(F.collect_set("_level")).alias("_levels")) for df in (left, right)]  # a few levels each
-    keys = ["role", "level", "cx", "cy", *on]
-    theirs = indexed(right, known[0], False).withColumnsRenamed({c: f"_b{c}" for c in ("_x0", "_y0", "_x1", "_y1")}).drop("_level")
-    pairs = indexed(left, known[1], True).drop("_level").join(theirs, keys)
-    met = (F.col("_x0") <= F.col("_b_x1")) & (F.col("_x1") >= F.col("_b_x0")) & (F.col("_y0") <= F.col("_b_y1")) & (F.col("_y1") >= F.col("_b_y0"))
+    box = ("xmin", "ymin", "xmax", "ymax")
+
+    def boxed(df: DataFrame, by: str, names: dict[str, str]) -> DataFrame:
+        ends = [F.expr(f"{c} {'-' if c.endswith('min') else '+'} {by}").alias(n) for c, n in zip(box, ("_x0", "_y0", "_x1", "_y1"))]
+        out = df.where("xmin is not null").select(*[F.col(c).alias(names.get(c, c)) for c in df.columns if c != "_pad"], *ends)
+        return out.withColumn("_level", _level("_x0", "_y0", "_x1", "_y1"))
+
+    left = boxed(a.withColumn("_pad", pad if isinstance(pad, Column) else F.lit(float(pad))), "_pad", {})
+    right = boxed(b, "0D", {c: f"b_{c}" for c in box})
+    known = [df.agg(F.expr("sort_array(collect_set(_level))").alias("_levels")) for df in (left, right)]  # a few levels each
+    theirs = indexed(right, known[0], False)
+    moved = {c: f"_b{c}" for c in ("_x0", "_y0", "_x1", "_y1")}
+    theirs = theirs.select(*[F.col(c).alias(moved.get(c, c)) for c in theirs.columns if c != "_level"])
+    pairs = indexed(left, known[1], True).join(theirs, ["role", "level", "cx", "cy", *on])
     # Boxes of one level may share up to four cells: the pair counts where the lower left corner of what they have in common lies.
-    width = _width(F.col("level"))
-    own = (F.col("role") != 0) | (F.col("cx") == cell(F.greatest("_x0", "_b_x0"), width)) & (F.col("cy") == cell(F.greatest("_y0", "_b_y0"), width))
-    return pairs.where(met & own).drop("role", "level", "cx", "cy", *(f"{p}_{c}" for p in ("", "_b") for c in ("x0", "y0", "x1", "y1")))
+    own = f"(role <> 0 or cx = {_at('greatest(_x0, _b_x0)', _width('level'))} and cy = {_at('greatest(_y0, _b_y0)', _width('level'))})"
+    met = pairs.where(f"_x0 <= _b_x1 and _x1 >= _b_x0 and _y0 <= _b_y1 and _y1 >= _b_y0 and {own}")
+    return met.drop("role", "level", "cx", "cy", "_level", *moved, *moved.values())
 
 
 def _with_place(df: DataFrame, geom: str) -> DataFrame:

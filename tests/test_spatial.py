@@ -47,7 +47,7 @@ def test_index_rows_of_a_feature(spark):
     rnd = random.Random(1)
     for x, y, span, low, high in LAYERS.values():
         df = spark.createDataFrame(boxes(rnd, 3000, x, y, span, low, high), "i int, _x0 double, _y0 double, _x1 double, _y1 double")
-        df = df.withColumn("_level", sp._level(*(F.col(c) for c in ("_x0", "_y0", "_x1", "_y1"))))
+        df = df.withColumn("_level", sp._level("_x0", "_y0", "_x1", "_y1"))
         levels = df.agg(F.collect_set("_level").alias("_levels"))
         rows = sp.indexed(df, levels, True)
         assert rows.count() <= 8 * 3000
@@ -102,3 +102,62 @@ def test_ranks_of_tied_groups(spark):
     assert got.count() == 151 and {(r.n, r["rank"]) for r in got.where("n = 5 or n = 2").select("n", "rank").distinct().collect()} == {(5, 1), (2, 2)}
     wide = land.top_groups(rows, "name", 200)
     assert wide.count() == 301 and wide.agg(F.max("rank")).first()[0] == 152
+
+
+# --- nearest features -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sphere", [True, False])
+def test_a_crowd_in_one_cell_makes_few_pairs(spark, sphere):
+    """10^5 features within a hundredth of a degree, candidates among them and far away: some hundred sides each are looked at, not all."""
+    from landloom.operators import sites
+
+    crowd = spark.range(100_000).select(F.lit("a").alias("layer_key"), F.col("id").alias("fid"), (36 + F.rand(1) * 0.01).alias("ax"), (33 + F.rand(2) * 0.01).alias("ay"), F.lit(True).alias("lone"))
+    seg = crowd.select("*", F.col("ax").alias("bx"), F.col("ay").alias("by"))
+    spots = [(k, 36.005 + 0.0005 * k, 33.005) for k in range(8)] + [(10 + k, 36 + 2.0**-k, 34 - 3.0**-k) for k in range(8)] + [(30, 120.0, -40.0), (31, -50.0, 80.0)]
+    places = spark.createDataFrame([(k, x, y, x, y, x, y) for k, x, y in spots], "candidate_id int, kx0 double, ky0 double, kx1 double, ky1 double, vx double, vy double")
+    nodes, sides, depth = sites.side_tree(seg, 36.0, 33.0, 0.01)
+    leaves = sites.near_leaves(places, places.select("candidate_id", F.lit("a").alias("layer_key")), nodes, sphere)
+    pairs = leaves.join(sides, ["layer_key", "depth", "cx", "cy"])
+    most = pairs.groupBy("candidate_id").count().agg(F.max("count"), F.sum("count")).first()
+    assert depth > 1 and most[0] < 5000 and most[1] < 1000 * len(spots)
+    length = g.distance_sphere if sphere else g.distance_geodesic
+    got = {r.candidate_id: r.m for r in pairs.join(places, "candidate_id").withColumn("m", length(F.col("vx"), F.col("vy"), F.col("ax"), F.col("ay"))).groupBy("candidate_id").agg(F.min("m").alias("m")).collect()}
+    every = places.join(seg).withColumn("m", length(F.col("vx"), F.col("vy"), F.col("ax"), F.col("ay")))  # brute force
+    assert got == pytest.approx({r.candidate_id: r.m for r in every.groupBy("candidate_id").agg(F.min("m").alias("m")).collect()}, rel=1e-9)
+
+
+@pytest.mark.parametrize("leaf", [64, 3])
+def test_nearest_features_of_all_types_equal_brute_force(spark, monkeypatch, leaf):
+    from landloom.operators import sites
+
+    monkeypatch.setattr(sites, "LEAF", leaf)
+    rnd = random.Random(11)
+    feats = []
+    for k in range(240):
+        x, y = rnd.choice([(36, 33), (36.2, 33.1), (rnd.uniform(30, 42), rnd.uniform(28, 38)), (rnd.uniform(-60, 120), rnd.uniform(-50, 60))])
+        n = 1 + k % 3
+        feats.append(("ab"[k % 2], k, "Point" if n == 1 else "LineString", [(x + rnd.gauss(0, 0.3), y + rnd.gauss(0, 0.3)) for _ in range(n)]))
+    feats.append(("c", 999, "Point", [(100.0, 10.0)]))
+    rows = [(key, k, (kind, [[[(float(u), float(v)) for u, v in pts]]])) for key, k, kind, pts in feats]
+    layer = spark.createDataFrame(rows, f"layer_key string, fid long, geom {g.GEOM}")
+    spots = [(k, rnd.uniform(-70, 130), rnd.uniform(-60, 70)) for k in range(40)] + [(50 + k, 36 + rnd.gauss(0, 0.5), 33 + rnd.gauss(0, 0.5)) for k in range(60)]
+    got = {(r.candidate_id, r.layer_key): r.metres for r in sites.nearest_distance(spark.createDataFrame(spots, "candidate_id int, x double, y double"), layer, sphere=True).collect()}
+
+    def metres(x, y, u, v):
+        h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+        return 2 * g.SPHERE * math.asin(math.sqrt(min(1.0, h)))
+
+    def closest(x, y, pts):
+        best = None
+        for (ax, ay), (bx, by) in zip(pts, pts[1:]) if len(pts) > 1 else [(pts[0], pts[0])]:
+            dx, dy = bx - ax, by - ay
+            t = 0.0 if dx == dy == 0 else min(1.0, max(0.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+            u, v = ax + t * dx, ay + t * dy
+            best = min(best or (math.inf,), (math.hypot(x - u, y - v), u, v))
+        return metres(x, y, *best[1:])
+
+    for k, x, y in spots:
+        for key in "abc":
+            assert math.isclose(got[k, key], min(closest(x, y, f[3]) for f in feats if f[0] == key), rel_tol=1e-6, abs_tol=1e-3), (k, key)
+    assert len(got) == 3 * len(spots)
