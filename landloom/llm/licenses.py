@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,7 +36,7 @@ LICENCES = {
     "mpl-2.0": (["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mpl 2 0"], 0.6),
     "epl-2.0": (["eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license version 2 0"], 0.55),
     "cddl-1.0": (["common development and distribution license"], 0.5),
-    "eupl-1.2": (["european union public licence", "european union public license"], 0.5),
+    "eupl-1.2": (["european union public licence", "european union public license", "eupl"], 0.5),
     "lgpl": (["lesser general public license", "library general public license"], 0.5),
     "lgpl-2.1": (["lesser general public license version 2 1", "lesser general public license as published by the free software foundation either version 2 1", "lgpl 2 1"], 0.5),
     "lgpl-3.0": (["lesser general public license version 3", "lesser general public license as published by the free software foundation either version 3", "lgpl 3 0"], 0.5),
@@ -51,7 +52,7 @@ LICENCES = {
     "cc-by": (["creative commons attribution"], 0.8),
     "gpl": ([], 0.4),
     "reserved": ([], 0.05),
-    "proprietary": (["proprietary and confidential", "unauthorized copying of this file"], 0.0),
+    "proprietary": (["proprietary and confidential", "unauthorized copying of this file"], 0.02),
 }
 TAG = "spdx license identifier"
 #: A byte of a word, A-Z made small, or a space.
@@ -162,23 +163,24 @@ def look(text: bytes) -> Found:
     """Licence places, labels and score of a UTF-8 text."""
     words = text.translate(FOLD).split()
     flat = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    base, labels, values, expressions = [], set(), [], []
-    tagged, counted, spaces = False, 0, 0  # the spaces of flat before ``counted``
+    base, notices, tagged = [], [], False
+    counted, spaces = 0, 0  # the spaces of flat before ``counted``
     for end, (length, meant) in AUTOMATON.iter(flat):
         spaces, counted = spaces + flat.count(" ", counted, end), end
         for what, label in meant:
             if what == "tag":
                 tagged = True
                 continue
-            labels.add(label)
+            notices.append((spaces - 1 - flat.count(" ", end - length, end), label))
             if what == "base":
-                base.append((spaces - 1 - flat.count(" ", end - length, end), label))
-    finer = {"gpl": "gpl-", "lgpl": "lgpl-", "cc-by": "cc-by-", "bsd": "bsd-"}
-    for label in labels:  # the base phrase within a finer notice says no more than that notice
-        if not (label in finer and any(o.startswith(finer[label]) for o in labels)):
-            values.append(LICENCES[label][1])
+                base.append(notices[-1])
+    labels, values, expressions, told = {label for _, label in base}, [], [], []
     if tagged:
-        for m in TAGGED.finditer(text.decode("utf-8", "replace")):
+        at, n = 0, 0  # words before ``at``
+        whole = text.decode("utf-8", "replace")
+        for m in TAGGED.finditer(whole):
+            first = n + len(whole[at : m.start(1)].encode().translate(FOLD).split())
+            at, n = m.end(1), first + len(m[1].encode().translate(FOLD).split())
             try:
                 found, value = evaluate(m[1])
             except BadExpression:
@@ -186,14 +188,22 @@ def look(text: bytes) -> Found:
             expressions.append(m[1].strip())
             labels |= found
             values.append(value)
-    return Found(len(words), base, labels, min(values, default=0.0), expressions)
+            told.append((first, n))
+    # What stands in an expression is told by the expression: "MIT OR MPL-2.0" isn't the stricter of both.
+    starts = [a for a, _ in told]
+    outside = {label for place, label in notices if not ((k := bisect_right(starts, place)) and place < told[k - 1][1])}
+    finer = {"gpl": "gpl-", "lgpl": "lgpl-", "cc-by": "cc-by-", "bsd": "bsd-"}
+    for label in outside:  # the base phrase within a finer notice says no more than that notice
+        if not (label in finer and any(o.startswith(finer[label]) for o in outside)):
+            values.append(LICENCES[label][1])
+    return Found(len(words), base, labels | outside, min(values, default=0.0), expressions)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, places array<struct<word,label>>, labels, score, expressions) of the whole text of every row.
 
     Places are those of the base phrases, in order; labels are those of phrases, notices and identifier tags, sorted; the score is how freely
-    the strictest of them lets reuse (0 without any). Identifiers that aren't known are labels as they are written, in lower case. A tag whose expression can't be parsed adds nothing. Null texts count as
+    the strictest of them lets reuse, over 0 even for what may not be reused at all; 0 says that no licence was found. Notices inside a tag's expression count by the expression's value. Identifiers that aren't known are labels as they are written, in lower case. A tag whose expression can't be parsed adds nothing. Null texts count as
     empty; ids may be null and rows may repeat, each giving a row; an empty table gives none; other columns are ignored. The time a text takes grows with its length.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -21,18 +21,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 ALNUM = re.compile(r"[A-Za-z0-9]+")
-#: Character classes, narrowest first, and the bits of entropy that a window of such characters must reach.
-CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9))
-#: What looks random but is none: UUIDs and digits, and words joined by punctuation or case, whose long runs of letters must read like words.
+#: Character classes, narrowest first, and the bits of entropy that a window of a run of such characters must reach.
+CLASSES = ((re.compile(r"[0-9a-fA-F]{20,}"), 3.0), (re.compile(r"[A-Za-z0-9]{20,}"), 3.7), (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9))
+#: What looks random but is none: UUIDs, and numbers and dates.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9]+([-_/=+][0-9]+)*[-_/=+]*"),
 )
-ALLOWED_WORDS = (
-    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*"),
-    re.compile(r"([A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z0-9]{0,6}"),
-)
-LONG_LETTERS = re.compile("[A-Za-z]{16,}")
+#: Segments of a string between separators, and the words and numbers of a segment, as paths, slugs and names in camel case have them.
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 Span = tuple[str, int, int]
 
@@ -60,21 +58,56 @@ def greatest_entropy(text: str, window: int = WINDOW) -> float:
     return best
 
 
-def wordlike(letters: str) -> bool:
-    """Whether letters can be read as words: enough vowels, and no long run without one. Random letters seldom pass."""
+def wordlike(letters: str, tenths: int = 3) -> bool:
+    """Whether letters can be read as words: so many tenths of vowels, and no long run without one. Many random letters seldom pass."""
     low = letters.lower()
     vowels = sum(map(low.count, "aeiouy"))
-    return 10 * vowels >= 3 * len(low) and max(map(len, re.split("[aeiouy]", low))) <= 4
+    return 10 * vowels >= tenths * len(low) and max(map(len, re.split("[aeiouy]", low))) <= 4
+
+
+def readable(segment: str) -> bool:
+    """Whether a segment of letters and digits is made of words and short numbers, as in ``getUserProfile2`` or ``chapter7``: its parts are long enough and nearly all of it reads like words."""
+    parts = PART.findall(segment)
+    if len(segment) < 3 * len(parts) and len(segment) > 6:
+        return False
+    good = sum(len(p) for p in parts if (len(p) <= 8 if p[0].isdigit() else len(p) < 3 or any(c in "aeiouyAEIOUY" for c in p) and (len(p) < 6 or wordlike(p, 1 if len(p) < 10 else 3))))
+    return 10 * good >= 9 * len(segment)
 
 
 def allowed(text: str) -> bool:
-    """Whether the allow-list covers all of the text."""
-    return any(p.fullmatch(text) for p in ALLOWED) or any(p.fullmatch(text) for p in ALLOWED_WORDS) and all(map(wordlike, LONG_LETTERS.findall(text)))
+    """Whether the allow-list covers all of the text: UUIDs, numbers, or words joined by separators or case."""
+    return any(p.fullmatch(text) for p in ALLOWED) or all(readable(m[0]) for m in SEGMENT.finditer(text))
+
+
+def random_parts(text: str) -> list[tuple[int, int]]:
+    """Ranges of a candidate string that look random: stretches without readable segments, in which a window of a run of one character class reaches that class's entropy.
+
+    So a key is found behind a name or a path, by its own class, and what is readable around it stays.
+    """
+    if any(p.fullmatch(text) for p in ALLOWED):
+        return []
+    stretches, start, keep = [], None, 0
+    for m in SEGMENT.finditer(text):
+        if readable(m[0]) and len(m[0]) > 2:
+            if start is not None:
+                stretches.append((start, keep))
+            start = None
+        else:
+            start, keep = m.start() if start is None else start, m.end()
+    if start is not None:
+        stretches.append((start, len(text)))
+    out = []
+    for a, b in stretches:
+        a = 0 if not SEGMENT.search(text, 0, a) else a
+        runs = ((r[0], least) for kind, least in CLASSES for r in kind.finditer(text, a, b))
+        if any(not ALLOWED[1].fullmatch(r) and greatest_entropy(r) >= least for r, least in runs):
+            out.append((a, b))
+    return out
 
 
 def random_looking(text: str) -> bool:
-    """Whether a window of the text reaches the entropy of its character class and the allow-list doesn't cover it."""
-    return not allowed(text) and next(greatest_entropy(text) >= least for _, kind, least in CLASSES if kind.fullmatch(text))
+    """Whether a part of the text looks random."""
+    return bool(random_parts(text))
 
 
 class _Walk:
@@ -115,11 +148,11 @@ class _Candidate:
         k = bisect_right(self.runs, at, key=lambda r: r[0]) - 1
         return k >= 0 and self.runs[k][0] < at < self.runs[k][1]
 
-    def secret(self, start: int, end: int) -> bool:
+    def secrets(self, start: int, end: int) -> list[tuple[int, int]]:
         piece = self.text[start:end]
         if end - start >= WINDOW:
-            return random_looking(piece)
-        return not allowed(piece) and (self._over(start) or self._over(end))
+            return [(start + a, start + b) for a, b in random_parts(piece)]
+        return [(start, end)] if not allowed(piece) and (self._over(start) or self._over(end)) else []
 
 
 def find(text: str) -> list[Span]:
@@ -133,7 +166,7 @@ def find(text: str) -> list[Span]:
     walk = _Walk(spans)
     for m in CANDIDATE.finditer(text):
         candidate = _Candidate(text, *m.span())
-        spans += [("entropy", s, e) for s, e in walk.rest(*m.span()) if candidate.secret(s, e)]
+        spans += [("entropy", a, b) for s, e in walk.rest(*m.span()) for a, b in candidate.secrets(s, e)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
