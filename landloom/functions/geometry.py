@@ -73,8 +73,11 @@ def bbox(g: Column) -> Column:
 
 
 def with_bbox(df, geom: str = "geom"):
-    b = bbox(F.col(geom))
-    return df.withColumns({n: b[n] for n in ("xmin", "ymin", "xmax", "ymax")})
+    """``df`` with columns xmin to ymax; null for null and empty geometries. The box is computed once a row."""
+    v = f"flatten(flatten({geom}.parts))"
+    ends = ", ".join(f"'{c}{end}', array_{end}(transform(v, p -> p.{c}))" for end in ("min", "max") for c in ("x", "y"))
+    rows = df.withColumn("_box", F.expr(f"transform(array({v}), v -> if(size(v) > 0, named_struct({ends}), null))[0]"))
+    return rows.select(*df.columns, *[F.col(f"_box.{n}").alias(n) for n in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def _pairs(ring: Column, make_pair) -> Column:

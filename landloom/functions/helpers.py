@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import hypot
-
 import numpy as np
 
 Ring = list[tuple[float, float]]
@@ -68,15 +66,3 @@ def hull(points: Ring) -> Ring:
         return out[:-1]
 
     return chain(pts) + chain(pts[::-1])
-
-
-def greedy(old: list[tuple], new: list[tuple], tolerance: float) -> list[tuple]:
-    """In order of old (id, x, y) the nearest unused new one within the tolerance; of equal distances the smaller id."""
-    used, out = set(), []
-    for i, x, y in sorted(old):
-        near = [(hypot(x - u, y - v), j) for j, u, v in new if j not in used and hypot(x - u, y - v) <= tolerance]
-        if near:
-            j = min(near)[1]
-            used.add(j)
-            out.append((i, j))
-    return out

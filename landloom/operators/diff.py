@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from landloom.functions import geometry as g, helpers
-from landloom.operators.components import connected_components
+from landloom.functions import geometry as g
 from landloom.operators.rules import last_wins
 from landloom.operators.spatial import _neighbour_cells, cell
 from landloom.session import cut
@@ -45,24 +43,21 @@ def removed(matched: DataFrame) -> DataFrame:
 def match_by_proximity(old: DataFrame, new: DataFrame, metres: float) -> DataFrame:
     """(old_fid, new_fid): in order of old fid the nearest unused new centroid within the tolerance, ties to the smaller new fid.
 
-    Pairs within the tolerance come from an equi-join on cells of its size. Greedy choices never reach out of a connected component of those pairs, so each
-    component is matched by itself. Null and empty geometries match nothing.
+    Pairs within the tolerance come from an equi-join on cells of its size. In rounds every old one asks for its nearest new one, and each new one keeps the smallest fid that asks: whoever has a greater fid never gets it,
+    as what it keeps only gets smaller, so those pairs go. When no two ask for the same, all have what the order of fids would have given them: it is the one matching in which no pair would both rather have each
+    other. Each round is two sums by key and a join, whatever hangs together; chains are settled at once where neighbours want different ones. Null and empty geometries match nothing.
     """
     tol = metres / METRES
     side = lambda df: df.select("fid", g.centroid(F.col("geom")).alias("c")).select("fid", F.col("c.x").alias("x"), F.col("c.y").alias("y")).where("x is not null")
-    o, n = cut(side(old)), cut(side(new))
-    right = n.select(F.col("fid").alias("nf"), F.col("x").alias("nx"), F.col("y").alias("ny"), cell(F.col("x"), tol).alias("cx"), cell(F.col("y"), tol).alias("cy"))
-    dist = F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
-    pairs = cut(_neighbour_cells(o, tol).join(right, ["cx", "cy"]).where(dist <= tol).select(F.col("fid").alias("of"), "x", "y", "nf", "nx", "ny"))
-    groups = connected_components(pairs.select((F.col("of") * 2).alias("a"), (F.col("nf") * 2 + 1).alias("b")))
-    tagged = pairs.join(groups.select((F.col("node") / 2).cast("long").alias("of"), "component").where("node % 2 = 0"), "of")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        olds = list(rows[["of", "x", "y"]].drop_duplicates().itertuples(index=False, name=None))
-        news = list(rows[["nf", "nx", "ny"]].drop_duplicates().itertuples(index=False, name=None))
-        return pd.DataFrame(helpers.greedy(olds, news, tol), columns=["old_fid", "new_fid"])
-
-    return tagged.groupBy("component").applyInPandas(match, "old_fid long, new_fid long")
+    right = side(new).select(F.col("fid").alias("nf"), F.col("x").alias("nx"), F.col("y").alias("ny"), cell(F.col("x"), tol).alias("cx"), cell(F.col("y"), tol).alias("cy"))
+    dist = F.expr("sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny))")
+    pairs = cut(_neighbour_cells(side(old), tol).join(right, ["cx", "cy"]).select(F.col("fid").alias("of"), "nf", dist.alias("d")).where(F.col("d") <= tol))
+    while True:
+        asked = cut(pairs.groupBy("of").agg(F.min(F.struct("d", "nf")).alias("best")).select("of", F.col("best.nf").alias("nf")))
+        kept = cut(asked.groupBy("nf").agg(F.min("of").alias("keeps")))
+        if asked.count() == kept.count():
+            return asked.select(F.col("of").alias("old_fid"), F.col("nf").alias("new_fid"))
+        pairs = cut(pairs.join(kept, "nf", "left").where("keeps is null or of <= keeps").drop("keeps"))
 
 
 def area_change(old: Column, new: Column) -> Column:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from landloom.functions import geometry as g, helpers
-from landloom.operators import spatial as sp
+from landloom.operators import spatial as sp, stats as st
 from landloom.operators.components import connected_components
 from landloom.session import cut
 
@@ -27,8 +29,15 @@ def to_metres(points: DataFrame, srid: int | None = None) -> tuple[DataFrame, in
 
 
 def nn_summary(nearest: DataFrame) -> DataFrame:
-    """One row: mean, median and population std of nearest distances."""
-    return nearest.agg(F.avg("dist").alias("mean"), F.median("dist").alias("median"), F.stddev_pop("dist").alias("std"))
+    """One row: mean, median and population std of nearest distances. The median is found by ranks (``stats.values_at``), so that no task holds all distances; without distances all are null."""
+    known = nearest.where("dist is not null")
+    values = cut(known.groupBy(F.lit("dist").alias("column"), F.col("dist").alias("value")).agg(F.count("*").alias("c")))
+    one = values.agg(F.sum("c").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    middle = None
+    if one.n:
+        at = st.values_at(values, {"dist": (one.lo, one.hi, {"m1": (one.n - 1) // 2, "m2": one.n // 2})})
+        middle = (at["dist", "m1"] + at["dist", "m2"]) / 2
+    return known.agg(F.avg("dist").alias("mean"), F.lit(middle).cast("double").alias("median"), F.stddev_pop("dist").alias("std"))
 
 
 def clark_evans(points: DataFrame, nearest: DataFrame) -> DataFrame:
@@ -135,25 +144,53 @@ def _numbered(roots: DataFrame) -> DataFrame:
     return ranged.withColumn("own", own).join(F.broadcast(before), "p").select("root", (F.col("before") + F.col("own") - 1).alias("cluster_id"))
 
 
-def cluster_summary(points: DataFrame, labels: DataFrame, srid: int) -> DataFrame:
-    """(cluster_id, n, lng, lat, hull_sqkm) of points in metres; noise is left out; hulls of fewer than three points have area 0.
+#: Points of a cluster that a task holds before it draws their hull, and hulls that are merged at once.
+HELD, FAN = 8192, 64
+
+
+def hulls(points: DataFrame) -> DataFrame:
+    """(cluster_id, x, y): the corners of each cluster's convex hull.
 
-    Each task first cuts its points down to hulls of small groups, so a large cluster's last hull is drawn around few points.
+    Each task draws hulls of what it reads before anything moves, so a cluster moves as a few corners a task; these are merged in groups of FAN tasks, then the groups'. So no task holds a cluster.
     """
-    joined = points.join(labels.where("cluster_id >= 0"), "fid")
-    mean = joined.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
 
-    def corners(rows: pd.DataFrame) -> pd.DataFrame:
-        h = helpers.hull(list(zip(rows["x"], rows["y"])))
-        return pd.DataFrame({"cluster_id": rows["cluster_id"].iloc[0], "x": [p[0] for p in h], "y": [p[1] for p in h]})
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+        for b in batches:
+            ids, xy = b.column(0).to_numpy(), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)
+            order = np.argsort(ids, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1) if len(ids) else []:
+                k = int(ids[part[0]])
+                held.setdefault(k, []).append(xy[part])
+                size[k] = size.get(k, 0) + len(part)
+                if size[k] > HELD:
+                    held[k] = [np.array(helpers.hull(list(map(tuple, np.concatenate(held[k])))))]
+                    size[k] = len(held[k][0])
+        node = TaskContext.get().partitionId()
+        for k, parts in held.items():
+            h = np.array(helpers.hull(list(map(tuple, np.concatenate(parts)))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(np.full(len(h), node)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["cluster_id", "node", "x", "y"])
+
+    def merged(t: pa.Table) -> pa.Table:
+        h = helpers.hull(list(zip(t.column("x").to_pylist(), t.column("y").to_pylist())))
+        return pa.table({"cluster_id": [t.column("cluster_id")[0].as_py()] * len(h), "node": [t.column("node")[0].as_py()] * len(h), "x": [p[0] for p in h], "y": [p[1] for p in h]})
+
+    schema = "cluster_id long, node long, x double, y double"
+    level = points.select("cluster_id", "x", "y").mapInArrow(drawn, schema)
+    level = level.withColumn("node", F.expr(f"node div {FAN}")).groupBy("cluster_id", "node").applyInArrow(merged, schema)
+    return level.withColumn("node", F.lit(0).cast("long")).groupBy("cluster_id", "node").applyInArrow(merged, schema).drop("node")
 
-    part = joined.select("cluster_id", "x", "y", F.pmod(F.xxhash64("fid"), F.lit(32)).alias("s"))
-    outer = part.groupBy("cluster_id", "s").applyInPandas(corners, "cluster_id long, x double, y double")
 
-    def hull_area(rows: pd.DataFrame) -> pd.DataFrame:
-        h = helpers.hull(list(zip(rows["x"], rows["y"])))
-        return pd.DataFrame({"cluster_id": [rows["cluster_id"].iloc[0]], "hull_sqkm": [abs(helpers.signed_area(h)) / 1e6]})
+def cluster_summary(points: DataFrame, labels: DataFrame, srid: int) -> DataFrame:
+    """(cluster_id, n, lng, lat, hull_sqkm) of points in metres; noise is left out; hulls of fewer than three points have area 0."""
+    joined = points.join(labels.where("cluster_id >= 0"), "fid")
+    mean = joined.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+
+    def area(rows: pa.Table) -> pa.Table:
+        h = helpers.hull(list(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist())))
+        return pa.table({"cluster_id": rows.column("cluster_id")[:1], "hull_sqkm": [abs(helpers.signed_area(h)) / 1e6]})
 
-    areas = outer.groupBy("cluster_id").applyInPandas(hull_area, "cluster_id long, hull_sqkm double")
+    areas = hulls(joined).groupBy("cluster_id").applyInArrow(area, "cluster_id long, hull_sqkm double")  # corners of one hull
     back = g.from_utm(F.col("mx"), F.col("my"), srid)
     return mean.join(areas, "cluster_id").select("cluster_id", "n", back["x"].alias("lng"), back["y"].alias("lat"), "hull_sqkm")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landloom.functions import geometry as g
 
@@ -217,11 +217,35 @@ def density_grid(points: DataFrame, size: float) -> DataFrame:
     return points.groupBy(cell(F.col("x"), size).alias("cell_x"), cell(F.col("y"), size).alias("cell_y")).agg(F.count("*").alias("n"))
 
 
-def collect_geometry(df: DataFrame, by: str) -> DataFrame:
-    """(by, n, geom): the parts of each group's geometries in one multi-geometry, not dissolved; in order of fid."""
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fid", F.col("geom.parts").alias("parts")))), lambda s: s["parts"]))
+#: Bits of each coordinate along the curve, and of a place's number that its stretch of the curve has.
+CURVE, STRETCH = 16, 20
+
+
+def along_curve(x: str, y: str, x0: float, y0: float, span: float) -> Column:
+    """A place's number along a curve that fills a square (bits of x and y in turn), so that near numbers are near places."""
+    spread = lambda v: f"(((({v} | shiftleft({v}, 8)) & 16711935) | shiftleft(({v} | shiftleft({v}, 8)) & 16711935, 4)) & 252645135)"
+    cell_ = lambda v, low: f"cast(greatest(0, least({(1 << CURVE) - 1}, floor(({v} - {low!r}D) / {span!r}D * {1 << CURVE}))) as bigint)"
+    wide = lambda v: f"transform(array({v}), v -> transform(array({spread('v')}), u -> transform(array((u | shiftleft(u, 2)) & 858993459), w -> (w | shiftleft(w, 1)) & 1431655765)[0])[0])[0]"
+    return F.expr(f"{wide(cell_(x, x0))} | shiftleft({wide(cell_(y, y0))}, 1)")
+
+
+def collect_geometry(df: DataFrame, by: str, most: int = 100_000) -> DataFrame:
+    """(by, part, n, geom): the geometries of each group in multi-geometries of some ``most`` vertices each, not dissolved; null geometries are left out.
+
+    A group's features are numbered along a space-filling curve, so that a part is a neighbourhood, by running counts of their vertices: a part has ``most`` at most, a feature that has more by itself being a part of its own
+    with what shares its number. Counts run over stretches of the curve first, then inside each stretch, so no task sees a group.
+    """
+    rows = g.with_bbox(df.where(F.col("geom").isNotNull()).select(by, "fid", "geom")).withColumn("v", F.expr("greatest(1, size(flatten(flatten(geom.parts))))"))
+    ends = rows.agg(F.min("xmin"), F.max("xmax"), F.min("ymin"), F.max("ymax")).first()
+    x0, y0, span = (ends[0], ends[2], max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)) if ends[0] is not None else (0.0, 0.0, 1.0)
+    placed = rows.withColumn("z", F.coalesce(along_curve("(xmin + xmax) / 2", "(ymin + ymax) / 2", x0, y0, span), F.lit(0))).withColumn("s", F.shiftright("z", 2 * CURVE - STRETCH))
+    stretches = placed.groupBy(by, "s").agg(F.sum("v").alias("sum"))
+    before = stretches.select(by, "s", F.coalesce(F.sum("sum").over(Window.partitionBy(by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 2 ** STRETCH rows of a group at most
+    own = F.sum("v").over(Window.partitionBy(by, "s").orderBy("z", "fid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = placed.withColumn("own", own).join(before, [by, "s"]).withColumn("part", F.floor((F.col("before") + F.col("own") - 1) / most))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("z", "fid", F.col("geom.parts").alias("parts")))), lambda s: s["parts"]))
     kind = F.concat(F.lit("Multi"), F.regexp_replace(F.min("geom.type"), "^Multi", ""))
-    return df.where(F.col("geom").isNotNull()).groupBy(by).agg(F.count("*").alias("n"), g.make(kind, parts).alias("geom"))
+    return numbered.groupBy(by, "part").agg(F.count("*").alias("n"), g.make(kind, parts).alias("geom"))
 
 
 def density_count(candidates: DataFrame, layer: DataFrame, radius_deg: float) -> DataFrame:

@@ -26,6 +26,21 @@ def _boxes(s: SparkSession, d: str, name: str = "parcels_old") -> DataFrame:
     return t.withColumn("geom", g.box(t.x0, t.y0, t.x1, t.y1))
 
 
+def _us(s: SparkSession, d: str) -> DataFrame:
+    """Parcels as U shapes: a base of a third of the height, and a leg of a third of the width on each side; each fourth with a small hole in the base."""
+    t = fx.table(s, d, "parcels_old").withColumns({"w3": F.expr("(x1 - x0) / 3"), "h3": F.expr("(y1 - y0) / 3")})
+    ring = lambda *at: F.array(*[g.vertex(F.expr(x), F.expr(y)) for x, y in at])
+    outer = ring(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x1 - w3", "y1"), ("x1 - w3", "y0 + h3"), ("x0 + w3", "y0 + h3"), ("x0 + w3", "y1"), ("x0", "y1"), ("x0", "y0"))
+    hole = ring(("x0 + w3", "y0 + h3 / 3"), ("x0 + w3", "y0 + 2 * h3 / 3"), ("x1 - w3", "y0 + 2 * h3 / 3"), ("x1 - w3", "y0 + h3 / 3"), ("x0 + w3", "y0 + h3 / 3"))
+    return t.withColumn("geom", g.make("Polygon", F.array(F.when(t.fid % 4 == 0, F.array(outer, hole)).otherwise(F.array(outer)))))
+
+
+#: The rectangles of the U shapes, with sign, so that sums over them are sums over the shapes.
+US = """r AS (SELECT fid, 'base' AS part, 1 AS sign, x0 AS a, y0 AS b, x1 AS c, y0 + (y1 - y0) / 3 AS e FROM parcels_old
+  UNION ALL SELECT fid, 'left', 1, x0, y0 + (y1 - y0) / 3, x0 + (x1 - x0) / 3, y1 FROM parcels_old UNION ALL SELECT fid, 'right', 1, x1 - (x1 - x0) / 3, y0 + (y1 - y0) / 3, x1, y1 FROM parcels_old
+  UNION ALL SELECT fid, 'hole', -1, x0 + (x1 - x0) / 3, y0 + (y1 - y0) / 9, x1 - (x1 - x0) / 3, y0 + 2 * (y1 - y0) / 9 FROM parcels_old WHERE fid % 4 = 0)"""
+
+
 def _odd(s: SparkSession, d: str) -> DataFrame:
     """Parcels with a fault for each remainder of 8: none, bow-tie, open ring, short ring, out of range, empty, null, hole."""
     t = fx.table(s, d, "odd")
@@ -111,6 +126,21 @@ def p05_clip_box(s, d):
     return t.where("cut is not null").select("fid", _r(g.area(F.col("cut")), 12).alias("area")).where("area > 0")
 
 
+#: A box whose edges cut legs, bases and holes of the shapes.
+_CUT = (36.2031, 33.1027, 36.4152, 33.2065)
+
+
+@query(f"""{fx.duck('parcels_old')}, {US}, k AS (SELECT *, sign * greatest(0, least(c, {_CUT[2]}e0) - greatest(a, {_CUT[0]}e0)) * greatest(0, least(e, {_CUT[3]}e0) - greatest(b, {_CUT[1]}e0)) AS m FROM r),
+  h AS (SELECT fid, a > {_CUT[0]}e0 AND c < {_CUT[2]}e0 AND b > {_CUT[1]}e0 AND e < {_CUT[3]}e0 AS kept, a > {_CUT[0]}e0 AND c < {_CUT[2]}e0 AND b < {_CUT[1]}e0 AND e > {_CUT[1]}e0 AS below FROM r WHERE part = 'hole')
+  SELECT k.fid, round(sum(m), 12) AS area, CAST(CASE WHEN sum(CASE WHEN part = 'base' THEN m END) > 0 THEN 1 ELSE count(*) FILTER (WHERE part IN ('left', 'right') AND m > 0) END AS INTEGER) AS parts,
+  CAST(count(*) FILTER (WHERE part = 'hole' AND kept) AS INTEGER) AS holes, CAST(0 AS INTEGER) AS faults FROM k LEFT JOIN h ON h.fid = k.fid GROUP BY k.fid HAVING sum(m) > 0""")
+def p05_clip_of_shapes(s, d):
+    """Concave and holed shapes cut by a box: area, number of parts and of holes, and faults of the geometry."""
+    t = _us(s, d).withColumn("cut", g.clip_box(F.col("geom"), *_CUT)).where("cut is not null")
+    holes = F.aggregate(F.transform("cut.parts", lambda p: F.size(p) - 1), F.lit(0), lambda a, n: a + n)
+    return t.select("fid", _r(g.area(F.col("cut")), 12).alias("area"), g.num_geometries(F.col("cut")).alias("parts"), holes.alias("holes"), F.size(g.geometry_flags(F.col("cut"))).alias("faults"))
+
+
 @query(f"{fx.duck('parcels_old')} SELECT fid, x0 AS geom_attr, y0 AS GEOG_attr, x1 AS geom_attr_ FROM parcels_old")
 def p06_disambiguate_props(s, d):
     t = fx.table(s, d, "parcels_old").select("fid", F.col("x0").alias("geom_attr"), F.col("y0").alias("GEOG"), F.col("x1").alias("geom"))

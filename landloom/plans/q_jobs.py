@@ -83,6 +83,20 @@ def s04_read_kml(s, d):
     return rd.read_kml(s, path).select("name", F.col("geom.type").alias("kind"), g.npoints(F.col("geom")).alias("points"), _r(g.area(F.col("geom")), 8).alias("area"))
 
 
+@query(f"{fx.duck('parcels_old')} SELECT parcel_id AS name, CASE fid % 3 WHEN 0 THEN 'MultiPolygon' WHEN 1 THEN 'MultiPoint' END AS kind, CAST(CASE fid % 3 WHEN 0 THEN 10 WHEN 1 THEN 2 END AS INTEGER) AS points, CASE fid % 3 WHEN 2 THEN 'a collection of several kinds' END AS reason FROM parcels_old")
+def s04_read_kml_collections(s, d):
+    """Placemarks with collections: of polygons, one of them nested, of points, and of several kinds."""
+    at = lambda x, y: f"format_string('%.9f,%.9f', {x}, {y})"
+    ring = lambda x: f"concat('<Polygon><outerBoundaryIs><LinearRing><coordinates>', concat_ws(' ', {at(x, 'y0')}, {at('x1', 'y0')}, {at('x1', 'y1')}, {at(x, 'y1')}, {at(x, 'y0')}), '</coordinates></LinearRing></outerBoundaryIs></Polygon>')"
+    point = lambda x: f"concat('<Point><coordinates>', {at(x, 'y0')}, '</coordinates></Point>')"
+    body = f"CASE fid % 3 WHEN 0 THEN concat({ring('x0')}, '<MultiGeometry>', {ring('(x0 + x1) / 2')}, '</MultiGeometry>') WHEN 1 THEN concat({point('x0')}, {point('x1')}) ELSE concat({point('x0')}, {ring('x0')}) END"
+    path = scratch_path(s, "kml")
+    marks = fx.table(s, d, "parcels_old").select(F.floor(F.col("fid") / 100).alias("grp"), F.concat(F.lit("<Placemark><name>"), "parcel_id", F.lit("</name><MultiGeometry>"), F.expr(body), F.lit("</MultiGeometry></Placemark>")).alias("m"))
+    files = marks.groupBy("grp").agg(F.concat(F.lit("<kml><Document>"), F.array_join(F.collect_list("m"), "\n"), F.lit("</Document></kml>")).alias("value"))
+    files.write.partitionBy("grp").text(path)
+    return rd.read_kml(s, path).select("name", F.col("geom.type").alias("kind"), g.npoints(F.col("geom")).alias("points"), "reason")
+
+
 @query(f"{fx.duck('town_years')} SELECT 'demographics' AS section, count(*) AS n FROM town_years UNION ALL SELECT 'land', count(DISTINCT jurisdiction) FROM (SELECT 'town-' || CAST(p_partkey % 5 AS VARCHAR) AS jurisdiction FROM part) AS t")
 def s07_read_town_data(s, d):
     path = scratch_path(s, "towns")

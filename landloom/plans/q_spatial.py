@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from landloom import fixtures as fx
 from landloom.functions import geometry as g
 from landloom.operators import sites as si, spatial as sp, stats as st
-from landloom.plans.q_functions import _boxes, _odd
+from landloom.plans.q_functions import US, _boxes, _odd, _us
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,26 @@ def j04_dwithin(s, d):
     return sp.dwithin(fx.table(s, d, "facilities"), 36.5, 33.5, 40000, 20).select("fid", _r(F.col("metres"), 3).alias("metres"))
 
 
+_FAR = "CASE WHEN x + 143.5e0 > 180 THEN x + 143.5e0 - 360 ELSE x + 143.5e0 END"
+
+
+@query(f"""{fx.duck('facilities')}, f AS (SELECT fid, {_FAR} AS x, y FROM facilities), t AS (SELECT fid, 2 * 6371008.8e0 * asin(sqrt(pow(sin(radians(33.5e0 - y) / 2), 2) + cos(radians(y)) * cos(radians(33.5e0)) * pow(sin(radians(179.998e0 - x) / 2), 2))) AS m FROM f)
+  SELECT fid, round(m, 3) AS metres FROM t WHERE m <= 40000 ORDER BY m, fid LIMIT 20""")
+def j04_dwithin_over_the_180th_meridian(s, d):
+    """The facilities moved so that the 180th meridian goes through them."""
+    moved = fx.table(s, d, "facilities").select("fid", F.expr(_FAR.replace("e0", "D")).alias("x"), "y")
+    return sp.dwithin(moved, 179.998, 33.5, 40000, 20).select("fid", _r(F.col("metres"), 3).alias("metres"))
+
+
+@query(f"""{fx.duck('parcels_old', 'damage')}, {US}, p AS (SELECT r.fid, d.fid AS b, max(CASE WHEN sign > 0 THEN 1 END) AS met, sum(sign * greatest(0, least(r.c, d.x1) - greatest(r.a, d.x0)) * greatest(0, least(r.e, d.y1) - greatest(r.b, d.y0))) AS m
+    FROM r JOIN damage d ON r.a <= d.x1 AND r.c >= d.x0 AND r.b <= d.y1 AND r.e >= d.y0 GROUP BY r.fid, d.fid), s AS (SELECT fid, sum(sign * (c - a) * (e - b)) AS whole FROM r GROUP BY fid)
+  SELECT p.fid AS a_id, b AS b_id, round(m / whole, 8) AS share FROM p JOIN s ON s.fid = p.fid WHERE met = 1""")
+def j02_overlap_of_shapes(s, d):
+    """U shapes, some with a hole, and boxes: every pair that meets and what share of the shape the box covers."""
+    a, b = _us(s, d).select(F.col("fid").alias("a_id"), "geom"), _boxes(s, d, "damage").select(F.col("fid").alias("b_id"), "geom")
+    return sp.overlaps(a, b).select("a_id", "b_id", _r(F.col("overlap") / F.col("a_area"), 8).alias("share"))
+
+
 @query(f"{fx.duck('parcels_old', 'protected')} SELECT a.fid AS a_id, b.fid AS b_id FROM parcels_old a JOIN protected b ON {_MEET}")
 def j05_spatial_join_intersects(s, d):
     a, b = _boxes(s, d), _boxes(s, d, "protected")
@@ -89,8 +109,9 @@ def a28_density_grid(s, d):
 
 @query(f"{fx.duck('parcels_old')} SELECT jurisdiction, count(*) AS n, 'MultiPolygon' AS kind, round(sum((x1 - x0) * (y1 - y0)), 9) AS area FROM parcels_old GROUP BY jurisdiction")
 def a31_collect_geometry(s, d):
-    t = sp.collect_geometry(_boxes(s, d), "jurisdiction")
-    return t.select("jurisdiction", "n", F.col("geom.type").alias("kind"), _r(g.area(F.col("geom")), 9).alias("area"))
+    """In parts of some hundred vertices; what a group's parts hold together is compared."""
+    t = sp.collect_geometry(_boxes(s, d), "jurisdiction", 200)
+    return t.groupBy("jurisdiction").agg(F.sum("n").alias("n"), F.min("geom.type").alias("kind"), _r(F.sum(g.area(F.col("geom"))), 9).alias("area"))
 
 
 def _layered(s, d):

@@ -96,23 +96,43 @@ def read_csv_wkt(spark: SparkSession, path: str, col: str) -> DataFrame:
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """(name, geom, srid) of placemarks: points, lines and polygons; altitudes and styles are dropped, others have a null geom."""
+    """(name, geom, srid, reason) of placemarks: points, lines, polygons, and collections of one of these kinds, also nested ones; altitudes and styles are dropped.
+
+    What can't be read has a null geom and a reason: no geometry, or a collection of several kinds. Parts without places are left out.
+    """
     ring = "struct<LinearRing:struct<coordinates:string>>"
-    schema = f"name string, Point struct<coordinates:string>, LineString struct<coordinates:string>, Polygon struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"
+    point, area = "struct<coordinates:string>", f"struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"
+    several = f"Point array<{point}>, LineString array<{point}>, Polygon array<{area}>"
+    inner = f"struct<{several.replace(' array', ':array')}>"
+    schema = f"name string, {several}, MultiGeometry array<struct<{several.replace(' array', ':array')},MultiGeometry:array<{inner}>>>"
     rows = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
 
     def at(text: Column) -> Column:
         parts = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
         return F.transform(parts, lambda t: F.struct(F.split(t, ",")[0].cast("double").alias("x"), F.split(t, ",")[1].cast("double").alias("y")))
 
-    outer = at(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates"))
-    inner = F.transform(F.coalesce(F.col("Polygon.innerBoundaryIs"), F.array().cast(f"array<{ring}>")), lambda r: at(r["LinearRing"]["coordinates"]))
-    geom = (
-        F.when(F.col("Point").isNotNull(), make("Point", F.array(F.array(at(F.col("Point.coordinates"))))))
-        .when(F.col("LineString").isNotNull(), make("LineString", F.array(F.array(at(F.col("LineString.coordinates"))))))
-        .when(F.col("Polygon").isNotNull(), make("Polygon", F.array(F.concat(F.array(outer), inner))))
+    def all_of(kind: str, of: str) -> Column:
+        """The elements of a kind, at the top and in collections of collections."""
+        empty = F.array().cast(f"array<{of}>")
+        own = F.coalesce(F.col(kind), empty)
+        deep = F.coalesce(F.expr(f"flatten(transform(MultiGeometry, m -> concat(coalesce(m.{kind}, cast(array() as array<{of}>)), coalesce(flatten(transform(m.MultiGeometry, n -> coalesce(n.{kind}, cast(array() as array<{of}>)))), cast(array() as array<{of}>)))))"), empty)
+        return F.concat(own, deep)
+
+    rings = lambda p: F.concat(F.array(at(p["outerBoundaryIs"]["LinearRing"]["coordinates"])), F.transform(F.coalesce(p["innerBoundaryIs"], F.array().cast(f"array<{ring}>")), lambda r: at(r["LinearRing"]["coordinates"])))
+    filled = lambda parts: F.filter(parts, lambda part: F.coalesce(F.size(part[0]) > 0, F.lit(False)))
+    found = rows.select(
+        "name",
+        filled(F.transform(all_of("Point", point), lambda p: F.array(at(p["coordinates"])))).alias("p"),
+        filled(F.transform(all_of("LineString", point), lambda p: F.array(at(p["coordinates"])))).alias("l"),
+        filled(F.transform(all_of("Polygon", area), rings)).alias("a"),
     )
-    return rows.select("name", geom.alias("geom"), F.lit(4326).alias("srid"))
+    kinds = sum(((F.size(c) > 0).cast("int") for c in ("p", "l", "a")), F.lit(0))
+    geom = F.lit(None).cast(GEOM)
+    for c, kind in (("p", "Point"), ("l", "LineString"), ("a", "Polygon")):
+        named = F.when(F.size(c) > 1, f"Multi{kind}").otherwise(kind)
+        geom = F.when((kinds == 1) & (F.size(c) > 0), make(named, F.col(c))).otherwise(geom)
+    reason = F.when(kinds == 0, "no geometry").when(kinds > 1, "a collection of several kinds")
+    return found.select("name", geom.alias("geom"), F.lit(4326).alias("srid"), reason.alias("reason"))
 
 
 # Format names by extension.

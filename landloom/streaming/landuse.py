@@ -79,10 +79,10 @@ def violation_alerts(statuses: DataFrame, thresholds: dict[str, int], run: str)
 
 
 def alert_stream(drift: DataFrame, threshold: int, out: str, checkpoint: str) -> StreamingQuery:
-    """Alerts of each micro-batch: uses that more than ``threshold`` parcels changed to."""
+    """Alerts of each micro-batch: uses that more than ``threshold`` parcels changed to. A batch's alerts have a folder of their own (column epoch), which a batch that is run again overwrites, so each is there once."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         n = df.groupBy(F.col("observed_use").alias("status")).agg(F.count("*").alias("n")).where(F.col("n") > threshold)
-        n.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        n.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return drift.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -337,13 +337,11 @@ def test_lines_are_clipped_to_their_pieces(spark):
     assert [c.type for c in got if c] == ["MultiLineString", "LineString", "MultiLineString", "MultiPoint"]
 
 
-def test_hull_and_greedy_against_brute_force():
+def test_hull_against_brute_force():
     rnd = random.Random(2)
     pts = [(rnd.random(), rnd.random()) for _ in range(50)]
     ring = h.hull(pts)
     assert all(where(p, [ring]) >= 0 or min(abs(h._turn(a, b, p)) for a, b in zip(ring, ring[1:] + ring[:1])) < 1e-12 for p in pts)
-    assert h.greedy([(1, 0, 0), (2, 0.1, 0)], [(5, 0.1, 0), (6, 0, 0.05)], 0.2) == [(1, 6), (2, 5)]
-    assert h.greedy([(1, 0, 0)], [(9, 0.1, 0), (4, -0.1, 0)], 0.2) == [(1, 4)]
 
 
 def test_vincenty_known_line():

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landloom.functions import geometry as g
+from landloom.functions import geometry as g, helpers
 from landloom.operators import diff, land, patterns, rules, sites, spatial, stats
 from landloom.operators.components import connected_components
 from landloom.sources import readers, sinks
@@ -174,6 +174,77 @@ def test_proximity_matching_equals_greedy(spark):
     assert got == want
 
 
+def test_proximity_matching_of_a_crowd_equals_greedy(spark):
+    """Rivals for the same places, ties on a grid, and fids that don't follow the place."""
+    rnd = random.Random(9)
+    tol = 500 / diff.METRES
+    spot = lambda: (rnd.randrange(12) * tol / 3, rnd.randrange(12) * tol / 3)
+    o, n = ([(k, *spot()) for k in rnd.sample(range(1000), 90)] for _ in range(2))
+    used, want = set(), []
+    for i, x, y in sorted(o):
+        near = sorted((math.hypot(x - u, y - v), j) for j, u, v in n if j not in used and math.hypot(x - u, y - v) <= tol)
+        if near:
+            used.add(near[0][1])
+            want.append((i, near[0][1]))
+    points = lambda rows: spark.createDataFrame(rows, "fid long, x double, y double").select("fid", g.point(F.col("x"), F.col("y")).alias("geom"))
+    assert sorted(tuple(r) for r in diff.match_by_proximity(points(o), points(n), 500.0).collect()) == want and len(want) > 40
+    assert diff.match_by_proximity(points(o), points(n).limit(0), 500.0).count() == 0
+
+
+def test_proximity_matching_of_a_long_chain(spark):
+    """10^5 features, each within the tolerance of the next: one crowd, settled in a few rounds and without a group."""
+    old = spark.range(100_000).select(F.col("id").alias("fid"), g.point(F.col("id") * 0.001, F.lit(0.0)).alias("geom"))
+    new = spark.range(100_000).select(F.col("id").alias("fid"), g.point(F.col("id") * 0.001 + 0.0004, F.lit(0.0)).alias("geom"))
+    got = diff.match_by_proximity(old, new, 0.0015 * diff.METRES)
+    assert got.count() == 100_000 and got.where("old_fid <> new_fid").count() == 0
+
+
+def test_hull_of_a_large_cluster_moves_few_points(spark):
+    """A cluster of 10^6 points: tasks send their own hulls' corners only."""
+    points = spark.range(1_000_000, numPartitions=8).select(F.lit(7).cast("long").alias("cluster_id"), F.cos(F.rand(1) * 6.283185).alias("c"), F.rand(2).alias("r"), F.rand(3).alias("t"))
+    points = points.select("cluster_id", (F.col("r") * F.cos(F.col("t") * 6.283185) * 1000).alias("x"), (F.col("r") * F.sin(F.col("t") * 6.283185) * 500).alias("y"))
+    found = patterns.hulls(points)
+    plan = found._jdf.queryExecution().executedPlan()
+    corners = [(r.x, r.y) for r in found.collect()]
+    whole = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    assert len(corners) < 2000 and (min(x for x, _ in corners), max(x for x, _ in corners), min(y for _, y in corners), max(y for _, y in corners)) == tuple(whole)
+    moved = [int(x) for x in __import__("re").findall(r"shuffle records written: ([0-9,]+)", str(plan))]
+    assert all(n < 20_000 for n in moved)
+    area = abs(helpers.signed_area(helpers.hull(corners)))
+    assert 0.98 * math.pi * 500_000 < area <= math.pi * 500_000
+
+
+def test_collections_have_bounded_parts(spark):
+    rows = [(k, "a" if k % 3 else "b", float(k % 100), float(k // 100)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "fid long, t string, x double, y double").select("fid", "t", g.box(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("geom"))
+    df = df.unionByName(spark.createDataFrame([(9000, "a", None)], f"fid long, t string, geom {g.GEOM}"))
+    parts = spatial.collect_geometry(df, "t", 60)
+    got = parts.select("t", "part", "n", g.npoints(F.col("geom")).alias("v"), g.area(F.col("geom")).alias("m")).collect()
+    assert max(r.v for r in got) <= 60 and {t: sum(r.n for r in got if r.t == t) for t in "ab"} == {"a": 2000, "b": 1000} and sum(r.m for r in got) == pytest.approx(3000)
+    assert len(got) < 3000 * 5 / 60 + 60
+    near = parts.select(((F.array_max(F.transform(g.vertices(F.col("geom")), lambda p: p["x"])) - F.array_min(F.transform(g.vertices(F.col("geom")), lambda p: p["x"])))).alias("w")).agg(F.avg("w")).first()[0]
+    assert near < 25  # parts are neighbourhoods: a twelfth of the features in a row would be as wide as the layer
+    assert spatial.collect_geometry(df.limit(0), "t").count() == 0
+
+
+def test_medians_of_distances(spark):
+    d = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, 3.0), (4, 9.0), (5, None)], "fid long, dist double")
+    assert tuple(patterns.nn_summary(d).first())[:2] == (4.5, 4.0) and tuple(patterns.nn_summary(d.limit(0)).first()) == (None, None, None)
+
+
+def test_alerts_of_a_batch_that_runs_again(spark, tmp_path):
+    """A batch that was written but not committed runs again after a restart: its alerts are there once."""
+    import shutil
+
+    kinds = "jurisdiction string, parcel_id string, event_id long, observed_use string"
+    spark.createDataFrame([("t", f"p{k}", k, "retail") for k in range(5)], kinds).write.parquet(str(tmp_path / "in"))
+    run = lambda: landuse.alert_stream(spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), 3, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run()
+    shutil.rmtree(tmp_path / "state" / "commits")  # as if the run had ended between write and commit
+    run()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("status", "n", "epoch").collect()] == [("retail", 5, 0)]
+
+
 def test_statistics_of_small_columns(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0), (3, None, 5.0), (4, 100.0, 5.0)], "fid long, a double, b double")
     got = {r.column: r for r in stats.numeric_stats(df, ["a", "b"]).collect()}
