@@ -460,6 +460,13 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int = 5, similarity
     return links.union(verified(proposed(live, tied, nodes, similarity, None), texts, width, similarity))
 
 
+def _with_digests(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, t) with the digest of the text's set of shingles."""
+    for b in _slices(batches):
+        digest = [xxhash.xxh3_128_digest(np.unique(shingle_hashes(t or b"", width)).tobytes()) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary())], ["id", "t", "digest"])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of texts that links of at least ``similarity`` tie, the row of its smallest doc_id.
 
@@ -480,11 +487,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             n, fp = pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), digest, n, fp], ["id", "digest", "n", "fp"])
 
-    rows = cut(texts.mapInArrow(each, "id long, digest binary, n int, fp binary"))
-    # Of equal sets of shingles one is a node; ids whose rows differ are tied by one of them.
-    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", "fp")).alias("r")).select("r.*").dropDuplicates(["id"]))
-    tied = connected_components(similar_links(nodes, texts, width, similarity))
-    heads = nodes.join(tied.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("stays"))
+    schema = "id long, digest binary, n int, fp binary"
+    rows = cut(texts.mapInArrow(each, schema))
+    # Of equal sets of shingles one is a node.
+    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", "fp")).alias("r")).select("digest", F.col("r.id").alias("doc"), "r.*"))
+    again = nodes.groupBy("doc").agg(F.count("*").alias("times")).where("times > 1").select("doc")
+    if again.take(1):  # an id that has several texts names none of them: their nodes get numbers out of their digests, under those of any document
+        number = (-F.pmod(F.xxhash64("digest"), F.lit(1 << 61)) - (1 << 61)).alias("id")
+        several = nodes.join(again, "doc", "left_semi")
+        ids = again.withColumnRenamed("doc", "id")
+        # Their texts are told apart by their digests, which are taken again for these alone.
+        theirs = texts.join(ids, "id", "left_semi").mapInArrow(lambda batches: _with_digests(batches, width), "id long, t binary, digest binary")
+        texts = texts.join(ids, "id", "left_anti").unionByName(theirs.select(number, "t").dropDuplicates(["id"]))
+        nodes = cut(nodes.join(again, "doc", "left_anti").select("doc", "id", "n", "fp").unionByName(several.select("doc", number, "n", "fp")))
+    tied = cut(connected_components(similar_links(nodes.select("id", "n", "fp"), texts, width, similarity)))
+    # Of each group the smallest doc_id stays.
+    grouped = nodes.join(tied.select(F.col("node").alias("id"), "component"), "id").groupBy("component").agg(F.min("doc").alias("id")).select("id")
+    alone = nodes.join(tied.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("doc").alias("id"))
+    heads = grouped.union(alone).distinct().withColumn("stays", F.lit(True))
     # Rows of ids that go, or that repeat, are judged; all others stay where they are.
     judged = cut(rows.groupBy("id").agg(F.count("*").alias("rows")).join(heads, "id", "left").where("stays is null or rows > 1").select("id", F.coalesce("stays", F.lit(False)).alias("stays")))
     out = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))

@@ -1,10 +1,10 @@
-"""Secrets behind names and paths, clean strings that only look random, and licence expressions in whole texts."""
+"""Secrets behind names and paths, clean strings that only look random, licence expressions in whole texts, and near copies among documents that share an id."""
 
 import random
 
 import pytest
 
-from landloom.llm import licenses, secrets
+from landloom.llm import licenses, secrets, simhash
 
 HEXES, LETTERS = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 WORDS = "docs guide chapter section forest river window account profile service handler manager report user request index static images button header footer release branch feature update install public assets module package number letter mountain garden summer winter history science kernel driver buffer stream".split()
@@ -73,3 +73,15 @@ def test_an_expression_decides_for_what_stands_in_it(text, score, labels):
 def test_base_places_in_expressions_stay():
     found = licenses.look(b"a SPDX-License-Identifier: MIT OR CC-BY-4.0")
     assert found.base == [(6, "cc-by")] and found.score == pytest.approx(0.9)
+
+
+def test_near_copies_of_texts_that_share_an_id(spark):
+    """Documents 1 (twice, with different texts), 2, a near copy of the second text, 3, of the first, and 4, of none: whatever the order, 2 and 3 go."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(60)) for _ in range(3)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, texts[0]), (1, texts[1]), (2, near(texts[1])), (3, near(texts[0])), (4, texts[2]), (2, near(texts[1])), (5, texts[1])]
+    for k in range(3):
+        rnd.shuffle(rows)
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 2 * k)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, texts[0]), (1, texts[1]), (4, texts[2])])
