@@ -248,6 +248,25 @@ def z03_layer_statistics(s, d):
     return t["numeric"].where("column in ('tax_value', 'area_sqm')").select("column", "count", "min", "max", _r("mean", 4).alias("mean"), _r("median", 4).alias("median"))
 
 
+@query(f"""{fx.duck('odd')}, t AS (SELECT * FROM odd WHERE fault NOT IN (5, 6)), m AS (SELECT count(*) AS n, min(y0) AS lo, max(y0) AS hi, avg(y0) AS mean, stddev_pop(y0) AS sd, list(y0 ORDER BY y0) AS l FROM t), b AS (SELECT CAST(unnest(range(20)) AS INTEGER) AS bin)
+  SELECT 'type' AS part, 'Polygon' AS what, CAST(count(*) AS DOUBLE) AS value FROM odd WHERE fault <> 6
+  UNION ALL SELECT 'quality', 'invalid', count(*) FILTER (WHERE fault IN (1, 2, 3)) FROM odd UNION ALL SELECT 'quality', 'empty', count(*) FILTER (WHERE fault IN (5, 6)) FROM odd
+  UNION ALL SELECT 'duplicates', 'copies', greatest(0, count(*) FILTER (WHERE fault = 5) - 1) FROM odd
+  UNION ALL SELECT 'y0', unnest(['count', 'min', 'max', 'mean', 'median', 'std', 'p5', 'p95', 'outliers']), round(unnest([n, lo, hi, mean, (l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2, sd, l[greatest(0, CAST(floor(n * 0.05e0) AS BIGINT) - 1) + 1], l[least(n - 1, CAST(floor(n * 0.95e0) AS BIGINT)) + 1], (SELECT count(*) FROM t WHERE sd > 0 AND abs(y0 - mean) > 3 * sd)]), 6) FROM m
+  UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), (SELECT count(*) FROM t WHERE CAST(least(19, floor((y0 - lo) / ((hi - lo) / 20))) AS INTEGER) = bin) FROM b, m
+  UNION ALL SELECT 'category', CAST(fault AS VARCHAR), count(*) FROM t GROUP BY fault""")
+def z03_layer_statistics_outputs(s, d):
+    """All six outputs of the job over shapes with faults, as rows of numbers."""
+    t = jobs.layer_statistics(_odd(s, d), ["y0"], ["fault"])
+    row = lambda df, part, what, value: df.select(F.lit(part).alias("part"), what.cast("string").alias("what"), value.cast("double").alias("value"))
+    fields = F.array(*[F.struct(F.lit(c).alias("k"), F.round(F.col(c).cast("double"), 6).alias("v")) for c in ("count", "min", "max", "mean", "median", "std", "p5", "p95", "outliers")])
+    numbers = t["numeric"].where("column = 'y0'").select(F.explode(fields).alias("f"))
+    quality = t["quality"].select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ("invalid", "empty")])).alias("f"))
+    outputs = [row(t["types"], "type", F.col("geometry_type"), F.col("n")), row(quality, "quality", F.col("f.k"), F.col("f.v")), row(t["duplicates"], "duplicates", F.lit("copies"), F.col("copies"))]
+    outputs += [row(numbers, "y0", F.col("f.k"), F.col("f.v")), row(t["histograms"].where("column = 'y0'"), "histogram", F.col("bin"), F.col("n")), row(t["categories"], "category", F.col("value"), F.col("n"))]
+    return st.union_all(outputs)
+
+
 @query(ql._HOT.format(m=f"{fx.duck('points')[5:]}, {utm_sql('m', 'points')}", eps=150, least=8) + "SELECT m.fid, coalesce(done.cluster_id, -1) AS cluster_id, round(m.x, 6) AS lng FROM m LEFT JOIN done ON m.fid = done.fid")
 def z04_point_patterns(s, d):
     """Labelled points, clustered in metres of their zone; summaries are compared in the plane by a18 to a21."""
@@ -266,6 +285,13 @@ def z06_score_sites(s, d):
     return si.score_sites(ql.site_candidates(s, d), ql.site_layers(s, d), load_site_rulesets(s), fx.table(s, d, "dem"))
 
 
+@query(f"{ql._AIRPORT}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score, no) AS nth FROM c) SELECT candidate_id, round(sum(score * w) / sum(w), 4) AS score, CASE WHEN sum(score * w) / sum(w) >= 70 THEN 'RECOMMENDED' WHEN sum(score * w) / sum(w) >= 50 THEN 'CONDITIONAL' ELSE 'NOT RECOMMENDED' END AS verdict, CAST(count(*) FILTER (WHERE nth <= 3 AND score < 60) AS INTEGER) AS advice FROM r GROUP BY candidate_id")
+def z06_score_sites_on_the_sphere(s, d):
+    """The whole job with lengths on the sphere; the airport's rows are compared."""
+    out = si.score_sites(ql.site_candidates(s, d), ql.site_layers(s, d), load_site_rulesets(s), fx.table(s, d, "dem"), sphere=True)
+    return out.where("ruleset = 'airport'").select("candidate_id", _r("score", 4).alias("score"), "verdict", F.size("recommendations").alias("advice"))
+
+
 @query(f"""{ql._DERIVED}{ql._RULES}, t AS (SELECT proposal_id, count(*) FILTER (WHERE NOT passed) AS violations, count(*) FILTER (WHERE passed) AS passes, CASE WHEN bool_and(passed) THEN 'COMPLIANT' ELSE 'NON-COMPLIANT' END AS verdict, coalesce(string_agg(text, '|' ORDER BY part, no) FILTER (WHERE NOT passed), '') AS advice FROM r GROUP BY proposal_id)
   SELECT t.*, 'permit-check-2024-01-01T00:00:00Z-' || p.parcel_id AS run_id FROM t JOIN proposals p ON p.proposal_id = t.proposal_id""")
 def z07_check_permits(s, d):
