@@ -8,7 +8,7 @@ Ring = list[tuple[float, float]]
 
 
 def vincenty(lng1: np.ndarray, lat1: np.ndarray, lng2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
-    """Metres on the WGS84 ellipsoid, all pairs at once; NaN where either place is missing or the iteration fails (near antipodes)."""
+    """Metres on the WGS84 ellipsoid, all pairs at once; NaN where a place is missing. Pairs for which the iteration fails, near antipodes, are solved by ``by_azimuth``."""
     a, f = 6378137.0, 1 / 298.257223563
     b = a * (1 - f)
     u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
@@ -33,7 +33,49 @@ def vincenty(lng1: np.ndarray, lat1: np.ndarray, lng2: np.ndarray, lat2: np.ndar
         big = 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768))
         small = k / 1024 * (256 + k * (k * (74 - 47 * k) - 128))
         delta = small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1) - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
-        return np.where(moved > 1e-9, np.nan, b * big * (sigma - delta))
+        out = np.where(moved > 1e-9, np.nan, b * big * (sigma - delta))
+    # An iteration that comes to rest beyond half a turn has found another line than the shortest.
+    lost = np.flatnonzero((np.isnan(out) | (np.abs(lam) > np.pi)) & ~np.isnan(lng1 + lat1 + lng2 + lat2))
+    if len(lost):
+        out[lost] = by_azimuth(lng1[lost], lat1[lost], lng2[lost], lat2[lost])
+    return out
+
+
+def by_azimuth(lng1: np.ndarray, lat1: np.ndarray, lng2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """The same lengths for any pairs, antipodes among them: the azimuth at the first place is bisected until the line comes to the second one's latitude at its longitude.
+
+    Longitudes grow with the azimuth where the first place is the one farther from the equator, taken as southern. Longitude and length are integrals along the auxiliary sphere of functions that hardly vary; 16 Gauss
+    nodes give all digits. Of two places on a meridian, half a turn apart, the way over the nearer pole counts.
+    """
+    a, f = 6378137.0, 1 / 298.257223563
+    u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
+    swap = np.abs(u1) < np.abs(u2)
+    u1, u2 = np.where(swap, u2, u1), np.where(swap, u1, u2)
+    u1, u2 = np.where(u1 > 0, -u1, u1), np.where(u1 > 0, -u2, u2)
+    u1 = np.minimum(u1, -1e-13)  # so that a line that leaves the equator knows its side
+    turn = np.abs((np.radians(lng2 - lng1) + np.pi) % (2 * np.pi) - np.pi)
+    s1, c1, s2, c2 = np.sin(u1), np.maximum(np.cos(u1), 1e-16), np.sin(u2), np.maximum(np.cos(u2), 1e-16)
+    node, weight = np.polynomial.legendre.leggauss(16)
+
+    def line(azimuth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longitude and length of the line that starts so, where it reaches the second latitude."""
+        sa, ca = np.sin(azimuth), np.cos(azimuth)
+        s0 = sa * c1
+        back = np.sqrt(np.maximum(ca * ca * c1 * c1 + (c2 - c1) * (c2 + c1), 0)) / c2
+        sigma1, sigma2 = np.arctan2(s1, ca * c1), np.arctan2(s2, back * c2)
+        omega = np.arctan2(s0 * s2, back * c2) - np.arctan2(s0 * s1, ca * c1)
+        k2 = f * (2 - f) / (1 - f) ** 2 * np.maximum(1 - s0 * s0, 0)
+        half = (sigma2 - sigma1) / 2
+        root = np.sqrt(1 + k2 * np.sin((sigma1 + sigma2) / 2 + half * node[:, None]) ** 2)
+        less = f * s0 * half * (weight[:, None] * (2 - f) / (1 + (1 - f) * root)).sum(axis=0)
+        return omega - less, a * (1 - f) * half * (weight[:, None] * root).sum(axis=0)
+
+    low, high = np.zeros(len(u1)), np.full(len(u1), np.pi)
+    for _ in range(60):
+        middle = (low + high) / 2
+        short = line(middle)[0] < turn
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return line((low + high) / 2)[1]
 
 
 def signed_area(ring: Ring) -> float:

@@ -344,6 +344,22 @@ def test_hull_against_brute_force():
     assert all(where(p, [ring]) >= 0 or min(abs(h._turn(a, b, p)) for a, b in zip(ring, ring[1:] + ring[:1])) < 1e-12 for p in pts)
 
 
+def test_geodesics_near_antipodes():
+    metres = lambda *p: float(h.vincenty(*(np.array([v], float) for v in p))[0])
+    # Half a meridian twice, the same with a turn, and lines between nearly antipodal places.
+    half = 20003931.4586
+    for line, want in (((0, 0, 180, 0), half), ((0, 90, 0, -90), half), ((10, 30, -170, -30), half), ((0, 0, 179.5, 0.5), 19936288.579), ((-75, 90, 20, 90), 0.0)):
+        assert abs(metres(*line) - want) < 1e-3, line
+    rnd = np.random.default_rng(4)
+    x, u = rnd.uniform(-180, 180, (2, 400))
+    y, v = rnd.uniform(-89, 89, (2, 400))
+    assert np.allclose(h.by_azimuth(x, y, u, v), h.vincenty(x, y, u, v), atol=2e-3, rtol=0)
+    # Lines to places around an antipode differ by no more than the places lie apart, whichever way they were found.
+    near = np.array([h.vincenty(np.zeros(50), np.full(50, 20.0), 180 + np.linspace(-1.2, 1.2, 50), np.full(50, -20.0 + d))for d in (0.0, 0.003)])
+    assert not np.isnan(near).any() and np.abs(np.diff(near, axis=1)).max() < 1.2 * 2 / 49 * 105_000 and np.abs(np.diff(near, axis=0)).max() < 340
+    assert math.isnan(metres(0, 0, float("nan"), 1))
+
+
 def test_vincenty_known_line():
     # one degree of the equator, and one of the meridian at the equator
     d = h.vincenty(*(np.array([v]) for v in (0.0, 0.0, 1.0, 0.0)))[0]
