@@ -95,28 +95,16 @@ def _linked_cells(cores: DataFrame, pairs: DataFrame, side: float, eps: float) -
     boxes = parted.groupBy("gx", "gy", "sx", "sy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"))
     lists = cut(boxes.groupBy("gx", "gy").agg(F.collect_list(F.struct("sx", "sy", "x0", "x1", "y0", "y1")).alias("l")))
     lined = pairs.join(lists.select("gx", "gy", F.col("l").alias("p")), ["gx", "gy"]).join(lists.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("l").alias("q")), ["hx", "hy"])
-    names = ["a", "b", "sure", "gx", "gy", "sx", "sy", "hx", "hy", "tx", "ty"]
-
-    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for node, to, gx, gy, hx, hy, p, q in zip(*(rows[c] for c in ("node", "to", "gx", "gy", "hx", "hy", "p", "q"))):
-                p, q = (np.array([tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in s], np.float64) for s in (p, q))
-                near, far = np.zeros((len(p), len(q))), np.zeros((len(p), len(q)))
-                for lo, hi in ((2, 3), (4, 5)):
-                    near += np.maximum(0, np.maximum(p[:, None, lo] - q[None, :, hi], q[None, :, lo] - p[:, None, hi])) ** 2
-                    far += np.maximum(p[:, None, hi] - q[None, :, lo], q[None, :, hi] - p[:, None, lo]) ** 2
-                if (far <= eps * eps).any():
-                    out.append((node, to, True, gx, gy, 0, 0, hx, hy, 0, 0))
-                else:
-                    out += [(node, to, False, gx, gy, int(p[i, 0]), int(p[i, 1]), hx, hy, int(q[j, 0]), int(q[j, 1])) for i, j in zip(*np.nonzero(near <= eps * eps))]
-            yield pd.DataFrame(out, columns=names)
-
-    found = cut(lined.select("node", "to", "gx", "gy", "hx", "hy", "p", "q").mapInPandas(tested, "a long, b long, sure boolean, gx long, gy long, sx int, sy int, hx long, hy long, tx int, ty int"))
+    far = "power(greatest(s.x1 - t.x0, t.x1 - s.x0), 2) + power(greatest(s.y1 - t.y0, t.y1 - s.y0), 2)"
+    near = "power(greatest(0D, s.x0 - t.x1, t.x0 - s.x1), 2) + power(greatest(0D, s.y0 - t.y1, t.y0 - s.y1), 2)"
+    within = f"{eps * eps!r}D"
+    told = lined.select(F.col("node").alias("a"), F.col("to").alias("b"), "gx", "gy", "hx", "hy", "p", "q", F.expr(f"exists(p, s -> exists(q, t -> {far} <= {within}))").alias("sure"))
+    open_ = f"flatten(transform(p, s -> transform(filter(q, t -> {near} <= {within}), t -> named_struct('sx', s.sx, 'sy', s.sy, 'tx', t.sx, 'ty', t.sy))))"
+    found = cut(told.select("a", "b", "sure", "gx", "gy", "hx", "hy", F.expr(f"if(sure, null, {open_})").alias("m")))
     at, other = ["gx", "gy", "sx", "sy"], ["hx", "hy", "tx", "ty"]
     sized = parted.join(boxes.select(*at, "n"), at)
     blocks = sized.withColumn("block", F.pmod(F.xxhash64("fid"), F.ceil(F.col("n") / BLOCK)).cast("int")).groupBy(*at, "block").agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    doubtful = found.where("not sure")
+    doubtful = found.where("not sure").select("a", "b", "gx", "gy", "hx", "hy", F.inline("m"))
     met = doubtful.join(blocks.drop("block"), at).join(blocks.select(*[F.col(c).alias(d) for c, d in zip(at, other)], F.col("p").alias("q")), other)
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
