@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str =
     """Learn from at most ``max_rows`` labelled documents, those whose hashed id is smallest, read whole.
 
     Ids with crc32(id as text) mod 5 = 0 are held out. Null ids, null labels and labels other than 0 and 1 teach nothing; of
-    labels that repeat for an id the smallest counts, and of rows of ``docs`` that repeat an id that of the smallest text. Only the sample's bucket counts reach the
-    driver, where the descent runs; an empty table, or one without labels, gives a model that scores every text 0.5.
+    labels that repeat for an id the smallest counts, and of rows of ``docs`` that repeat an id that of the smallest text. The descent runs in one task, over the sample's
+    bucket counts, and only its model reaches the driver; an empty table, or one without labels, gives a model that scores every text 0.5.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and crc32(cast(i as string)) % 5 <> 0")
     chosen = known.groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_rows)
@@ -140,10 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str =
                 shares.append((n / max(n.sum(), 1)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([i.cast(pa.string()), y, pa.array(out, pa.binary()), pa.array(shares, pa.binary())], ["i", "y", "ids", "share"])
 
-    sample = rows.select("i", "t", "y").mapInArrow(counted, "i string, y int, ids binary, share binary").toArrow().to_pydict()
-    order = sorted(range(len(sample["i"])), key=lambda k: (sample["i"][k], sample["ids"][k]))
-    taught = [(np.frombuffer(sample["ids"][k], np.uint16), np.frombuffer(sample["share"][k], np.float32)) for k in order]
-    return train(taught, np.array([sample["y"][k] for k in order], int))
+    def descend(sample: pa.Table) -> pa.Table:
+        sample = sample.combine_chunks().sort_by([("i", "ascending"), ("ids", "ascending")])
+        taught = [(np.frombuffer(ids.as_buffer(), np.uint16), np.frombuffer(share.as_buffer(), np.float32)) for ids, share in zip(sample.column("ids"), sample.column("share"))]
+        model = train(taught, sample.column("y").to_numpy().astype(int))
+        return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    sample = rows.select("i", "t", "y").mapInArrow(counted, "i string, y int, ids binary, share binary")
+    learned = sample.groupBy(F.lit(0)).applyInArrow(descend, "weight binary, bias double").first()  # one task sees the sample, the driver what it has learned
+    return Model(np.frombuffer(learned.weight, np.float32), learned.bias) if learned else train([], np.empty(0, int))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
