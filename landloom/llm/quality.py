@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str =
                 ids, n = np.unique(features([t])[0], return_counts=True)
                 out.append(ids.astype(np.uint16).tobytes())
                 shares.append((n / max(n.sum(), 1)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([i.cast(pa.string()), y, pa.array(out, pa.binary()), pa.array(shares, pa.binary())], ["i", "y", "ids", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int32()), i.cast(pa.string()), y, pa.array(out, pa.binary()), pa.array(shares, pa.binary())], ["all", "i", "y", "ids", "share"])
 
     def descend(sample: pa.Table) -> pa.Table:
         sample = sample.combine_chunks().sort_by([("i", "ascending"), ("ids", "ascending")])
@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str =
         model = train(taught, sample.column("y").to_numpy().astype(int))
         return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": [model.bias]})
 
-    sample = rows.select("i", "t", "y").mapInArrow(counted, "i string, y int, ids binary, share binary")
-    learned = sample.groupBy(F.lit(0)).applyInArrow(descend, "weight binary, bias double").first()  # one task sees the sample, the driver what it has learned
+    sample = rows.select("i", "t", "y").mapInArrow(counted, "all int, i string, y int, ids binary, share binary")
+    learned = sample.groupBy("all").applyInArrow(descend, "weight binary, bias double").first()  # one task sees the sample, the driver what it has learned
     return Model(np.frombuffer(learned.weight, np.float32), learned.bias) if learned else train([], np.empty(0, int))
 
 
