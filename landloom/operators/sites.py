@@ -81,22 +81,22 @@ DEGREE = (110500.0, 111700.0)
 SPHEROID, CLOSE = (0.9943, 1.0057), 32
 
 
-def side_tree(seg: DataFrame, x0: float, y0: float, span: float) -> tuple[list[DataFrame], DataFrame, int]:
+def side_tree(seg: DataFrame, x0: float, y0: float, span: float, most: int | None = None, depth: int = 0) -> tuple[list[DataFrame], DataFrame, int]:
     """A count quadtree of sides (layer_key, fid, ax to by, lone: the feature's only one): the nodes of each depth (layer_key, cx, cy, lone, leaf, box of their sides nx0 to ny1, an end of one of them sx, sy), and the
     sides with their leaf (depth, cx, cy); and the depth.
 
-    Cells are SPLIT times narrower at each depth; those with more than LEAF sides have children. So crowds have deep leaves and lonely sides shallow ones, and each side lies in one leaf.
+    Cells are SPLIT times narrower at each depth, the first one being that after ``depth``; those with more than ``most`` sides (LEAF) have children. So crowds have deep leaves and lonely sides shallow ones, and each side lies in one leaf.
     """
     middle = lambda a, b, low: ((F.col(a) + F.col(b)) / 2 - low) / span
     rest = seg.withColumns({"tx": middle("ax", "bx", x0), "ty": middle("ay", "by", y0)})
-    nodes, held, depth, key = [], [], 0, ["layer_key", "cx", "cy"]
+    nodes, held, key, most = [], [], ["layer_key", "cx", "cy"], LEAF if most is None else most
     while True:
         depth += 1
         at = rest.withColumns({"cx": F.floor(F.col("tx") * float(SPLIT**depth)).cast("long"), "cy": F.floor(F.col("ty") * float(SPLIT**depth)).cast("long")})
         ends = lambda f, of, axis: f(of(f"a{axis}", f"b{axis}"))
         box = {"nx0": ends(F.min, F.least, "x"), "ny0": ends(F.min, F.least, "y"), "nx1": ends(F.max, F.greatest, "x"), "ny1": ends(F.max, F.greatest, "y")}
         cells = at.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("ax", "ay")).alias("s"), F.min("lone").alias("lone"), *[v.alias(k) for k, v in box.items()])
-        cells = cut(cells.select(*key, "lone", ((F.col("n") <= LEAF) | F.lit(depth == DEEPEST)).alias("leaf"), *box, F.col("s.ax").alias("sx"), F.col("s.ay").alias("sy")))
+        cells = cut(cells.select(*key, "lone", ((F.col("n") <= most) | F.lit(depth == DEEPEST)).alias("leaf"), *box, F.col("s.ax").alias("sx"), F.col("s.ay").alias("sy")))
         nodes.append(cells)
         crowded = cells.where("not leaf").select(*key)
         if not crowded.take(1):
@@ -107,28 +107,61 @@ def side_tree(seg: DataFrame, x0: float, y0: float, span: float) -> tuple[list[D
     return nodes, reduce(DataFrame.unionByName, [h.drop("tx", "ty") for h in held]), depth
 
 
-def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sphere: bool = False) -> DataFrame:
-    """(candidate_id, layer_key, depth, cx, cy): the leaves whose sides can be a candidate's nearest.
+def _metres(sphere: bool) -> tuple[float, float, float]:
+    """Lengths as shares of those on the sphere of the mean radius, at least and at most; and metres that a degree has at most."""
+    return (1.0, 1.0, math.radians(1) * g.SPHERE * (1 + 1e-9)) if sphere else (*SPHEROID, DEGREE[1])
+
+
+def _arc(dy: str, cosines: str, dx: str) -> str:
+    return f"{2 * g.SPHERE!r}D * asin(sqrt(least(1D, greatest(0D, power(sin(radians({dy}) / 2), 2) + {cosines} * power(sin(radians({dx}) / 2), 2)))))"
+
+
+def _box_bounds(n: str, sphere: bool) -> dict[str, str]:
+    """Of a candidate's box (kx0 to ky1) and one of sides (n..x0 to n..y1): their gap in degrees, the least length between places of them, and the metres that a degree of the gap has at least.
+
+    Latitudes over 90 degrees, which lead down the other side, are places too: there cosines are under 0 and lengths get shorter again from 180 degrees on.
+    """
+    apart = lambda v: f"greatest(0D, {n}{v}0 - k{v}1, k{v}0 - {n}{v}1)"
+    across = lambda v: f"(greatest({n}{v}1, k{v}1) - least({n}{v}0, k{v}0))"
+    top = lambda p: f"greatest(abs({p}y0), abs({p}y1))"
+    farthest = lambda p: f"cos(radians(least(90D, {top(p)})))"
+    half = f"greatest(1e-9D, least({math.pi!r}D, radians(greatest({across('x')}, {across('y')})) / 2))"
+    turn = f"greatest(0D, least({apart('x')}, 360D - {across('x')}))"  # the longitudes between them, whichever way is shorter
+    rest = f"if({across('y')} > 180, {across('y')}, 0D)"
+    dy = f"if({rest} > 0 and abs(sin(radians({rest}) / 2)) < abs(sin(radians({apart('y')}) / 2)), {rest}, {apart('y')})"
+    over = f"greatest({top(n)}, {top('k')}) > 90"
+    return {
+        "gap": f"sqrt({apart('x')} * {apart('x')} + {apart('y')} * {apart('y')})",
+        "least": f"{_metres(sphere)[0]!r}D * {_arc(dy, f'if({over}, -1D, {farthest(n)} * {farthest("k")})', f'if({over}, least(180D, {across("x")}), {turn})')}",
+        "slope": f"{DEGREE[0]!r}D * least({farthest(n)}, {farthest('k')}) * sin({half}) / {half}",  # a chord is shorter than its arc
+    }
+
+
+def _most(x: str, y: str, sphere: bool, spots: bool) -> str:
+    """The most that the length from a candidate in the box to a feature with an end (x, y) can be. A point's length is at most that from the box's vertex and the box's diagonal; a shape's nearest
+    place in the plane is nowhere farther than its end, in degrees."""
+    _, high, degree = _metres(sphere)
+    wide = f"{degree!r}D * sqrt((kx1 - kx0) * (kx1 - kx0) + (ky1 - ky0) * (ky1 - ky0))"
+    far = f"{high!r}D * {_arc(f'vy - {y}', f'cos(radians(vy)) * cos(radians({y}))', f'vx - {x}')}" if spots else f"{degree!r}D * sqrt((vx - {x}) * (vx - {x}) + (vy - {y}) * (vy - {y}))"
+    return f"{far} + {wide}"
+
+
+def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sphere: bool = False, spots: bool = True) -> DataFrame:
+    """(candidate_id, layer_key, depth, cx, cy): the leaves whose sides can be a candidate's nearest, or, where the box is that of many candidates, the nearest of one of them; ``spots`` says that all features are points.
 
     A node's box bounds the length from a candidate (box kx0 to ky1, a vertex vx, vy) to all its sides from below, the end that it knows of that to its nearest from above. Down the tree, nodes go whose least
     possible length is over the least upper bound so far. Features of several sides count by their nearest place in the plane: of them no node goes that is as near, in the plane, as one that may count. ``layers`` are
     the pairs (candidate_id, layer_key) that are looked for. Where many leaves are left, as for a candidate far from a crowd, whose bounds on the ellipsoid are as wide as the crowd, its own length to the
     leaf's middle tells.
     """
-    apart = lambda n, v: f"greatest(0D, {n}n{v}0 - k{v}1, k{v}0 - {n}n{v}1)"
-    across = lambda n, v: f"(greatest({n}n{v}1, k{v}1) - least({n}n{v}0, k{v}0))"
-    low, high = (1.0, 1.0) if sphere else SPHEROID
 
     def measured(n: str = "") -> dict[str, str]:
-        farthest = lambda p: f"cos(radians(least(90D, greatest(abs({p}y0), abs({p}y1)))))"
-        half = f"greatest(1e-9D, least({math.pi!r}D, radians(greatest({across(n, 'x')}, {across(n, 'y')})) / 2))"
-        turn = f"greatest(0D, least({apart(n, 'x')}, 360D - {across(n, 'x')}))"  # the longitudes between them, whichever way is shorter
-        arc = lambda dy, c1, c2, dx: f"{2 * g.SPHERE!r}D * asin(sqrt(least(1D, power(sin(radians({dy}) / 2), 2) + {c1} * {c2} * power(sin(radians({dx}) / 2), 2))))"
+        bounds = _box_bounds(f"{n}n", sphere)
         return {
-            "gap": f"sqrt({apart(n, 'x')} * {apart(n, 'x')} + {apart(n, 'y')} * {apart(n, 'y')})",
-            "least": f"{low!r}D * {arc(apart(n, 'y'), farthest(n + 'n'), farthest('k'), turn)}",
-            "most": f"{high!r}D * {arc(f'vy - {n}sy', 'cos(radians(vy))', f'cos(radians({n}sy))', f'vx - {n}sx')}",
-            "slope": f"{DEGREE[0]!r}D * least({farthest(n + 'n')}, {farthest('k')}) * sin({half}) / {half}",  # metres of a degree of the gap at least; a chord is shorter than its arc
+            "gap": bounds["gap"],
+            "least": bounds["least"],
+            "most": _most(f"{n}sx", f"{n}sy", sphere, spots),
+            "slope": bounds["slope"],
             "mx": f"({n}nx0 + {n}nx1) / 2",
             "my": f"({n}ny0 + {n}ny1) / 2",
             "radius": f"{DEGREE[1]!r}D * sqrt(({n}nx1 - {n}nx0) * ({n}nx1 - {n}nx0) + ({n}ny1 - {n}ny0) * ({n}ny1 - {n}ny0)) / 2",
@@ -164,7 +197,7 @@ def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sp
     wide = f"{DEGREE[1]!r}D * sqrt(power(greatest(vx - kx0, kx1 - vx), 2) + power(greatest(vy - ky0, ky1 - vy), 2))"
     many = found.withColumn("n", F.count("*").over(each))
     exact = many.where(F.col("n") > CLOSE).withColumn("m", g.distance_geodesic(F.col("vx"), F.col("vy"), F.col("mx"), F.col("my"))).withColumn("wide", F.expr(wide))
-    exact = exact.withColumns({"least": F.expr("greatest(least, coalesce(m - radius - wide, 0D))"), "most": F.expr("least(most, coalesce(m + radius, most))")})
+    exact = exact.withColumns({"least": F.expr("greatest(least, coalesce(m - radius - wide, 0D))"), "most": F.expr("least(most, coalesce(m + radius + wide, most))") if spots else F.col("most")})
     return pruned(exact).unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select("candidate_id", "layer_key", *told[:3])
 
 
@@ -172,7 +205,8 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     """(candidate_id, layer_key, metres): of each layer the least distance of a candidate, a geometry of any type (candidate_id, geom) or a point (candidate_id, x, y), to a feature.
 
     For each feature the nearest places in the plane count, and the length between them on the ellipsoid (or the sphere); 0 where they meet or one lies in the other. The features' sides lie in a tree by their counts;
-    each candidate goes down it with bounds and meets the sides of the few leaves that can hold its nearest, so neither crowds nor empty stretches make many pairs. Layers without a geometry give no
+    candidates, in groups of neighbours, go down it with bounds and meet the sides of the few leaves that can hold the nearest of one of them; there each candidate's own bound is told first, and only
+    the sides within it are measured. So neither crowds nor empty stretches make many pairs, and a group moves once. Layers without a geometry give no
     row, and candidates without one neither.
     """
     feats = layer.where(F.col("layer_key").isin(keys)) if keys is not None else layer
@@ -188,23 +222,57 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
         return nothing
     span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
     nodes, sides, _ = side_tree(seg, ends[0], ends[2], span)
+    spots = not shapes.take(1)
     box = {"kx0": F.min(F.least("cax", "cbx")), "ky0": F.min(F.least("cay", "cby")), "kx1": F.max(F.greatest("cax", "cbx")), "ky1": F.max(F.greatest("cay", "cby"))}
-    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: candidates are dealt to all tasks whatever their size
-    places = cut(own.repartition(parts, "candidate_id").groupBy("candidate_id").agg(F.min(F.struct("cax", "cay")).alias("v"), *[e.alias(k) for k, e in box.items()]).select("candidate_id", *box, F.col("v.cax").alias("vx"), F.col("v.cay").alias("vy")))
-    rest = places.select("candidate_id").join(F.broadcast(seg.select("layer_key").distinct()))  # a row for each layer there is
+    v, cs = F.min(F.struct("cax", "cay")), F.collect_list(F.struct("cax", "cay", "cbx", "cby"))  # a candidate's own sides
+    points_only = "geom" not in candidates.columns or not candidates.where("geom.type <> 'Point'").take(1)  # their box is their only side
+    places = own.groupBy("candidate_id").agg(v.alias("v"), *([] if points_only else [cs.alias("cs")]), *[e.alias(k) for k, e in box.items()])
+    places = places.select("candidate_id", *box, F.col("v.cax").alias("vx"), F.col("v.cay").alias("vy"), *([] if points_only else ["cs"]))
     done: list[DataFrame] = []
     if feats.where(g.is_area(F.col("geom"))).take(1) or "geom" in candidates.columns and candidates.where(g.is_area(F.col("geom"))).take(1):
         done.append(cut(inside_pairs(candidates, feats).select("candidate_id", "layer_key", F.lit(0.0).alias("metres")).distinct()))
-        rest = rest.join(done[0], ["candidate_id", "layer_key"], "left_anti")
-    leaves = near_leaves(places, rest, nodes, sphere)
-    met = leaves.repartition(parts, "candidate_id").join(own.repartition(parts, "candidate_id"), "candidate_id")
-    near = met.join(sides, ["layer_key", "depth", "cx", "cy"])
-    each = near.groupBy("candidate_id", "layer_key", "fid").agg(F.min(side_gap()).alias("p"))
+    dealt = cut(_in_groups(places))
+    groups = dealt.groupBy("group").agg(*[f(c).alias(c) for f, c in ((F.min, "kx0"), (F.min, "ky0"), (F.max, "kx1"), (F.max, "ky1"))], F.min(F.struct("vx", "vy")).alias("v"))
+    groups = cut(groups.select(F.col("group").alias("candidate_id"), "kx0", "ky0", "kx1", "ky1", F.col("v.vx").alias("vx"), F.col("v.vy").alias("vy")))
+    names = seg.select("layer_key").distinct()  # a row for each layer there is
+    leaves = near_leaves(groups, groups.select("candidate_id").join(F.broadcast(names)), nodes, sphere, spots)
+    # A group meets the sides of its leaves by one key, of group and layer; all that follows stays where it is.
+    held = leaves.join(sides, ["layer_key", "depth", "cx", "cy"]).select(F.struct(F.col("candidate_id").alias("group"), "layer_key").alias("key"), "fid", "lone", "ax", "ay", "bx", "by")
+    asked = dealt.join(F.broadcast(names))
+    if done:
+        asked = asked.join(done[0].select("candidate_id", "layer_key"), ["candidate_id", "layer_key"], "left_anti")
+    asked = asked.select(F.struct("group", "layer_key").alias("key"), "candidate_id", *box, "vx", "vy", *([] if points_only else ["cs"]))
+    ends_of = {f"n{v}{k}": f"{f}(a{v}, b{v})" for v in "xy" for k, f in ((0, "least"), (1, "greatest"))}
+    boxed = held.select("*", *[F.expr(e).alias(k) for k, e in ends_of.items()])
+    bounds = _box_bounds("n", sphere)
+    slack = "* (1 + 1e-9D) + 1e-6D"
+    mine = ["key", "candidate_id", *box, "vx", "vy"]
+    best = asked.select(*mine).join(boxed, "key").groupBy(*mine).agg(F.expr(f"min({_most('ax', 'ay', sphere, spots)}) {slack}").alias("best"), F.expr(f"min({bounds['slope']})").alias("flat"))
+    kept = best.join(boxed, "key").where(F.expr(f"{bounds['least']} <= best or not lone and {bounds['gap']} * flat <= best"))
+    theirs = ["key", "candidate_id", "fid", "ax", "ay", "bx", "by"]
+    if points_only:
+        near = kept.select(*theirs, *[F.col(f"v{c[2]}").alias(c) for c in ("cax", "cay", "cbx", "cby")])
+    else:
+        near = kept.select(*theirs).join(asked.select("key", "candidate_id", "cs"), ["key", "candidate_id"]).select(*theirs, F.inline("cs"))
+    each = near.groupBy("key", "candidate_id", "fid").agg(F.min(side_gap()).alias("p"))
     length = (g.distance_sphere if sphere else g.distance_geodesic)(F.col("p.x"), F.col("p.y"), F.col("p.px"), F.col("p.py"))
-    done.append(each.withColumn("m", length).groupBy("candidate_id", "layer_key").agg(F.min("m").alias("metres")))
+    done.append(each.withColumn("m", length).groupBy("key", "candidate_id").agg(F.min("m").alias("metres")).select("candidate_id", F.col("key.layer_key").alias("layer_key"), "metres"))
     return reduce(DataFrame.unionByName, done)
 
 
+#: Candidates of a group that go down the tree together, at most.
+TOGETHER = 256
+
+
+def _in_groups(places: DataFrame) -> DataFrame:
+    """``places`` (vx, vy) with their group: a cell of a quadtree by their counts."""
+    ends = places.agg(F.min("vx"), F.max("vx"), F.min("vy"), F.max("vy")).first()
+    span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
+    at = places.select("*", F.lit("").alias("layer_key"), F.lit(True).alias("lone"), *[F.col(f"v{c[1]}").alias(c) for c in ("ax", "ay", "bx", "by")])
+    dealt = side_tree(at, ends[0], ends[2], span, TOGETHER, 1)[1]
+    return dealt.select(F.struct("depth", "cx", "cy").alias("group"), *places.columns)
+
+
 def densities(candidates: DataFrame, layers: DataFrame, wanted: list[tuple[str, float]]) -> DataFrame:
     """(candidate_id, layer_key, radius, n): for each wanted layer and radius, in degrees, the features of any type that are at most that far from a candidate of any type; without any there is no row.
 

@@ -161,3 +161,19 @@ def test_nearest_features_of_all_types_equal_brute_force(spark, monkeypatch, lea
         for key in "abc":
             assert math.isclose(got[k, key], min(closest(x, y, f[3]) for f in feats if f[0] == key), rel_tol=1e-6, abs_tol=1e-3), (k, key)
     assert len(got) == 3 * len(spots)
+
+
+def test_candidates_look_for_their_nearest_in_groups(spark, monkeypatch):
+    """4,000 candidates go down the tree as a few groups, among features and far north of them, over the pole too; results are those of all pairs."""
+    from landloom.operators import sites
+
+    met, real = [], sites.near_leaves
+    monkeypatch.setattr(sites, "near_leaves", lambda places, *a: met.append(places.count()) or real(places, *a))
+    layer = spark.range(500).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("layer_key"), F.col("id").alias("fid"), g.point(36 + F.rand(1), 33 + F.rand(2)).alias("geom")).localCheckpoint()
+    spots = spark.range(4000).select(F.col("id").alias("candidate_id"), (36 + F.rand(3)).alias("x"), (33 + F.rand(4) * F.when(F.col("id") % 4 == 0, 240).otherwise(1)).alias("y")).localCheckpoint()
+    got = {(r.candidate_id, r.layer_key): r.metres for r in sites.nearest_distance(spots, layer, sphere=True).collect()}
+    assert met[0] < 1000
+    at = F.col("geom.parts")[0][0][0]
+    pairs = spots.join(layer.select("layer_key", at["x"].alias("u"), at["y"].alias("v"))).withColumn("m", g.distance_sphere("x", "y", F.col("u"), F.col("v")))
+    want = {(r.candidate_id, r.layer_key): r.m for r in pairs.groupBy("candidate_id", "layer_key").agg(F.min("m").alias("m")).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
