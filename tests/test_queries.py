@@ -34,16 +34,51 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", SOME)
-def test_query_equals_its_sql(spark, duck, name):
-    df = core.QUERIES[name](spark, DATA)
+def same(spark, con, name, folder):
+    df = core.QUERIES[name](spark, folder)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    rel = duck.sql(core.ORACLE_SQL[name])
+    rel = con.sql(core.ORACLE_SQL[name])
     names = list(rel.columns)
     assert sorted(names) == cols
     want = sorted((tuple(plain(dict(zip(names, r))[c]) for c in cols) for r in rel.fetchall()), key=str)
     assert got == want
+    return got
+
+
+@pytest.mark.parametrize("name", SOME)
+def test_query_equals_its_sql(spark, duck, name):
+    same(spark, duck, name, DATA)
+
+
+def with_parts(folder, keys):
+    """The smallest tables with parts of these keys (a table of k), as larger copies have them."""
+    con = duckdb.connect()
+    for t in TABLES:
+        if t != "part":
+            (folder / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    con.sql(f"copy (select k as p_partkey, 'part' as p_name, 'b' as p_brand, 't' as p_type, cast(1 + k % 50 as integer) as p_size, 900 + (k % 1000) / 10e0 as p_retailprice from ({keys})) to '{folder}/part.parquet'")
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def large_keys(tmp_path_factory):
+    """Keys over a million, whose parcels share key and fid with new ones; 500 rows apart, whose new parcels lie on old ones; and about the pole and beyond."""
+    folder = tmp_path_factory.mktemp("large")
+    return str(folder), with_parts(folder, "select unnest(range(1500)) + a as k from (select unnest([0, 25000, 284300, 1000000]) as a)")
+
+
+@pytest.mark.parametrize("name", ["j07_match_by_key", "j08_match_by_proximity", "a22_diff_changes", "a23_diff_summary", "z05_layer_diff", "z11_publish_cadastre", "a24_reconstruction_status", "a25_status_totals", "z10_track_reconstruction", "p10_geometry_flags", "p12_area_sqm", "p34_quarantine", "z12_monitor_landuse"])
+def test_query_equals_its_sql_on_large_keys(spark, large_keys, name):
+    assert same(spark, large_keys[1], name, large_keys[0])
+
+
+def test_alerts_of_statuses_without_a_threshold(spark, tmp_path):
+    """120,000 compliant parcels are no alert."""
+    con = with_parts(tmp_path, "select unnest(range(150000)) as k")
+    assert {r[2] for r in same(spark, con, "m03_violation_alerts", str(tmp_path))} == {"violation"}
 
 
 def test_entry_and_registry(spark):
