@@ -177,3 +177,14 @@ def test_candidates_look_for_their_nearest_in_groups(spark, monkeypatch):
     pairs = spots.join(layer.select("layer_key", at["x"].alias("u"), at["y"].alias("v"))).withColumn("m", g.distance_sphere("x", "y", F.col("u"), F.col("v")))
     want = {(r.candidate_id, r.layer_key): r.m for r in pairs.groupBy("candidate_id", "layer_key").agg(F.min("m").alias("m")).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_crowded_candidates_are_dealt(spark):
+    """20,000 candidates within a thousandth of a degree come in deals of some 4,096; counts are those of all pairs."""
+    c = spark.range(20_000).select(F.col("id").alias("candidate_id"), (36 + F.rand(1) * 0.001).alias("x"), (33 + F.rand(2) * 0.001).alias("y")).localCheckpoint()
+    layer = spark.range(300).select((36 + (F.rand(3) - 0.5) * 0.3).alias("x"), (33 + (F.rand(4) - 0.5) * 0.3).alias("y")).localCheckpoint()
+    asked, deals = sp._deals(c, 0.08)
+    assert asked.count() == 20_000 and asked.groupBy("hx", "hy", "deal").count().agg(F.max("count")).first()[0] < 1.2 * sp.DEAL and deals.count() >= 5
+    near = F.sqrt((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))) <= 0.08
+    want = {r.candidate_id: r.n for r in c.join(layer.select(F.col("x").alias("u"), F.col("y").alias("v"))).where(near).groupBy("candidate_id").agg(F.count("*").alias("n")).collect()}
+    assert {r.candidate_id: r.n for r in sp.density_count(c, layer, 0.08).collect()} == {k: want.get(k, 0) for k in range(20_000)}
