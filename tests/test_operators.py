@@ -109,6 +109,29 @@ def test_nearest_neighbour_and_single_points(spark, cloud):
     assert spatial.nearest_neighbor(one.where("false"), 1.0).count() == 0
 
 
+def test_sides_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Files of keys alone are small, so by their sizes Spark would lead whole sides of the joins of a search and of DBSCAN through the driver."""
+    from landloom import session
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint(eager=True)
+
+    session.shared_dir(spark)
+    monkeypatch.setattr(session, "cut", seen)
+    monkeypatch.setattr(patterns, "cut", seen)
+    df = spark.range(300).selectExpr("id as fid", "(id * 37) % 101 / 10D as x", "(id * 59) % 103 / 10D as y")
+    spatial.nearest_neighbor(df, 0.1).count()
+    labels = patterns.dbscan(df, 0.9, 5)
+    status = land.compliance_join(*[spark.range(9).selectExpr("cast(id as string) as parcel_id", f"'u' as {c}") for c in ("current_use", "designated_use", "current_use")], spark.range(0).selectExpr("'u' as use", "'u' as general_use"), ["parcel_id"])
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (labels, status)]
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    known = ("[p#", "[current_use#")  # a row for each partition, and for each code of the mapping
+    assert all(j.lstrip().startswith(known) for p in plans for j in p.split("BroadcastHashJoin")[1:])
+
+
 def test_density_equals_counting(spark, cloud):
     pts, df = cloud
     cands = df.where("fid % 7 = 0").withColumnRenamed("fid", "candidate_id")
