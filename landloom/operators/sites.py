@@ -147,7 +147,8 @@ def _most(x: str, y: str, sphere: bool, spots: bool) -> str:
 
 
 def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sphere: bool = False, spots: bool = True) -> DataFrame:
-    """(candidate_id, layer_key, depth, cx, cy): the leaves whose sides can be a candidate's nearest, or, where the box is that of many candidates, the nearest of one of them; ``spots`` says that all features are points.
+    """(candidate_id, layer_key, depth, cx, cy, kx0 to ky1, best): the leaves whose sides can be a candidate's nearest, or, where the box is that of many candidates, the nearest of one of them, and the most that the least
+    length can be; ``spots`` says that all features are points.
 
     A node's box bounds the length from a candidate (box kx0 to ky1, a vertex vx, vy) to all its sides from below, the end that it knows of that to its nearest from above. Down the tree, nodes go whose least
     possible length is over the least upper bound so far. Features of several sides count by their nearest place in the plane: of them no node goes that is as near, in the plane, as one that may count. ``layers`` are
@@ -175,7 +176,7 @@ def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sp
     def pruned(rows: DataFrame) -> DataFrame:
         some = rows.withColumn("best", F.expr("min(most)").over(each) * (1 + 1e-9) + 1e-6)
         some = some.withColumn("flat", F.expr("min(case when least <= best then slope end)").over(each))
-        return some.where("least <= best or not lone and gap * flat <= best").select(*own, *told)
+        return some.where("least <= best or not lone and gap * flat <= best").select(*own, *told, "best")
 
     # The uppermost nodes, SPLIT * SPLIT of a layer at most, come as one array a layer, so that nothing moves for them.
     top = nodes[0].groupBy("layer_key").agg(F.expr("collect_list(struct(1 as depth, cx, cy, leaf, lone, nx0, ny0, nx1, ny1, sx, sy))").alias("ns"))
@@ -184,21 +185,24 @@ def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sp
     held = held.withColumn("m", F.expr(f"transform(ns, n -> named_struct({fields}))")).drop("ns")
     held = held.withColumn("best", F.expr(f"array_min(transform(m, x -> x.most)) {slack}"))
     held = held.withColumn("flat", F.expr("array_min(transform(filter(m, x -> x.least <= best), x -> x.slope))"))
-    found = held.select(*own, F.expr("inline(filter(m, x -> x.least <= best or not x.lone and x.gap * flat <= best))"))
+    found = held.select(*own, "best", F.expr("inline(filter(m, x -> x.least <= best or not x.lone and x.gap * flat <= best))"))
     for depth, below in enumerate(nodes[1:], 2):
         found = cut(found)
-        parents = found.where("not leaf").select(*own, F.col("cx").alias("px"), F.col("cy").alias("py"))
+        parents = found.where("not leaf").select(*own, "best", F.col("cx").alias("px"), F.col("cy").alias("py"))
         under = below.withColumns({"px": F.floor(F.col("cx") / SPLIT), "py": F.floor(F.col("cy") / SPLIT)})
-        children = parents.join(under, ["layer_key", "px", "py"]).select(*own, F.lit(depth).alias("depth"), *told[1:5], *[F.expr(v).alias(k) for k, v in measured().items()])
-        found = pruned(found.where("leaf").unionByName(children))
+        children = parents.join(under, ["layer_key", "px", "py"]).select(*own, "best", F.lit(depth).alias("depth"), *told[1:5], *[F.expr(v).alias(k) for k, v in measured().items()])
+        # What the bound so far excludes doesn't move.
+        found = pruned(found.where("leaf").unionByName(children.where("not lone or least <= best")).drop("best"))
     found = cut(found)
+    out = ["candidate_id", "layer_key", *told[:3], *own[2:6]]
+    best = F.expr("min(most)").over(each) * (1 + 1e-9) + 1e-6
     if sphere:
-        return found.select("candidate_id", "layer_key", *told[:3])
+        return found.select(*out, best.alias("best"))
     wide = f"{DEGREE[1]!r}D * sqrt(power(greatest(vx - kx0, kx1 - vx), 2) + power(greatest(vy - ky0, ky1 - vy), 2))"
     many = found.withColumn("n", F.count("*").over(each))
     exact = many.where(F.col("n") > CLOSE).withColumn("m", g.distance_geodesic(F.col("vx"), F.col("vy"), F.col("mx"), F.col("my"))).withColumn("wide", F.expr(wide))
     exact = exact.withColumns({"least": F.expr("greatest(least, coalesce(m - radius - wide, 0D))"), "most": F.expr("least(most, coalesce(m + radius + wide, most))") if spots else F.col("most")})
-    return pruned(exact).unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select("candidate_id", "layer_key", *told[:3])
+    return pruned(exact).drop("best").unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select(*out, best.alias("best"))
 
 
 def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, sphere: bool = False) -> DataFrame:
@@ -237,14 +241,16 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     names = seg.select("layer_key").distinct()  # a row for each layer there is
     leaves = near_leaves(groups, groups.select("candidate_id").join(F.broadcast(names)), nodes, sphere, spots)
     # A group meets the sides of its leaves by one key, of group and layer; all that follows stays where it is.
-    held = leaves.join(sides, ["layer_key", "depth", "cx", "cy"]).select(F.struct(F.col("candidate_id").alias("group"), "layer_key").alias("key"), "fid", "lone", "ax", "ay", "bx", "by")
+    # Of a leaf's sides those that are too far for the whole group don't move.
+    ends_of = {f"n{v}{k}": f"{f}(a{v}, b{v})" for v in "xy" for k, f in ((0, "least"), (1, "greatest"))}
+    bounds = _box_bounds("n", sphere)
+    held = leaves.join(sides, ["layer_key", "depth", "cx", "cy"]).select("*", *[F.expr(e).alias(k) for k, e in ends_of.items()]).where(F.expr(f"not lone or {bounds['least']} <= best"))
+    held = held.select(F.struct(F.col("candidate_id").alias("group"), "layer_key").alias("key"), "fid", "lone", "ax", "ay", "bx", "by")
     asked = dealt.join(F.broadcast(names))
     if done:
         asked = asked.join(done[0].select("candidate_id", "layer_key"), ["candidate_id", "layer_key"], "left_anti")
     asked = asked.select(F.struct("group", "layer_key").alias("key"), "candidate_id", *box, "vx", "vy", *([] if points_only else ["cs"]))
-    ends_of = {f"n{v}{k}": f"{f}(a{v}, b{v})" for v in "xy" for k, f in ((0, "least"), (1, "greatest"))}
     boxed = held.select("*", *[F.expr(e).alias(k) for k, e in ends_of.items()])
-    bounds = _box_bounds("n", sphere)
     slack = "* (1 + 1e-9D) + 1e-6D"
     mine = ["key", "candidate_id", *box, "vx", "vy"]
     best = asked.select(*mine).join(boxed, "key").groupBy(*mine).agg(F.expr(f"min({_most('ax', 'ay', sphere, spots)}) {slack}").alias("best"), F.expr(f"min({bounds['slope']})").alias("flat"))
