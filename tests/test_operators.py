@@ -214,6 +214,13 @@ def test_proximity_matching_of_a_crowd_equals_greedy(spark):
     assert diff.match_by_proximity(points(o), points(n).limit(0), 500.0).count() == 0
 
 
+def test_rounding_decides_no_tie_of_proximity(spark):
+    """Two new ones in one place but for rounding: the smaller fid is taken, though the other is 10^-14 nearer."""
+    at = lambda rows: spark.createDataFrame(rows, "fid long, x double, y double").select("fid", g.point(F.col("x"), F.col("y")).alias("geom"))
+    got = diff.match_by_proximity(at([(5, 36.0, 33.0)]), at([(1, 36.0 + 1e-14, 33.0), (2, 36.0, 33.0)]), 5.0, 1e-9)
+    assert [tuple(r) for r in got.collect()] == [(5, 1)]
+
+
 def test_proximity_matching_of_a_long_chain(spark):
     """10^5 features, each within the tolerance of the next: one crowd, settled in a few rounds and without a group."""
     old = spark.range(100_000).select(F.col("id").alias("fid"), g.point(F.col("id") * 0.001, F.lit(0.0)).alias("geom"))
