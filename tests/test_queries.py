@@ -94,3 +94,11 @@ def test_the_library_does_not_need_the_training_data_operators():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "landloom.llm" not in f.read_text() and "corpus_pipeline" not in f.read_text()
+
+
+def test_shapes_to_clip_are_dealt_to_all_tasks_and_only_those_that_reach_the_box_are_cut(spark):
+    """The table is one split."""
+    df = core.QUERIES["p05_clip_of_shapes"](spark, DATA)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = str(df._jdf.queryExecution().optimizedPlan())
+    assert "Filter" in plan[plan.index("ArrowEvalPython") :]
