@@ -102,3 +102,8 @@ def test_shapes_to_clip_are_dealt_to_all_tasks_and_only_those_that_reach_the_box
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = str(df._jdf.queryExecution().optimizedPlan())
     assert "Filter" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_geometries_of_entities_are_made_once(spark):
+    plan = str(core.QUERIES["p21_entity_to_geometry"](spark, DATA)._jdf.queryExecution().optimizedPlan())
+    assert plan.count("5.625") <= 3  # a filter on the geometries had all of it twice, so 6
