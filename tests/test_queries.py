@@ -107,3 +107,12 @@ def test_shapes_to_clip_are_dealt_to_all_tasks_and_only_those_that_reach_the_box
 def test_geometries_of_entities_are_made_once(spark):
     plan = str(core.QUERIES["p21_entity_to_geometry"](spark, DATA)._jdf.queryExecution().optimizedPlan())
     assert plan.count("5.625") <= 3  # a filter on the geometries had all of it twice, so 6
+
+
+def test_files_of_features_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    from landloom.plans import q_jobs
+
+    monkeypatch.setattr(q_jobs, "scratch_path", lambda s, name: str(tmp_path / name))
+    got = q_jobs.s01_read_geojson(spark, DATA).where("reason is null").count()
+    files = [p for p in (tmp_path / "geojson").iterdir() if p.name.endswith(".txt")]
+    assert got > 0 and len(files) >= 5 and not [p for p in (tmp_path / "geojson").iterdir() if p.is_dir()]
