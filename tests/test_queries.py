@@ -116,3 +116,11 @@ def test_files_of_features_lie_in_one_folder(spark, tmp_path, monkeypatch):
     got = q_jobs.s01_read_geojson(spark, DATA).where("reason is null").count()
     files = [p for p in (tmp_path / "geojson").iterdir() if p.name.endswith(".txt")]
     assert got > 0 and len(files) >= 5 and not [p for p in (tmp_path / "geojson").iterdir() if p.is_dir()]
+
+
+def test_no_side_of_a_reconstruction_is_broadcast(spark):
+    from landloom.plans.q_land import reconstruction
+
+    plan = str(reconstruction(spark, DATA)._jdf.queryExecution().executedPlan())
+    joins = [line for line in plan.splitlines() if "Join" in line and any(k in line for k in ("LeftOuter", "LeftSemi", "LeftAnti"))]
+    assert joins and not [line for line in joins if "Broadcast" in line]
