@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from landloom.functions import geometry as g, scoring as sc
 from landloom.operators import spatial as sp
-from landloom.session import cut
+from landloom.session import cut, dealt, spread
 
 
 def merge_layers(sources: list[DataFrame]) -> DataFrame:
@@ -146,6 +149,20 @@ def _most(x: str, y: str, sphere: bool, spots: bool) -> str:
     return f"{far} + {wide}"
 
 
+def _toward(x: str, y: str) -> str:
+    """The cosine, on the sphere, of the angle from the middle of a candidate's box to a place."""
+    return f"(sin(radians((ky0 + ky1) / 2)) * sin(radians({y})) + cos(radians((ky0 + ky1) / 2)) * cos(radians({y})) * cos(radians({x} - (kx0 + kx1) / 2)))"
+
+
+def _behind(x: str, y: str, radius: str) -> str:
+    """Whether from everywhere in a candidate's box a known feature ``w`` is nearer, on the sphere, than all within ``radius`` (radians) of a place; ``diag`` is what places of one candidate may be apart.
+
+    Lengths grow as the products c * f of unit vectors fall, and c * (w - f) is c's middle's by as much at most as half the box's diagonal times |w - f|; so far from features that lie together next to nothing is left of the box.
+    """
+    half = "radians(sqrt((kx1 - kx0) * (kx1 - kx0) + (ky1 - ky0) * (ky1 - ky0))) / 2"
+    return f"w.d - {_toward(x, y)} > {half} * radians(sqrt((w.x - {x}) * (w.x - {x}) + (w.y - {y}) * (w.y - {y}))) + {radius} + diag + 1e-14D"
+
+
 def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sphere: bool = False, spots: bool = True) -> DataFrame:
     """(candidate_id, layer_key, depth, cx, cy, kx0 to ky1, best): the leaves whose sides can be a candidate's nearest, or, where the box is that of many candidates, the nearest of one of them, and the most that the least
     length can be; ``spots`` says that all features are points.
@@ -153,8 +170,11 @@ def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sp
     A node's box bounds the length from a candidate (box kx0 to ky1, a vertex vx, vy) to all its sides from below, the end that it knows of that to its nearest from above. Down the tree, nodes go whose least
     possible length is over the least upper bound so far. Features of several sides count by their nearest place in the plane: of them no node goes that is as near, in the plane, as one that may count. ``layers`` are
     the pairs (candidate_id, layer_key) that are looked for. Where many leaves are left, as for a candidate far from a crowd, whose bounds on the ellipsoid are as wide as the crowd, its own length to the
-    leaf's middle tells.
+    leaf's middle tells. On the sphere, among points, the nearest known feature w (cosine d, place x, y) tells too what can't be nearer (``_behind``).
     """
+    known = sphere and spots
+    if "diag" not in places.columns:
+        places = places.withColumn("diag", F.lit(0.0))
 
     def measured(n: str = "") -> dict[str, str]:
         bounds = _box_bounds(f"{n}n", sphere)
@@ -163,46 +183,52 @@ def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sp
             "least": bounds["least"],
             "most": _most(f"{n}sx", f"{n}sy", sphere, spots),
             "slope": bounds["slope"],
+            "sx": f"{n}sx",
+            "sy": f"{n}sy",
             "mx": f"({n}nx0 + {n}nx1) / 2",
             "my": f"({n}ny0 + {n}ny1) / 2",
             "radius": f"{DEGREE[1]!r}D * sqrt(({n}nx1 - {n}nx0) * ({n}nx1 - {n}nx0) + ({n}ny1 - {n}ny0) * ({n}ny1 - {n}ny0)) / 2",
         }
 
     each = Window.partitionBy("candidate_id", "layer_key")
-    own = ["candidate_id", "layer_key", "kx0", "ky0", "kx1", "ky1", "vx", "vy"]
+    own = ["candidate_id", "layer_key", "kx0", "ky0", "kx1", "ky1", "vx", "vy", "diag"]
+    behind = lambda p="": f"not {_behind(f'{p}mx', f'{p}my', f'radians({p}radius / {DEGREE[1]!r}D)')}" if known else "true"
+    nearest = f"max(struct({_toward('sx', 'sy')} as d, sx as x, sy as y))" if known else "cast(null as struct<d:double,x:double,y:double>)"
     told = ["depth", "cx", "cy", "leaf", "lone", *measured()]
     slack = "* (1 + 1e-9D) + 1e-6D"
 
     def pruned(rows: DataFrame) -> DataFrame:
         some = rows.withColumn("best", F.expr("min(most)").over(each) * (1 + 1e-9) + 1e-6)
         some = some.withColumn("flat", F.expr("min(case when least <= best then slope end)").over(each))
-        return some.where("least <= best or not lone and gap * flat <= best").select(*own, *told, "best")
+        some = some.withColumn("w", F.expr(nearest).over(each) if known else F.expr(nearest))
+        return some.where(f"(least <= best or not lone and gap * flat <= best) and {behind()}").select(*own, *told, "best", "w")
 
     # The uppermost nodes, SPLIT * SPLIT of a layer at most, come as one array a layer, so that nothing moves for them.
     top = nodes[0].groupBy("layer_key").agg(F.expr("collect_list(struct(1 as depth, cx, cy, leaf, lone, nx0, ny0, nx1, ny1, sx, sy))").alias("ns"))
     held = layers.join(places, "candidate_id").join(F.broadcast(top), "layer_key")
     fields = ", ".join([f"'{k}', n.{k}" for k in told[:5]] + [f"'{k}', {v}" for k, v in measured("n.").items()])
     held = held.withColumn("m", F.expr(f"transform(ns, n -> named_struct({fields}))")).drop("ns")
+    held = held.withColumn("w", F.expr(f"array_max(transform(m, x -> named_struct('d', {_toward('x.sx', 'x.sy')}, 'x', x.sx, 'y', x.sy)))" if known else nearest))
     held = held.withColumn("best", F.expr(f"array_min(transform(m, x -> x.most)) {slack}"))
     held = held.withColumn("flat", F.expr("array_min(transform(filter(m, x -> x.least <= best), x -> x.slope))"))
-    found = held.select(*own, "best", F.expr("inline(filter(m, x -> x.least <= best or not x.lone and x.gap * flat <= best))"))
+    found = held.select(*own, "best", "w", F.expr(f"inline(filter(m, x -> (x.least <= best or not x.lone and x.gap * flat <= best) and {behind('x.')}))"))
     for depth, below in enumerate(nodes[1:], 2):
         found = cut(found)
-        parents = found.where("not leaf").select(*own, "best", F.col("cx").alias("px"), F.col("cy").alias("py"))
+        parents = found.where("not leaf").select(*own, "best", "w", F.col("cx").alias("px"), F.col("cy").alias("py"))
         under = below.withColumns({"px": F.floor(F.col("cx") / SPLIT), "py": F.floor(F.col("cy") / SPLIT)})
-        children = parents.join(under, ["layer_key", "px", "py"]).select(*own, "best", F.lit(depth).alias("depth"), *told[1:5], *[F.expr(v).alias(k) for k, v in measured().items()])
+        children = parents.join(under, ["layer_key", "px", "py"]).select(*own, "best", "w", F.lit(depth).alias("depth"), *told[1:5], *[F.expr(v).alias(k) for k, v in measured().items()])
         # What the bound so far excludes doesn't move.
-        found = pruned(found.where("leaf").unionByName(children.where("not lone or least <= best")).drop("best"))
+        found = pruned(found.where("leaf").unionByName(children.where(f"(not lone or least <= best) and {behind()}")).drop("best", "w"))
     found = cut(found)
     out = ["candidate_id", "layer_key", *told[:3], *own[2:6]]
     best = F.expr("min(most)").over(each) * (1 + 1e-9) + 1e-6
     if sphere:
-        return found.select(*out, best.alias("best"))
+        return found.drop("best").select(*out, "diag", best.alias("best"), (F.expr(nearest).over(each) if known else F.expr(nearest)).alias("w"))
     wide = f"{DEGREE[1]!r}D * sqrt(power(greatest(vx - kx0, kx1 - vx), 2) + power(greatest(vy - ky0, ky1 - vy), 2))"
     many = found.withColumn("n", F.count("*").over(each))
     exact = many.where(F.col("n") > CLOSE).withColumn("m", g.distance_geodesic(F.col("vx"), F.col("vy"), F.col("mx"), F.col("my"))).withColumn("wide", F.expr(wide))
     exact = exact.withColumns({"least": F.expr("greatest(least, coalesce(m - radius - wide, 0D))"), "most": F.expr("least(most, coalesce(m + radius + wide, most))") if spots else F.col("most")})
-    return pruned(exact).drop("best").unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select(*out, best.alias("best"))
+    return pruned(exact).drop("best", "w").unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select(*out, best.alias("best"))
 
 
 def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, sphere: bool = False) -> DataFrame:
@@ -219,13 +245,16 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     lone = F.expr("size(geom.parts) = 1 and size(geom.parts[0]) = 1 and size(geom.parts[0][0]) <= 2")
     several = segments(shapes.where(~lone)).withColumn("lone", F.lit(False)).unionByName(segments(shapes.where(lone)).withColumn("lone", F.lit(True)))
     seg = cut(points.withColumn("lone", F.lit(True)).unionByName(several))
-    own = cut(sides_of(candidates))
+    boxes = _upright(candidates) if sphere and not shapes.take(1) else None
+    own = cut(sides_of(candidates)) if boxes is None else boxes
     nothing = candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("metres")).where("false")
     ends = seg.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
     if ends[0] is None or not own.take(1):
         return nothing
     span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
     nodes, sides, _ = side_tree(seg, ends[0], ends[2], span)
+    if boxes is not None:
+        return _nearest_of_boxes(own, seg, nodes, sides, tuple(ends))
     spots = not shapes.take(1)
     box = {"kx0": F.min(F.least("cax", "cbx")), "ky0": F.min(F.least("cay", "cby")), "kx1": F.max(F.greatest("cax", "cbx")), "ky1": F.max(F.greatest("cay", "cby"))}
     v, cs = F.min(F.struct("cax", "cay")), F.collect_list(F.struct("cax", "cay", "cbx", "cby"))  # a candidate's own sides
@@ -266,17 +295,84 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     return reduce(DataFrame.unionByName, done)
 
 
-#: Candidates of a group that go down the tree together, at most.
-TOGETHER = 256
+#: Candidates of a group that go down the tree together, at most; and of points and upright boxes, whose group is measured as a matrix.
+TOGETHER, MATRIX = 256, 2048
+#: Pairs of a matrix that are measured at once.
+PAIRS = 2_000_000
 
 
-def _in_groups(places: DataFrame) -> DataFrame:
-    """``places`` (vx, vy) with their group: a cell of a quadtree by their counts."""
+def _in_groups(places: DataFrame, most: int | None = None) -> DataFrame:
+    """``places`` (vx, vy) with their group: a cell of a quadtree by their counts, with ``most`` places (TOGETHER) unless they are one place."""
     ends = places.agg(F.min("vx"), F.max("vx"), F.min("vy"), F.max("vy")).first()
     span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
-    at = places.select("*", F.lit("").alias("layer_key"), F.lit(True).alias("lone"), *[F.col(f"v{c[1]}").alias(c) for c in ("ax", "ay", "bx", "by")])
-    dealt = side_tree(at, ends[0], ends[2], span, TOGETHER, 1)[1]
-    return dealt.select(F.struct("depth", "cx", "cy").alias("group"), *places.columns)
+    done, rest, most = [], places, TOGETHER if most is None else most
+    for depth in range(2, DEEPEST + 1):
+        at = rest.withColumns({c: F.floor((F.col(v) - low) / span * float(SPLIT**depth)).cast("long") for c, v, low in (("cx", "vx", ends[0]), ("cy", "vy", ends[2]))})
+        crowded = cut(at.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.lit(depth < DEEPEST) & (F.col("n") > most)).select("cx", "cy"))
+        last = not crowded.take(1)
+        held = at if last else at.join(crowded, ["cx", "cy"], "left_anti")
+        done.append(held.select(F.struct(F.lit(depth).alias("depth"), "cx", "cy").alias("group"), *places.columns))
+        if last:
+            break
+        rest = cut(at.join(crowded, ["cx", "cy"], "left_semi").select(*places.columns))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _upright(candidates: DataFrame) -> DataFrame | None:
+    """(candidate_id, kx0 to ky1) of candidates that are all points or upright boxes, behind a checkpoint and dealt to all tasks; None if one isn't. Those without a place give no row."""
+    if "geom" not in candidates.columns:
+        at = candidates.where("x is not null and y is not null")
+        return cut(spread(at.select("candidate_id", F.col("x").alias("kx0"), F.col("y").alias("ky0"), F.col("x").alias("kx1"), F.col("y").alias("ky1"))))
+    placed = sp._with_place(candidates.select("candidate_id", "geom"), "geom").where("xmin is not null")
+    slim = placed.select("candidate_id", *[F.col(c).alias(k) for c, k in (("xmin", "kx0"), ("ymin", "ky0"), ("xmax", "kx1"), ("ymax", "ky1"))], ((F.col("geom.type") == "Point") | F.col("geom_full")).alias("plain"))
+    slim = cut(spread(slim))
+    return None if slim.where("not plain").take(1) else slim.drop("plain")
+
+
+def _nearest_of_boxes(places: DataFrame, seg: DataFrame, nodes: list[DataFrame], sides: DataFrame, ends: tuple[float, ...]) -> DataFrame:
+    """(candidate_id, layer_key, metres) on the sphere of points and upright boxes (candidate_id, kx0 to ky1) to features that are points.
+
+    A group of candidates meets the features that can be the nearest of one of them in one task, as a matrix: the nearest place of a box in the plane is the feature's own, held within the box. So what moves is each
+    candidate once, and for each group the features that ``near_leaves`` and then ``_behind`` leave.
+    """
+    # What the places of one box that are nearest to two features may add to c * w: the box's diagonal, but only its width, times the way in longitude, where all features (``ends``) are south or north of the group.
+    x0, x1, y0, y1 = (f"{e!r}D" for e in ends)
+    diag = "radians(sqrt(max((kx1 - kx0) * (kx1 - kx0) + (ky1 - ky0) * (ky1 - ky0))))"
+    along = f"radians(max(kx1 - kx0)) * least(1D, radians(greatest(0D, max(kx1) - {x0}, {x1} - min(kx0))))"
+    apart = F.expr(f"if(min(ky0) > {y1} or max(ky1) < {y0}, least({along}, {diag}), {diag})")
+    box = ["kx0", "ky0", "kx1", "ky1"]
+    grouped = _in_groups(places.withColumns({"vx": F.col("kx0"), "vy": F.col("ky0")}), MATRIX)
+    grouped = cut(grouped.select(F.xxhash64("group").alias("group"), "candidate_id", *box))  # groups of one number would be one
+    groups = grouped.groupBy(F.col("group").alias("candidate_id")).agg(*[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), box)], apart.alias("diag"), F.min(F.struct("kx0", "ky0")).alias("v"))
+    groups = cut(groups.select("candidate_id", *box, "diag", F.col("v.kx0").alias("vx"), F.col("v.ky0").alias("vy")))
+    names = seg.select("layer_key").distinct()  # a row for each layer there is
+    leaves = near_leaves(groups, groups.select("candidate_id").join(F.broadcast(names)), nodes, True)
+    ends = {f"n{v}{k}": f"a{v}" for v in "xy" for k in (0, 1)}
+    met = leaves.join(sides, ["layer_key", "depth", "cx", "cy"]).select("*", *[F.expr(e).alias(k) for k, e in ends.items()])
+    met = met.where(f"{_box_bounds('n', True)['least']} <= best and not {_behind('ax', 'ay', '0D')}")
+    met = met.select(F.col("candidate_id").alias("group"), "layer_key", "ax", "ay")
+
+    def measured(left: pa.Table, right: pa.Table) -> pa.Table:
+        x0, y0, x1, y1 = (left.column(c).to_numpy()[:, None] for c in box)
+        layers, out = right.column("layer_key").combine_chunks(), []
+        fx, fy = (right.column(c).to_numpy() for c in ("ax", "ay"))
+        for name in layers.unique().to_pylist() if left.num_rows else []:
+            mine = pc.equal(layers, name).to_numpy(zero_copy_only=False)
+            u, v = fx[mine][None], fy[mine][None]
+            metres, step = np.empty(left.num_rows), max(1, PAIRS // u.size)
+            for at in range(0, left.num_rows, step):
+                part = slice(at, at + step)
+                px, py = np.clip(u, x0[part], x1[part]), np.clip(v, y0[part], y1[part])
+                h = np.sin(np.radians(v - py) / 2) ** 2 + np.cos(np.radians(py)) * np.cos(np.radians(v)) * np.sin(np.radians(u - px) / 2) ** 2
+                metres[part] = 2 * g.SPHERE * np.arcsin(np.sqrt(np.clip(h.min(axis=1), 0, 1)))
+            out.append(pa.table({"candidate_id": left.column("candidate_id"), "layer_key": pa.array([name] * left.num_rows, pa.string()), "metres": metres}))
+        return pa.concat_tables(out) if out else pa.table({"candidate_id": left.column("candidate_id").slice(0, 0), "layer_key": pa.array([], pa.string()), "metres": pa.array([], pa.float64())})
+
+    schema = T.StructType([T.StructField("candidate_id", places.schema["candidate_id"].dataType), T.StructField("layer_key", T.StringType()), T.StructField("metres", T.DoubleType())])
+    out = grouped.groupBy("group").cogroup(met.groupBy("group")).applyInArrow(measured, schema)
+    if places.groupBy("candidate_id").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        out = out.groupBy("candidate_id", "layer_key").agg(F.min("metres").alias("metres"))
+    return out
 
 
 def densities(candidates: DataFrame, layers: DataFrame, wanted: list[tuple[str, float]]) -> DataFrame:
@@ -357,7 +453,7 @@ def score_criteria(candidates: DataFrame, layers: DataFrame, criteria: DataFrame
     maps = measured.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct(slot.alias("k"), "value"))).alias("m"))
     there = layers.agg(F.collect_set("layer_key").alias("there"))  # names of layers
     crit = F.broadcast(criteria.join(there))
-    every = candidates.select("candidate_id").join(maps, "candidate_id", "left").join(crit)
+    every = candidates.select("candidate_id").join(dealt(maps), "candidate_id", "left").join(crit)  # dealt by candidate, so that sums by it move nothing
     kind = F.col("type")
     key = F.concat_ws("|", kind, F.when(kind == "terrain_stat", "").otherwise(F.col("layer")), F.when(kind == "density_count", F.format_string("%.3f", F.col("radius_km"))).otherwise(""))
     raw = F.try_element_at("m", key)
@@ -393,14 +489,26 @@ def weakest_criteria(scored: DataFrame, n: int = 3) -> DataFrame:
     return scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
 
 
+def _advice(score: Column, name: Column, description: Column) -> Column:
+    return F.concat(F.lit("Improve "), name, F.lit(" (now "), F.format_string("%.0f", F.floor(score + 0.5).cast("double")), F.lit("/100): "), F.when(description != "", description).otherwise("see its details"))
+
+
 def site_recommendations(scored: DataFrame) -> DataFrame:
     """(candidate_id, ruleset, recommendations): what to improve, out of the three weakest criteria those below 60."""
-    said = F.concat(F.lit("Improve "), F.col("name"), F.lit(" (now "), F.format_string("%.0f", F.floor(F.col("score") + 0.5).cast("double")), F.lit("/100): "), F.when(F.col("description") != "", F.col("description")).otherwise("see its details"))
-    text: Column = F.when(F.col("score") < 60, F.struct("nth", said.alias("text")))
+    text: Column = F.when(F.col("score") < 60, F.struct("nth", _advice(F.col("score"), F.col("name"), F.col("description")).alias("text")))
     return weakest_criteria(scored).groupBy("candidate_id", "ruleset").agg(F.transform(F.array_sort(F.collect_list(text)), lambda s: s["text"]).alias("recommendations"))
 
 
 def score_sites(candidates: DataFrame, layers: DataFrame, criteria: DataFrame, dem: DataFrame | None = None, sphere: bool = False) -> DataFrame:
-    """(candidate_id, ruleset, score, verdict, recommendations) of every candidate under every ruleset."""
-    scored = cut(score_criteria(candidates, layers, criteria, dem, sphere))
-    return site_score(scored).join(site_recommendations(scored), ["candidate_id", "ruleset"])
+    """(candidate_id, ruleset, score, verdict, recommendations) of every candidate under every ruleset.
+
+    A candidate's scores are columns by the criterion's number, so that rows of candidates and criteria, many times the candidates, are neither kept nor moved.
+    """
+    scored = score_criteria(candidates, layers, criteria, dem, sphere)
+    numbers = sorted(r.criterion_no for r in criteria.select("criterion_no").distinct().collect())  # metadata of rulesets
+    total = F.sum(F.col("score") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1e-9))
+    by = scored.groupBy("candidate_id", "ruleset").agg(total.alias("score"), F.first("recommended").alias("r"), F.first("conditional").alias("c"), *[F.max(F.when(F.col("criterion_no") == k, F.col("score"))).alias(f"s{k}") for k in numbers])
+    said = F.broadcast(criteria.groupBy("ruleset").agg(F.map_from_entries(F.collect_list(F.struct("criterion_no", F.struct("name", "description")))).alias("said")))
+    low = F.slice(F.array_sort(F.filter(F.array(*[F.struct(F.col(f"s{k}").alias("score"), F.lit(k).alias("no")) for k in numbers]), lambda s: F.map_contains_key("said", s["no"]))), 1, 3)
+    advice = F.transform(F.filter(low, lambda s: s["score"] < 60), lambda s: _advice(s["score"], F.col("said")[s["no"]]["name"], F.col("said")[s["no"]]["description"]))
+    return by.join(said, "ruleset").select("candidate_id", "ruleset", "score", sc.verdict(F.col("score"), F.col("r"), F.col("c")).alias("verdict"), advice.alias("recommendations"))

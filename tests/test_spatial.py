@@ -188,3 +188,39 @@ def test_crowded_candidates_are_dealt(spark):
     near = F.sqrt((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))) <= 0.08
     want = {r.candidate_id: r.n for r in c.join(layer.select(F.col("x").alias("u"), F.col("y").alias("v"))).where(near).groupBy("candidate_id").agg(F.count("*").alias("n")).collect()}
     assert {r.candidate_id: r.n for r in sp.density_count(c, layer, 0.08).collect()} == {k: want.get(k, 0) for k in range(20_000)}
+
+
+def test_boxes_far_from_all_features_meet_few_of_them(spark, monkeypatch):
+    """4,000 upright boxes, near 3,000 features and up to 240 degrees north of them: a far group meets a few of the features, and lengths are those of all pairs."""
+    from landloom.operators import sites
+
+    seen, real = [], sites.near_leaves
+    monkeypatch.setattr(sites, "near_leaves", lambda places, layers, *a: seen.append(r := real(places, layers, *a).localCheckpoint()) or r)
+    monkeypatch.setattr(sites, "MATRIX", 256)
+    feats = spark.range(3000).select(F.lit("a").alias("layer_key"), F.col("id").alias("fid"), (36 + F.rand(1)).alias("u"), (33 + F.rand(2)).alias("v")).localCheckpoint()
+    layer = feats.select("layer_key", "fid", g.point(F.col("u"), F.col("v")).alias("geom"))
+    b = spark.range(4000).select(F.col("id").alias("candidate_id"), (36 + F.col("id") % 50 * 0.02).alias("x0"), (33 + F.floor(F.col("id") / 50) * F.when(F.col("id") < 1000, 0.05).otherwise(3)).alias("y0"))
+    b = b.withColumns({"x1": F.col("x0") + 0.01, "y1": F.col("y0") + 0.006}).localCheckpoint()
+    got = {r.candidate_id: r.metres for r in sites.nearest_distance(b.select("candidate_id", g.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geom")), layer, sphere=True).collect()}
+    px, py = F.greatest("x0", F.least("x1", "u")), F.greatest("y0", F.least("y1", "v"))
+    want = {r.candidate_id: r.m for r in b.join(feats).groupBy("candidate_id").agg(F.min(g.distance_sphere(px, py, F.col("u"), F.col("v"))).alias("m")).collect()}
+    assert len(got) == 4000 and got == pytest.approx(want, rel=1e-9, abs=1e-6)
+    far = seen[0].where("ky0 > 40").groupBy("candidate_id").count()
+    assert far.agg(F.percentile_approx("count", 0.5)).first()[0] < 40  # of some hundred leaves
+
+
+def test_site_scores_keep_no_row_for_each_criterion(spark, monkeypatch):
+    """Scores and advice are those of the operators one by one; nothing that has a row for each candidate and criterion is checkpointed."""
+    from landloom.operators import sites
+    from landloom.sources.rulesets import load_site_rulesets
+
+    sizes, real = [], sites.cut
+    monkeypatch.setattr(sites, "cut", lambda df: sizes.append((r := real(df)).count()) or r)
+    rules = load_site_rulesets(spark)
+    spots = spark.range(300).select(F.col("id").alias("candidate_id"), (36 + F.rand(1)).alias("x"), (33 + F.rand(2)).alias("y")).localCheckpoint().withColumn("geom", g.point(F.col("x"), F.col("y")))
+    layer = spark.range(40).select(F.when(F.col("id") % 2 == 0, "osm:highway=motorway|trunk|primary").otherwise("osm:landuse=industrial").alias("layer_key"), F.col("id").alias("fid"), g.point(36 + F.rand(3), 33 + F.rand(4)).alias("geom")).localCheckpoint()
+    got = {(r.candidate_id, r.ruleset): (round(r.score, 9), r.verdict, r.recommendations) for r in sites.score_sites(spots, layer, rules, sphere=True).collect()}
+    assert max(sizes) < 2000  # 10,500 rows of candidates and criteria
+    scored = sites.score_criteria(spots, layer, rules, sphere=True)
+    both = sites.site_score(scored).join(sites.site_recommendations(scored), ["candidate_id", "ruleset"])
+    assert got == {(r.candidate_id, r.ruleset): (round(r.score, 9), r.verdict, r.recommendations) for r in both.collect()} and len(got) == 1200
