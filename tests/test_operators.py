@@ -229,6 +229,25 @@ def test_proximity_matching_of_a_long_chain(spark):
     assert got.count() == 100_000 and got.where("old_fid <> new_fid").count() == 0
 
 
+def test_no_side_of_proximity_matching_is_broadcast(spark, monkeypatch):
+    """Neither the new features nor what they keep in a round is led through the driver, however small its files are."""
+    from landloom import session
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint(eager=True)
+
+    session.shared_dir(spark)
+    monkeypatch.setattr(diff, "cut", seen)
+    # Two old ones want the same new one, so that there is a second round.
+    at = lambda first, x: spark.range(first, first + 2).select(F.col("id").alias("fid"), g.point(F.expr(x), F.lit(0.0)).alias("geom"))
+    got = diff.match_by_proximity(at(1, "(id - 1) * 0.001D"), at(8, "0.0008D + (id - 8) * 0.0017D"), 0.002 * diff.METRES)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 8), (2, 9)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_hull_of_a_large_cluster_moves_few_points(spark):
     """A cluster of 10^6 points: tasks send their own hulls' corners only."""
     points = spark.range(1_000_000, numPartitions=8).select(F.lit(7).cast("long").alias("cluster_id"), F.cos(F.rand(1) * 6.283185).alias("c"), F.rand(2).alias("r"), F.rand(3).alias("t"))
