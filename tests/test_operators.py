@@ -132,6 +132,23 @@ def test_sides_that_grow_are_not_broadcast(spark, monkeypatch):
     assert all(j.lstrip().startswith(known) for p in plans for j in p.split("BroadcastHashJoin")[1:])
 
 
+def test_pairs_of_a_crowd_are_compared_by_several_tasks(spark, monkeypatch):
+    """2,000 points of one split, half of them in one cell, and one without a place: the pairs are those of brute force, no side is broadcast, and one cell's pairs come out of several tasks."""
+    df = spark.range(0, 2000, 1, 1).selectExpr("id as fid", "if(id = 7, null, if(id % 2 = 0, (id * 37 % 101) / 1000D, id * 0.21D)) as x", "if(id % 2 = 0, (id * 59 % 103) / 1000D, -id * 0.013D) as y")
+    got = spatial.neighbors_within(df, 0.2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    rows = got.withColumn("task", F.spark_partition_id()).toPandas()
+    pts = df.where("x is not null").toPandas()
+    dist = np.hypot(pts.x.to_numpy()[:, None] - pts.x.to_numpy(), pts.y.to_numpy()[:, None] - pts.y.to_numpy())
+    near = np.argwhere(dist <= 0.2)
+    assert len(rows) == len(near) > 1_000_000
+    assert set(zip(rows.a, rows.b)) == set(zip(pts.fid.to_numpy()[near[:, 0]], pts.fid.to_numpy()[near[:, 1]]))
+    assert "Broadcast" not in plan and rows[rows.a % 2 == 0].task.nunique() > 1
+    assert spatial.neighbors_within(df.where("false"), 0.2).count() == 0
+    monkeypatch.setattr(spatial, "BLOCK", 8)
+    assert spatial.neighbors_within(df, 0.2).count() == len(near)
+
+
 def test_density_equals_counting(spark, cloud):
     pts, df = cloud
     cands = df.where("fid % 7 = 0").withColumnRenamed("fid", "candidate_id")
