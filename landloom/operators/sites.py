@@ -231,13 +231,21 @@ def near_leaves(places: DataFrame, layers: DataFrame, nodes: list[DataFrame], sp
     return pruned(exact).drop("best", "w").unionByName(many.where(F.col("n") <= CLOSE).select(*own, *told)).select(*out, best.alias("best"))
 
 
-def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, sphere: bool = False) -> DataFrame:
+def _in_reach(candidates: DataFrame, ends: tuple[float, ...], metres: float, sphere: bool) -> DataFrame:
+    """Candidates whose box may be so near to that of all sides (x0, x1, y0, y1), dealt to all tasks, behind a checkpoint."""
+    box = g.bbox(F.col("geom")) if "geom" in candidates.columns else F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
+    known = {**{f"k{v}{k}": F.col(f"_at.{v}{end}") for v in "xy" for k, end in ((0, "min"), (1, "max"))}, **{n: F.lit(e) for n, e in zip(("nx0", "nx1", "ny0", "ny1"), ends)}}
+    rows = spread(candidates).withColumn("_at", box).withColumns(known)
+    return cut(rows.where(F.expr(f"{_box_bounds('n', sphere)['least']} <= {metres!r}D * (1 + 1e-9D) + 1e-6D")).select(*candidates.columns))
+
+
+def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] | None = None, sphere: bool = False, within: dict[str, float] | None = None) -> DataFrame:
     """(candidate_id, layer_key, metres): of each layer the least distance of a candidate, a geometry of any type (candidate_id, geom) or a point (candidate_id, x, y), to a feature.
 
     For each feature the nearest places in the plane count, and the length between them on the ellipsoid (or the sphere); 0 where they meet or one lies in the other. The features' sides lie in a tree by their counts;
     candidates, in groups of neighbours, go down it with bounds and meet the sides of the few leaves that can hold the nearest of one of them; there each candidate's own bound is told first, and only
     the sides within it are measured. So neither crowds nor empty stretches make many pairs, and a group moves once. Layers without a geometry give no
-    row, and candidates without one neither.
+    row, and candidates without one neither. Distances over a layer's metres in ``within`` may be left out: bounds tell them, and nothing is searched for candidates that are farther than that from all there is.
     """
     feats = layer.where(F.col("layer_key").isin(keys)) if keys is not None else layer
     spots, shapes = feats.where("geom.type = 'Point'"), feats.where("geom.type <> 'Point'")
@@ -245,10 +253,13 @@ def nearest_distance(candidates: DataFrame, layer: DataFrame, keys: list[str] |
     lone = F.expr("size(geom.parts) = 1 and size(geom.parts[0]) = 1 and size(geom.parts[0][0]) <= 2")
     several = segments(shapes.where(~lone)).withColumn("lone", F.lit(False)).unionByName(segments(shapes.where(lone)).withColumn("lone", F.lit(True)))
     seg = cut(points.withColumn("lone", F.lit(True)).unionByName(several))
+    ends = seg.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
+    if within is not None and ends[0] is not None:
+        reach = max(within.get(r.layer_key, math.inf) for r in seg.select("layer_key").distinct().collect())  # names of layers
+        candidates = candidates if reach == math.inf else _in_reach(candidates, tuple(ends), reach, sphere)
     boxes = _upright(candidates) if sphere and not shapes.take(1) else None
     own = cut(sides_of(candidates)) if boxes is None else boxes
     nothing = candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("metres")).where("false")
-    ends = seg.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
     if ends[0] is None or not own.take(1):
         return nothing
     span = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9) * (1 + 1e-9)
@@ -384,6 +395,8 @@ def densities(candidates: DataFrame, layers: DataFrame, wanted: list[tuple[str,
     at = F.expr("geom.parts[0][0][0]")
     asked = candidates if "geom" in candidates.columns else candidates.withColumn("geom", g.point(F.col("x"), F.col("y")))
     feats = layers.where(F.col("layer_key").isin([k for k, _ in wanted]))
+    if not feats.take(1):
+        return candidates.select("candidate_id", F.lit("").alias("layer_key"), F.lit(0.0).alias("radius"), F.lit(0).cast("long").alias("n")).where("false")
     spots = feats.where("geom.type = 'Point'").select("layer_key", at["x"].alias("x"), at["y"].alias("y"))
     points = asked.where("geom.type = 'Point'").select("candidate_id", at["x"].alias("x"), at["y"].alias("y")).where("x is not null")
     counts = [sp.density_count(points, spots.where(F.col("layer_key") == k), r).where("n > 0").select("candidate_id", F.lit(k).alias("layer_key"), F.lit(r).alias("radius"), "n") for k, r in wanted]
@@ -425,17 +438,30 @@ def terrain_elevation(candidates: DataFrame, dem: DataFrame, size: float = 0.01,
     return at.join(dem, ["cell_x", "cell_y"], "left").select("candidate_id", "elevation")
 
 
-def score_criteria(candidates: DataFrame, layers: DataFrame, criteria: DataFrame, dem: DataFrame | None = None, sphere: bool = False) -> DataFrame:
+def _farthest(rows: list) -> dict[str, float]:
+    """For each layer the metres from which on its distance criteria (type, layer, curve, units, bounds) score the same; layers whose curves aren't known, or lack a bound, are left out."""
+    needed = {"linear_decreasing": ("ideal", "acceptable", "unacceptable"), "linear_increasing": ("unacceptable", "acceptable", "ideal"), "bell": ("min", "ideal", "max")}
+    out: dict[str, float] = {}
+    for r in rows:
+        if r.type == "distance_to_layer" and r.layer:
+            ends = [r.bounds[k] for k in needed[r.curve]] if r.curve in needed and r.bounds else [None]
+            metres = math.inf if None in ends else max(ends) * (1000.0 if r.units == "km" else 1.0)
+            out[r.layer] = max(metres, out.get(r.layer, 0.0))
+    return {k: v for k, v in out.items() if v < math.inf}
+
+
+def score_criteria(candidates: DataFrame, layers: DataFrame, criteria: DataFrame, dem: DataFrame | None = None, sphere: bool = False, scores_only: bool = False) -> DataFrame:
     """(candidate_id, ruleset, criterion_no, name, weight, score, value, why, description): each candidate (candidate_id, x, y, geom) under each criterion.
 
     A layer that isn't there, terrain that isn't measured and places outside the grid score a neutral 50; an unknown criterion type scores 0. Distance, density
-    and terrain scores are rounded to 1 decimal. Criteria are few and are broadcast.
+    and terrain scores are rounded to 1 decimal. Criteria are few and are broadcast. With ``scores_only``, values and reasons aren't asked for: distances beyond the last bound of all of a layer's curves, which score
+    the same however great they are, may come as infinite.
     """
-    rows = criteria.select("type", "layer", "radius_km").distinct().collect()  # metadata of rulesets
+    rows = criteria.select("type", "layer", "radius_km", "curve", "units", "bounds").distinct().collect()  # metadata of rulesets
     by = lambda kind: sorted({r.layer for r in rows if r.type == kind and r.layer})
     names = ["candidate_id", "type", "layer", "radius_km", "value"]
     found = []
-    dist = nearest_distance(candidates, layers, by("distance_to_layer"), sphere=sphere)
+    dist = nearest_distance(candidates, layers, by("distance_to_layer"), sphere=sphere, within=_farthest(rows) if scores_only else None)
     found.append(dist.select("candidate_id", F.lit("distance_to_layer").alias("type"), F.col("layer_key").alias("layer"), F.lit(None).cast("double").alias("radius_km"), F.col("metres").alias("value")))
     share = overlap_share(candidates, layers.where(F.col("layer_key").isin(by("overlap_with_layer"))))
     found.append(share.select("candidate_id", F.lit("overlap_with_layer").alias("type"), F.col("layer_key").alias("layer"), F.lit(None).cast("double").alias("radius_km"), F.col("share").alias("value")))

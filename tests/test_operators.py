@@ -265,6 +265,34 @@ def test_no_side_of_proximity_matching_is_broadcast(spark, monkeypatch):
     assert sum("SortMergeJoin" in p for p in plans) >= 2 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_parcels_beyond_all_curves_are_not_searched(spark, monkeypatch):
+    """Of 400 parcels up to 20 degrees away only those near the roads go into the search; all scores are those of the whole search."""
+    from landloom.plans import jobs
+
+    parcels = spark.range(400).selectExpr("'t' as jurisdiction", "concat('P-', id) as parcel_id", "'C-1' as zone_code", "1000D as area_sqm", "true as for_sale", "1D as price_per_sqm", "array('water') as utilities", "map('tax', 1D) as attributes", "36 + 0.02D * (id % 50) as x", "33 + 0.05D * id as y")
+    parcels = parcels.withColumn("geom", g.box(F.col("x"), F.col("y"), F.col("x") + 0.004, F.col("y") + 0.004)).drop("x", "y")
+    roads = spark.range(60).select(F.lit("osm:highway=motorway|trunk|primary").alias("layer_key"), F.col("id").alias("fid"), g.point(36 + (F.col("id") * 37 % 61) / 61, 33 + (F.col("id") * 17 % 59) / 59))
+    roads = roads.toDF("layer_key", "fid", "geom")
+    briefs = spark.createDataFrame([(1, "commercial", 500.0, 40000.0, [], {}, {})], "brief_id int, industry string, required_area_sqm double, budget_usd double, required_infrastructure array<string>, must_have map<string,string>, nice_to_have map<string,string>")
+    rules = load_site_rulesets(spark).where("ruleset = 'commercial'")
+    found = parcels.select(F.col("parcel_id").alias("candidate_id"), g.centroid(F.col("geom")).alias("c"), "geom").select("candidate_id", "c.x", "c.y", "geom")
+    want = {r.candidate_id: (round(r.score, 9), r.verdict) for r in sites.site_score(sites.score_criteria(found, roads, rules)).collect()}
+    searched, real = [], sites.sides_of
+    monkeypatch.setattr(sites, "sides_of", lambda df: searched.append(df.count()) or real(df))
+    got = {r.parcel_id: (round(r.score, 9), r.verdict) for r in jobs.match_investment_sites(parcels, briefs, roads, rules, n=400).collect()}
+    assert got == want and len(got) == 400 and len({score for score, _ in got.values()}) > 5
+    assert searched and max(searched) < 40
+
+
+def test_only_curves_with_all_bounds_end_somewhere(spark):
+    """A layer's distances matter up to the last bound of all its curves, in metres; where a curve isn't known or lacks a bound, all matter."""
+    from pyspark.sql import Row
+
+    row = lambda layer, curve, units, **b: Row(type="distance_to_layer", layer=layer, curve=curve, units=units, bounds={k: b.get(k) for k in ("ideal", "acceptable", "unacceptable", "min", "max")})
+    rows = [row("a", "linear_decreasing", "km", ideal=1.0, acceptable=2.0, unacceptable=9.0), row("a", "bell", "m", min=1.0, ideal=5.0, max=70.0), row("b", "bell", "m", min=1.0, ideal=5.0, max=70.0), row("c", "linear_increasing", "km", ideal=1.0), row("d", "other", "km")]
+    assert sites._farthest(rows) == {"a": 9000.0, "b": 70.0}
+
+
 def test_hull_of_a_large_cluster_moves_few_points(spark):
     """A cluster of 10^6 points: tasks send their own hulls' corners only."""
     points = spark.range(1_000_000, numPartitions=8).select(F.lit(7).cast("long").alias("cluster_id"), F.cos(F.rand(1) * 6.283185).alias("c"), F.rand(2).alias("r"), F.rand(3).alias("t"))
